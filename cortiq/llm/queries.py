@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, token_files
+from . import decontaminate, exact_dedup, ngram_join, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest).drop("shard")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, text_sha256
@@ -31,5 +35,5 @@ FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 WINDOW g AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_files)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_files, op10_ngram_join)}
 SQL = {"op2_exact_dedup": OP2_SQL}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, token_files
+from . import decontaminate, exact_dedup, ngram_join, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest).drop("shard")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string")) % toxicity.FOLDS == toxicity.HELD_OUT_FOLD
+    scored = toxicity.scores(spark, docs.select("doc_id", "text", "lang"), model)
+    return scored.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic_in_lang")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -35,5 +44,5 @@ FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 WINDOW g AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_files, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_files, op4_toxicity, op10_ngram_join)}
 SQL = {"op2_exact_dedup": OP2_SQL}

@@ -1,13 +1,58 @@
-"""The corpus pipeline; its stages follow as the operators do."""
+"""The corpus pipeline: toxic documents go, one of each group of near copies stays, contaminated documents go, sources are
+mixed to target weights, and the rest is written as token files. run() returns the last stage's rows."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cortiq.llm import decontaminate, mixing, ngram_join, token_files, toxicity
+from cortiq.llm._shared import written
+
+#: Documents with at least this score are rejected.
+TOXIC = 0.5
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.scores(spark, docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(spark, docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(spark, docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(spark, docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_files.read_token_files(token_files.write_token_files(spark, docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near copies", near_copies_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token files", token_stage),
+]
+
+#: The classifier is outside SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each written as Parquet and reread."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, token_files, toxicity
+from . import chat_format, decontaminate, exact_dedup, html_text, mixing, ngram_join, token_counts, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,37 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic_in_lang")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles and rendering of all turns; the model learns from the conversations of three folds of four."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("line_no"), "text", "role")
+    model = chat_format.learnt(turns.where(F.crc32(F.col("conv_id").cast("string")) % 4 != 2))
+    return chat_format.parsed(spark, turns.drop("role"), model)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.calibrated(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    found = url_filter.judged(spark, table(spark, sf_dir, "pages").select("page_id", "url"), model)
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(spark, table(spark, sf_dir, "pages"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's tokens, found again in unindexed files; the ids are then looked up by place in the files' indexes."""
+    end = 50256  # <|endoftext|>, which ordinary text never encodes to
+    manifest = token_files.write_token_files(spark, table(spark, sf_dir, "documents"), end_id=end, ordered=False)
+    files = manifest.select(F.col("pid").cast("long").alias("file"), "ids_path", "bits", F.col("tokens").alias("n_ids"))
+    found = token_counts.documents_in(files, end)
+    index = token_files.read_token_files(manifest).select("doc_id", F.col("shard").cast("long").alias("file"), "ordinal", F.col("n_tokens").alias("n_indexed"))
+    return found.join(index, ["file", "ordinal"], "full").select("doc_id", "n_tokens", "ended", "n_indexed")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -44,5 +75,5 @@ FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 WINDOW g AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_files, op4_toxicity, op10_ngram_join)}
-SQL = {"op2_exact_dedup": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_files, op4_toxicity, op5_chat_format, op6_mixing, op7_url_filter, op8_html_text, op9_token_counts, op10_ngram_join)}
+SQL = {"op2_exact_dedup": OP2_SQL, "op6_mixing": mixing.oracle()}

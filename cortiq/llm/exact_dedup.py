@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import shared_path
+from ._shared import shared_path, written
 
 #: A digest is hot if it has more than this share of the rows; so there are at most 1 / HOT_SHARE hot digests.
 HOT_SHARE = 0.001
@@ -47,6 +47,7 @@ class DigestIndex:
             .groupBy("digest")
             .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
         )
+        batch = written(self.spark, batch, "digests")  # else Spark moves the anti-join below the partial aggregation
         fresh = batch.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         (
             fresh.repartition(self.buckets, "digest")

@@ -2,5 +2,530 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+from .functions import columns as C
+from .operators import classify, geodesic, glm, isc, linalg, mesh, prep, ridge, spaces, stats
+from .plans import resampling
+from .tables import EVENT_SIGNAL_SQL, OCTAHEDRON_SQL, embedding_rows, event_signal, octahedron, read
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def six(name: str, digits: int = 6):
+    """A rounded column, with zero always positive."""
+    return (F.round(F.col(name), digits) + 0.0).alias(name)
+
+
+# Inter-subject correlation
+
+
+@query(
+    f"""WITH {EVENT_SIGNAL_SQL}, r AS (SELECT subject, v, x, sum(x) OVER (PARTITION BY t, v) - x AS y FROM signal)
+SELECT subject, v, round(CASE WHEN min(x) = max(x) OR min(y) = max(y) THEN 0.0 ELSE corr(x, y) END, 6) + 0.0 AS r FROM r GROUP BY subject, v"""
+)
+def isc_one_vs_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return isc.isc(event_signal(spark, sf_dir)).select("subject", "v", six("r"))
+
+
+@query(
+    f"""WITH {EVENT_SIGNAL_SQL} SELECT a.subject, b.subject AS other, a.v, round(corr(a.x, b.x), 6) + 0.0 AS r
+FROM signal a JOIN signal b ON a.t = b.t AND a.v = b.v AND a.subject < b.subject GROUP BY ALL"""
+)
+def isc_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return isc.isc(event_signal(spark, sf_dir), paired=True).select("subject", "other", "v", six("r"))
+
+
+@query(
+    f"""WITH {EVENT_SIGNAL_SQL}, r AS (SELECT subject, v, x, sum(x) OVER (PARTITION BY t, v) - x AS y FROM signal)
+SELECT subject, v, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 6) + 0.0 AS r FROM r GROUP BY subject, v"""
+)
+def isc_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return isc.isc(event_signal(spark, sf_dir), metric="cosine").select("subject", "v", six("r"))
+
+
+@query(
+    f"""WITH {EVENT_SIGNAL_SQL} SELECT subject, t, v,
+round(coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0.0), 6) + 0.0 AS x FROM signal WINDOW w AS (PARTITION BY subject, v)"""
+)
+def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return isc.zscored(event_signal(spark, sf_dir)).select("subject", "t", "v", six("x"))
+
+
+# Reliability and other statistics
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_signal(spark, sf_dir).select(F.col("subject").alias("rep"), F.col("t").alias("unit"), "v", "x")
+
+
+@query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) + 0.0 AS r FROM lineitem GROUP BY l_returnflag")
+def pearson_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.pearson(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", six("r"))
+
+
+_ALPHA = f"""WITH {EVENT_SIGNAL_SQL},
+items AS (SELECT v, sum(s) AS items, count(*) AS n FROM (SELECT v, subject, var_samp(x) AS s FROM signal GROUP BY ALL) GROUP BY v),
+sums AS (SELECT v, var_samp(x) AS total, count(*) AS m FROM (SELECT v, t, sum(x) AS x FROM signal GROUP BY ALL) GROUP BY v),
+alpha AS (SELECT v, n / (n - 1) * (1 - items / total) AS alpha, n, m FROM items JOIN sums USING (v))
+"""
+
+
+@query(_ALPHA + "SELECT v, round(alpha, 6) + 0.0 AS alpha, n, m FROM alpha")
+def cronbach_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.cronbach_alpha(_scores(spark, sf_dir), ["v"]).select("v", six("alpha"), "n", "m")
+
+
+@query()
+def cronbach_alpha_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.cronbach_alpha(_scores(spark, sf_dir), ["v"], level=0.95).select("v", six("alpha"), six("lower"), six("upper"))
+
+
+@query(
+    f"""WITH {EVENT_SIGNAL_SQL}, s AS (SELECT subject, v, x, sum(x) OVER (PARTITION BY t, v) AS y FROM signal)
+SELECT v, subject AS rep, round(corr(x, y - x), 6) + 0.0 AS lower, round(corr(x, y), 6) + 0.0 AS upper FROM s GROUP BY ALL"""
+)
+def noise_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.noise_ceilings(_scores(spark, sf_dir), ["v"]).select("v", "rep", six("lower"), six("upper"))
+
+
+@query(
+    f"""WITH {EVENT_SIGNAL_SQL}, reps AS (SELECT DISTINCT subject AS rep FROM signal),
+own AS (SELECT rep, v, subject, var_samp(x) AS s FROM signal, reps WHERE subject <> rep GROUP BY ALL),
+items AS (SELECT rep, v, sum(s) AS items, count(*) AS n FROM own GROUP BY ALL),
+sums AS (SELECT rep, v, var_samp(x) AS total FROM (SELECT rep, v, t, sum(x) AS x FROM signal, reps WHERE subject <> rep GROUP BY ALL) GROUP BY ALL)
+SELECT v, rep, round(n / (n - 1) * (1 - items / total), 6) + 0.0 AS alpha FROM items JOIN sums USING (rep, v)"""
+)
+def alpha_without_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.noise_ceilings(_scores(spark, sf_dir), ["v"], with_alpha=True).select("v", "rep", six("alpha"))
+
+
+@query(
+    _ALPHA + """SELECT v, round(2 * alpha / (1 + alpha), 6) + 0.0 AS doubled,
+round((0.9 - alpha * 0.9) / (alpha - alpha * 0.9), 4) + 0.0 AS needed FROM alpha"""
+)
+def spearman_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = stats.cronbach_alpha(_scores(spark, sf_dir), ["v"])
+    return a.select("v", C.spearman_brown(F.col("alpha"), F.lit(2.0)).alias("doubled"), C.spearman_brown_length(F.col("alpha"), F.lit(0.9)).alias("needed")).select("v", six("doubled"), six("needed", 4))
+
+
+@query(
+    """WITH r AS (SELECT p_partkey, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS r, count(*) OVER () AS n FROM part)
+SELECT p_partkey, round(greatest(0.0005, least(0.9995, (r - 0.5) / n)), 9)::DOUBLE AS pct FROM r"""
+)
+def rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.ranked(read(spark, sf_dir, "part"), "p_retailprice").select("p_partkey", six("pct", 9))
+
+
+@query()
+def inverse_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.normalized(read(spark, sf_dir, "part"), "p_retailprice").select("p_partkey", six("z"))
+
+
+@query(
+    """SELECT l_linestatus, unnest(range(0, 101, 10)) AS decile, round(unnest(quantile_cont(l_extendedprice, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])), 6) + 0.0 AS value
+FROM lineitem GROUP BY l_linestatus"""
+)
+def deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.deciles(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_linestatus"]).select("l_linestatus", "decile", six("value"))
+
+
+# Linear models
+
+
+def _regression(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice").withColumn("t", F.struct("l_orderkey", "l_linenumber"))
+    rows = rows.groupBy("t").agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_discount", "l_extendedprice")])
+    return rows.select("t", F.lit(0).alias("v"), F.col("l_extendedprice").alias("x")), rows.select("t", F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.lit(1.0).alias("one"))
+
+
+_REGRESSION = "r AS (SELECT max(l_quantity) AS q, max(l_discount) AS d, max(l_extendedprice) AS x FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+
+
+@query(
+    f"""WITH {_REGRESSION}, m AS (SELECT regr_slope(x, q) AS b, regr_intercept(x, q) AS a, count(*) AS n, regr_sxx(x, q) AS sxx, avg(q) AS mq FROM r),
+e AS (SELECT sum((x - a - b * q) * (x - a - b * q)) AS rss, sum(x * x) AS tss FROM r, m)
+SELECT c.contrast, round(CASE WHEN c.contrast = 0 THEN b ELSE a END, 4) + 0.0 AS beta,
+round(CASE WHEN c.contrast = 0 THEN b / sqrt(rss / (n - 2) / sxx) ELSE a / sqrt(rss / (n - 2) * (1.0 / n + mq * mq / sxx)) END, 4) + 0.0 AS t,
+round(1 - rss * n / (tss * (n - 2)), 6) + 0.0 AS r2
+FROM m, e, (VALUES (0), (1)) c(contrast)"""
+)
+def glm_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signal, design = _regression(spark, sf_dir)
+    return glm.glm(signal, design, ["q", "one"], return_r2=True).select("contrast", six("beta", 4), six("t", 4), six("r2"))
+
+
+@query(
+    f"""WITH {_REGRESSION}, s AS (SELECT count(*) AS n, covar_pop(x, q) AS xq, covar_pop(x, d) AS xd, var_pop(q) AS qq, var_pop(d) AS dd, covar_pop(q, d) AS qd FROM r),
+b AS (SELECT (xq * dd - xd * qd) / (qq * dd - qd * qd) AS b1, (xd * qq - xq * qd) / (qq * dd - qd * qd) AS b2, * FROM s),
+e AS (SELECT sum(pow(x - mx - b1 * (q - mq) - b2 * (d - md), 2)) AS rss FROM r, b, (SELECT avg(x) AS mx, avg(q) AS mq, avg(d) AS md FROM r))
+SELECT round(b1 - b2, 3) + 0.0 AS beta, round((b1 - b2) / sqrt(rss / (n - 3) * (dd + 2 * qd + qq) / (n * (qq * dd - qd * qd))), 4) + 0.0 AS t FROM b, e"""
+)
+def glm_contrast_two_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signal, design = _regression(spark, sf_dir)
+    return glm.glm(signal, design, ["q", "d"], ["one"], contrasts=[[1.0, -1.0]]).select(six("beta", 3), six("t", 4))
+
+
+_FEATURE = "e AS (SELECT vec_id AS obs, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
+
+
+@query(
+    f"""WITH {_FEATURE}, s AS (SELECT avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy FROM e)
+SELECT alpha, round(sxy / (sxx + alpha), 6) + 0.0 AS beta, round(my - mx * sxy / (sxx + alpha), 6) + 0.0 AS intercept FROM s, (VALUES (0.1::DOUBLE), (1.0), (10.0)) a(alpha)"""
+)
+def ridge_grid_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embedding_rows(spark, sf_dir).select("obs", F.array(F.col("x")[0]).alias("x"), F.col("x")[1].alias("y"))
+    alphas = [0.1, 1.0, 10.0]
+    beta = ridge.ridge_grid(rows, 1, alphas, [None])
+    out = spark.createDataFrame([(a, float(beta[0, i, 0]), float(beta[1, i, 0])) for i, a in enumerate(alphas)], "alpha double, beta double, intercept double")
+    return out.select("alpha", six("beta"), six("intercept"))
+
+
+def _by_label(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[np.ndarray]]:
+    """Rows of eight features and a target; groups of four consecutive ids, and a hundred single ones."""
+    rows = embedding_rows(spark, sf_dir).select("obs", F.slice("x", 2, 8).alias("x"), F.col("x")[0].alias("y"))
+    ids = np.array(sorted(r[0] for r in rows.select("obs").collect()))  # a resampling plan is made from all ids
+    return rows, [*(ids[i : i + 4] for i in range(0, len(ids) - 100, 4)), *(ids[i : i + 1] for i in range(len(ids) - 100, len(ids)))]
+
+
+@query()
+def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, groups = _by_label(spark, sf_dir)
+    return ridge.ridge_cv(spark, rows, groups, 8, [0.1, 1.0, 10.0], [3, 5, None], n_folds=3, n_reps=2)[0].select("obs", "alpha", "npc", six("yhat"))
+
+
+@query()
+def ridge_nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, groups = _by_label(spark, sf_dir)
+    return ridge.ridge_nested_cv(spark, rows, groups, 8, [0.1, 10.0], [3, None], n_folds=3, n_reps=2)[0].select("obs", six("yhat"))
+
+
+@query()
+def ensemble_lstsq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embedding_rows(spark, sf_dir).select("obs", F.slice("x", 3, 8).alias("x"), F.slice("x", 1, 2).alias("y"))
+    n = rows.count()
+    plan = resampling.plan_table(spark, resampling.bagging(n, 5, 2), 5)
+    return linalg.ensemble_lstsq(spark, rows, plan, 8, 2)[2].select("target", six("r2"), six("r"))
+
+
+_GRAM_ROWS = "e AS (SELECT vec_id AS obs, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS col FROM embeddings)"
+
+
+@query(
+    f"""WITH {_GRAM_ROWS}, m AS (SELECT label, col, avg(x) AS x FROM e GROUP BY ALL), c AS (SELECT label, col, x - avg(x) OVER (PARTITION BY col) AS x FROM m)
+SELECT a.label AS i, b.label AS j, round(sum(a.x * b.x), 6) + 0.0 AS value FROM c a JOIN c b ON a.col = b.col AND a.label <= b.label GROUP BY ALL"""
+)
+def gram_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inner products of the labels' mean vectors."""
+    cells = embedding_rows(spark, sf_dir).select("label", F.posexplode("x").alias("col", "x")).groupBy("label", "col").agg(F.avg("x").alias("x"))
+    rows = cells.groupBy(F.col("label").alias("obs")).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "x"))), lambda e: e["x"]).alias("x"))
+    return linalg.gram(rows).select("i", "j", six("value"))
+
+
+@query(
+    f"""WITH {_GRAM_ROWS}, m AS (SELECT label, col, avg(x) AS x FROM e GROUP BY ALL), c AS (SELECT label, col, ((col) // 16)::INT AS chunk, x - avg(x) OVER (PARTITION BY col) AS x FROM m)
+SELECT a.chunk, a.label AS i, b.label AS j, round(sum(a.x * b.x), 6) + 0.0 AS value FROM c a JOIN c b ON a.col = b.col AND a.label <= b.label GROUP BY ALL"""
+)
+def gram_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = embedding_rows(spark, sf_dir).select("label", F.posexplode("x").alias("col", "x")).groupBy("label", "col").agg(F.avg("x").alias("x"))
+    rows = cells.groupBy(F.col("label").alias("obs")).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "x"))), lambda e: e["x"]).alias("x"))
+    return linalg.gram(rows, chunks=4).select("chunk", "i", "j", six("value"))
+
+
+@query(
+    f"""WITH {_GRAM_ROWS}, c AS (SELECT obs, col, x - avg(x) OVER (PARTITION BY col) AS x FROM e)
+SELECT round(sum(x * x), 4) + 0.0 AS trace, count(DISTINCT obs) AS n FROM c"""
+)
+def pca_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squared scores of all components add up to the centred data's."""
+    scores = linalg.pca(embedding_rows(spark, sf_dir), 64)
+    return scores.select("obs", F.explode("score").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("trace"), F.count_distinct("obs").alias("n")).select(six("trace", 4), "n")
+
+
+@query(
+    """WITH a AS (SELECT vec_id AS seg, embedding::DOUBLE[] AS x FROM embeddings),
+b AS (SELECT vec_id AS other, list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * 0.5 + embedding[i % 64 + 1]::DOUBLE * 0.6) AS y FROM embeddings),
+d AS (SELECT seg, other, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i])))), 12) AS d FROM a, b),
+n AS (SELECT seg, other, row_number() OVER (PARTITION BY seg ORDER BY d, other) AS k FROM d)
+SELECT avg((seg = other)::INT)::DOUBLE AS accuracy FROM n WHERE k = 1"""
+)
+def segment_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = embedding_rows(spark, sf_dir).select(F.col("obs").alias("t"), "x")
+    mixed = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("x", i) * 0.5 + F.get("x", (i + 1) % 64) * 0.6)
+    return classify.accuracy(measured, measured.select("t", mixed.alias("x")), metric="euclidean")
+
+
+@query()
+def bagging_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each observation is drawn and left out."""
+    n = read(spark, sf_dir, "embeddings").count()
+    plan = resampling.plan_table(spark, resampling.bagging(n, 5, 4), 5)
+    return plan.groupBy("obs").agg(F.sum(F.when(F.col("role") == "train", F.col("multiplicity")).otherwise(0)).alias("drawn"), F.count_if(F.col("role") == "test").alias("left_out"))
+
+
+@query()
+def group_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each group of customers of a nation is withheld."""
+    ids = read(spark, sf_dir, "customer").select("c_nationkey", "c_custkey").where("c_custkey <= 150").orderBy("c_nationkey", "c_custkey").collect()
+    groups = [np.array([i for i, r in enumerate(ids) if r[0] == k]) for k in sorted({r[0] for r in ids})]
+    single = [np.array([len(ids) + i]) for i in range(60)]  # small groups to balance the folds
+    plan = resampling.withheld_table(spark, resampling.group_bagging([*groups, *single], 5, 4))
+    return plan.groupBy("grp").agg(F.count(F.lit(1)).alias("withheld"))
+
+
+@query()
+def permutation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.permutation_table(spark, resampling.permutations([np.arange(3), np.arange(3, 6), np.arange(6, 8)], 20))
+
+
+# Preparation
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten days a run."""
+    s = event_signal(spark, sf_dir)
+    return s.select("subject", F.floor(F.col("t") / 10).cast("int").alias("run"), (F.col("t") % 10).cast("int").alias("t"), "v", "x")
+
+
+_RUNS = f"{EVENT_SIGNAL_SQL}, runs AS (SELECT subject, (t // 10)::INT AS run, (t % 10)::INT AS t, v, x FROM signal)"
+
+
+@query(
+    f"""WITH {_RUNS}, d AS (SELECT *, t::DOUBLE AS c FROM runs), b AS (SELECT subject, run, v, sum(c * x) / sum(c * c) AS b FROM d GROUP BY ALL)
+SELECT subject, run, t, v, round(x - b * c, 6) + 0.0 AS x FROM d JOIN b USING (subject, run, v)"""
+)
+def regress_out_confound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signal = _runs(spark, sf_dir)
+    confounds = signal.select("subject", "run", "t").distinct().withColumn("c", F.array(F.col("t").cast("double")))
+    return prep.regressed(signal, confounds).select("subject", "run", "t", "v", six("x"))
+
+
+@query(
+    f"""WITH {_RUNS}, k AS (SELECT * FROM runs WHERE t % 3 <> 1 AND v % 5 <> 0), d AS (SELECT *, t::DOUBLE AS c FROM k),
+b AS (SELECT subject, run, v, sum(c * x) / sum(c * c) AS b FROM d GROUP BY ALL), e AS (SELECT subject, run, t, v, x - b * c AS x FROM d JOIN b USING (subject, run, v))
+SELECT subject, run, t, v, round(coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0.0), 6) + 0.0 AS x FROM e WINDOW w AS (PARTITION BY subject, run, v)"""
+)
+def scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scrubbed time points, masked vertices, one confound, standardised in each run."""
+    signal = _runs(spark, sf_dir)
+    points = signal.select("subject", "run", "t").distinct()
+    mask = signal.select("v").distinct().withColumn("keep", F.col("v") % 5 != 0)
+    out = prep.get_prep("scrub")(signal, points.withColumn("c", F.array(F.col("t").cast("double"))), points.withColumn("keep", F.col("t") % 3 != 1), mask=mask)
+    return out.select("subject", "run", "t", "v", six("x"))
+
+
+_SPANS = "(VALUES (0, 1, 4, 0), (0, 6, 9, 3), (1, 0, 5, 0), (2, 2, 3, 0))"
+
+
+@query(f"WITH {_RUNS} SELECT subject, r.run, (t - s.b + s.o)::INT AS t, v, round(x, 6) + 0.0 AS x FROM runs r JOIN {_SPANS} s(run, b, e, o) ON r.run = s.run AND t >= b AND t < e")
+def slicer_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = spark.createDataFrame([(0, 1, 4), (0, 6, 9), (1, 0, 5), (2, 2, 3)], "run int, start int, end int")
+    return prep.sliced(_runs(spark, sf_dir), spans).select("subject", "run", F.col("t").cast("int").alias("t"), "v", six("x"))
+
+
+@query(
+    f"""WITH {_RUNS}, n AS (SELECT subject, run, max(t) + 1 AS n FROM runs GROUP BY ALL),
+o AS (SELECT subject, run, coalesce(sum(n) OVER (PARTITION BY subject ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM n)
+SELECT subject, (t + o)::BIGINT AS t, v, round(x, 6) + 0.0 AS x FROM runs JOIN o USING (subject, run)"""
+)
+def run_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.concatenated(_runs(spark, sf_dir)).select("subject", F.col("t").cast("long").alias("t"), "v", six("x"))
+
+
+# Spaces
+
+
+_PAIRS = """p AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(pow(a.embedding[1]::DOUBLE - b.embedding[1]::DOUBLE, 2) + pow(a.embedding[2]::DOUBLE - b.embedding[2]::DOUBLE, 2) + pow(a.embedding[3]::DOUBLE - b.embedding[3]::DOUBLE, 2)) AS d
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances on three dimensions between vectors of a label, i < j: the label plays the part of the region."""
+    e = embedding_rows(spark, sf_dir).select("label", F.col("obs").alias("i"), F.slice("x", 1, 3).alias("x"))
+    return e.join(e.select("label", F.col("i").alias("j"), F.col("x").alias("y")), "label").where("i < j").select("i", "j", C.distance(F.col("x"), F.col("y")).alias("d"))
+
+
+def _vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"))
+
+
+@query("SELECT vec_id AS v, row_number() OVER (ORDER BY vec_id) - 1 AS vm FROM embeddings WHERE vec_id % 5 <> 0")
+def mask_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaces.reindexed(_vertices(spark, sf_dir).withColumn("keep", F.col("v") % 5 != 0), chunk=64)
+
+
+_SYMMETRIC = f"{_PAIRS}, s AS (SELECT i, j, d FROM p UNION ALL SELECT j, i, d FROM p UNION ALL SELECT vec_id, vec_id, 0.0 FROM embeddings)"
+
+
+@query(
+    f"""WITH {_SYMMETRIC}, n AS (SELECT * FROM s WHERE d <= 0.1), m AS (SELECT vec_id AS v, row_number() OVER (ORDER BY vec_id) - 1 AS vm FROM embeddings WHERE vec_id % 5 <> 0)
+SELECT i AS center, count(*) AS n, round(avg(d), 6) + 0.0 AS mean, min(m.vm) AS first FROM n JOIN m ON n.j = m.v GROUP BY i"""
+)
+def searchlight_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spaces.symmetric(_pairs(spark, sf_dir), _vertices(spark, sf_dir)).select(F.col("i").alias("center"), F.col("j").alias("v"), F.col("d").alias("dist"))
+    lights = spaces.searchlights(s, 0.1, _vertices(spark, sf_dir).withColumn("keep", F.col("v") % 5 != 0))
+    return lights.groupBy("center").agg(F.count(F.lit(1)).alias("n"), F.avg("dist").alias("mean"), F.min("v").alias("first")).select("center", "n", six("mean"), "first")
+
+
+def _smooth_sql(key: str) -> str:
+    return f"""WITH {_SYMMETRIC}, k AS (SELECT i AS src, j AS dst, exp(-d * d / (0.01 / (4 * ln(2)))) AS w FROM s),
+n AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY {key}) AS w FROM k)
+SELECT src, round(sum(w), 6) + 0.0 AS w, round(sum(w * w), 6) + 0.0 AS w2, count(*) AS n FROM n GROUP BY src"""
+
+
+def _smooth(spark: SparkSession, sf_dir: str, keep_sum: bool) -> DataFrame:
+    w = spaces.smoothing(spaces.symmetric(_pairs(spark, sf_dir), _vertices(spark, sf_dir)), fwhm=0.1, keep_sum=keep_sum)
+    return w.groupBy("src").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"), F.count(F.lit(1)).alias("n")).select("src", six("w"), six("w2"), "n")
+
+
+@query(_smooth_sql("dst"))
+def smooth_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _smooth(spark, sf_dir, False)
+
+
+@query(_smooth_sql("src"))
+def smooth_kernel_keep_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _smooth(spark, sf_dir, True)
+
+
+_WEIGHTS = """w AS (SELECT c_nationkey AS src, n_regionkey AS dst, count(*)::DOUBLE AS w FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+z AS (SELECT src, (dst + k) % 5 AS dst, sum(w / (k + 1)) AS w FROM w, (VALUES (0), (1)) k(k) GROUP BY ALL)"""
+
+
+def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a nation, to its region and half as many to the next."""
+    w = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("c_nationkey").alias("src"), F.col("n_regionkey").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    spread = w.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    return spread.groupBy("src", ((F.col("dst") + F.col("k")) % 5).alias("dst")).agg(F.sum(F.col("w") / (F.col("k") + 1)).alias("w"))
+
+
+_BALANCE = "b AS (SELECT c_nationkey AS v, avg(c_acctbal) AS x FROM customer GROUP BY ALL)"
+
+
+def _balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("v")).agg(F.avg("c_acctbal").alias("x"))
+
+
+@query(f"WITH {_WEIGHTS}, {_BALANCE}, n AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY dst) AS w FROM z) SELECT dst AS v, round(sum(x * w), 4) + 0.0 AS x FROM b JOIN n ON v = src GROUP BY dst")
+def mapping_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaces.applied(_balance(spark, sf_dir), spaces.mapping(_weights(spark, sf_dir))).select("v", six("x", 4))
+
+
+@query(f"WITH {_WEIGHTS}, n AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY w DESC, src) AS k FROM z) SELECT src, dst, 1.0::DOUBLE AS w FROM n WHERE k = 1")
+def mapping_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaces.mapping(_weights(spark, sf_dir), nn=True).select("src", "dst", "w")
+
+
+@query(f"WITH {_WEIGHTS} SELECT dst AS src, src AS dst, round(w / sum(w) OVER (PARTITION BY src), 6) + 0.0 AS w FROM z")
+def mapping_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaces.mapping(spaces.transposed(_weights(spark, sf_dir))).select("src", "dst", six("w"))
+
+
+@query(
+    """WITH l AS (SELECT c_custkey AS v, c_nationkey AS label FROM customer), p AS (SELECT s_nationkey AS label, avg(s_acctbal) AS x FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY ALL)
+SELECT v, round(coalesce(CASE WHEN label > 0 THEN x END, -1), 6) + 0.0 AS x FROM l LEFT JOIN p USING (label)"""
+)
+def parcel_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("v"), F.col("c_nationkey").alias("label"))
+    values = read(spark, sf_dir, "supplier").where("s_nationkey % 3 <> 0").groupBy(F.col("s_nationkey").alias("label")).agg(F.avg("s_acctbal").alias("x"))
+    return spaces.parcels_expanded(labels, values).select("v", F.nanvl("x", F.lit(-1.0)).alias("x")).select("v", six("x"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id AS v, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+d AS (SELECT s.v AS src, t.v AS dst, sqrt(pow(s.x - t.x, 2) + pow(s.y - t.y, 2) + pow(s.z - t.z, 2)) AS d FROM e s, e t WHERE s.v % 2 = 0 AND t.v % 2 = 1),
+f AS (SELECT src, dst FROM d QUALIFY row_number() OVER (PARTITION BY dst ORDER BY d, src) = 1),
+b AS (SELECT src, dst FROM d WHERE src NOT IN (SELECT src FROM f) QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) = 1),
+u AS (SELECT * FROM f UNION ALL SELECT * FROM b)
+SELECT src, dst, round(count(*) / sum(count(*)) OVER (PARTITION BY dst), 6)::DOUBLE AS w FROM u GROUP BY src, dst"""
+)
+def nearest_forward_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embedding_rows(spark, sf_dir).select(F.col("obs").alias("v"), *[F.col("x")[i].alias(k) for i, k in enumerate("xyz")])
+    return mesh.nearest_forward_reverse(e.where("v % 2 = 0"), e.where("v % 2 = 1")).select("src", "dst", six("w"))
+
+
+# Meshes
+
+
+def _sphere(spark: SparkSession, n: int = 4) -> mesh.Mesh:
+    return mesh.subdivided(mesh.Mesh(*octahedron(spark)), n, on_sphere=True)
+
+
+@query(
+    f"""WITH {OCTAHEDRON_SQL}, c AS (SELECT f, a, b, c, pb.x - pa.x AS x1, pb.y - pa.y AS y1, pb.z - pa.z AS z1, pc.x - pa.x AS x2, pc.y - pa.y AS y2, pc.z - pa.z AS z2
+FROM faces JOIN vertices pa ON pa.v = a JOIN vertices pb ON pb.v = b JOIN vertices pc ON pc.v = c),
+s AS (SELECT *, sqrt(pow(y1 * z2 - z1 * y2, 2) + pow(z1 * x2 - x1 * z2, 2) + pow(x1 * y2 - y1 * x2, 2)) / 2 AS area FROM c)
+SELECT v::BIGINT AS v, round(sum(area) / 3, 6) + 0.0 AS area FROM (SELECT unnest([a, b, c]) AS v, area FROM s) GROUP BY v"""
+)
+def mesh_vertex_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.vertex_areas(mesh.Mesh(*octahedron(spark))).select("v", six("area"))
+
+
+@query(f"WITH {OCTAHEDRON_SQL}, e AS (SELECT DISTINCT unnest([a, a, b, b, c, c]) AS v, unnest([b, c, a, c, a, b]) AS nbr FROM faces) SELECT v::BIGINT AS v, nbr::BIGINT AS nbr FROM e")
+def mesh_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.neighbors(mesh.Mesh(*octahedron(spark)).faces)
+
+
+@query(f"WITH {OCTAHEDRON_SQL} SELECT v::BIGINT AS v, x + 0.0 AS nx, y + 0.0 AS ny, z + 0.0 AS nz FROM vertices")
+def mesh_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On the octahedron a vertex's normal is its position."""
+    return mesh.normals(mesh.Mesh(*octahedron(spark)), "sine").select("v", six("nx"), six("ny"), six("nz"))
+
+
+@query("SELECT 66::BIGINT AS vertices, 128::BIGINT AS faces, 192::BIGINT AS edges, 0::BIGINT AS tetrahedra")
+def mesh_subdivision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _sphere(spark)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    out = count(m.vertices, "vertices").crossJoin(count(m.faces, "faces")).crossJoin(count(mesh.neighbors(m.faces).where("v < nbr"), "edges"))
+    return out.crossJoin(count(mesh.tetrahedra(m.faces), "tetrahedra"))  # a row each
+
+
+@query()
+def mesh_barycentric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings' directions in three dimensions, located on a sphere."""
+    m = _sphere(spark)
+    points = embedding_rows(spark, sf_dir).select(F.col("obs").alias("p"), *[F.col("x")[i].alias(k) for i, k in enumerate("xyz")])
+    return mesh.barycentric(m, points).select("p", "f", six("wa"), six("wb"), six("wc"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT o_custkey % 40 AS v, o_orderkey % 37 AS nbr, (1 + min(o_totalprice) / 100000)::DOUBLE AS d FROM orders WHERE o_custkey % 40 <> o_orderkey % 37 GROUP BY ALL),
+b AS (SELECT v, nbr, d FROM e UNION ALL SELECT nbr, v, d FROM e), g AS (SELECT v, nbr, min(d) AS d FROM b GROUP BY ALL),
+w AS (SELECT 0::BIGINT AS v, 0.0::DOUBLE AS d, 0 AS hops UNION SELECT g.nbr, min(w.d + g.d), hops + 1 FROM w JOIN g ON w.v = g.v WHERE hops < 6 GROUP BY g.nbr, hops + 1)
+SELECT v, round(min(d), 5) + 0.0 AS d FROM w GROUP BY v"""
+)
+def dijkstra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("v"), (F.col("o_orderkey") % 37).alias("nbr"), "o_totalprice").where("v <> nbr")
+    e = o.groupBy("v", "nbr").agg((1 + F.min("o_totalprice") / 100000).alias("d"))
+    both = e.unionByName(e.select(F.col("nbr").alias("v"), F.col("v").alias("nbr"), "d")).groupBy("v", "nbr").agg(F.min("d").alias("d"))
+    return geodesic.dijkstra(both, 0).select("v", six("d", 5))
+
+
+@query()
+def geodesic_territories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of the geodesic territories of an octahedron's vertices."""
+    return geodesic.geodesic_areas(mesh.Mesh(*octahedron(spark)), n_div=3, t_div=6).select("v", six("area"))
+
+
+@query()
+def overlap_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas shared by an octahedron's vertices and a subset of a finer sphere's."""
+    m = mesh.Mesh(*octahedron(spark))
+    fine = _sphere(spark, 2).vertices.where("v % 3 <> 1").select(F.col("v").alias("p"), "x", "y", "z")
+    return geodesic.overlap_transform(m, m, fine, n_div=2, t_div=4).select("src", "dst", six("w"))
+
+

@@ -98,3 +98,10 @@ def runs(keys: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(1, np.int64)
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in the one column of ids (a null id matches null); names cannot clash."""
+    name = f"id_{uuid.uuid4().hex}"
+    gone = ids.toDF(name).distinct()
+    return docs.join(small_or_not(written(ids.sparkSession, gone, "gone")), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import WordIds, grams, list_array, small_or_not, written
+from ._shared import WordIds, grams, list_array, without, written
 
 #: Words of a window, and of the k-grams whose hashes are compared.
 SPAN, K = 10, 5
@@ -167,6 +167,4 @@ def report(found: DataFrame) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = 0.0) -> DataFrame:
     """docs without those of which more than `share` of the words are hit (by default: any). All columns stay."""
-    found = contamination(spark, docs, benchmark).where(F.col("n_hit") > share * F.col("n_words")).select(F.col("doc_id").alias("hit_id")).distinct()
-    found = written(spark, found, "contaminated")
-    return docs.join(small_or_not(found), F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")), "left_anti")
+    return without(docs, contamination(spark, docs, benchmark).where(F.col("n_hit") > share * F.col("n_words")).select("doc_id"))

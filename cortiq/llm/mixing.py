@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import small_or_not, written
+from ._shared import small_or_not, without, written
 
 MARGINALS = ("source", "lang", "topic")
 #: Without given targets a marginal's target shares are its token shares to this power, normalised.
@@ -98,9 +98,7 @@ def calibrated(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The sampled documents, with all their columns."""
-    dropped = calibrated(spark, docs, **options).where("NOT sampled").select(F.col("doc_id").alias("dropped_id")).distinct()
-    dropped = written(spark, dropped, "unsampled")
-    return docs.join(small_or_not(dropped), F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
+    return without(docs, calibrated(spark, docs, **options).where("NOT sampled").select(F.col("doc_id").cast("long")))
 
 
 def oracle(rounds: int = ROUNDS) -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import WordIds, grams, list_array, mixed, runs, small_or_not, written
+from ._shared import WordIds, grams, list_array, mixed, runs, small_or_not, without, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -219,6 +219,4 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the documents whose class has a smaller id; all columns stay."""
-    found = near_duplicates(spark, docs).where("class_id < doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    found = written(spark, found, "near-copies")
-    return docs.join(small_or_not(found), F.col("doc_id").cast("long") == F.col("dropped_id"), "left_anti")
+    return without(docs, near_duplicates(spark, docs).where("class_id < doc_id").select("doc_id"))

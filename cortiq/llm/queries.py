@@ -22,7 +22,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(spark, table(spark, sf_dir, "documents"))
-    return token_files.read_token_files(manifest).drop("shard")
+    return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,3 +254,38 @@ def rotated(vertices: DataFrame, r: np.ndarray, centred: bool = True) -> DataFra
     mean = vertices.agg(*[F.avg(k).alias(k) for k in "xyz"]).first() if centred else {k: 0.0 for k in "xyz"}
     moved = [F.col(k) - float(mean[k]) for k in "xyz"]
     return vertices.select("v", *[sum((moved[i] * float(r[i, j]) for i in range(3)), F.lit(0.0)).alias(k) for j, k in enumerate("xyz")])
+
+
+def flipped(mesh: Mesh, rounds: int = 100) -> Mesh:
+    """Faces after flips of edges that shorten them: of ABC and ABD, if CD is shorter than AB and no edge yet, ACD and BCD.
+
+    A round takes every flip that gains most for both of its faces, so flips of a round never touch; rounds go on until
+    none gains. Distances are Euclidean. Edges must have two faces.
+    """
+    from ..sources.scratch import written
+
+    spark = mesh.faces.sparkSession
+    where = mesh.vertices.select("v", F.array("x", "y", "z").alias("at"))
+    faces = written(spark, mesh.faces, "faces")
+    for _ in range(rounds):
+        sides = F.array(*[F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"), F.col(r).alias("r")) for p, q, r in (("a", "b", "c"), ("b", "c", "a"), ("a", "c", "b"))])
+        edges = faces.select("f", F.explode(sides).alias("e")).select("f", "e.p", "e.q", "e.r")
+        pairs = edges.groupBy("p", "q").agg(F.array_sort(F.collect_list(F.struct("f", "r"))).alias("s")).where(F.size("s") == 2)
+        pairs = pairs.select("p", "q", F.col("s")[0]["f"].alias("f"), F.col("s")[1]["f"].alias("g"), F.least(F.col("s")[0]["r"], F.col("s")[1]["r"]).alias("c"), F.greatest(F.col("s")[0]["r"], F.col("s")[1]["r"]).alias("d"))
+        fresh = pairs.join(edges.select(F.col("p").alias("c"), F.col("q").alias("d")).distinct(), ["c", "d"], "left_anti")
+        for k in "pqcd":
+            fresh = fresh.join(where.select(F.col("v").alias(k), F.col("at").alias("at" + k)), k)
+        length = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        gain = (length("atp", "atq") - length("atc", "atd")).alias("gain")
+        wanted = written(spark, fresh.select("p", "q", "c", "d", "f", "g", gain).where("gain > 1e-12"), "flips")
+        if not wanted.limit(1).count():
+            break
+        rank = F.struct("gain", "p", "q")
+        by_face = wanted.select(F.explode(F.array("f", "g")).alias("face"), rank.alias("r")).groupBy("face").agg(F.max("r").alias("top"))
+        by_edge = wanted.groupBy("c", "d").agg(F.max(rank).alias("best"))
+        tops = lambda n, t: by_face.select(F.col("face").alias(n), F.col("top").alias(t))
+        done = wanted.join(tops("f", "t1"), "f").join(tops("g", "t2"), "g").join(by_edge, ["c", "d"]).where((F.col("t1") == rank) & (F.col("t2") == rank) & (F.col("best") == rank))
+        new = done.select(F.explode(F.array(F.struct("f", F.col("c").alias("a"), F.col("d").alias("b"), F.col("p").alias("c")), F.struct(F.col("g").alias("f"), F.col("c").alias("a"), F.col("d").alias("b"), F.col("q").alias("c")))).alias("n")).select("n.*")
+        new = written(spark, new, "flipped")
+        faces = written(spark, faces.join(new.select("f"), "f", "left_anti").select("f", "a", "b", "c").unionByName(new), "faces")
+    return Mesh(mesh.vertices, faces)

@@ -1,4 +1,6 @@
-"""Token ids as flat little-endian unsigned 32-bit files, with 64-bit document offsets beside them.
+"""Token ids as flat little-endian unsigned files, with 64-bit document offsets beside them.
+
+Ids take 16 bits where the vocabulary and the end id allow it, else 32; the manifest says which.
 
 Documents are range-partitioned and sorted by doc_id; each task encodes its range and streams it into one ids file and
 one offsets file (begin and end of each document inside the shard). A row for each shard goes to the manifest, whose
@@ -13,9 +15,12 @@ that look like special tokens are ordinary text. Further columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +31,20 @@ from pyspark.sql import functions as F
 from ._shared import shared_path, written
 
 #: Pieces of text whose ids a worker keeps; a full cache is emptied.
-CACHE_PIECES = 300_000
-#: Within these characters (printable ASCII, tab, line ends, Latin letters) white space means the same to `re` and to the
-#: tokenizer, so a text may be cut where the tokenizer's own split always cuts; other texts are encoded whole.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*").fullmatch
-_PIECES = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+").findall
-#: Documents longer than this are cut and encoded by pieces of about that many characters (whole texts all the same).
-MANIFEST = "pid int, ids_path string, offsets_path string, docs long, tokens long"
+CACHE_PIECES = 500_000
+#: Letters and numbers among the characters up to U+024F.
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Texts of printable ASCII, tabs, line ends and Latin letters: there `re` has the same classes as the tokenizer's own split.
+#: Other texts are encoded whole.
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*").fullmatch
+#: Fixed value: the split of byte-level BPE before its merges, over those characters.
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+").findall
+#: Byte-level BPE spells printable bytes as themselves and the others as the letters from U+0100 on, in order.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTERS = {b: chr(b) for b in _SEEN} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(0x100) if b not in _SEEN)}
+#: Array codes of unsigned integers by bits.
+_CODES = {16: "H", 32: "I"}
+MANIFEST = "pid int, ids_path string, offsets_path string, bits int, docs long, tokens long"
 
 
 def default_tokenizer() -> str:
@@ -41,37 +53,44 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder:
-    """text -> bytes of its ids. A byte-level BPE never merges across the cuts of its split, so ids of pieces concatenate."""
+class Encoder(dict):
+    """text -> bytes of its ids, through a bounded cache of split pieces: a byte-level BPE never merges across the split.
+
+    A new piece goes straight to the tokenizer's BPE model, spelt in the letters that stand for bytes there; this skips what
+    the library does for offsets. Tokenizers of another make, and texts outside _PLAIN, take the library's whole encoding.
+    """
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.tokenizer.encode_special_tokens = True
         kind = repr(self.tokenizer.pre_tokenizer)
         self.by_pieces = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and self.tokenizer.normalizer is None
-        self.known: dict[str, bytes] = {}
+        self.bits = 16 if max(self.tokenizer.get_vocab_size() - 1, end_id) < 2**16 else 32
+        self.kind = f"<u{self.bits // 8}"
+        self.model = self.tokenizer.model
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        spelt = piece.encode().decode("latin-1").translate(_LETTERS)
+        ids = array(_CODES[self.bits], [t.id for t in self.model.tokenize(spelt)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        found = self[piece] = ids.tobytes()
+        return found
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not (self.by_pieces and _PLAIN(text)):
             return self.whole(text)
-        pieces, known = _PIECES(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            missing = list(set(pieces).difference(known))
-            fresh = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
-            if len(known) + len(fresh) > CACHE_PIECES:
-                known.clear()
-                return b"".join([fresh.get(p) or self.whole(p) for p in pieces]) if len(fresh) > CACHE_PIECES else self.encode(text)
-            known.update(fresh)
-            return b"".join(map(known.__getitem__, pieces))
+        return b"".join(map(self.__getitem__, _SPLIT(text)))
 
 
 def _open(uri: str):
@@ -86,13 +105,13 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         from pyspark import TaskContext
 
         encoder, name, at, docs, sinks = None, None, 0, 0, []
-        end = np.array([end_id], "<u4").tobytes()
         pid = TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder, name = Encoder(tokenizer), f"{folder}/shard-{pid:06d}-{uuid.uuid4().hex}"
+                encoder, name = Encoder(tokenizer, end_id), f"{folder}/shard-{pid:06d}-{uuid.uuid4().hex}"
+                end, size = np.array([end_id], encoder.kind).tobytes(), encoder.bits // 8
                 store, path = _open(name)
                 store.create_dir(path.rpartition("/")[0], recursive=True)
                 sinks = [store.open_output_stream(path + ending) for ending in (".ids", ".offsets")]
@@ -100,7 +119,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             for text in batch.column("text"):
                 ids = encoder.encode(text.as_py()) + end
                 sinks[0].write(ids)
-                ends.append((at, at + len(ids) // 4))
+                ends.append((at, at + len(ids) // size))
                 at = ends[-1][1]
             ids = batch.column("doc_id").cast(pa.int64())
             valid = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -111,18 +130,22 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         if encoder is not None:
             for sink in sinks:
                 sink.close()
-            yield pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "ids_path": [name + ".ids"], "offsets_path": [name + ".offsets"], "docs": [docs], "tokens": [at]})
+            yield pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "ids_path": [name + ".ids"], "offsets_path": [name + ".offsets"], "bits": pa.array([encoder.bits], pa.int32()), "docs": [docs], "tokens": [at]})
 
     return write
 
 
-def write_token_files(spark: SparkSession, docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 2, shards: int | None = None) -> DataFrame:
-    """Encode docs (doc_id, text) into files below `folder`; the manifest, a row for each shard with its `base`."""
+def write_token_files(spark: SparkSession, docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 2, shards: int | None = None, ordered: bool = True) -> DataFrame:
+    """Encode docs (doc_id, text) into files below `folder`; the manifest, a row for each shard with its `base`.
+
+    Without `ordered` nothing is shuffled: each input partition becomes a shard, in the order it has.
+    """
     folder = folder or shared_path(spark, "tokens")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    manifest = written(spark, ordered.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end_id), MANIFEST), "manifest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if ordered:
+        rows = rows.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first())
+        rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    manifest = written(spark, rows.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end_id), MANIFEST), "manifest")
     # As many rows as shards: the number of output partitions bounds this window, not the documents.
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"))
@@ -143,16 +166,16 @@ def _reader(rows: int = 20_000):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.to_pylist():
-                ids, index = mapped(shard["ids_path"], "<u4"), mapped(shard["offsets_path"], "<i8").reshape(-1, 4)
+                ids, index = mapped(shard["ids_path"], f"<u{shard['bits'] // 8}"), mapped(shard["offsets_path"], "<i8").reshape(-1, 4)
                 for i in range(0, len(index), rows):
                     part = np.array(index[i : i + rows])
-                    crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in part[:, 2:].tolist()]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(part[:, 0], mask=part[:, 1] == 0), "start": part[:, 2] + shard["base"], "n_tokens": part[:, 3] - part[:, 2], "ids_crc32": pa.array(crc, pa.int64()), "shard": pa.array([shard["pid"]] * len(part), pa.int32())})
+                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in part[:, 2:].tolist()]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(part[:, 0], mask=part[:, 1] == 0), "start": part[:, 2] + shard["base"], "n_tokens": part[:, 3] - part[:, 2], "ids_crc32": pa.array(crc, pa.int64()), "shard": pa.array([shard["pid"]] * len(part), pa.int32()), "ordinal": pa.array(np.arange(i, i + len(part)), pa.int64())})
 
     return read
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, shard) of every document in the files; a task for each few shards."""
+    """(doc_id, start, n_tokens, ids_crc32, shard, ordinal in the shard) of every document in the files; a task for each few shards."""
     shards = manifest.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "pid")
-    return shards.mapInArrow(_reader(), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+    return shards.mapInArrow(_reader(), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, ordinal long")

@@ -10,7 +10,7 @@ from cortiq.llm import decontaminate, mixing, ngram_join, token_files, toxicity
 from cortiq.llm._shared import written
 
 #: Documents with at least this score are rejected.
-TOXIC = 0.5
+TOXIC = 0.3
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

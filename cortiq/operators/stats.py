@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import correlation, finite, ratio
 from ..functions.numeric import alpha_bounds, inverse_normal
+from ..sources.scratch import written
 
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str], constant: float = float("nan")) -> DataFrame:
@@ -47,18 +48,27 @@ def noise_ceilings(scores: DataFrame, by: list[str] = (), with_alpha: bool = Fal
     return out
 
 
-def ranked(df: DataFrame, x: str, by: list[str] = (), low: float = 0.0005, high: float = 0.9995) -> DataFrame:
-    """df with pct: (average rank - 0.5) / n, within [low, high].
+def counted(df: DataFrame, x: str, by: list[str] = ()) -> DataFrame:
+    """(by, x, k, start, n): how often each value occurs, how many values are smaller, and how many there are.
 
-    Values are counted first and ranked as distinct values with running counts, so ties and repeated rows add no rows.
+    Values are counted first, so ties and repeated rows add nothing; the counts are range-partitioned, summed up by partition,
+    and run on inside each. Windows see a row for each partition, or one partition's values.
     """
     counts = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("k"))
-    order = Window.partitionBy(*by).orderBy(x) if by else Window.orderBy(x)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*by) if by else Window.partitionBy()
-    rank = F.coalesce(F.sum("k").over(before), F.lit(0)) + (F.col("k") + 1) / 2
-    pct = F.greatest(F.lit(low), F.least(F.lit(high), (rank - 0.5) / F.sum("k").over(every)))
-    return df.join(counts.select(*by, x, pct.alias("pct")), [*by, x])
+    spread = written(df.sparkSession, counts.repartitionByRange(*by, x).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = spread.groupBy(*by, "part").agg(F.sum("k").alias("size"))
+    parts = Window.partitionBy(*by).orderBy("part")
+    offsets = sizes.select(*by, "part", F.coalesce(F.sum("size").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.sum("size").over(Window.partitionBy(*by)).alias("n"))
+    inside = Window.partitionBy(*by, "part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    placed = spread.join(offsets, [*by, "part"])
+    return placed.select(*by, x, "k", (F.col("offset") + F.coalesce(F.sum("k").over(inside), F.lit(0))).alias("start"), "n")
+
+
+def ranked(df: DataFrame, x: str, by: list[str] = (), low: float = 0.0005, high: float = 0.9995) -> DataFrame:
+    """df with pct: (average rank - 0.5) / n, within [low, high]."""
+    rank = F.col("start") + (F.col("k") + 1) / 2
+    pct = F.greatest(F.lit(low), F.least(F.lit(high), (rank - 0.5) / F.col("n")))
+    return df.join(counted(df, x, by).select(*by, x, pct.alias("pct")), [*by, x])
 
 
 def normalized(df: DataFrame, x: str, by: list[str] = (), clip: float | tuple[float, float] = (0.0005, 0.9995), keep_stats: bool = True) -> DataFrame:
@@ -73,11 +83,18 @@ def normalized(df: DataFrame, x: str, by: list[str] = (), clip: float | tuple[fl
 
 
 def deciles(df: DataFrame, x: str, by: list[str] = (), ignore_nan: bool = True) -> DataFrame:
-    """(by, decile 0 to 100 by tens, value), linearly interpolated, without values that are not numbers."""
-    kept = df.where(~F.isnan(x)) if ignore_nan else df
-    tens = [k / 10 for k in range(11)]
-    found = kept.groupBy(*by).agg(F.percentile(x, F.array(*map(F.lit, tens))).alias("p"))
-    return found.select(*by, F.posexplode("p").alias("k", "value")).select(*by, (F.col("k") * 10).cast("long").alias("decile"), "value")
+    """(by, decile 0 to 100 by tens, value), linearly interpolated, without values that are not numbers.
+
+    Each value says which of the two neighbors of a decile's position it covers; no task holds a group's values.
+    """
+    kept = df.where(F.col(x).isNotNull() & ~F.isnan(x)) if ignore_nan else df.where(F.col(x).isNotNull())
+    at = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda d: F.struct((d * 10).cast("long").alias("decile"), ((F.col("n") - 1) * d / 10).alias("pos")))
+    asked = counted(kept, x, by).withColumn("d", F.explode(at)).select(*by, x, "k", "start", "d.decile", "d.pos")
+    covers = lambda place: (F.col("start") <= place) & (place < F.col("start") + F.col("k"))
+    share = F.col("pos") - F.floor("pos")
+    low, high = covers(F.floor("pos")), covers(F.ceil("pos"))
+    value = F.when(low & high, F.col(x)).when(low, F.col(x) * (1 - share)).otherwise(F.col(x) * share)
+    return asked.where(low | high).groupBy(*by, "decile").agg(F.sum(value).alias("value"))
 
 
 def summary(df: DataFrame, x: str, by: list[str] = (), most: int = 10) -> DataFrame:

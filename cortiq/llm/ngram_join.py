@@ -12,7 +12,7 @@
    keeps the block's links connected - never as a row for each pair.
 
 Defined results: texts of one to four words are one shingle; null and wordless texts are nodes without links, each its
-own class. Rows that repeat an id are one document. Null ids take the class of an equal set or null. Columns beyond
+own class. Rows that repeat an id share its class; n_copies and n_links count rows. Null ids take the class of an equal set or null. Columns beyond
 doc_id and text are ignored.
 """
 

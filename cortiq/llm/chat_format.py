@@ -37,7 +37,8 @@ SIZES = {"marker": 4, "length": 16, "asks": 2, "breaks": 4}
 
 
 def marker_pattern(role: str) -> str:
-    return rf"(?i)^\s*(?:(?:<\||\[|\*\*|#+ *)(?:{SPEAKERS[role]})(?:\|>|\]|:?\*\*|:)?:?|(?:{SPEAKERS[role]}) ?[:>])\s*"
+    names = SPEAKERS[role]
+    return rf"(?i)^\s*(?:(?:<\||\[|\*\*)(?:{names})(?:\|>|\]|:?\*\*):?|#+ *(?:{names}) *(?::|\r?\n|$)|(?:{names}) ?[:>])\s*"
 
 
 def symbols(text: Column) -> dict[str, Column]:

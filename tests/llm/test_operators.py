@@ -116,9 +116,9 @@ def test_long_conversations_decode_as_one(spark, monkeypatch):
 
 
 def test_markers(spark):
-    t = spark.createDataFrame([("Human: x",), ("**Assistant:** y",), ("[system] z",), ("### User\nq",), ("userland is",), ("A: b",), ("plain",)], "text string")
+    t = spark.createDataFrame([("Human: x",), ("**Assistant:** y",), ("[system] z",), ("### User\nq",), ("userland is",), ("A: b",), ("plain",), ("# A heading",), ("[a] b",)], "text string")
     got = [r[0] for r in t.select(chat_format.symbols(F.col("text"))["marker"]).collect()]
-    assert got == [2, 3, 1, 2, 0, 3, 0]
+    assert got == [2, 3, 1, 2, 0, 3, 0, 0, 3]
 
 
 def test_components(spark):

@@ -11,6 +11,37 @@ from pyspark.sql import functions as F
 
 #: The largest radius of neighborhoods, in mm.
 MAX_RADIUS = 20
+#: Vertices of the left and right hemisphere, the space they tell, and whether its mask was applied.
+SIZES = (
+    (154786, 154560, "onavg-ico128", True),
+    (9675, 9666, "onavg-ico32", True),
+    (9519, 9506, "fsavg-ico32", True),
+    (9504, 9483, "fslr-ico32", True),
+    (38698, 38628, "onavg-ico64", True),
+    (38073, 38040, "fsavg-ico64", True),
+    (38018, 37943, "fslr-ico64", True),
+    (21779, 21731, "onavg-ico48", True),
+    (30153, 30079, "fslr-ico57", True),
+    (152, 151, "onavg-ico4", True),
+    (603, 607, "onavg-ico8", True),
+    (2417, 2414, "onavg-ico16", True),
+    (9372, 9370, "fsavg-ico32", True),
+    (10242, 10242, "onavg-ico32", False),
+    (40962, 40962, "onavg-ico64", False),
+    (23042, 23042, "onavg-ico48", False),
+    (32492, 32492, "fslr-ico57", False),
+    (162, 162, "onavg-ico4", False),
+    (642, 642, "onavg-ico8", False),
+    (2562, 2562, "onavg-ico16", False),
+)
+
+
+def guessed(left: int, right: int | None = None) -> tuple[str, bool, int]:
+    """(space, masked, vertices of the left) from both hemispheres' sizes, or from their sum alone."""
+    for a, b, space, masked in SIZES:
+        if (left, right) == (a, b) or right is None and left == a + b:
+            return space, masked, a
+    raise ValueError(f"no space has {left}{'' if right is None else f' and {right}'} vertices")
 
 
 def reindexed(mask: DataFrame, chunk: int = 4096) -> DataFrame:
@@ -114,6 +145,11 @@ def unmasked(values: DataFrame, mask: DataFrame) -> DataFrame:
     return mask.select("v").join(placed.select("v", "x"), "v", "left").withColumn("x", F.coalesce("x", F.lit(float("nan"))))
 
 
+def upsampled(values: DataFrame, transform: DataFrame, mask: DataFrame | None = None) -> DataFrame:
+    """(v, x) in the finer space of a transform: masked values(vm, x) are put in place first; NaN stays NaN."""
+    return applied(values if mask is None else unmasked(values, mask), transform)
+
+
 def parcellation(probabilities: DataFrame, transform: DataFrame) -> DataFrame:
     """(v, label): resampled probabilities(label, v, p), the most likely label (the first on ties), -1 for background 0."""
     resampled = applied(probabilities.withColumnRenamed("p", "x"), transform, ("label",))

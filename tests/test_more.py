@@ -63,3 +63,19 @@ def test_segments_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["mean"] for r in spark.table("segments").collect()) == [2.0, 7.0, 12.0, 17.0]
+
+
+def test_sizes_tell_the_space(spark):
+    import pytest
+
+    from cortiq.operators import spaces
+
+    assert spaces.guessed(9675, 9666) == ("onavg-ico32", True, 9675)
+    assert spaces.guessed(324) == ("onavg-ico4", False, 162) and spaces.vertex_count(4) == 162
+    with pytest.raises(ValueError):
+        spaces.guessed(5, 5)
+    mask = spark.createDataFrame([(0, True), (1, False), (2, True)], "v long, keep boolean")
+    t = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0), (2, 2, 0.5), (0, 2, 0.5)], "src long, dst long, w double")
+    values = spark.createDataFrame([(0, 1.0), (1, 3.0)], "vm long, x double")
+    got = {r["v"]: r["x"] for r in spaces.upsampled(values, t, mask).collect()}
+    assert got[0] == 1.0 and np.isnan(got[1]) and got[2] == 2.0

@@ -38,7 +38,7 @@ NAMES = re.compile(
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _NAME = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLOSES = {"li": {"li"}, "p": BLOCKS, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-WORD_COST, TAG_COST, BOUND = 0.7, 0.15, 3.0
+WORD_COST, TAG_COST, BOUND, NESTED = 0.7, 0.15, 3.0, 0.02
 
 
 def kind_of(name: str, attributes: str) -> tuple[str, bool]:
@@ -48,16 +48,19 @@ def kind_of(name: str, attributes: str) -> tuple[str, bool]:
     return label, name in NOT_MAIN or bool(names and NAMES.search(names))
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, str, bool]]:
-    """(what, kind, not_main, text, breaks): what is tag or text; kind the tag's, or the text's nearest block's."""
-    stack: list[tuple[str, str, bool]] = []
+def tokens(page: str) -> Iterator[tuple[str, str, int, str, bool]]:
+    """(what, kind, not_main, text, breaks): what is tag or text; kind the tag's, or the text's nearest block's.
+
+    not_main is 1 for boilerplate by name, 2 for such inside an <article> or <main>, else 0.
+    """
+    stack: list[tuple[str, str, int]] = []
     at = 0
     while at <= len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
             kind = next((k for n, k, _ in reversed(stack) if n in BLOCKS), "")
-            yield "text", kind, bool(stack and stack[-1][2]), text, False
+            yield "text", kind, stack[-1][2] if stack else 0, text, False
         if not m:
             return
         at = max(m.end(), at + 1)
@@ -65,7 +68,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, str, bool]]:
         if not name:
             continue
         if m[1]:
-            odd = bool(stack and stack[-1][2])
+            odd = stack[-1][2] if stack else 0
             if name in {n for n, _, _ in stack}:
                 while (top := stack.pop())[0] != name:
                     pass
@@ -78,8 +81,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, str, bool]]:
             # A block ends an open paragraph and the inline elements left open in it.
             while stack.pop()[0] != "p":
                 pass
-        kind, odd = kind_of(name, m[3])
-        odd = odd or bool(stack and stack[-1][2])
+        kind, named = kind_of(name, m[3])
+        odd = stack[-1][2] if stack else 0
+        if named and not odd:
+            odd = 2 if any(n in ("article", "main") for n, _, _ in stack) else 1
         yield "tag", kind, odd, " " if name == "br" else "", name in BLOCKS
         if name in VOID or m[0].endswith("/>") and name not in BLOCKS:
             continue
@@ -142,9 +147,9 @@ class Weights:
                 odds = max(-BOUND, min(BOUND, odds))
                 self.values[what, key] = WORD_COST + odds if what == "text" else -TAG_COST + min(0.0, odds)
 
-    def of(self, what: str, kind: str, odd: bool) -> float:
-        if odd:
-            return -BOUND if what == "text" else -TAG_COST - 1
+    def of(self, what: str, kind: str, odd: int) -> float:
+        if odd:  # left out of the text anyway; inside an article it should not cut the run in two
+            return (-BOUND if what == "text" else -TAG_COST - 1) * (NESTED if odd == 2 else 1)
         got = self.values.get((what, kind))
         if got is None:
             got = self.values.get((what, kind.split(".")[0]))

@@ -106,7 +106,8 @@ def fit(texts: Iterable[list[bytes]], labels: np.ndarray, langs: list[str], seed
     coded = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t), np.int32, len(t)) for t in texts]
     keep = [i for i, c in enumerate(coded) if len(c)]
     coded, labels, langs = [coded[i] for i in keep], np.asarray(labels, float)[keep], [langs[i] for i in keep]
-    feats = np.array([features(w) for w in vocabulary], np.int64).reshape(-1, 1 + len(PREFIXES))
+    feats = np.fromiter((b for w in vocabulary for b in features(w)), np.int32, len(vocabulary) * (1 + len(PREFIXES))).reshape(-1, 1 + len(PREFIXES))
+    vocabulary.clear()
     model = Model(
         rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32),
         [rng.normal(0, 0.2, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
@@ -145,7 +146,7 @@ def fit(texts: Iterable[list[bytes]], labels: np.ndarray, langs: list[str], seed
             some = order[k : k + BATCH]
             _train_step(model, params, offset, [coded[i] for i in some], feats, labels[some])
     model.offset = float(offset[0])
-    logits = score_words(model, [coded[i] for i in tried], feats)
+    logits = np.concatenate([score_words(model, [coded[i] for i in tried[k : k + BATCH]], feats) for k in range(0, len(tried), BATCH)])
     y = labels[tried]
     a, b = 1.0, 0.0
     for _ in range(100):  # slope and offset of the score by Newton's method

@@ -26,8 +26,8 @@ def bagging(n: int, n_folds: int = 5, n_reps: int = 20, seed: int = 0) -> list[t
     return out
 
 
-def _dealt(sizes: list[int], room: list[int], rng: np.random.Generator) -> list[list[int]]:
-    """Groups to folds, larger ones first, each to a random fold that still has room."""
+def _dealt(sizes: list[int], room: list[int], rng: np.random.Generator, overfull: bool = False) -> list[list[int]]:
+    """Groups to folds, larger ones first, each to a random fold that still has room; overfull: else to one with the most."""
     waiting: dict[int, list[int]] = {}
     for g, size in enumerate(sizes):
         waiting.setdefault(size, []).append(g)
@@ -37,6 +37,8 @@ def _dealt(sizes: list[int], room: list[int], rng: np.random.Generator) -> list[
         while waiting[size]:
             g = waiting[size].pop(rng.choice(len(waiting[size])))
             fits = [k for k, f in enumerate(free) if f >= size]
+            if not fits and overfull:
+                fits = [k for k, f in enumerate(free) if f == max(free)]
             if not fits:
                 raise ValueError(f"a group of {size} fits no fold; more small groups are needed to balance the folds")
             k = rng.choice(fits)
@@ -45,6 +47,27 @@ def _dealt(sizes: list[int], room: list[int], rng: np.random.Generator) -> list[
     return folds
 
 
+def group_counts(sizes: list[int], n_folds: int = 5, n_reps: int = 20, seed: int = 0) -> list[np.ndarray]:
+    """The groups that each split of a group bagging withholds, from the groups' sizes alone.
+
+    Draws are counted by group: n draws with replacement from the members outside the fold are multinomial over the groups
+    outside it. A group that fits the room of no fold goes to the one with the most room left, so groups of any sizes are dealt.
+    """
+    if min(len(sizes), n_folds) < 2:
+        raise ValueError("a split needs a group to withhold and another to draw from")
+    rng, out = np.random.default_rng(seed), []
+    size = np.asarray(sizes, dtype=np.int64)
+    n = int(size.sum())
+    room = [n // n_folds + (k < n % n_folds) for k in range(n_folds)]
+    for _ in range(n_reps):
+        for fold in _dealt(sizes, room, rng, overfull=True):
+            pool = size.copy()
+            pool[fold] = 0
+            drawn = rng.multinomial(n, pool / pool.sum())
+            out.append(np.flatnonzero((drawn == 0) | (pool == 0)))
+    return out
+
+
 def group_bagging(groups: list[np.ndarray], n_folds: int = 5, n_reps: int = 20, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
     """(distinct observations drawn from outside the fold's groups, groups none of whose members is drawn)."""
     rng, out = np.random.default_rng(seed), []

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.resampling import group_bagging, plan_table, withheld_table
+from ..plans.resampling import group_bagging, group_bagging_plan, plan_table, withheld_table
 from .linalg import weighted
 from .moments import matrix, moments
 
@@ -57,52 +57,60 @@ def predicted(beta: np.ndarray, p: int):
     return x + float(beta[p]) if len(beta) > p else x
 
 
-def _fits(spark: SparkSession, rows: DataFrame, groups: list[np.ndarray], p: int, alphas, npcs, n_folds: int, n_reps: int, fit_intercept: bool, seed: int):
-    splits = group_bagging(groups, n_folds, n_reps, seed)
-    plan = plan_table(spark, [(t, np.zeros(0, int)) for t, _ in splits], n_folds)
+def _fits(spark: SparkSession, rows: DataFrame, groups: DataFrame | list[np.ndarray], p: int, alphas, npcs, n_folds: int, n_reps: int, fit_intercept: bool, seed: int):
+    """(member(grp, obs), withheld(split, grp), weights by split); a list of groups gets numpy's draws, made on the driver."""
+    if isinstance(groups, DataFrame):
+        member = groups
+        plan, withheld = group_bagging_plan(groups, n_folds, n_reps, seed)
+    else:
+        splits = group_bagging(groups, n_folds, n_reps, seed)
+        member = spark.createDataFrame([(int(g), int(o)) for g, m in enumerate(groups) for o in m], "grp int, obs long")
+        plan, withheld = plan_table(spark, [(t, np.zeros(0, int)) for t, _ in splits], n_folds), withheld_table(spark, splits)
     z = weighted(spark, augmented(rows), plan).select("z", "counts")
     found = moments(z, p + 2, "counts").collect()  # splits x (p + 2)^2 numbers
     betas = {r["split"]: ridge_weights(np.array(r["m"]).reshape(p + 2, p + 2), alphas, npcs, fit_intercept) for r in found}
     # The plan marks no split empty: every split draws as many rows as there are.
-    return splits, betas
+    return member, withheld, betas
 
 
-def _withheld_predictions(spark: SparkSession, rows: DataFrame, groups: list[np.ndarray], splits, betas: dict[int, np.ndarray], p: int, fit_intercept: bool) -> DataFrame:
+def _withheld_predictions(spark: SparkSession, rows: DataFrame, member: DataFrame, withheld: DataFrame, betas: dict[int, np.ndarray], p: int, fit_intercept: bool) -> DataFrame:
     """(split, grp, obs, alpha, npc, y, pred) of every observation in every split that withholds its group."""
     table = [(int(s), a, k, [float(v) for v in b[:p, a, k]], float(b[p, a, k]) if fit_intercept else 0.0) for s, b in betas.items() for a in range(b.shape[1]) for k in range(b.shape[2])]
     weights = spark.createDataFrame(table, "split int, alpha int, npc int, beta array<double>, intercept double")
-    member = spark.createDataFrame([(int(g), int(o)) for g, m in enumerate(groups) for o in m], "grp int, obs long")
     pred = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda t, e: t + e) + F.col("intercept")
-    held = rows.join(member, "obs").join(withheld_table(spark, splits), "grp")
+    held = rows.join(member, "obs").join(withheld, "grp")
     return held.join(weights, "split").select("split", "grp", "obs", "alpha", "npc", "y", pred.alias("pred"))
 
 
-def ridge_cv(spark: SparkSession, rows: DataFrame, groups: list[np.ndarray], p: int, alphas: list[float], npcs: list[int | None], n_folds: int = 5, n_reps: int = 20, fit_intercept: bool = True, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """(yhat(obs, alpha, npc, yhat), mean weights): each group is predicted by the splits that withhold it; 0 if none does."""
-    splits, betas = _fits(spark, rows, groups, p, alphas, npcs, n_folds, n_reps, fit_intercept, seed)
-    held = _withheld_predictions(spark, rows, groups, splits, betas, p, fit_intercept)
+def ridge_cv(spark: SparkSession, rows: DataFrame, groups: DataFrame | list[np.ndarray], p: int, alphas: list[float], npcs: list[int | None], n_folds: int = 5, n_reps: int = 20, fit_intercept: bool = True, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """(yhat(obs, alpha, npc, yhat), mean weights): each group is predicted by the splits that withhold it; 0 if none does.
+
+    groups is member(grp, obs), or a list of the observations of each group for a plan made on the driver.
+    """
+    member, withheld, betas = _fits(spark, rows, groups, p, alphas, npcs, n_folds, n_reps, fit_intercept, seed)
+    held = _withheld_predictions(spark, rows, member, withheld, betas, p, fit_intercept)
     average = held.groupBy("obs", "alpha", "npc").agg(F.avg("pred").alias("yhat"))
     grid = rows.select("obs").withColumn("alpha", F.explode(F.array(*map(F.lit, range(len(alphas)))))).withColumn("npc", F.explode(F.array(*map(F.lit, range(len(npcs))))))
     return grid.join(average, ["obs", "alpha", "npc"], "left").withColumn("yhat", F.coalesce("yhat", F.lit(0.0))), np.mean(list(betas.values()), axis=0)
 
 
-def ridge_nested_cv(spark: SparkSession, rows: DataFrame, groups: list[np.ndarray], p: int, alphas: list[float], npcs: list[int | None], n_folds: int = 5, n_reps: int = 20, fit_intercept: bool = True, seed: int = 0) -> tuple[DataFrame, np.ndarray, DataFrame]:
+def ridge_nested_cv(spark: SparkSession, rows: DataFrame, groups: DataFrame | list[np.ndarray], p: int, alphas: list[float], npcs: list[int | None], n_folds: int = 5, n_reps: int = 20, fit_intercept: bool = True, seed: int = 0) -> tuple[DataFrame, np.ndarray, DataFrame]:
     """(yhat(obs, yhat), weights at the best pair of all, choices(grp, alpha, npc) with grp -1 for all).
 
     A group's pair is chosen by the squared errors on every other group, predicted by the splits that withhold both.
     """
-    splits, betas = _fits(spark, rows, groups, p, alphas, npcs, n_folds, n_reps, fit_intercept, seed)
-    held = _withheld_predictions(spark, rows, groups, splits, betas, p, fit_intercept)
-    mine = withheld_table(spark, splits).withColumnRenamed("grp", "g")
+    member, withheld, betas = _fits(spark, rows, groups, p, alphas, npcs, n_folds, n_reps, fit_intercept, seed)
+    held = _withheld_predictions(spark, rows, member, withheld, betas, p, fit_intercept)
+    mine = withheld.withColumnRenamed("grp", "g")
     pair = held.join(mine, "split").where("g <> grp").groupBy("g", "obs", "alpha", "npc").agg(F.avg("pred").alias("pred"), F.first("y").alias("y"))
     sse = pair.groupBy("g", "alpha", "npc").agg(F.sum((F.col("y") - F.col("pred")) * (F.col("y") - F.col("pred"))).alias("sse"))
     first = Window.partitionBy("g").orderBy(F.round("sse", 9), "alpha", "npc")
     chosen = sse.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("g").alias("grp"), "alpha", "npc")
-    every = spark.createDataFrame([(g,) for g in range(len(groups))], "grp int")
+    every = member.select("grp").distinct()
     chosen = every.join(chosen, "grp", "left").select("grp", F.coalesce("alpha", F.lit(0)).alias("alpha"), F.coalesce("npc", F.lit(0)).alias("npc"))
     own = held.groupBy("grp", "obs", "alpha", "npc").agg(F.avg("pred").alias("pred"), F.first("y").alias("y"))
     overall = own.groupBy("alpha", "npc").agg(F.sum((F.col("y") - F.col("pred")) * (F.col("y") - F.col("pred"))).alias("sse")).orderBy(F.round("sse", 9), "alpha", "npc").first()
     best = (overall["alpha"], overall["npc"]) if overall else (0, 0)
     yhat = rows.select("obs").join(own.join(chosen, ["grp", "alpha", "npc"]).select("obs", F.col("pred").alias("yhat")), "obs", "left").withColumn("yhat", F.coalesce("yhat", F.lit(0.0)))
-    choices = chosen.unionByName(spark.createDataFrame([(-1, *best)], "grp int, alpha int, npc int"))
+    choices = chosen.unionByName(spark.createDataFrame([(-1, *best)], f"grp {dict(chosen.dtypes)['grp']}, alpha int, npc int"))
     return yhat, np.mean(list(betas.values()), axis=0)[:, best[0], best[1]], choices

@@ -1,13 +1,21 @@
 """Resampling plans: which observations train and test in each split.
 
-Plans follow the draws of numpy's default generator, so a seed gives the same splits everywhere. They are made on the
-driver from group sizes alone and become tables that are joined with the data.
+The plans of the queries are made on Spark (bagging_plan, group_bagging_plan): observations are ranked by hashes of the
+seed, folds are ranges of ranks, and draws are hashed ranks outside the fold, so a seed gives the same splits everywhere
+and the driver holds only counts by group size. bagging, group_bagging and permutations give numpy's draws as arrays, for
+observations that fit the driver; plan_table and withheld_table make tables of them.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.mesh import _numbered
+from ..sources.scratch import written
 
 PLAN = "split int, rep int, fold int, role string, obs long, multiplicity int"
 
@@ -118,3 +126,95 @@ def withheld_table(spark: SparkSession, splits: list[tuple[np.ndarray, np.ndarra
 def permutation_table(spark: SparkSession, perms: np.ndarray) -> DataFrame:
     """(perm, pos, obs): joining obs with data puts it at pos."""
     return spark.createDataFrame([(p, i, int(o)) for p, row in enumerate(perms) for i, o in enumerate(row)], "perm int, pos long, obs long")
+
+
+def _spread(*keys) -> Column:
+    return F.xxhash64(*[F.lit(k) if isinstance(k, int | str) else k for k in keys])
+
+
+def _drawn(spark: SparkSession, blocks: list[tuple[int, int, int, int, int]], n: int, seed: int) -> DataFrame:
+    """(split, rep, rank, multiplicity): n draws with replacement from the ranks outside each (split, rep, fold, lo, hi)."""
+    if any(hi - lo >= n for *_, lo, hi in blocks):
+        raise ValueError("a fold holds every observation; none is left to draw from")
+    splits = spark.createDataFrame(blocks, "split int, rep int, fold int, lo long, hi long")
+    draws = spark.range(n * len(blocks)).select((F.col("id") % len(blocks)).cast("int").alias("split"), F.floor(F.col("id") / len(blocks)).alias("i"))
+    at = F.pmod(_spread(seed, "draw", F.col("split"), F.col("i")), F.lit(n) - F.col("hi") + F.col("lo"))
+    draws = draws.join(F.broadcast(splits), "split").withColumn("at", at)
+    rank = F.when(F.col("at") < F.col("lo"), F.col("at")).otherwise(F.col("at") + F.col("hi") - F.col("lo"))
+    return draws.select("split", "rep", rank.alias("rank")).groupBy("split", "rep", "rank").agg(F.count(F.lit(1)).cast("int").alias("multiplicity"))
+
+
+def bagging_plan(obs: DataFrame, n_folds: int = 5, n_reps: int = 20, seed: int = 0) -> DataFrame:
+    """PLAN of obs(obs), whose values differ: as bagging, by ranks of hashes."""
+    spark, n = obs.sparkSession, obs.count()
+    if not n:
+        return spark.createDataFrame([], PLAN)
+    every = obs.select("obs", F.explode(F.array(*map(F.lit, range(n_reps)))).alias("rep")).withColumn("key", _spread(seed, "fold", F.col("rep"), F.col("obs")))
+    ranked = _numbered(every, ["rep", "key", "obs"], 0).select("rep", "obs", (F.col("id") - F.col("rep") * n).alias("rank"))
+    ends = np.cumsum([0, *(n // n_folds + (k < n % n_folds) for k in range(n_folds))]).tolist()
+    blocks = [(r * n_folds + k, r, k, ends[k], ends[k + 1]) for r in range(n_reps) for k in range(n_folds)]
+    drawn = _drawn(spark, blocks, n, seed).drop("rep")
+    split = F.explode(F.transform(F.array(*map(F.lit, range(n_folds))), lambda k: F.struct(k.alias("fold"), (F.col("rep") * n_folds + k).alias("split"))))
+    plan = ranked.select("*", split.alias("s")).select("rep", "obs", "rank", "s.fold", "s.split").join(drawn, ["split", "rank"], "left")
+    role = F.when(F.col("multiplicity").isNull(), F.lit("test")).otherwise(F.lit("train"))
+    plan = plan.select("split", "rep", "fold", role.alias("role"), F.col("obs").cast("long").alias("obs"), F.coalesce("multiplicity", F.lit(1)).alias("multiplicity"))
+    return written(spark, plan, "plan")
+
+
+def _shared_out(sizes: list[tuple[int, int]], n_folds: int, rng: np.random.Generator) -> list[tuple[int, int, int, int]]:
+    """(size, fold, first, end) of the groups, counted within their size, of (size, groups): as _dealt, a size at a time.
+
+    The groups of a size fall at random into the places that the folds have for it; those without a place go one at a time
+    to the fold with the most room.
+    """
+    n, out = sum(s * m for s, m in sizes), []
+    free = np.array([n // n_folds + (k < n % n_folds) for k in range(n_folds)], dtype=np.int64)
+    for size, groups in sorted(sizes, reverse=True):
+        places = np.maximum(free // size, 0)
+        placed = min(groups, int(places.sum()))
+        dealt = rng.multivariate_hypergeometric(places, placed) if placed else np.zeros(n_folds, dtype=np.int64)
+        left = free - dealt * size
+        for _ in range(groups - placed):
+            k = int(left.argmax())
+            dealt[k] += 1
+            left[k] -= size
+        free, ends = left, np.cumsum([0, *dealt]).tolist()
+        out += [(size, k, ends[k], ends[k + 1]) for k in range(n_folds) if dealt[k]]
+    return out
+
+
+def group_bagging_plan(member: DataFrame, n_folds: int = 5, n_reps: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(PLAN of the training rows, withheld(split, grp)) of member(grp, obs): as group_bagging, by ranks of hashes.
+
+    obs has each observation once. The driver holds the number of groups of each size, and the loads of the folds.
+    """
+    spark = member.sparkSession
+    sized = written(spark, member.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "groups")
+    sizes = [(r["size"], r["groups"]) for r in sized.groupBy("size").agg(F.count(F.lit(1)).alias("groups")).collect()]  # at most sqrt(2 n) rows
+    n, n_groups = sum(s * m for s, m in sizes), sum(m for _, m in sizes)
+    if min(n_groups, n_folds) < 2:
+        raise ValueError("a split needs a group to withhold and another to draw from")
+    rng, deals, blocks, before, count = np.random.default_rng(seed), [], [], {}, 0
+    for size, groups in sorted(sizes):
+        before[size] = count  # groups ahead in the order by size
+        count += groups
+    for rep in range(n_reps):
+        dealt = _shared_out(sizes, n_folds, rng)
+        deals += [(rep, size, fold, rep * n_groups + before[size] + a, rep * n_groups + before[size] + b) for size, fold, a, b in dealt]
+        loads = Counter()
+        for size, fold, a, b in dealt:
+            loads[fold] += size * (b - a)
+        ends = np.cumsum([0, *(loads[k] for k in range(n_folds))]).tolist()
+        blocks += [(rep * n_folds + k, rep, k, ends[k], ends[k + 1]) for k in range(n_folds)]
+    every = sized.select("grp", "size", F.explode(F.array(*map(F.lit, range(n_reps)))).alias("rep")).withColumn("key", _spread(seed, "fold", F.col("rep"), F.col("grp")))
+    place = _numbered(every, ["rep", "size", "key", "grp"], 0)
+    deal = spark.createDataFrame(deals, "rep int, size long, fold int, a long, b long")
+    folds = place.join(deal, ["rep", "size"]).where("id >= a AND id < b").select("rep", "grp", "fold")
+    ranked = _numbered(member.join(folds, "grp").select("rep", "fold", "grp", "obs"), ["rep", "fold", "grp", "obs"], 0)
+    ranked = written(spark, ranked.select("rep", "grp", "obs", (F.col("id") - F.col("rep") * n).alias("rank")), "ranks")
+    splits = spark.createDataFrame(blocks, "split int, rep int, fold int, lo long, hi long").select("split", "fold")
+    train = _drawn(spark, blocks, n, seed).join(ranked, ["rep", "rank"]).join(F.broadcast(splits), "split")
+    train = written(spark, train.select("split", "rep", "fold", "grp", F.col("obs").cast("long").alias("obs")), "plan")
+    withheld = sized.select("grp", F.explode(F.array(*map(F.lit, range(n_reps * n_folds)))).alias("split")).join(train.select("split", "grp").distinct(), ["split", "grp"], "left_anti")
+    plan = train.select("split", "rep", "fold", F.lit("train").alias("role"), "obs", F.lit(1).alias("multiplicity"))
+    return plan, withheld.select("split", "grp")

@@ -195,11 +195,14 @@ def ridge_grid_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("alpha", six("beta"), six("intercept"))
 
 
-def _by_label(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[np.ndarray]]:
-    """Rows of eight features and a target; groups of four consecutive ids, and a hundred single ones."""
+def _by_label(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of eight features and a target; (grp, obs): groups of four consecutive ids, and a hundred single ones."""
     rows = embedding_rows(spark, sf_dir).select("obs", F.slice("x", 2, 8).alias("x"), F.col("x")[0].alias("y"))
-    ids = np.array(sorted(r[0] for r in rows.select("obs").collect()))  # a resampling plan is made from all ids
-    return rows, [*(ids[i : i + 4] for i in range(0, len(ids) - 100, 4)), *(ids[i : i + 1] for i in range(len(ids) - 100, len(ids)))]
+    edge = rows.count() - 100
+    fours = max(-(-edge // 4), 0)
+    at = F.col("id")
+    group = F.when(at < edge, F.floor(at / 4)).otherwise(fours + at - edge)
+    return rows, mesh._numbered(rows.select("obs"), ["obs"], 0).select(group.cast("long").alias("grp"), "obs")
 
 
 @query()
@@ -217,8 +220,7 @@ def ridge_nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ensemble_lstsq(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embedding_rows(spark, sf_dir).select("obs", F.slice("x", 3, 8).alias("x"), F.slice("x", 1, 2).alias("y"))
-    n = rows.count()
-    plan = resampling.plan_table(spark, resampling.bagging(n, 5, 2), 5)
+    plan = resampling.bagging_plan(rows.select("obs"), 5, 2)
     return linalg.ensemble_lstsq(spark, rows, plan, 8, 2)[2].select("target", six("r2"), six("r"))
 
 
@@ -272,8 +274,7 @@ def segment_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bagging_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each observation is drawn and left out."""
-    n = read(spark, sf_dir, "embeddings").count()
-    plan = resampling.plan_table(spark, resampling.bagging(n, 5, 4), 5)
+    plan = resampling.bagging_plan(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("obs")), 5, 4)
     return plan.groupBy("obs").agg(F.sum(F.when(F.col("role") == "train", F.col("multiplicity")).otherwise(0)).alias("drawn"), F.count_if(F.col("role") == "test").alias("left_out"))
 
 

@@ -3,7 +3,9 @@
 A page becomes a sequence of tokens, words and tags. A word's weight is the log odds, among labelled pages, of words with
 the same nearest enclosing block (element and class or id name) being content; a tag's weight is a constant cost plus
 the log odds of that tag. One linear scan finds the run with the largest sum; the run is widened to whole blocks, and
-blocks in it whose kind is boilerplate (menus, notices, forms, comments and so on, nested in an article) are left out.
+blocks in it whose kind is boilerplate (menus, notices, forms, comments and so on) are left out. Boilerplate inside content
+- an <article>, a <main>, a kind of block that labelled pages have only there, or any block with text of its own before
+and after - costs next to nothing, so that it does not cut the run in two.
 
 Labelled pages are the table's own pages with exactly one <article> or <main>, up to TRAIN_PAGES of them, besides a few
 made-up layouts, so that layouts without such an element have weights too.
@@ -29,6 +31,8 @@ TRAIN_PAGES = 400
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 RAW = frozenset("script style textarea title noscript template iframe svg object select button option xmp noembed noframes math canvas audio video".split())
+#: Elements that hold the blocks of a text without being one.
+HOSTS = frozenset("div section article main center details".split())
 #: Elements, and parts of class and id names, that are never main text.
 NOT_MAIN = frozenset("nav header footer aside form menu dialog head title script style noscript template iframe svg button select option textarea fieldset label input".split())
 NAMES = re.compile(
@@ -48,19 +52,21 @@ def kind_of(name: str, attributes: str) -> tuple[str, bool]:
     return label, name in NOT_MAIN or bool(names and NAMES.search(names))
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, int, str, bool]]:
-    """(what, kind, not_main, text, breaks): what is tag or text; kind the tag's, or the text's nearest block's.
+def tokens(page: str, content: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, int, str, bool, tuple[int, ...]]]:
+    """(what, kind, not_main, text, breaks, hosts): what is tag or text; kind the tag's, or the text's nearest block's.
 
-    not_main is 1 for boilerplate by name, 2 for such inside an <article> or <main>, else 0.
+    not_main is 1 for boilerplate by name, 2 for such inside an <article>, a <main> or a kind of content, else 0. hosts has
+    the number of the host that a text stands in, and for the tag that opens boilerplate those of all hosts around it; 0 is
+    the page itself.
     """
-    stack: list[tuple[str, str, int]] = []
-    at = 0
+    stack: list[tuple[str, str, int, int]] = []
+    at = serial = 0
     while at <= len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            kind = next((k for n, k, _ in reversed(stack) if n in BLOCKS), "")
-            yield "text", kind, stack[-1][2] if stack else 0, text, False
+            kind = next((k for n, k, *_ in reversed(stack) if n in BLOCKS), "")
+            yield "text", kind, stack[-1][2] if stack else 0, text, False, (next((i for n, *_, i in reversed(stack) if n in HOSTS), 0),)
         if not m:
             return
         at = max(m.end(), at + 1)
@@ -69,30 +75,33 @@ def tokens(page: str) -> Iterator[tuple[str, str, int, str, bool]]:
             continue
         if m[1]:
             odd = stack[-1][2] if stack else 0
-            if name in {n for n, _, _ in stack}:
+            if name in {n for n, *_ in stack}:
                 while (top := stack.pop())[0] != name:
                     pass
                 odd = top[2]
-            yield "tag", "/" + name, odd, "", name in BLOCKS
+            yield "tag", "/" + name, odd, "", name in BLOCKS, ()
             continue
         while stack and name in _CLOSES.get(stack[-1][0], ()):
             stack.pop()
-        if name in BLOCKS and any(n == "p" for n, _, _ in stack):
+        if name in BLOCKS and any(n == "p" for n, *_ in stack):
             # A block ends an open paragraph and the inline elements left open in it.
             while stack.pop()[0] != "p":
                 pass
         kind, named = kind_of(name, m[3])
         odd = stack[-1][2] if stack else 0
+        hosts = ()
         if named and not odd:
-            odd = 2 if any(n in ("article", "main") for n, _, _ in stack) else 1
-        yield "tag", kind, odd, " " if name == "br" else "", name in BLOCKS
+            odd = 2 if any(n in ("article", "main") or k in content for n, k, *_ in stack) else 1
+            hosts = (0, *(i for n, *_, i in stack if n in HOSTS))
+        yield "tag", kind, odd, " " if name == "br" else "", name in BLOCKS, hosts
         if name in VOID or m[0].endswith("/>") and name not in BLOCKS:
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|$)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((name, kind, odd))
+        serial += 1
+        stack.append((name, kind, odd, serial))
 
 
 def labelled_counts(page: str, counts: Counter) -> None:
@@ -104,7 +113,7 @@ def labelled_counts(page: str, counts: Counter) -> None:
     else:
         return
     inside = False
-    for what, kind, odd, text, _ in tokens(page):
+    for what, kind, odd, text, *_ in tokens(page):
         if what == "tag" and kind.split(".")[0] == name:
             inside = True
         elif what == "tag" and kind == "/" + name:
@@ -147,8 +156,12 @@ class Weights:
                 odds = max(-BOUND, min(BOUND, odds))
                 self.values[what, key] = WORD_COST + odds if what == "text" else -TAG_COST + min(0.0, odds)
 
+        tags = {k for what, k, _ in counts if what == "tag" and "." in k and k.split(".")[0] in HOSTS}
+        #: Kinds of hosts that labelled pages have in the article and not beside it.
+        self.content = frozenset(k for k in tags if counts["tag", k, True] > 0 and not counts["tag", k, False])
+
     def of(self, what: str, kind: str, odd: int) -> float:
-        if odd:  # left out of the text anyway; inside an article it should not cut the run in two
+        if odd:  # left out of the text anyway; inside content it should not cut the run in two
             return (-BOUND if what == "text" else -TAG_COST - 1) * (NESTED if odd == 2 else 1)
         got = self.values.get((what, kind))
         if got is None:
@@ -168,11 +181,33 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def between_text(found: list[tuple]) -> list[int]:
+    """not_main of each token, 2 also for boilerplate that has text of one host before and after it.
+
+    The page itself is such a host only if it holds at least half of the words, as lines around a layout's blocks don't.
+    """
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    words: Counter = Counter()
+    for i, (what, _, odd, text, _, hosts) in enumerate(found):
+        if what == "text" and not odd and (n := len(text.split())):
+            first.setdefault(hosts[0], i)
+            last[hosts[0]] = i
+            words[hosts[0]] += n
+    out, now = [], 1
+    for i, (_, _, odd, _, _, hosts) in enumerate(found):
+        if odd == 1 and found[i][0] == "tag" and hosts:
+            split = any(h in first and first[h] < i < last[h] and (h or 2 * words[0] >= words.total()) for h in hosts)
+            now = 2 if split else 1
+        out.append(now if odd == 1 else odd)
+    return out
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
-    found = list(tokens(page))
-    scores = [weights.of(w, k, odd) * (len(t.split()) if w == "text" else 1) for w, k, odd, t, _ in found]
+    found = list(tokens(page, weights.content))
+    scores = [weights.of(w, k, odd) * (len(t.split()) if w == "text" else 1) for (w, k, _, t, *_), odd in zip(found, between_text(found), strict=True)]
     start, end = best_run(scores)
     # Widen the run to whole blocks: back to the last break before it and on to the first break after it.
     while start > 0 and start < end and not found[start - 1][4]:
@@ -180,7 +215,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     while end < len(found) and start < end and not found[end][4]:
         end += 1
     blocks, now = [], []
-    for what, _, odd, text, breaks in found[start:end]:
+    for what, _, odd, text, breaks, _ in found[start:end]:
         if what == "tag" and breaks:
             blocks.append("".join(now))
             now = []

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cortiq.llm import url_filter
+from cortiq.llm import html_text, url_filter
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +45,34 @@ def test_url_trees_judge_other_urls(spark, trees):
     rows = spark.createDataFrame(list(enumerate(clean + spam)), "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in url_filter.judged(spark, rows, trees, rules=()).collect()}
     assert [got[i] for i in range(len(got))] == ["allow"] * len(clean) + ["block"] * len(spam)
+
+
+INSIDE = {
+    "aside": "<aside><p>{}</p></aside>",
+    "advert": "<div class='advert'>{}</div>",
+    "form": "<form><p>{}</p><input></form>",
+    "notice": "<div class='cookie-notice'><div><p>{}</p></div></div>",
+}
+OUTSIDE = {
+    "class": "<div class='content'>{}</div>",
+    "unknown class": "<div class='xq-wrap'>{}</div>",
+    "section": "<div class='xq'><section>{}</section></div>",
+    "page": "{}",
+    "article": "<article>{}</article>",
+}
+
+
+@pytest.mark.parametrize("inside", INSIDE)
+@pytest.mark.parametrize("outside", OUTSIDE)
+def test_boilerplate_does_not_cut_content(inside, outside):
+    """A block of 150 words between paragraphs, and a closing paragraph of 8 words, on pages with and without <article>."""
+    counts = html_text.Counter()
+    for page in html_text.made_up_pages():
+        html_text.labelled_counts(page, counts)
+    weights = html_text.Weights(counts)
+    first, second, last = (" ".join(f"{k}{i}" for i in range(n)) for k, n in (("a", 60), ("b", 40), ("z", 8)))
+    block = INSIDE[inside].format(" ".join(f"x{i}" for i in range(150)))
+    body = OUTSIDE[outside].format(f"<p>{first}</p>{block}<p>{second}</p>{INSIDE['advert'].format('buy now ' * 10)}<p>{last}</p>")
+    around = "<header><p>My site</p></header><nav><ul><li>One</li><li>Two</li></ul></nav>", "<aside class='sidebar'><p>" + "other news " * 20 + "</p></aside><div>stray words</div><footer>all rights</footer>"
+    got = html_text.main_text(f"<html><body>{around[0]}{body}{around[1]}</body></html>", weights)
+    assert got == f"{first} {second} {last}"

@@ -515,6 +515,16 @@ def dijkstra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geodesic.dijkstra(both, 0).select("v", six("d", 5))
 
 
+@query()
+def dijkstra_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances from the first customer over purchases: every customer (kind 0) and part (kind 1) is a node of its own."""
+    bought = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    e = bought.groupBy((2 * F.col("o_custkey")).alias("v"), (2 * F.col("l_partkey") + 1).alias("nbr")).agg((1 + F.min("l_extendedprice") / 100000).alias("d"))
+    first = e.agg(F.min("v")).first()[0]
+    both = e.unionByName(e.select(F.col("nbr").alias("v"), F.col("v").alias("nbr"), "d"))
+    return geodesic.dijkstra(both, first or 0).select((F.col("v") % 2).alias("kind"), F.floor(F.col("v") / 2).alias("key"), six("d", 5))
+
+
 @query()
 def geodesic_territories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of the geodesic territories of an octahedron's vertices."""

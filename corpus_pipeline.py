@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 from cortiq.llm import decontaminate, mixing, ngram_join, token_files, toxicity
 from cortiq.llm._shared import written
 
-#: Documents with at least this score are rejected.
-TOXIC = 0.3
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs less those at or above their language's threshold; scores are kept apart from a table's columns of their names."""
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.scores(spark, docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+    own = {c: next(n for n in (f"{c}_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for c in ("score", "toxic_in_lang") if c in docs.columns}
+    scored = toxicity.scores(spark, docs.withColumnsRenamed(own), model)
+    return scored.where(~F.col("toxic_in_lang")).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -256,18 +257,19 @@ def rotated(vertices: DataFrame, r: np.ndarray, centred: bool = True) -> DataFra
     return vertices.select("v", *[sum((moved[i] * float(r[i, j]) for i in range(3)), F.lit(0.0)).alias(k) for j, k in enumerate("xyz")])
 
 
-def flipped(mesh: Mesh, rounds: int = 100) -> Mesh:
+def flipped(mesh: Mesh, rounds: int | None = None) -> Mesh:
     """Faces after flips of edges that shorten them: of ABC and ABD, if CD is shorter than AB and no edge yet, ACD and BCD.
 
     A round takes every flip that gains most for both of its faces, so flips of a round never touch; rounds go on until
-    none gains. Distances are Euclidean. Edges must have two faces.
+    none gains, which ends as each shortens the edges. If flips are left after a given number of rounds, an error says so.
+    Distances are Euclidean. Edges must have two faces.
     """
     from ..sources.scratch import written
 
     spark = mesh.faces.sparkSession
     where = mesh.vertices.select("v", F.array("x", "y", "z").alias("at"))
     faces = written(spark, mesh.faces, "faces")
-    for _ in range(rounds):
+    for done_rounds in itertools.count():
         sides = F.array(*[F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"), F.col(r).alias("r")) for p, q, r in (("a", "b", "c"), ("b", "c", "a"), ("a", "c", "b"))])
         edges = faces.select("f", F.explode(sides).alias("e")).select("f", "e.p", "e.q", "e.r")
         pairs = edges.groupBy("p", "q").agg(F.array_sort(F.collect_list(F.struct("f", "r"))).alias("s")).where(F.size("s") == 2)
@@ -280,6 +282,8 @@ def flipped(mesh: Mesh, rounds: int = 100) -> Mesh:
         wanted = written(spark, fresh.select("p", "q", "c", "d", "f", "g", gain).where("gain > 1e-12"), "flips")
         if not wanted.limit(1).count():
             break
+        if rounds is not None and done_rounds >= rounds:
+            raise RuntimeError(f"flips that shorten edges are left after {rounds} rounds")
         rank = F.struct("gain", "p", "q")
         by_face = wanted.select(F.explode(F.array("f", "g")).alias("face"), rank.alias("r")).groupBy("face").agg(F.max("r").alias("top"))
         by_edge = wanted.groupBy("c", "d").agg(F.max(rank).alias("best"))

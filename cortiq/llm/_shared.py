@@ -3,26 +3,23 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its row count, taken first, is at most this; ids of 8 bytes stay under 16 MB.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only when its row count, taken first, is at most this; the sides have a few numbers or names a row.
+BROADCAST_ROWS = 300_000
 #: Entries of a worker's cache of word hashes (about 120 bytes each); a full cache is emptied.
 CACHE_WORDS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset (local runs and tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cortiq-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    """The folder that driver and executors share: spark.checkpoint.dir, which a cluster must name; where it is unset, a
+    folder of the warehouse, which they share as well."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return found.rstrip("/")
 
 
@@ -30,11 +27,30 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cortiq/{name}-{uuid.uuid4().hex}"
 
 
+def _store(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """A path that exists and is deleted when the driver ends."""
+    store, found = _store(spark, path)
+    store.deleteOnExit(found)
+    return path
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of written() that no plan needs any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        store, found = _store(df.sparkSession, path)
+        store.delete(found, True)
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, outlives lost executors, prunes columns when reread."""
+    """df as a Parquet table in the shared folder: cuts lineage, outlives lost executors, prunes columns when reread; it goes with the driver."""
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(passing(spark, path))
 
 
 def small_or_not(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -100,8 +116,30 @@ def runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in the one column of ids (a null id matches null); names cannot clash."""
-    name = f"id_{uuid.uuid4().hex}"
-    gone = ids.toDF(name).distinct()
-    return docs.join(small_or_not(written(ids.sparkSession, gone, "gone")), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
+def text_keys(text: Column) -> list[Column]:
+    """128 bits of hash that tell the texts of rows with one id apart; null is a text of its own."""
+    return [F.xxhash64(F.lit(k), text).alias(name) for k, name in enumerate(ROW_KEY[1:])]
+
+
+#: A row is known by its id and its text, so that rows that repeat an id, or have none, keep their own results.
+ROW_KEY = ("doc_id", "text_one", "text_two")
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """ROW_KEY and text of each row."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(text), text.alias("text"))
+
+
+def matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs whose row key is (left_semi) or is not (left_anti) among keys, which has ROW_KEY; names cannot clash."""
+    names = [f"key_{uuid.uuid4().hex}" for _ in ROW_KEY]
+    keys = keys.select(*[F.col(k).alias(n) for k, n in zip(ROW_KEY, names, strict=True)]).distinct()
+    text = F.col("text").cast("string")
+    own = [F.col("doc_id").cast("long"), *[F.xxhash64(F.lit(k), text) for k in range(len(ROW_KEY) - 1)]]
+    on = own[0].eqNullSafe(F.col(names[0])) & (own[1] == F.col(names[1])) & (own[2] == F.col(names[2]))
+    return docs.join(small_or_not(written(docs.sparkSession, keys, "row-keys")), on, how)
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return matching(docs, keys, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import discard, written
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -22,5 +22,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         lows = both.join(known.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("low"))
         lower = known.join(lows, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("low"))
         jumped = lower.join(known.select(F.col("node").alias("low"), F.col("component").alias("far")), "low")
-        labels = written(spark, jumped.select("node", F.least("low", "far").alias("component"), (F.least("low", "far") < F.col("old")).alias("changed")), "labels")
+        old, labels = labels, written(spark, jumped.select("node", F.least("low", "far").alias("component"), (F.least("low", "far") < F.col("old")).alias("changed")), "labels")
+        discard(old)
+    discard(both)
     return labels.select("node", "component")

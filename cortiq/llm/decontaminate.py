@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import WordIds, grams, list_array, without, written
+from ._shared import ROW_KEY, WordIds, grams, keyed_rows, list_array, without, written
 
 #: Words of a window, and of the k-grams whose hashes are compared.
 SPAN, K = 10, 5
@@ -64,8 +64,8 @@ def around(ids: np.ndarray, at: np.ndarray, length: int, edge: int) -> np.ndarra
     return padded[at[:, None] + np.arange(k + 2 * side)]
 
 
-def _rows(name: str, lengths: list[int] | None, bitmap: np.ndarray | None, edge: int):
-    """A row for each text: id, its number of words, and parallel lists of length, position, hash and words around."""
+def _rows(names: tuple[str, ...], lengths: list[int] | None, bitmap: np.ndarray | None, edge: int):
+    """A row for each text: its key, its number of words, and parallel lists of length, position, hash and words around."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds()
@@ -88,8 +88,8 @@ def _rows(name: str, lengths: list[int] | None, bitmap: np.ndarray | None, edge:
                 for col, part, empty in zip(cols, parts, (np.int64, np.int64, np.int64, None), strict=True):
                     col.append(sum(part, []) if empty is None else np.concatenate(part) if part else np.zeros(0, empty))
             yield pa.RecordBatch.from_pydict(
-                {
-                    name: batch.column(name),
+                {name: batch.column(name) for name in names}
+                | {
                     "n_words": pa.array(counts, pa.int64()),
                     "length": list_array(cols[0], pa.int64()),
                     "at": list_array(cols[1], pa.int64()),
@@ -101,9 +101,9 @@ def _rows(name: str, lengths: list[int] | None, bitmap: np.ndarray | None, edge:
     return run
 
 
-def _exploded(rows: DataFrame, name: str) -> DataFrame:
+def _exploded(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     one = F.explode(F.arrays_zip("length", "at", "fp", "context")).alias("x")
-    return rows.select(name, one).select(name, "x.length", "x.at", "x.fp", "x.context")
+    return rows.select(*names, one).select(*names, "x.length", "x.at", "x.fp", "x.context")
 
 
 def _bitmap(fps: DataFrame) -> np.ndarray:
@@ -135,28 +135,31 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts.append(at[rows[hit]] - side + j)
                 lengths.append(np.full(int(hit.sum()), one))
         take = pa.array(np.concatenate(docs) if docs else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(take), "item_id": batch.column("item_id").take(take), "start": np.concatenate(starts) if starts else np.zeros(0, np.int64), "length": np.concatenate(lengths) if lengths else np.zeros(0, np.int64)})
+        yield pa.RecordBatch.from_pydict({name: batch.column(name).take(take) for name in (*ROW_KEY, "item_id")} | {"start": np.concatenate(starts) if starts else np.zeros(0, np.int64), "length": np.concatenate(lengths) if lengths else np.zeros(0, np.int64)})
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """For each document: doc_id, n_words, hits (starts and lengths of windows found), item_ids (as strings, sorted), n_hit, n_items."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """For each document: its ROW_KEY, n_words, hits (starts and lengths of windows found), item_ids (as strings, sorted), n_hit, n_items."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     schema = "n_words long, length array<long>, at array<long>, fp array<long>, context array<binary>"
-    item_rows = written(spark, items.mapInArrow(_rows("item_id", None, None, 1), f"item_id string, {schema}"), "item-fingerprints")
-    item_fps = _exploded(item_rows, "item_id")
+    item_rows = written(spark, items.mapInArrow(_rows(("item_id",), None, None, 1), f"item_id string, {schema}"), "item-fingerprints")
+    item_fps = _exploded(item_rows, ("item_id",))
     lengths = sorted(r[0] for r in item_fps.select("length").distinct().collect())  # at most SPAN values
-    doc_rows = docs.mapInArrow(_rows("doc_id", lengths, _bitmap(item_fps), 0), f"doc_id long, {schema}")
+    key = ", ".join(f"{k} long" for k in ROW_KEY)
+    doc_rows = keyed_rows(docs).mapInArrow(_rows(ROW_KEY, lengths, _bitmap(item_fps), 0), f"{key}, {schema}")
     doc_rows = written(spark, doc_rows, "doc-fingerprints")
-    hits = _exploded(doc_rows, "doc_id").join(item_fps.select("item_id", "fp", "length", F.col("context").alias("item_context")), ["fp", "length"])
-    hits = hits.select("doc_id", "item_id", "length", "at", "context", "item_context").mapInArrow(_starts, "doc_id long, item_id string, start long, length long")
-    by_doc = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.collect_set(F.struct("start", "length")).alias("hits"))
+    # Items that share a passage and the words around it meet a document once, with all their ids.
+    shared = item_fps.groupBy("fp", "length", "context").agg(F.collect_set("item_id").alias("item_id"))
+    hits = _exploded(doc_rows, ROW_KEY).join(shared.select("item_id", "fp", "length", F.col("context").alias("item_context")), ["fp", "length"])
+    hits = hits.select(*ROW_KEY, "item_id", "length", "at", "context", "item_context").mapInArrow(_starts, f"{key}, item_id array<string>, start long, length long")
+    windows = hits.groupBy(*ROW_KEY, "start", "length").agg(F.array_distinct(F.flatten(F.collect_set("item_id"))).alias("item_id"))
+    by_doc = windows.groupBy(*ROW_KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_id")))).alias("item_ids"), F.collect_set(F.struct("start", "length")).alias("hits"))
     words = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
-    by_doc = by_doc.select(F.col("doc_id").alias("hit_id"), "item_ids", "hits", F.size(words).cast("long").alias("n_hit"))
-    counted = doc_rows.select("doc_id", "n_words")
-    joined = counted.join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    by_doc = by_doc.select(*[F.col(k).alias(f"hit_{k}") for k in ROW_KEY], "item_ids", "hits", F.size(words).cast("long").alias("n_hit"))
+    same = [F.col(k).eqNullSafe(F.col(f"hit_{k}")) if k == "doc_id" else F.col(k) == F.col(f"hit_{k}") for k in ROW_KEY]
+    joined = doc_rows.select(*ROW_KEY, "n_words").join(by_doc, same, "left")
     none = F.array().cast("array<string>")
-    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), "hits", F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"))
+    return joined.select(*ROW_KEY, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), "hits", F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -166,5 +169,5 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = 0.0) -> DataFrame:
-    """docs without those of which more than `share` of the words are hit (by default: any). All columns stay."""
-    return without(docs, contamination(spark, docs, benchmark).where(F.col("n_hit") > share * F.col("n_words")).select("doc_id"))
+    """docs without those of which more than `share` of the words are hit (by default: any). All columns stay, and so does a clean row whose id a contaminated one has too."""
+    return without(docs, contamination(spark, docs, benchmark).where(F.col("n_hit") > share * F.col("n_words")))

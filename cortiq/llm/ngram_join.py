@@ -2,18 +2,22 @@
 
 1. Each text becomes a set of shingle hashes, a digest of the set and BANDS band keys of ROWS MinHash values. Documents
    of equal sets are one node from here on, weighted by their number, so copies never multiply.
-2. Nodes that share a band key are tied to the bucket's smallest node (a star, not all pairs); the components of these
-   ties are the groups within which links can exist. A pair at the threshold shares no key with probability
-   (1 - 0.8 ** ROWS) ** BANDS = 5e-5, and less the more alike it is.
-3. A group is dealt out in pairs of blocks of about BLOCK nodes, so no task holds a group, however large. In a task all
-   pairs of its two blocks are compared by MinHash values a step at a time; a pair is dropped when the posterior
-   probability (uniform prior) that its similarity reaches the threshold is below TOLERANCE. The others are verified
-   exactly on the sets. Links are counted in the task and leave it as one row for each node - its count, and one tie that
-   keeps the block's links connected - never as a row for each pair.
+2. Nodes that share a band key are candidates. A pair at the threshold shares no key with probability
+   (1 - 0.8 ** ROWS) ** BANDS = 5e-5, and less the more alike it is. Candidates are dealt out as units, in the cheaper of
+   two ways for each connected group of buckets: the group as a whole (near copies, which share nearly all keys), or
+   bucket by bucket, where a pair is compared only in the first band that it shares (texts that a chain of chance keys
+   ties together). So the pairs compared are never more than those of the buckets.
+3. A unit is cut into pairs of blocks of about BLOCK nodes, so no task holds a unit, however large. In a task the pairs
+   of its two blocks are compared by MinHash values a step at a time; a pair is dropped when the posterior probability
+   (uniform prior) that its similarity reaches the threshold is below TOLERANCE. The others are verified exactly on the
+   sets. Links are counted in the task and leave it as one row for each node - its count, and one tie that keeps the
+   block's links connected - never as a row for each pair.
 
 Defined results: texts of one to four words are one shingle; null and wordless texts are nodes without links, each its
-own class. Rows that repeat an id share its class; n_copies and n_links count rows. Null ids take the class of an equal set or null. Columns beyond
-doc_id and text are ignored.
+own class. Rows that repeat an id share its class if their texts do; n_copies and n_links count rows. Rows without an id
+are linked like others; a class of such rows alone has a null class_id. one_of_each keeps one row of each class: the
+smallest id (a null one only if no other), then the smallest text hash, then the smallest hash of the row's other columns.
+Columns beyond doc_id and text are ignored by near_duplicates.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import WordIds, grams, list_array, mixed, runs, small_or_not, without, written
+from ._shared import ROW_KEY, WordIds, grams, keyed_rows, list_array, matching, mixed, runs, small_or_not, without, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -34,7 +38,8 @@ BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
 #: MinHash values compared before each look at the posterior, and the probability below which a pair is dropped.
 STEP, TOLERANCE = 25, 1e-6
-BLOCK = 512
+#: Nodes in a block; a task holds two blocks at a time.
+BLOCK = 128
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**32, HASHES, np.uint32)[:, None]
@@ -84,15 +89,17 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ones.append(int(mixed(s).sum(dtype=np.uint64).astype(np.int64)))
             twos.append(int(mixed(s ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64).astype(np.int64)))
             bands.append(band_keys(signature(s)).view(np.int64) if len(s) else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "size": pa.array(sizes, pa.int64()), "one": pa.array(ones, pa.int64()), "two": pa.array(twos, pa.int64()), "bands": list_array(bands, pa.int64())})
+        yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ROW_KEY} | {"size": pa.array(sizes, pa.int64()), "one": pa.array(ones, pa.int64()), "two": pa.array(twos, pa.int64()), "bands": list_array(bands, pa.int64())})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordIds()
+    words, seen = WordIds(), set()
     for batch in batches:
+        # Rows that repeat an id and text have one node; a task sends it once.
+        new = [i for i, n in enumerate(batch.column("node").to_pylist()) if n not in seen and not seen.add(n)]
+        batch = batch.take(pa.array(new, pa.int64()))
         found = [shingle_set(words.of(t.as_py())) for t in batch.column("text")]
-        columns = {n: batch.column(n) for n in ("node", "component", "copies", "blocks", "block")}
-        yield pa.RecordBatch.from_pydict(columns | {"shingles": pa.array([s.tobytes() for s in found], pa.binary()), "sig": pa.array([signature(s).tobytes() if len(s) else b"" for s in found], pa.binary())})
+        yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in ("node", "copies", "units")} | {"shingles": pa.array([s.tobytes() for s in found], pa.binary()), "sig": pa.array([signature(s).tobytes() if len(s) else b"" for s in found], pa.binary())})
 
 
 def linked_pairs(sets: list[np.ndarray], sigs: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,21 +140,27 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = new
 
 
+def first_shared_band(sigs: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The first band in which each pair agrees in all ROWS values."""
+    return (sigs[left] == sigs[right]).reshape(len(left), BANDS, ROWS).all(axis=2).argmax(axis=1)
+
+
 def _compared(rows: list[dict]) -> tuple[list[int], list[int], list[int]]:
-    """(node, tie, links) of each node with links among the rows of one pair of blocks."""
-    rows = list({(r["node"], r["shingles"]): r for r in rows}.values())
-    rows.sort(key=lambda r: r["node"])
-    nodes, blocks = np.array([r["node"] for r in rows]), np.array([r["block"] for r in rows])
+    """(node, tie, links) of each node with links among the rows of one pair of blocks of one unit."""
+    rows = sorted({r["node"]: r for r in rows}.values(), key=lambda r: r["node"])
     if len(rows) < 2:
         return [], [], []
+    nodes, blocks = np.array([r["node"] for r in rows]), np.array([r["block"] for r in rows])
     left, right = np.triu_indices(len(rows), 1)
-    first, second = rows[0]["i"], rows[0]["j"]
-    asked = nodes[left] != nodes[right]
-    if first != second:
-        asked &= blocks[left] != blocks[right]
+    if rows[0]["i"] != rows[0]["j"]:
+        asked = blocks[left] != blocks[right]
+        left, right = left[asked], right[asked]
     sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
     sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(len(rows), HASHES)
-    left, right = linked_pairs(sets, sigs, left[asked], right[asked])
+    if (band := rows[0]["band"]) >= 0:
+        asked = np.concatenate([first_shared_band(sigs, left[k : k + 65_536], right[k : k + 65_536]) == band for k in range(0, len(left), 65_536)] or [np.zeros(0, bool)])
+        left, right = left[asked], right[asked]
+    left, right = linked_pairs(sets, sigs, left, right)
     copies = np.array([r["copies"] for r in rows])
     links = np.bincount(left, copies[right], len(rows)) + np.bincount(right, copies[left], len(rows))
     has = np.flatnonzero(links)
@@ -155,7 +168,7 @@ def _compared(rows: list[dict]) -> tuple[list[int], list[int], list[int]]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (component, i, j): one pair of blocks is held at a time."""
+    """Rows sorted by (unit, band, i, j): one pair of blocks is held at a time."""
     rows: list[dict] = []
     out: tuple[list[int], list[int], list[int]] = ([], [], [])
 
@@ -172,7 +185,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in batch.to_pylist():
-            if rows and (row["component"], row["i"], row["j"]) != (rows[0]["component"], rows[0]["i"], rows[0]["j"]):
+            if rows and any(row[k] != rows[0][k] for k in ("unit", "band", "i", "j")):
                 close()
                 if len(out[0]) > 10_000:
                     yield flush()
@@ -182,41 +195,74 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, class_id (the smallest id that links reach), copy_id (the smallest id of an equal set), n_copies, n_links (other documents at the threshold or above)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = written(spark, docs.mapInArrow(_keys, "doc_id long, size long, one long, two long, bands array<long>"), "shingle-keys")
-    digest = ["size", "one", "two"]
-    nodes = keyed.where("size > 0").groupBy(*digest).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    nodes = written(spark, nodes, "shingle-nodes")
-
-    banded = nodes.where("node IS NOT NULL").select("node", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("tie"), F.max("node").alias("most")).where("tie < most").select("key", "tie")
+def _units(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """(node, units) of the nodes with candidates; units is an array of (unit, band, blocks, block), band -1 for a whole group."""
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("key").agg(F.min("node").alias("tie"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(spark, buckets, "shingle-buckets")
-    ties = banded.join(buckets, "key").where("node <> tie").select(F.col("node").alias("src"), F.col("tie").alias("dst"))
-    groups = components(spark, ties.distinct())
-
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    weights = nodes.groupBy("node").agg(F.sum("copies").alias("copies"))
-    members = written(spark, members.join(weights, "node").select("node", "component", "copies", "blocks", "block"), "group-members")
-    texts = docs.join(small_or_not(members), F.col("doc_id") == F.col("node")).drop("doc_id")
-    sets = texts.mapInArrow(_sets, "node long, component long, copies long, blocks int, block int, shingles binary, sig binary")
-    dealt = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    members = written(spark, banded.join(buckets, "key").select("node", "band", "key", "tie", "n"), "bucket-members")
+    groups = components(spark, members.where("node <> tie").select(F.col("node").alias("src"), F.col("tie").alias("dst")).distinct())
+    pairs = lambda n: n * (n - 1) / 2.0
+    alone = buckets.join(groups.select(F.col("node").alias("tie"), "component"), "tie").groupBy("component").agg(F.sum(pairs(F.col("n"))).alias("alone"))
+    sizes = written(spark, groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).join(alone, "component"), "group-sizes")
+    chosen = groups.join(sizes, "component").select("node", "component", "size", (pairs(F.col("size")) <= F.col("alone")).alias("whole"))
+    chosen = written(spark, chosen, "groups")
+    whole = chosen.where("whole").select("node", F.col("component").alias("unit"), F.lit(-1).alias("band"), F.col("size").alias("n"))
+    apart = members.join(chosen.where("NOT whole").select("node"), "node").select("node", F.col("key").alias("unit"), "band", "n")
+    units = whole.unionByName(apart).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    units = units.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks").cast("long")).cast("int"))
+    return units.groupBy("node").agg(F.collect_list(F.struct("unit", "band", "blocks", "block")).alias("units"))  # at most BANDS
+
+
+def _classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """For each row: ROW_KEY, the class and copy ids, counts, and `chosen`: whether its key is the class's first."""
+    docs = keyed_rows(docs)
+    key = ", ".join(f"{k} long" for k in ROW_KEY)
+    keyed = written(spark, docs.mapInArrow(_keys, f"{key}, size long, one long, two long, bands array<long>"), "shingle-keys")
+    digest = ["size", "one", "two"]
+    first = F.struct(F.col("doc_id").isNull().alias("none"), *ROW_KEY)
+    nodes = keyed.where("size > 0").groupBy(*digest).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    nodes = written(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")  # numbers are fixed by writing them
+
+    units = _units(spark, nodes)
+    wanted = written(spark, nodes.select("node", "copies", "first").join(units, "node"), "group-members")
+    asked = small_or_not(wanted.select("node", "copies", "units", *[F.col(f"first.{k}").alias(f"first_{k}") for k in ROW_KEY]))
+    same = [F.col(k).eqNullSafe(F.col(f"first_{k}")) if k == "doc_id" else F.col(k) == F.col(f"first_{k}") for k in ROW_KEY]
+    texts = docs.join(asked, same).select("node", "copies", "units", "text")
+    unit = "array<struct<unit:bigint,band:int,blocks:int,block:int>>"
+    sets = texts.mapInArrow(_sets, f"node long, copies long, units {unit}, shingles binary, sig binary")
+    dealt = sets.withColumn("u", F.explode("units")).select("node", "copies", "shingles", "sig", "u.*").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+    dealt = dealt.repartition("unit", "band", "i", "j").sortWithinPartitions("unit", "band", "i", "j")
     found = written(spark, dealt.mapInArrow(_compare, "node long, tie long, links long"), "links")
 
     classes = components(spark, found.select(F.col("node").alias("src"), F.col("tie").alias("dst")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    labelled = nodes.select(*digest, "node", "copies").join(classes, "node", "left").join(links, "node", "left")
-    labelled = labelled.select(*digest, F.col("node").alias("copy_id"), F.coalesce("component", "node").alias("class_id"), F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = keyed.select("doc_id", *digest)
-    worded = rows.where("size > 0").join(written(spark, labelled, "shingle-classes"), digest).select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
-    empty = rows.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    labelled = nodes.select(*digest, "node", "copies", "first").join(classes, "node", "left").join(links, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    heads = classes.join(nodes.select("node", "first"), "node").groupBy(F.col("component").alias("class")).agg(F.min("first").alias("head"))
+    labelled = labelled.join(small_or_not(written(spark, heads, "class-heads")), "class", "left").withColumn("head", F.coalesce("head", "first"))
+    labelled = labelled.select(*digest, "head", F.col("first.doc_id").alias("copy_id"), F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rows = keyed.select(*ROW_KEY, *digest)
+    chosen = F.struct(F.col("doc_id").isNull().alias("none"), *ROW_KEY).eqNullSafe(F.col("head"))
+    worded = rows.where("size > 0").join(written(spark, labelled, "shingle-classes"), digest).select(*ROW_KEY, F.col("head.doc_id").alias("class_id"), "copy_id", "n_copies", "n_links", chosen.alias("chosen"))
+    empty = rows.where("size = 0").select(*ROW_KEY, F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("boolean").alias("chosen"))
     return worded.unionByName(empty)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, class_id (the smallest id that links reach), copy_id (the smallest id of an equal set), n_copies, n_links (other documents at the threshold or above)."""
+    return _classes(spark, docs).select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without the documents whose class has a smaller id; all columns stay."""
-    return without(docs, near_duplicates(spark, docs).where("class_id < doc_id").select("doc_id"))
+    """docs with one row of each class; all columns stay."""
+    rows = written(spark, _classes(spark, docs).select(*ROW_KEY, "n_copies", "chosen"), "classes")
+    kept = without(docs, rows.where("NOT chosen"))
+    # Rows that repeat id and text are one key: the few such keys among the chosen lose all rows but one.
+    again = rows.where("chosen AND n_copies > 1").groupBy(*ROW_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = written(spark, again, "repeated")
+    if not again.limit(1).count():
+        return kept
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    repeated = matching(kept, again, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*hashed).alias("order"), F.col("doc_id").cast("long").alias("id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("digest"))
+    return without(kept, again).unionByName(repeated.groupBy("id", "digest").agg(F.min_by("row", "order").alias("row")).select("row.*"))

@@ -9,8 +9,9 @@ Names hold a random part for each attempt and only the files of attempts that su
 lost executor or a speculative task leaves nothing that is read. Files are read by memory map where the store is local.
 
 Defined results: a null text is encoded as an empty one, so it has the end id alone; null ids come first; rows that
-repeat an id stand next to each other, in an order fixed by their text; an empty table gives an empty manifest. Words
-that look like special tokens are ordinary text. Further columns are ignored.
+repeat an id stand next to each other, in an order fixed by their text; an empty table gives an empty manifest. Encodings
+are those of the library with add_special_tokens=False and nothing else set: a special token's string in a text becomes
+its id. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import shared_path, written
+from ._shared import passing, shared_path, written
 
 #: Pieces of text whose ids a worker keeps; a full cache is emptied.
 CACHE_PIECES = 500_000
@@ -57,7 +58,8 @@ class Encoder(dict):
     """text -> bytes of its ids, through a bounded cache of split pieces: a byte-level BPE never merges across the split.
 
     A new piece goes straight to the tokenizer's BPE model, spelt in the letters that stand for bytes there; this skips what
-    the library does for offsets. Tokenizers of another make, and texts outside _PLAIN, take the library's whole encoding.
+    the library does for offsets. Tokenizers of another make, texts outside _PLAIN, and texts with the string of an added
+    token (special or not), take the library's whole encoding.
     """
 
     def __init__(self, tokenizer: str, end_id: int):
@@ -65,12 +67,13 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.tokenizer.encode_special_tokens = True
         kind = repr(self.tokenizer.pre_tokenizer)
         self.by_pieces = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and self.tokenizer.normalizer is None
         self.bits = 16 if max(self.tokenizer.get_vocab_size() - 1, end_id) < 2**16 else 32
         self.kind = f"<u{self.bits // 8}"
         self.model = self.tokenizer.model
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.has_added = re.compile("|".join(added)).search if added else lambda text: None
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_PIECES:
@@ -88,7 +91,7 @@ class Encoder(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not (self.by_pieces and _PLAIN(text)):
+        if not (self.by_pieces and _PLAIN(text)) or self.has_added(text):
             return self.whole(text)
         return b"".join(map(self.__getitem__, _SPLIT(text)))
 
@@ -140,36 +143,41 @@ def write_token_files(spark: SparkSession, docs: DataFrame, folder: str | None =
 
     Without `ordered` nothing is shuffled: each input partition becomes a shard, in the order it has.
     """
+    own = not folder
     folder = folder or shared_path(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if ordered:
         rows = rows.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first())
         rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     manifest = written(spark, rows.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end_id), MANIFEST), "manifest")
+    if own and manifest.limit(1).count():
+        passing(spark, folder)
     # As many rows as shards: the number of output partitions bounds this window, not the documents.
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"))
 
 
-def mapped(uri: str, kind: str) -> np.ndarray:
-    """The whole file as an array: memory-mapped where the store is local."""
+def ranged(uri: str, kind: str, begin: int, end: int) -> np.ndarray:
+    """The values [begin, end) of a file, reading no more than these."""
     from pyarrow import fs
 
     store, path = _open(uri)
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, kind, "r") if store.get_file_info(path).size else np.zeros(0, kind)
-    with store.open_input_stream(path) as f:
-        return np.frombuffer(f.read(), kind)
+        return np.memmap(path, kind, "r", begin * np.dtype(kind).itemsize, (end - begin,)) if end > begin else np.zeros(0, kind)
+    with store.open_input_file(path) as f:
+        f.seek(begin * np.dtype(kind).itemsize)
+        return np.frombuffer(f.read((end - begin) * np.dtype(kind).itemsize), kind)
 
 
-def _reader(rows: int = 20_000):
+def _reader(rows: int = 5_000):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.to_pylist():
-                ids, index = mapped(shard["ids_path"], f"<u{shard['bits'] // 8}"), mapped(shard["offsets_path"], "<i8").reshape(-1, 4)
-                for i in range(0, len(index), rows):
-                    part = np.array(index[i : i + rows])
-                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in part[:, 2:].tolist()]
+                for i in range(0, shard["docs"], rows):
+                    part = np.array(ranged(shard["offsets_path"], "<i8", i * 4, min(i + rows, shard["docs"]) * 4)).reshape(-1, 4)
+                    first = int(part[0, 2])
+                    ids = ranged(shard["ids_path"], f"<u{shard['bits'] // 8}", first, int(part[-1, 3]))
+                    crc = [zlib.crc32(ids[a - first : b - first].astype("<u4").tobytes()) for a, b in part[:, 2:].tolist()]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(part[:, 0], mask=part[:, 1] == 0), "start": part[:, 2] + shard["base"], "n_tokens": part[:, 3] - part[:, 2], "ids_crc32": pa.array(crc, pa.int64()), "shard": pa.array([shard["pid"]] * len(part), pa.int32()), "ordinal": pa.array(np.arange(i, i + len(part)), pa.int64())})
 
     return read

@@ -3,42 +3,69 @@ marginals, then sampling of documents by the calibrated probabilities; DataFrame
 
 Documents are reduced to cells (source, language, topic) by partial aggregation, so a source of any share sends a row a
 task. Raking multiplies the cells' weights by target / sum over one marginal after the other, until every marginal is
-within TOLERANCE. A document's probability is its cell's weight over its tokens, scaled so that the largest is 1; it is
-sampled when a hash of its id, as a number in [0, 1), is below that.
+within TOLERANCE; targets that the cells cannot meet raise an error. The cells are one row of arrays for that, or, where
+there are more than ONE_ROW of them, a table with a join a step. A document's probability is its cell's weight over its
+tokens, scaled so that the largest is 1; it is sampled when a hash of its id, as a number in [0, 1), is below that.
+
+Without given targets, they are the marginals of the cells' tokens ** TEMPER: the same cells can meet these by construction.
 
 Defined results: null source, language or topic is a value of its own, `(none)`; null and empty texts have no tokens and
 keep their cell's probability; a cell without tokens has probability 1; rows that repeat an id are sampled alike (if in
-one cell); null ids hash as empty strings; an empty table gives no rows. Further columns are kept by `mixed_documents`.
+one cell); null ids hash as empty strings; an empty table gives no rows. Target values that no document with tokens has
+are left out and the others scaled up; values that a given marginal lacks get no weight. Further columns are kept by
+`mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import small_or_not, without, written
+from ._shared import small_or_not, written
 
 MARGINALS = ("source", "lang", "topic")
-#: Without given targets a marginal's target shares are its token shares to this power, normalised.
+#: Without given targets, cells count by their tokens to this power.
 TEMPER = 0.8
-ROUNDS, BATCH, TOLERANCE = 20, 10, 1e-12
-#: Up to so many cells are raked within one partition, where windows need no shuffle.
-ONE_PARTITION = 10_000
-#: What a text of each topic contains; the first that fits counts, prose if none does.
-TOPICS = (("notice", "icens"), ("contact", "@"), ("table", " | "), ("code", "="))
-
-
-def topic_of(text: Column) -> Column:
-    topic = F.lit("prose")
-    for name, sign in reversed(TOPICS):
-        topic = F.when(F.contains(text, F.lit(sign)), F.lit(name)).otherwise(topic)
-    return topic
-
-
-def words_in(text: Column) -> Column:
-    """Space-separated pieces: a count of tokens that needs no tokenizer."""
-    t = F.coalesce(text, F.lit(""))
-    return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+#: Steps between two looks at the error, the largest error as a share of all tokens, and the steps after which an error is raised.
+BATCH, TOLERANCE, MOST_ROUNDS = 40, 1e-10, 20_000
+#: Up to so many cells are raked as one row of arrays.
+ONE_ROW = 2_000
+#: Signs of topics in a text, found in one pass, and which of them speak for each topic; stems of license texts.
+#: A text's topic is the one with the most signs, if there is one for each SHARE tokens; prose otherwise, the first of equals.
+SIGNS = "[!-/:-@\\[-`{-~]{3,}|@[A-Za-z0-9-]+[.][A-Za-z]|[0-9]{3}[ .-][0-9]{2,4}|[0-9]+|[;{}=<>|]"
+TOPICS = {"contact": "^@[A-Za-z0-9]|^[0-9]+[ .-]", "code": "^[;{}=<>]$", "table": "^[|0-9][0-9]*$", "noise": "^[^0-9A-Za-z\\n]{3,}$"}
+LICENSE = ("icens", "opyright", "arrant", "ermission", "iabilit")
+SHARE = 25
+#: Letters, which a run at a time is first cut to one `a`; white space; and the pieces of that, which byte-level
+#: tokenizers cut first - a run of letters, of digits, or of other signs.
+LETTERS, SPACE = "[A-Za-z\\x{80}-\\x{10FFFF}]+", " \\t\\n\\r\\f"
+PIECES = f"a|[0-9]+|[^{SPACE}0-9a]+"
+
+
+def shortened(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), LETTERS, "a")
+
+
+def tokens_in(short: Column) -> Column:
+    """The pieces in a shortened text: a count of tokens by native functions. A table's own counts can be given instead."""
+    return F.length(F.regexp_replace(F.regexp_replace(short, f"(?:{PIECES})[{SPACE}]*", "x"), f"^[{SPACE}]+", "")).cast("long")
+
+
+def with_topic(docs: DataFrame, name: str, short: str, tokens: str) -> DataFrame:
+    """docs with a column of that name: the topic of text, whose shortened form and tokens are there. Steps are columns of their own, so that each is computed once."""
+    mark, text = uuid.uuid4().hex, F.coalesce(F.col("text").cast("string"), F.lit(""))
+    n = [f"n{i}_{mark}" for i in range(1 + len(TOPICS))]
+    stems = [F.length(text) - F.length(F.replace(text, F.lit(w), F.lit(w[:-1]))) for w in LICENSE]
+    found = docs.withColumns({f"signs_{mark}": F.array_join(F.regexp_extract_all(F.col(short), F.lit(f"(?=[^a ])(?:{SIGNS})"), F.lit(0)), "\n"), n[0]: sum(stems[1:], stems[0])})
+    found = found.withColumns({k: F.regexp_count(F.col(f"signs_{mark}"), F.lit(f"(?m){p}")) for k, p in zip(n[1:], TOPICS.values(), strict=True)})
+    found = found.withColumn(f"most_{mark}", F.greatest(*n))
+    most = F.col(f"most_{mark}")
+    topic = F.when((most == 0) | (most * SHARE < F.col(tokens)), F.lit("prose"))
+    for k, value in zip(n, ("license", *TOPICS), strict=True):
+        topic = topic.when(F.col(k) == most, F.lit(value))
+    return found.withColumn(name, topic).drop(f"signs_{mark}", f"most_{mark}", *n)
 
 
 def uniform(doc_id: Column, seed: str = "mix") -> Column:
@@ -47,78 +74,155 @@ def uniform(doc_id: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
-def keyed(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
-    """doc_id, the three marginals without nulls, and tokens."""
-    text = F.col("text").cast("string")
+def keyed(docs: DataFrame, names: dict[str, str], topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """docs with the three marginals without nulls, and tokens, under the given names."""
     none = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
-    return docs.select("doc_id", none(F.col("source")).alias("source"), none(F.col("lang")).alias("lang"), none(topic_of(text) if topic is None else topic).alias("topic"), (words_in(text) if tokens is None else tokens).alias("tokens"))
+    docs = docs.withColumn(short := f"short_{uuid.uuid4().hex}", shortened(F.col("text").cast("string")))
+    docs = docs.withColumn(names["tokens"], F.coalesce(tokens_in(F.col(short)) if tokens is None else tokens.cast("long"), F.lit(0)))
+    docs = with_topic(docs, names["topic"], short, names["tokens"]) if topic is None else docs.withColumn(names["topic"], none(topic))
+    return docs.withColumns({names["source"]: none(F.col("source")), names["lang"]: none(F.col("lang"))}).drop(short)
+
+
+def _targets(cells: DataFrame, targets: dict[str, dict[str, float]], temper: float) -> DataFrame:
+    """(marginal, value, share): what each marginal's values with tokens shall have."""
+    parts = []
+    for m in MARGINALS:
+        sums = cells.groupBy(F.col(m).alias("value")).agg(F.sum(F.pow(F.col("tokens").cast("double"), F.lit(temper))).alias("share"))
+        if m in targets:
+            known = F.create_map(*[x for k, v in targets[m].items() for x in (F.lit(k), F.lit(float(v)))])
+            sums = sums.withColumn("share", F.coalesce(F.try_element_at(known, F.col("value")), F.lit(0.0)))
+        total = sums.agg(F.sum("share")).first()[0]
+        if not total:
+            raise ValueError(f"no document with tokens has a {m} among its targets")
+        parts.append(sums.select(F.lit(m).alias("marginal"), "value", (F.col("share") / total).alias("share")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _as_row(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row: w, the cells' shares; for each marginal its values' targets t_, the cells of each value in_, and each cell's value at_."""
+    cells = cells.select(F.row_number().over(Window.orderBy(*MARGINALS)).alias("i"), *MARGINALS, F.col("tokens").cast("double").alias("w"))
+    row = cells.agg(F.sum("w").alias("total"), F.array_sort(F.collect_list(F.struct("i", *MARGINALS, "w"))).alias("cells"))
+    row = row.select("cells", F.transform("cells", lambda c: c["w"] / F.col("total")).alias("w"))
+    for m in MARGINALS:
+        mine = targets.where(F.col("marginal") == m).agg(F.array_sort(F.collect_list(F.struct("value", "share"))).alias(f"all_{m}"))
+        row = row.crossJoin(mine)  # one row by one row
+        row = row.withColumn(f"t_{m}", F.transform(f"all_{m}", lambda t: t["share"]))
+        row = row.withColumn(f"in_{m}", F.transform(f"all_{m}", lambda t: F.transform(F.filter("cells", lambda c: c[m] == t["value"]), lambda c: c["i"])))
+        row = row.withColumn(f"at_{m}", F.transform("cells", lambda c: F.array_position(F.transform(f"all_{m}", lambda t: t["value"]), c[m]).cast("int"))).drop(f"all_{m}")
+    return row
+
+
+def _sums(w: Column, m: str) -> Column:
+    return F.transform(F.col(f"in_{m}"), lambda cells: F.aggregate(cells, F.lit(0.0), lambda a, i: a + F.element_at(w, i)))
+
+
+def _step(w: Column, m: str) -> Column:
+    """w after one marginal's step. The factors are bound by a one-element array, so that they are computed once."""
+    factors = F.zip_with(F.col(f"t_{m}"), _sums(w, m), lambda t, s: F.when(s > 0, t / s).otherwise(F.lit(0.0)))
+    return F.element_at(F.transform(F.array(factors), lambda f: F.zip_with(w, F.col(f"at_{m}"), lambda x, k: x * F.element_at(f, k))), 1)
+
+
+def _raked_row(spark: SparkSession, cells: DataFrame, targets: DataFrame) -> DataFrame:
+    row = _as_row(cells, targets)
+
+    def round_of(w: Column, _: Column) -> Column:
+        for m in MARGINALS:
+            w = F.element_at(F.transform(F.array(w), lambda x: _step(x, m)), 1)
+        return w
+
+    for done in range(0, MOST_ROUNDS, BATCH):
+        row = written(spark, row.withColumn("w", F.aggregate(F.sequence(F.lit(1), F.lit(BATCH)), F.col("w"), round_of)), "raked")
+        errors = [F.array_max(F.zip_with(F.col(f"t_{m}"), _sums(F.col("w"), m), lambda t, s: F.abs(t - s))) for m in MARGINALS]
+        worst = row.select(F.greatest(*errors)).first()[0]
+        if worst <= TOLERANCE:
+            return row.select(F.inline(F.zip_with("cells", "w", lambda c, w: F.struct(*[c[m].alias(m) for m in MARGINALS], w.alias("weight")))))
+    raise ValueError(f"targets cannot be met: after {MOST_ROUNDS} rounds a marginal is off by {worst:.3g} of all tokens")
+
+
+def _raked_table(spark: SparkSession, cells: DataFrame, targets: DataFrame) -> DataFrame:
+    total = float(cells.agg(F.sum("tokens")).first()[0])
+    goals = {m: written(spark, targets.where(F.col("marginal") == m).select(F.col("value").alias(m), "share"), "targets") for m in MARGINALS}
+    state = cells.select(*MARGINALS, (F.col("tokens") / total).alias("weight"))
+    for _ in range(MOST_ROUNDS):
+        for m in MARGINALS:
+            sums = state.groupBy(m).agg(F.sum("weight").alias("now"))
+            factors = sums.join(goals[m], m).select(m, F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(F.lit(0.0)).alias("factor"))
+            state = state.join(factors, m).select(*MARGINALS, (F.col("weight") * F.col("factor")).alias("weight"))
+        state = written(spark, state, "raked")
+        worst = max(state.groupBy(m).agg(F.sum("weight").alias("now")).join(goals[m], m).agg(F.max(F.abs(F.col("now") - F.col("share")))).first()[0] for m in MARGINALS)
+        if worst <= TOLERANCE:
+            return state
+    raise ValueError(f"targets cannot be met: after {MOST_ROUNDS} rounds a marginal is off by {worst:.3g} of all tokens")
 
 
 def raked(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER) -> DataFrame:
-    """cells (marginals, tokens) with `weight`: their tokens, raked. Targets are shares of a marginal's values; values that a given marginal lacks get none."""
-    cells = written(spark, cells, "cells")
+    """cells (marginals, tokens) with `weight`, shares of all tokens that meet the targets (shares of a marginal's values)."""
+    cells = written(spark, cells.select(*MARGINALS, "tokens"), "cells")
     live = cells.where("tokens > 0")
     n = live.count()
-    live = live.coalesce(1) if n <= ONE_PARTITION else live
-    total = float(live.agg(F.sum("tokens")).first()[0] or 0)
-    state = live.withColumn("weight", F.col("tokens").cast("double"))
-    for m in MARGINALS:
-        sums = F.sum("tokens").over(Window.partitionBy(m)).cast("double")
-        if targets and m in targets:
-            known = F.create_map(*[x for k, v in targets[m].items() for x in (F.lit(k), F.lit(float(v) / sum(targets[m].values())))])
-            state = state.withColumn(f"{m}_target", F.coalesce(F.try_element_at(known, F.col(m)), F.lit(0.0)) * total)
-        else:
-            shares = live.groupBy(m).agg(F.sum("tokens").cast("double").alias("t")).agg(F.sum(F.pow("t", F.lit(temper)))).first()[0] or 1.0
-            state = state.withColumn(f"{m}_target", F.pow(sums, F.lit(temper)) * (total / shares))
-    for _ in range(0, ROUNDS, BATCH):
-        for _ in range(BATCH):
-            for m in MARGINALS:
-                now = F.sum("weight").over(Window.partitionBy(m))
-                state = state.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"{m}_target") / now).otherwise(F.lit(0.0)))
-        state = written(spark, state, "raked")
-        state = state.coalesce(1) if n <= ONE_PARTITION else state
-        errors = [F.abs(F.sum("weight").over(Window.partitionBy(m)) - F.col(f"{m}_target")) for m in MARGINALS]
-        worst = state.select(F.greatest(*errors).alias("e")).agg(F.max("e")).first()[0] or 0.0
-        if worst <= TOLERANCE * total:
-            break
-    none = cells.where("tokens <= 0").withColumn("weight", F.lit(None).cast("double"))
-    return state.select(*cells.columns, "weight").unionByName(none)
+    if not n:
+        return cells.withColumn("weight", F.lit(None).cast("double"))
+    goals = written(spark, _targets(live, targets or {}, temper), "targets")
+    state = (_raked_row if n <= ONE_ROW else _raked_table)(spark, live, goals)
+    return cells.join(state, list(MARGINALS), "left")
 
 
-def calibrated(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, temper: float = TEMPER) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens, probability, sampled) of each document."""
-    rows = keyed(docs, topic, tokens)
-    cells = raked(spark, rows.groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")), targets, temper)
+def chances(spark: SparkSession, rows: DataFrame, names: dict[str, str], targets: dict[str, dict[str, float]] | None, temper: float) -> DataFrame:
+    """(marginals, probability) of each cell of rows."""
+    cells = rows.groupBy(*[F.col(names[m]).alias(m) for m in MARGINALS]).agg(F.sum(F.col(names["tokens"])).alias("tokens"))
+    cells = raked(spark, cells, targets, temper)
     cells = written(spark, cells.select(*MARGINALS, F.expr("try_divide(weight, tokens)").alias("ratio")), "ratios")
     most = cells.agg(F.max("ratio")).first()[0] or 1.0
-    chance = cells.select(*MARGINALS, F.coalesce(F.col("ratio") / float(most), F.lit(1.0)).alias("probability"))
-    joined = rows.join(small_or_not(chance), list(MARGINALS))
-    return joined.select("doc_id", *MARGINALS, "tokens", F.round("probability", 6).alias("probability"), (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
+    return small_or_not(cells.select(*MARGINALS, F.coalesce(F.col("ratio") / float(most), F.lit(1.0)).alias("probability")))
 
 
-def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The sampled documents, with all their columns."""
-    return without(docs, calibrated(spark, docs, **options).where("NOT sampled").select(F.col("doc_id").cast("long")))
+def calibrated(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, temper: float = TEMPER) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens, probability, sampled) of each document."""
+    names = {n: n for n in (*MARGINALS, "tokens")}
+    rows = written(spark, keyed(docs, names, topic, tokens).select("doc_id", *names), "marginals")  # the texts are read once
+    joined = rows.join(chances(spark, rows, names, targets, temper), list(MARGINALS))
+    return joined.select("doc_id", *MARGINALS, "tokens", F.round("probability", 6).alias("probability"), (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
 
 
-def oracle(rounds: int = ROUNDS) -> str:
-    """SQL for calibrated() with its defaults."""
-    topic = "CASE " + " ".join(f"WHEN contains(text, '{s}') THEN '{n}'" for n, s in TOPICS) + " ELSE 'prose' END"
+def mixed_documents(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, temper: float = TEMPER) -> DataFrame:
+    """The sampled documents, with all their columns; each row is sampled by its own cell, whatever rows share its id."""
+    names = {n: f"{n}_{uuid.uuid4().hex}" for n in (*MARGINALS, "tokens")}
+    rows = keyed(docs, names, topic, tokens)
+    chance = chances(spark, rows, names, targets, temper).withColumnsRenamed({m: names[m] for m in MARGINALS} | {"probability": (drawn := f"p_{uuid.uuid4().hex}")})
+    joined = rows.join(chance, [names[m] for m in MARGINALS])
+    return joined.where(uniform(F.col("doc_id")) < F.col(drawn)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def oracle(rounds: int = 400) -> str:
+    """SQL for calibrated() with its defaults; the cells are one row of lists, raked by recursion."""
+    names = ("license", *TOPICS)
+    stems = " + ".join(f"length(t) - length(replace(t, '{w}', '{w[:-1]}'))" for w in LICENSE)
+    counts = f"{stems} AS n0, " + ", ".join(f"len(list_filter(s, lambda x: regexp_matches(x, '{p}'))) AS n{i}" for i, p in enumerate(TOPICS.values(), 1))
+    most = f"greatest({', '.join(f'n{i}' for i in range(len(names)))})"
+    which = " ".join(f"WHEN n{i} = {most} THEN '{n}'" for i, n in enumerate(names))
+    index = ", ".join(f"list_transform(range(1, {'{n}'} + 1), lambda i: list_position(v_{m}, c[i].{m})) AS at_{m}" for m in MARGINALS).replace("{n}", "len(c)")
+    shares = ", ".join(f"list_transform(v_{m}, lambda v: list_sum(list_transform(list_filter(c, lambda x: x.{m} = v), lambda x: pow(x.tokens, {TEMPER}))) / z) AS t_{m}" for m in MARGINALS)
+    members = ", ".join(f"list_transform(range(1, len(v_{m}) + 1), lambda k: list_filter(range(1, len(c) + 1), lambda i: at_{m}[i] = k)) AS in_{m}" for m in MARGINALS)
     sql = f"""
-WITH rows AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, {topic} AS topic,
-  CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, ' ', '')) + 1 END AS tokens FROM documents),
-cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM rows GROUP BY ALL),
-live AS (SELECT * FROM cells WHERE tokens > 0), total AS (SELECT sum(tokens) AS total FROM live),
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS t, regexp_replace(t, '{LETTERS}', 'a', 'g') AS z, regexp_extract_all(z, '{SIGNS}') AS s FROM documents),
+counts AS (SELECT doc_id, source, lang, len(regexp_extract_all(z, '{PIECES}')) AS tokens, {counts} FROM texts),
+rows AS MATERIALIZED (SELECT doc_id, source, lang, tokens, CASE WHEN {most} = 0 OR {most} * {SHARE} < tokens THEN 'prose' {which} END AS topic FROM counts),
+cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM rows GROUP BY ALL HAVING sum(tokens) > 0),
+one AS (SELECT list({{'source': source, 'lang': lang, 'topic': topic, 'tokens': tokens}} ORDER BY source, lang, topic) AS c, sum(tokens) AS total, sum(pow(tokens, {TEMPER})) AS z,
+  list(DISTINCT source) AS v_source, list(DISTINCT lang) AS v_lang, list(DISTINCT topic) AS v_topic FROM cells),
+two AS (SELECT *, {index} FROM one),
+three AS MATERIALIZED (SELECT *, {shares}, {members} FROM two),
+raking AS (SELECT 0 AS r, list_transform(c, lambda x: x.tokens / total) AS w FROM three UNION ALL
+  SELECT r + 1, w3 FROM (
 """
-    for m in MARGINALS:
-        sql += f"t_{m} AS (SELECT {m}, pow(sum(tokens), {TEMPER}) / sum(pow(sum(tokens), {TEMPER})) OVER () * (SELECT total FROM total) AS {m}_target FROM live GROUP BY {m}),\n"
-    sql += "s0 AS MATERIALIZED (SELECT *, tokens AS weight FROM live JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)),\n"
-    k = 0
-    for _ in range(rounds):
-        for m in MARGINALS:
-            sql += f"s{k + 1} AS MATERIALIZED (SELECT * REPLACE (weight * {m}_target / sum(weight) OVER (PARTITION BY {m}) AS weight) FROM s{k}),\n"
-            k += 1
-    return sql + f"""ratios AS (SELECT source, lang, topic, weight / tokens / (SELECT max(weight / tokens) FROM s{k}) AS p FROM s{k})
+    inner = "SELECT r, w AS w0 FROM raking"
+    for k, m in enumerate(MARGINALS):
+        factor = f"list_transform(range(1, len(v_{m}) + 1), lambda k: t_{m}[k] / list_sum(list_transform(in_{m}[k], lambda i: w{k}[i])))"
+        inner = f"SELECT r, list_transform(range(1, len(c) + 1), lambda i: w{k}[i] * f{k}[at_{m}[i]]) AS w{k + 1} FROM (SELECT r, w{k}, {factor} AS f{k} FROM ({inner}), three), three"
+    return sql + inner + f""") WHERE r < {rounds}),
+last AS (SELECT c, w FROM raking, three WHERE r = {rounds}),
+ratios AS (SELECT u.x.source AS source, u.x.lang AS lang, u.x.topic AS topic, u.p / max(u.p) OVER () AS p FROM
+  (SELECT unnest(list_transform(range(1, len(c) + 1), lambda i: {{'x': c[i], 'p': w[i] / c[i].tokens}})) AS u FROM last))
 SELECT doc_id, source, lang, topic, tokens, round(coalesce(p, 1.0), 6) AS probability,
   ('0x' || substr(md5('mix-' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < coalesce(p, 1.0) AS sampled
 FROM rows LEFT JOIN ratios USING (source, lang, topic)

@@ -3,15 +3,22 @@
 A page becomes a sequence of tokens, words and tags. A word's weight is the log odds, among labelled pages, of words with
 the same nearest enclosing block (element and class or id name) being content; a tag's weight is a constant cost plus
 the log odds of that tag. One linear scan finds the run with the largest sum; the run is widened to whole blocks, and
-blocks in it whose kind is boilerplate (menus, notices, forms, comments and so on) are left out. Boilerplate inside content
-- an <article>, a <main>, a kind of block that labelled pages have only there, or any block with text of its own before
-and after - costs next to nothing, so that it does not cut the run in two.
-
-Labelled pages are the table's own pages with exactly one <article> or <main>, up to TRAIN_PAGES of them, besides a few
-made-up layouts, so that layouts without such an element have weights too.
-
-Defined results: null, empty and unreadable pages give an empty text; an unclosed tag at the end is dropped; of runs of
-equal score the first and shortest is taken; rows that repeat a page get equal results; other columns are kept aside.
+boilerplate in it is left out. Boilerplate are the elements that HTML itself keeps for other things than a text (menus,
+asides, footers, forms, scripts), headers that are not an article's own, and blocks whose names a logistic regression
+holds for it: its features are the element and the words of its class, id and role, its examples the blocks inside and
+outside the article of labelled pages. Boilerplate inside content - an <article>, a <main>, a kind of block that labelled
+pages have only there, or any block with text of its own before and after - costs next to nothing, so that it does not
+cut the run in two.
+
+Labelled pages are the table's own pages with exactly one <article> or <main>, up to TRAIN_PAGES of them, besides
+made-up layouts, so that layouts without such an element, and usual names, have weights too.
+
+A page takes time in proportion to its length, whatever its tags: they are found by one pass without backtracking, and the
+open elements carry what their descendants ask for.
+
+Defined results: null, empty and unreadable pages give an empty text; an unclosed tag at the end is dropped; a `<` in a
+tag is part of it; of runs of equal score the first and shortest is taken; rows that repeat a page, or its id, get the
+results of their own html; null ids and urls stay null; further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,76 +40,95 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 RAW = frozenset("script style textarea title noscript template iframe svg object select button option xmp noembed noframes math canvas audio video".split())
 #: Elements that hold the blocks of a text without being one.
-HOSTS = frozenset("div section article main center details".split())
-#: Elements, and parts of class and id names, that are never main text.
-NOT_MAIN = frozenset("nav header footer aside form menu dialog head title script style noscript template iframe svg button select option textarea fieldset label input".split())
-NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notice|alert|popup|modal|overlay|nav\w*|menu|breadcrumbs?|header|masthead|footer|sidebar|side|widget|aside|share|social|related|recommend\w*|comments?|reply|replies|respond|disqus|subscribe|newsletter|login|signup|form|search|pagination|pager|tags|copyright|legal)(?:$|[-_ 0-9])",
-    re.I,
-)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_NAME = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HOSTS = frozenset("div section article main header center details".split())
+#: Elements that are never main text.
+NOT_MAIN = frozenset("nav footer aside form menu dialog head title script style noscript template iframe svg button select option textarea fieldset label input".split())
+#: Comments and declarations, or a tag; nothing in it backtracks. A quote without its pair is an ordinary sign.
+_TOKEN = re.compile(r"<!--(?:[^-]++|-(?!->))*+(?:-->)?|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?", re.S)
+_NAME = re.compile(r"(?:^|\s)(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.I)
 _CLOSES = {"li": {"li"}, "p": BLOCKS, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WORD_COST, TAG_COST, BOUND, NESTED = 0.7, 0.15, 3.0, 0.02
 
 
-def kind_of(name: str, attributes: str) -> tuple[str, bool]:
-    """(element and class name, whether either says that it is not main text)."""
+def kind_of(name: str, attributes: str) -> str:
+    """Element and names: `div.entry content`."""
     names = " ".join(a or b or c for a, b, c in _NAME.findall(attributes)) if attributes else ""
-    label = f"{name}.{re.sub('[0-9]+', '', names.lower())}" if names else name
-    return label, name in NOT_MAIN or bool(names and NAMES.search(names))
+    return f"{name}.{re.sub('[0-9]+', '', names.lower())}" if names else name
+
+
+def features_of(kind: str) -> tuple[str, list[str]]:
+    """The element, and the words of its names."""
+    name, _, names = kind.partition(".")
+    return name, sorted(set(re.findall(r"[^\W\d_]+", names)))
+
+
+class _Open:
+    """An open element, with what its descendants ask for."""
 
+    __slots__ = ("name", "block", "odd", "main", "host")
 
-def tokens(page: str, content: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, int, str, bool, tuple[int, ...]]]:
-    """(what, kind, not_main, text, breaks, hosts): what is tag or text; kind the tag's, or the text's nearest block's.
+    def __init__(self, name: str, block: str, odd: int, main: bool, host: int):
+        self.name, self.block, self.odd, self.main, self.host = name, block, odd, main, host
 
-    not_main is 1 for boilerplate by name, 2 for such inside an <article>, a <main> or a kind of content, else 0. hosts has
-    the number of the host that a text stands in, and for the tag that opens boilerplate those of all hosts around it; 0 is
-    the page itself.
+    def within(self, kind: str) -> str:
+        return "*" + kind if self.main else kind
+
+
+def tokens(page: str, weights: Weights | None = None) -> Iterator[tuple[str, str, int, str, bool, int]]:
+    """(what, kind, not_main, text, breaks, host): what is tag, opening (the tag that opens boilerplate) or text; kind the
+    tag's, or the text's nearest block's, after a `*` if an <article>, a <main> or a kind of content is around it.
+
+    not_main is 1 for boilerplate, 2 for such inside an <article>, a <main> or a kind of content, else 0. host is the
+    number of the host that a text stands in; 0 is the page itself.
     """
-    stack: list[tuple[str, str, int, int]] = []
+    root = _Open("", "", 0, False, 0)
+    stack, count = [root], Counter()
     at = serial = 0
-    while at <= len(page):
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text:
-            kind = next((k for n, k, *_ in reversed(stack) if n in BLOCKS), "")
-            yield "text", kind, stack[-1][2] if stack else 0, text, False, (next((i for n, *_, i in reversed(stack) if n in HOSTS), 0),)
-        if not m:
-            return
-        at = max(m.end(), at + 1)
-        name = (m[2] or "").lower()
-        if not name:
+
+    def pop() -> _Open:
+        top = stack.pop()
+        count[top.name] -= 1
+        return top
+
+    while at < len(page):
+        start = page.find("<", at)
+        m = _TOKEN.match(page, start) if start >= 0 else None
+        end = len(page) if start < 0 else start if m else start + 1
+        if end > at:
+            yield "text", stack[-1].within(stack[-1].block), stack[-1].odd, page[at:end], False, stack[-1].host
+        at = m.end() if m else end
+        name = (m[2] or "").lower() if m else ""
+        if not name or not m[0].endswith(">"):
             continue
         if m[1]:
-            odd = stack[-1][2] if stack else 0
-            if name in {n for n, *_ in stack}:
-                while (top := stack.pop())[0] != name:
+            odd = stack[-1].odd
+            if count[name]:
+                while (top := pop()).name != name:
                     pass
-                odd = top[2]
-            yield "tag", "/" + name, odd, "", name in BLOCKS, ()
+                odd = top.odd
+            yield "tag", stack[-1].within("/" + name), odd, "", name in BLOCKS, 0
             continue
-        while stack and name in _CLOSES.get(stack[-1][0], ()):
-            stack.pop()
-        if name in BLOCKS and any(n == "p" for n, *_ in stack):
+        while name in _CLOSES.get(stack[-1].name, ()):
+            pop()
+        if name in BLOCKS and count["p"]:
             # A block ends an open paragraph and the inline elements left open in it.
-            while stack.pop()[0] != "p":
+            while pop().name != "p":
                 pass
-        kind, named = kind_of(name, m[3])
-        odd = stack[-1][2] if stack else 0
-        hosts = ()
-        if named and not odd:
-            odd = 2 if any(n in ("article", "main") or k in content for n, k, *_ in stack) else 1
-            hosts = (0, *(i for n, *_, i in stack if n in HOSTS))
-        yield "tag", kind, odd, " " if name == "br" else "", name in BLOCKS, hosts
+        kind, top = kind_of(name, m[3]), stack[-1]
+        odd, opening = top.odd, False
+        if not odd and (name in NOT_MAIN or name == "header" and not top.main or weights and weights.boilerplate(kind)):
+            odd, opening = 2 if top.main else 1, True
+        yield "opening" if opening else "tag", top.within(kind), odd, " " if name == "br" else "", name in BLOCKS, 0
         if name in VOID or m[0].endswith("/>") and name not in BLOCKS:
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|$)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            close = re.compile(rf"</{re.escape(name)}\b[^>]*+>?", re.I).search(page, at)
+            at = close.end() if close else len(page)
             continue
         serial += 1
-        stack.append((name, kind, odd, serial))
+        main = top.main or name in ("article", "main") or bool(weights and kind in weights.content)
+        stack.append(_Open(name, kind if name in BLOCKS else top.block, odd, main, serial if name in HOSTS else top.host))
+        count[name] += 1
 
 
 def labelled_counts(page: str, counts: Counter) -> None:
@@ -114,27 +141,38 @@ def labelled_counts(page: str, counts: Counter) -> None:
         return
     inside = False
     for what, kind, odd, text, *_ in tokens(page):
+        kind = kind.removeprefix("*")
         if what == "tag" and kind.split(".")[0] == name:
             inside = True
         elif what == "tag" and kind == "/" + name:
             inside = False
         if odd:
-            continue  # scored as boilerplate by name; it would only blur the weights of the same elements elsewhere
+            continue  # boilerplate by its element; it would only blur the weights of the same kinds elsewhere
         if what == "text":
             counts["text", kind, inside] += len(text.split())
         else:
             counts["tag", kind, inside] += 1
 
 
+#: Names of blocks in the made-up layouts: in the article, and beside it.
+WITHIN = "content|post|entry-content|article-body|story|main|text|post-body|section|chapter|body|entry|description|summary|lead|intro|quote|figure|caption|note|table|code|highlight|box"
+BESIDE = (
+    "ad|ads|advert|advertisement|ad-slot|banner|promo|promotion|sponsored|sponsor|cookie-notice|cookies|consent|cookie-banner|notice|site-notice|alert|popup|modal|overlay|"
+    "nav|navbar|navigation|menu|main-menu|breadcrumb|breadcrumbs|header|site-header|page-header|masthead|footer|site-footer|page-footer|contentinfo|sidebar|side|widget|complementary|"
+    "share|share-buttons|social|social-links|related|related-posts|recommended|comments|comment|comment-list|reply|replies|respond|disqus|subscribe|newsletter|signup|login|"
+    "search|search-form|pagination|pager|tags|copyright"
+)
+
+
 def made_up_pages() -> list[str]:
-    """Layouts with one <article>, whose blocks have the usual class names of content and of what stands beside it."""
+    """Layouts with one <article>, whose blocks have usual names of content and of what stands beside it."""
     line = "words of a sentence that goes on for a while and then ends"
-    bare = "<header class='site-header'><a href='/'>home</a> name</header><div class='menu'><a>one</a> <a>two</a></div>"
-    beside = "<aside class='sidebar'><p>read more</p></aside><div class='cookie-notice'>we use them</div><form>mail <input></form><div class='comments'><p>nice one</p></div><div class='footer'>all rights</div>"
     out = []
-    for name in ("content", "post", "entry-content", "article-body", "story", "main", "text", "post-body"):
+    for k, name in enumerate(WITHIN.split("|")):
         body = "".join(f"<p>{line}</p>" for _ in range(4)) + f"<h2>{line}</h2><ul><li>{line}</li></ul><blockquote>{line}</blockquote><pre>{line}</pre><table><tr><td>{line}</td></tr></table>"
-        out.append(f"<html><body>{bare}<article><div class='{name}'>{body}</div></article>{beside}</body></html>")
+        body = f"<div class='{name}'>{body}</div><p class='{name}'>{line}</p><section id='{name}'>{body}</section><div>{line}</div>"
+        beside = "".join(f"<{e} class='{n}'><a>{n}</a> a few words</{e}>" for j, n in enumerate(BESIDE.split("|")) for e in (("div", "section", "ul")[(j + k) % 3], "div"))
+        out.append(f"<html><body><header><a href='/'>home</a></header><article>{body}</article>{beside}<div>line</div></body></html>")
     return out
 
 
@@ -159,10 +197,45 @@ class Weights:
         tags = {k for what, k, _ in counts if what == "tag" and "." in k and k.split(".")[0] in HOSTS}
         #: Kinds of hosts that labelled pages have in the article and not beside it.
         self.content = frozenset(k for k in tags if counts["tag", k, True] > 0 and not counts["tag", k, False])
+        self.fit_names(counts)
+
+    def fit_names(self, counts: Counter) -> None:
+        """Logistic regression of lying in the article, for kinds of blocks: a weight for the element, and the mean weight of
+        the words of its names, so that a word which is not known counts against those that are. Kinds weigh by the
+        logarithm of their number."""
+        rows = [(*features_of(k), inside, math.log1p(n)) for (what, k, inside), n in sorted(counts.items()) if what == "tag" and not k.startswith("/") and k.split(".")[0] in BLOCKS]
+        index: dict[str, int] = {}
+        at, of, share = [], [], []
+        for i, (name, words, *_) in enumerate(rows):
+            for key, value in [(f"<{name}", 1.0), *((w, 1 / len(words)) for w in words)]:
+                at.append(i), of.append(index.setdefault(key, len(index))), share.append(value)
+        at, of, share = np.array(at, int), np.array(of, int), np.array(share)
+        y, n = np.array([r[2] for r in rows], float), np.array([r[3] for r in rows])
+        w, bias = np.zeros(len(index)), 0.0
+        for _ in range(300):
+            z = bias + np.bincount(at, w[of] * share, len(rows))
+            g = n * (y - 1 / (1 + np.exp(-z)))
+            w += 0.2 * (np.bincount(of, g[at] * share, len(index)) - 0.3 * w) / (1 + np.bincount(of, n[at] * share**2, len(index)))
+            bias += 0.1 * (g.sum() - 0.3 * bias) / (1 + n.sum())
+        self.names, self.bias = dict(zip(index, w.tolist(), strict=True)), float(bias)
+        self.known: dict[str, bool] = {}
+
+    def boilerplate(self, kind: str) -> bool:
+        """Whether a block with names is more likely beside an article than in it; blocks without names are not judged by them."""
+        found = self.known.get(kind)
+        if found is None:
+            name, words = features_of(kind)
+            z = self.bias + self.names.get(f"<{name}", 0.0) + sum(self.names.get(w, 0.0) for w in words) / max(1, len(words))
+            found = bool(words) and any(w in self.names for w in words) and z < 0
+            if len(self.known) < 100_000:
+                self.known[kind] = found
+        return found
 
     def of(self, what: str, kind: str, odd: int) -> float:
         if odd:  # left out of the text anyway; inside content it should not cut the run in two
             return (-BOUND if what == "text" else -TAG_COST - 1) * (NESTED if odd == 2 else 1)
+        if kind.startswith("*"):  # by the definition of the labels always content: the bounded log odds
+            return WORD_COST + BOUND if what == "text" else -TAG_COST
         got = self.values.get((what, kind))
         if got is None:
             got = self.values.get((what, kind.split(".")[0]))
@@ -189,16 +262,20 @@ def between_text(found: list[tuple]) -> list[int]:
     first: dict[int, int] = {}
     last: dict[int, int] = {}
     words: Counter = Counter()
-    for i, (what, _, odd, text, _, hosts) in enumerate(found):
+    for i, (what, _, odd, text, _, host) in enumerate(found):
         if what == "text" and not odd and (n := len(text.split())):
-            first.setdefault(hosts[0], i)
-            last[hosts[0]] = i
-            words[hosts[0]] += n
-    out, now = [], 1
-    for i, (_, _, odd, _, _, hosts) in enumerate(found):
-        if odd == 1 and found[i][0] == "tag" and hosts:
-            split = any(h in first and first[h] < i < last[h] and (h or 2 * words[0] >= words.total()) for h in hosts)
-            now = 2 if split else 1
+            first.setdefault(host, i)
+            last[host] = i
+            words[host] += n
+    if 2 * words[0] < words.total():
+        last.pop(0, None)
+    # A host is open from its first to its last text, so those between the two are around any token there.
+    out, now, around = [], 1, 0
+    for i, (what, _, odd, _, _, host) in enumerate(found):
+        if what == "text" and host in last and first[host] != last[host]:
+            around += (first[host] == i) - (last[host] == i)
+        if what == "opening" and odd == 1:
+            now = 2 if around else 1
         out.append(now if odd == 1 else odd)
     return out
 
@@ -206,8 +283,8 @@ def between_text(found: list[tuple]) -> list[int]:
 def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
-    found = list(tokens(page, weights.content))
-    scores = [weights.of(w, k, odd) * (len(t.split()) if w == "text" else 1) for (w, k, _, t, *_), odd in zip(found, between_text(found), strict=True)]
+    found = list(tokens(page, weights))
+    scores = [weights.of("text" if w == "text" else "tag", k, odd) * (len(t.split()) if w == "text" else 1) for (w, k, _, t, *_), odd in zip(found, between_text(found), strict=True)]
     start, end = best_run(scores)
     # Widen the run to whole blocks: back to the last break before it and on to the first break after it.
     while start > 0 and start < end and not found[start - 1][4]:
@@ -216,7 +293,7 @@ def main_text(page: str | None, weights: Weights) -> str:
         end += 1
     blocks, now = [], []
     for what, _, odd, text, breaks, _ in found[start:end]:
-        if what == "tag" and breaks:
+        if what != "text" and breaks:
             blocks.append("".join(now))
             now = []
         elif not odd:

@@ -6,11 +6,12 @@ log odds of a feature among the labelled documents, the others small and random;
 by Adam on the logistic loss, where max pooling sends each filter's gradient to one position of a text. A held-back
 part of the training rows fits the final slope and offset of the score and a threshold for each language.
 
-Training takes at most TRAIN_ROWS labelled rows (those with the smallest hash of their id), on the driver; scoring is one
-narrow pass over whole texts. Scores depend on the text alone.
+Training takes at most TRAIN_ROWS labelled rows (those with the smallest hash of their id) of TRAIN_BYTES bytes together, on
+the driver; scoring is one narrow pass over whole texts. Scores depend on the text alone.
 
 Defined results: null and wordless texts get the score of a text in which no filter finds anything; rows that repeat an
-id and text score alike; null ids are scored and never held out; labels that are null are not learnt from. Languages
+id and text score alike; null ids are scored and never held out; labels that are null are not learnt from; of labels
+that repeat an id the toxic one counts, and of documents that repeat a labelled id the one with the smallest text hash. Languages
 without enough labelled rows use the threshold of all. With labels of one kind only, every score is the smoothed rate.
 """
 
@@ -23,13 +24,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import words_of
 
-#: At most so many labelled rows are fitted.
-TRAIN_ROWS = 8_000
+#: At most so many labelled rows, of so many bytes of text together, are fitted.
+TRAIN_ROWS, TRAIN_BYTES = 8_000, 48_000_000
 PREFIXES = (3, 5, 7)
 BUCKETS, DIM, WIDTHS, FILTERS = 2**17, 8, (1, 2, 3), 6
 EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 60, 128, 0.03
@@ -258,16 +259,20 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> pd.DataFrame:
-    """At most TRAIN_ROWS labelled texts: (text, lang, toxic), leaving out the fold that is held out."""
+    """At most TRAIN_ROWS labelled texts of TRAIN_BYTES bytes: (doc_id, text, lang, toxic), leaving out the fold that is held out."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     fold = F.crc32(F.col("label_id").cast("string")) % FOLDS
     if held_out:
         known = known.where(fold != HELD_OUT_FOLD)
     # A limit on a sort by hash: every task keeps TRAIN_ROWS rows at most before the driver merges them.
-    some = known.dropDuplicates(["label_id"]).orderBy(F.xxhash64("label_id"), "label_id").limit(TRAIN_ROWS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    found = rows.join(F.broadcast(some), F.col("doc_id") == F.col("label_id"))
-    return found.select("doc_id", "text", "lang", "toxic").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    some = known.groupBy("label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(TRAIN_ROWS)
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.xxhash64(text).alias("order"), text.alias("text"), F.col("lang").cast("string").alias("lang")).alias("row"))
+    # One row for each id, by partial aggregation, before anything leaves the tasks; then whole texts up to the bound of bytes.
+    found = rows.join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "toxic").agg(F.min("row").alias("row")).select("doc_id", "toxic", "row.text", "row.lang")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    found = found.withColumn("bytes", F.sum(size).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")))  # TRAIN_ROWS rows at most
+    return found.where(F.col("bytes") <= TRAIN_BYTES).select("doc_id", "text", "lang", "toxic").toPandas().sort_values("doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Model:

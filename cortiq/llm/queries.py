@@ -17,7 +17,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(spark, table(spark, sf_dir, "documents"))
+    """The whole table in two batches to one index, the larger ids first, since a text keeps the id that the index has."""
+    docs = table(spark, sf_dir, "documents")
+    middle = docs.agg(F.expr("min(doc_id) + (max(doc_id) - min(doc_id)) DIV 2")).first()[0]
+    later = F.coalesce(F.col("doc_id") > F.lit(middle), F.lit(False))
+    index = exact_dedup.DigestIndex(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for batch in (docs.where(later), docs.where(~later)):
+        index.append_new(batch)
+    return index.marked(docs)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +41,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles and rendering of all turns; the model learns from the conversations of three folds of four."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("line_no"), "text", "role")
-    model = chat_format.learnt(turns.where(F.crc32(F.col("conv_id").cast("string")) % 4 != 2))
-    return chat_format.parsed(spark, turns.drop("role"), model)
+    """Roles and rendering of every line of all conversations, written as transcripts in which four turns of five have a
+    speaker marker; the model learns from the conversations of three folds of four."""
+    turns = chat_format.transcribed(table(spark, sf_dir, "conversations"))
+    lines = chat_format.lines_of(turns, ("conv_id", "turn", "role"))
+    order = ("turn", "line_no")
+    model = chat_format.learnt(lines.where(F.crc32(F.col("conv_id").cast("string")) % 4 != 2), order)
+    return chat_format.parsed(spark, lines.drop("role"), model, order)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +55,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = url_filter.train(url_filter.labelled_urls(spark))
-    found = url_filter.judged(spark, table(spark, sf_dir, "pages").select("page_id", "url"), model)
+    """The trees learn from the URLs of the table that a rule decides."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = url_filter.judged(spark, pages, url_filter.train(url_filter.labelled_by_rules(pages)))
     return found.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
@@ -56,7 +67,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's tokens, found again in unindexed files; the ids are then looked up by place in the files' indexes."""
-    end = 50256  # <|endoftext|>, which ordinary text never encodes to
+    end = 50257  # beyond the vocabulary, so that no text has it
     manifest = token_files.write_token_files(spark, table(spark, sf_dir, "documents"), end_id=end, ordered=False)
     files = manifest.select(F.col("pid").cast("long").alias("file"), "ids_path", "bits", F.col("tokens").alias("n_ids"))
     found = token_counts.documents_in(files, end)

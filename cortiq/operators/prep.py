@@ -80,14 +80,15 @@ def get_prep(name: str, **options) -> Callable[..., DataFrame]:
 
 
 def sliced(signal: DataFrame, intervals: DataFrame) -> DataFrame:
-    """The time points inside intervals(run, start, end), half-open, in order and renumbered from 0 in each run.
+    """The time points inside intervals([subject,] run, start, end), half-open, in order and renumbered from 0 in each run.
 
     The new number is counted from the intervals' lengths, so no window gathers a run.
     """
-    w = Window.partitionBy("run").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [k for k in RUN if k in intervals.columns]
+    w = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     offset = intervals.withColumn("offset", F.coalesce(F.sum(F.col("end") - F.col("start")).over(w), F.lit(0)))
-    at = signal.join(F.broadcast(offset), "run").where("t >= start AND t < end")  # a few rows for each run
-    return at.withColumn("t", F.col("t") - F.col("start") + F.col("offset")).drop("start", "end", "offset")
+    at = signal.join(offset, keys).where("t >= start AND t < end")  # a few rows for each run; Spark broadcasts them by their size
+    return at.select(*[F.col(c) if c != "t" else (F.col("t") - F.col("start") + F.col("offset")).alias("t") for c in signal.columns])
 
 
 def trimmed(signal: DataFrame, first: int = 0, last: int = 0) -> DataFrame:
@@ -96,6 +97,13 @@ def trimmed(signal: DataFrame, first: int = 0, last: int = 0) -> DataFrame:
     return signal.join(ends, list(RUN)).where((F.col("t") >= first) & (F.col("t") <= F.col("stop"))).withColumn("t", F.col("t") - first).drop("stop")
 
 
+def renumbered(signal: DataFrame) -> DataFrame:
+    """Time points numbered from 0 without gaps in each run: a window over the time points of a run, not over its cells."""
+    w = Window.partitionBy(*RUN).orderBy("t")
+    at = signal.select(*RUN, "t").distinct().withColumn("n", (F.row_number().over(w) - 1).cast("long"))
+    return signal.join(at, [*RUN, "t"]).withColumn("t", F.col("n")).drop("n")
+
+
 def concatenated(signal: DataFrame) -> DataFrame:
     """Runs one after the other in time: (subject, t, v, x), t running on."""
     lengths = signal.groupBy(*RUN).agg((F.max("t") + 1).alias("n"))

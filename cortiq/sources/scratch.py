@@ -1,22 +1,26 @@
-"""Tables written in the shared folder to cut lineage: spark.checkpoint.dir, or a folder of our own where that is unset."""
+"""Tables written in the shared folder to cut lineage: spark.checkpoint.dir, which a cluster must name; where it is unset, a
+folder of the warehouse, which executors share as well."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cortiq-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    found = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/cortiq/{name}-{uuid.uuid4().hex}"
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/cortiq/{name}-{uuid.uuid4().hex}"
+    """df as a table that is deleted when the driver ends."""
+    path = shared_path(spark, name)
     df.write.parquet(path)
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(found)
     return spark.read.schema(df.schema).parquet(path)

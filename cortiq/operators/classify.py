@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import distance
+from .linalg import blocked
 
 
 def segments(rows: DataFrame, size: int, npc: int | None = None) -> DataFrame:
@@ -16,25 +20,47 @@ def segments(rows: DataFrame, size: int, npc: int | None = None) -> DataFrame:
     return packed.where(F.size("parts") == size).select("seg", F.flatten(F.transform("parts", lambda p: p["x"])).alias("x"))
 
 
-def identified(measured: DataFrame, predicted: DataFrame, size: int = 1, npc: int | None = None, metric: str = "correlation") -> DataFrame:
+def _distances(x: np.ndarray, y: np.ndarray, metric: str | Callable) -> np.ndarray:
+    if callable(metric):
+        return metric(x, y)
+    if metric == "correlation":
+        x, y = (a - a.mean(axis=1, keepdims=True) for a in (x, y))
+        x, y = (a / np.where(n > 0, n, 1) for a, n in ((a, np.linalg.norm(a, axis=1, keepdims=True)) for a in (x, y)))
+        return 1 - x @ y.T
+    if metric == "euclidean":
+        return np.stack([np.sqrt(((y - row) ** 2).sum(axis=1)) for row in x])
+    raise ValueError(f"no metric is called {metric}")
+
+
+def identified(measured: DataFrame, predicted: DataFrame, size: int = 1, npc: int | None = None, metric: str | Callable = "correlation", block: int = 512) -> DataFrame:
     """(seg, nearest, correct): the predicted segment nearest to each measured one, the first on ties.
 
-    Every measured segment is compared with every predicted one, as the definition asks; only the running minimum leaves a
-    task, so what is shuffled is a row for each segment and task.
+    Every measured segment is compared with every predicted one, as the definition asks: blocks of both meet in pairs, a pair is
+    one product of matrices in a task, and only the nearest of each block leaves it. metric is correlation, euclidean, or a
+    function of two matrices that gives the distances of their rows.
     """
-    a, b = segments(measured, size, npc), segments(predicted, size, npc).select(F.col("seg").alias("other"), F.col("x").alias("y"))
-    if metric == "correlation":
-        centred = lambda c: F.transform(c, lambda v: v - F.aggregate(c, F.lit(0.0), lambda s, e: s + e) / F.size(c))
-        unit = lambda c: F.transform(c, lambda v: F.coalesce(F.try_divide(v, F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, e: s + e * e))), F.lit(0.0)))
-        a, b = a.withColumn("x", centred(F.col("x"))).withColumn("x", unit(F.col("x"))), b.withColumn("y", centred(F.col("y"))).withColumn("y", unit(F.col("y")))
-        d = 1.0 - F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e)
-    else:
-        d = distance(F.col("x"), F.col("y"))
-    best = a.crossJoin(b).select("seg", F.struct(F.round(d, 12).alias("d"), "other").alias("c")).groupBy("seg").agg(F.min("c").alias("c"))
+    a, na = blocked(segments(measured, size, npc), "seg", block)
+    b, nb = blocked(segments(predicted, size, npc), "seg", block)
+    a = a.select(F.lit(True).alias("own"), "seg", "x", F.col("block").alias("bi"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bj"))
+    b = b.select(F.lit(False).alias("own"), "seg", "x", F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("bi"), F.col("block").alias("bj"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seg")
+        mine, others = pdf[pdf["own"]], pdf[~pdf["own"]]
+        if not len(mine) or not len(others):
+            return pd.DataFrame({"seg": [], "d": [], "other": []})
+        d = np.round(_distances(np.stack(mine["x"].to_numpy()), np.stack(others["x"].to_numpy()), metric), 12)
+        at = d.argmin(axis=1)
+        return pd.DataFrame({"seg": mine["seg"].to_numpy(), "d": d[np.arange(len(d)), at], "other": others["seg"].to_numpy()[at]})
+
+    best = a.unionByName(b).groupBy("bi", "bj").applyInPandas(compare, "seg long, d double, other long").groupBy("seg").agg(F.min(F.struct("d", "other")).alias("c"))
     return best.select("seg", F.col("c.other").alias("nearest"), (F.col("c.other") == F.col("seg")).alias("correct"))
 
 
-def accuracy(measured: DataFrame, predicted: DataFrame, size: int = 1, npc: int | None = None, metric: str = "correlation", reduce: str | None = "avg") -> DataFrame:
-    """The share of segments identified, by any SQL aggregate of the flags; None gives the flags themselves."""
+def accuracy(measured: DataFrame, predicted: DataFrame, size: int = 1, npc: int | None = None, metric: str | Callable = "correlation", reduce: str | Callable[[Column], Column] | None = "avg") -> DataFrame:
+    """The share of segments identified, by an SQL aggregate of the flags, or a function that makes one of a column; None gives the flags themselves."""
     flags = identified(measured, predicted, size, npc, metric)
-    return flags if reduce is None else flags.agg(F.expr(f"{reduce}(CAST(correct AS DOUBLE))").alias("accuracy"))
+    if reduce is None:
+        return flags
+    correct = F.col("correct").cast("double")
+    return flags.agg((reduce(correct) if callable(reduce) else F.expr(f"{reduce}(CAST(correct AS DOUBLE))")).alias("accuracy"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,24 +61,40 @@ def polar(a: np.ndarray, side: str = "left") -> tuple[np.ndarray, np.ndarray]:
     raise ValueError("side is left or right")
 
 
-def gram(rows: DataFrame, chunks: int | None = None, remove_mean: bool = True) -> DataFrame:
-    """(i, j, value) for i <= j[, chunk]: inner products of rows(obs, x array), by column; chunks of columns are summed apart.
+def blocked(rows: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
+    """rows with `block`, by a hash of the key, and the number of blocks, of about `size` rows each."""
+    n = max(1, -(-rows.count() // size))
+    return rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
 
-    Long form: cells meet by column and products are summed by pair with partial aggregation.
+
+def gram(rows: DataFrame, chunks: int | None = None, remove_mean: bool = True, block: int = 1024) -> DataFrame:
+    """(i, j, value) for i <= j[, chunk]: inner products of rows(obs, x array of one length), by column; chunks of columns are summed apart.
+
+    Rows meet in pairs of blocks, each of which is one product of two matrices in a task.
     """
-    cells = rows.select("obs", F.posexplode("x").alias("col", "x"))
-    if remove_mean:
-        cells = cells.join(cells.groupBy("col").agg(F.avg("x").alias("m")), "col").select("obs", "col", (F.col("x") - F.col("m")).alias("x"))
-    if chunks:
-        n = rows.select(F.max(F.size("x"))).first()[0] or 0
-        base, more = divmod(n, chunks)  # the first n mod chunks chunks have one column more
-        edge = (base + 1) * more
-        chunk = F.when(F.col("col") < edge, F.floor(F.col("col") / (base + 1))).otherwise(more + F.floor((F.col("col") - edge) / max(base, 1)))
-        cells = cells.withColumn("chunk", chunk.cast("int"))
-    keys = ["col", "chunk"] if chunks else ["col"]
-    other = cells.select(*keys, F.col("obs").alias("j"), F.col("x").alias("y"))
-    both = cells.join(other, keys).where("obs <= j")
-    return both.groupBy(*(["chunk"] if chunks else []), F.col("obs").alias("i"), "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+    width = rows.select(F.max(F.size("x"))).first()[0] or 0
+    base, more = divmod(width, chunks or 1)  # the first n mod chunks chunks have one column more
+    edges = np.cumsum([0] + [base + (k < more) for k in range(chunks or 1)])
+    z = shifted(F.col("x"), means_of(rows, width)) if remove_mean and width else F.col("x")
+    cut, n = blocked(rows.select("obs", z.alias("z")), "obs", block)
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = dealt.select("obs", "z", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+
+    def products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("obs", ignore_index=True)
+        left, right = (pdf[pdf["block"] == b] for b in key)
+        out = []
+        x, y = (np.stack(side["z"].to_numpy()) if len(side) else np.zeros((0, width)) for side in (left, right))
+        a, b = np.meshgrid(left["obs"].to_numpy(), right["obs"].to_numpy(), indexing="ij")
+        keep = a <= b if key[0] == key[1] else np.ones(a.shape, bool)
+        for k in range(len(edges) - 1):
+            part = x[:, edges[k] : edges[k + 1]] @ y[:, edges[k] : edges[k + 1]].T
+            out.append(pd.DataFrame({"chunk": np.full(int(keep.sum()), k, np.int32), "i": np.minimum(a, b)[keep], "j": np.maximum(a, b)[keep], "value": part[keep]}))
+        return pd.concat(out)
+
+    kind = dict(rows.dtypes)["obs"]
+    found = dealt.groupBy("bi", "bj").applyInPandas(products, f"chunk int, i {kind}, j {kind}, value double")
+    return found if chunks else found.drop("chunk")
 
 
 def gram_matrix(g: DataFrame) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.resampling import group_bagging, group_bagging_plan, plan_table, withheld_table
-from .linalg import weighted
+from .linalg import means_of, shifted, weighted
 from .moments import matrix, moments
 
 
@@ -36,14 +36,26 @@ def ridge_weights(m: np.ndarray, alphas: list[float], npcs: list[int | None], fi
     return out
 
 
-def augmented(rows: DataFrame) -> DataFrame:
-    """rows(obs, x, y) with z = [1, x, y]."""
-    return rows.withColumn("z", F.concat(F.array(F.lit(1.0)), "x", F.array("y")))
+def augmented(rows: DataFrame, p: int) -> tuple[DataFrame, np.ndarray]:
+    """rows(obs, x, y) with z = [1, x, y] less the means of all rows, so that large means cancel nothing; and the means."""
+    mean = means_of(rows.select(F.concat("x", F.array("y")).alias("x")), p + 1)
+    return rows.withColumn("z", F.concat(F.array(F.lit(1.0)), shifted(F.concat("x", F.array("y")), mean))), mean
+
+
+def unshifted(beta: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Weights on shifted rows as weights on the rows: only the intercept moves."""
+    p = len(mean) - 1
+    beta[p] += mean[p] - np.tensordot(mean[:p], beta[:p], 1)
+    return beta
 
 
 def ridge_grid(rows: DataFrame, p: int, alphas: list[float], npcs: list[int | None], fit_intercept: bool = True) -> np.ndarray:
     """Weights of one model for each pair of parameters on all rows."""
-    return ridge_weights(matrix(moments(augmented(rows), p + 2), p + 2), alphas, npcs, fit_intercept)
+    if not fit_intercept:  # without an intercept the rows must stay where they are
+        raw = rows.withColumn("z", F.concat(F.array(F.lit(1.0)), "x", F.array("y")))
+        return ridge_weights(matrix(moments(raw, p + 2), p + 2), alphas, npcs, False)
+    z, mean = augmented(rows, p)
+    return unshifted(ridge_weights(matrix(moments(z, p + 2), p + 2), alphas, npcs), mean)
 
 
 def ridge(rows: DataFrame, p: int, alpha: float, npc: int | None = None, test: DataFrame | None = None, fit_intercept: bool = True):
@@ -57,18 +69,23 @@ def predicted(beta: np.ndarray, p: int):
     return x + float(beta[p]) if len(beta) > p else x
 
 
-def _fits(spark: SparkSession, rows: DataFrame, groups: DataFrame | list[np.ndarray], p: int, alphas, npcs, n_folds: int, n_reps: int, fit_intercept: bool, seed: int):
+def _fits(spark: SparkSession, rows: DataFrame, groups: DataFrame | list[np.ndarray], p: int, alphas, npcs, n_folds: int, n_reps: int, fit_intercept: bool, seed: int, given=None):
     """(member(grp, obs), withheld(split, grp), weights by split); a list of groups gets numpy's draws, made on the driver."""
-    if isinstance(groups, DataFrame):
+    if given is not None:
+        member, (plan, withheld) = groups, given
+    elif isinstance(groups, DataFrame):
         member = groups
         plan, withheld = group_bagging_plan(groups, n_folds, n_reps, seed)
     else:
         splits = group_bagging(groups, n_folds, n_reps, seed)
         member = spark.createDataFrame([(int(g), int(o)) for g, m in enumerate(groups) for o in m], "grp int, obs long")
         plan, withheld = plan_table(spark, [(t, np.zeros(0, int)) for t, _ in splits], n_folds), withheld_table(spark, splits)
-    z = weighted(spark, augmented(rows), plan).select("z", "counts")
+    wide, mean = augmented(rows, p) if fit_intercept else (rows.withColumn("z", F.concat(F.array(F.lit(1.0)), "x", F.array("y"))), None)
+    z = weighted(spark, wide, plan).select("z", "counts")
     found = moments(z, p + 2, "counts").collect()  # splits x (p + 2)^2 numbers
     betas = {r["split"]: ridge_weights(np.array(r["m"]).reshape(p + 2, p + 2), alphas, npcs, fit_intercept) for r in found}
+    if fit_intercept:
+        betas = {k: unshifted(b, mean) for k, b in betas.items()}
     # The plan marks no split empty: every split draws as many rows as there are.
     return member, withheld, betas
 
@@ -82,24 +99,25 @@ def _withheld_predictions(spark: SparkSession, rows: DataFrame, member: DataFram
     return held.join(weights, "split").select("split", "grp", "obs", "alpha", "npc", "y", pred.alias("pred"))
 
 
-def ridge_cv(spark: SparkSession, rows: DataFrame, groups: DataFrame | list[np.ndarray], p: int, alphas: list[float], npcs: list[int | None], n_folds: int = 5, n_reps: int = 20, fit_intercept: bool = True, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+def ridge_cv(spark: SparkSession, rows: DataFrame, groups: DataFrame | list[np.ndarray], p: int, alphas: list[float], npcs: list[int | None], n_folds: int = 5, n_reps: int = 20, fit_intercept: bool = True, seed: int = 0, given: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, np.ndarray]:
     """(yhat(obs, alpha, npc, yhat), mean weights): each group is predicted by the splits that withhold it; 0 if none does.
 
-    groups is member(grp, obs), or a list of the observations of each group for a plan made on the driver.
+    groups is member(grp, obs), or a list of the observations of each group for a plan made on the driver; a plan of one's own is
+    given as plan(split, obs, role, multiplicity) and withheld(split, grp).
     """
-    member, withheld, betas = _fits(spark, rows, groups, p, alphas, npcs, n_folds, n_reps, fit_intercept, seed)
+    member, withheld, betas = _fits(spark, rows, groups, p, alphas, npcs, n_folds, n_reps, fit_intercept, seed, given)
     held = _withheld_predictions(spark, rows, member, withheld, betas, p, fit_intercept)
     average = held.groupBy("obs", "alpha", "npc").agg(F.avg("pred").alias("yhat"))
     grid = rows.select("obs").withColumn("alpha", F.explode(F.array(*map(F.lit, range(len(alphas)))))).withColumn("npc", F.explode(F.array(*map(F.lit, range(len(npcs))))))
     return grid.join(average, ["obs", "alpha", "npc"], "left").withColumn("yhat", F.coalesce("yhat", F.lit(0.0))), np.mean(list(betas.values()), axis=0)
 
 
-def ridge_nested_cv(spark: SparkSession, rows: DataFrame, groups: DataFrame | list[np.ndarray], p: int, alphas: list[float], npcs: list[int | None], n_folds: int = 5, n_reps: int = 20, fit_intercept: bool = True, seed: int = 0) -> tuple[DataFrame, np.ndarray, DataFrame]:
+def ridge_nested_cv(spark: SparkSession, rows: DataFrame, groups: DataFrame | list[np.ndarray], p: int, alphas: list[float], npcs: list[int | None], n_folds: int = 5, n_reps: int = 20, fit_intercept: bool = True, seed: int = 0, given: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, np.ndarray, DataFrame]:
     """(yhat(obs, yhat), weights at the best pair of all, choices(grp, alpha, npc) with grp -1 for all).
 
     A group's pair is chosen by the squared errors on every other group, predicted by the splits that withhold both.
     """
-    member, withheld, betas = _fits(spark, rows, groups, p, alphas, npcs, n_folds, n_reps, fit_intercept, seed)
+    member, withheld, betas = _fits(spark, rows, groups, p, alphas, npcs, n_folds, n_reps, fit_intercept, seed, given)
     held = _withheld_predictions(spark, rows, member, withheld, betas, p, fit_intercept)
     mine = withheld.withColumnRenamed("grp", "g")
     pair = held.join(mine, "split").where("g <> grp").groupBy("g", "obs", "alpha", "npc").agg(F.avg("pred").alias("pred"), F.first("y").alias("y"))

@@ -82,28 +82,39 @@ def normalized(df: DataFrame, x: str, by: list[str] = (), clip: float | tuple[fl
     return out.withColumn("z", F.col("m") + F.col("s") * F.col("z")).drop("m", "s")
 
 
-def deciles(df: DataFrame, x: str, by: list[str] = (), ignore_nan: bool = True) -> DataFrame:
-    """(by, decile 0 to 100 by tens, value), linearly interpolated, without values that are not numbers.
+def quantiles(df: DataFrame, x: str, shares: list[float], by: list[str] = (), ignore_nan: bool = True) -> DataFrame:
+    """(by, share, value) for each of the shares, linearly interpolated, without values that are not numbers.
 
-    Each value says which of the two neighbors of a decile's position it covers; no task holds a group's values.
+    Each value says which of the two neighbors of a share's position it covers; no task holds a group's values.
     """
     kept = df.where(F.col(x).isNotNull() & ~F.isnan(x)) if ignore_nan else df.where(F.col(x).isNotNull())
-    at = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda d: F.struct((d * 10).cast("long").alias("decile"), ((F.col("n") - 1) * d / 10).alias("pos")))
-    asked = counted(kept, x, by).withColumn("d", F.explode(at)).select(*by, x, "k", "start", "d.decile", "d.pos")
+    at = F.transform(F.array(*[F.lit(float(s)) for s in shares]), lambda d: F.struct(d.alias("share"), ((F.col("n") - 1) * d).alias("pos")))
+    asked = counted(kept, x, by).withColumn("d", F.explode(at)).select(*by, x, "k", "start", "d.share", F.round("d.pos", 9).alias("pos"))
     covers = lambda place: (F.col("start") <= place) & (place < F.col("start") + F.col("k"))
     share = F.col("pos") - F.floor("pos")
     low, high = covers(F.floor("pos")), covers(F.ceil("pos"))
     value = F.when(low & high, F.col(x)).when(low, F.col(x) * (1 - share)).otherwise(F.col(x) * share)
-    return asked.where(low | high).groupBy(*by, "decile").agg(F.sum(value).alias("value"))
+    return asked.where(low | high).groupBy(*by, "share").agg(F.sum(value).alias("value"))
+
+
+def deciles(df: DataFrame, x: str, by: list[str] = (), ignore_nan: bool = True) -> DataFrame:
+    """(by, decile 0 to 100 by tens, value)"""
+    found = quantiles(df, x, [k / 10 for k in range(11)], by, ignore_nan)
+    return found.select(*by, F.round(F.col("share") * 100).cast("long").alias("decile"), "value")
 
 
 def summary(df: DataFrame, x: str, by: list[str] = (), most: int = 10) -> DataFrame:
-    """What a listing shows of values: the distinct ones if at most `most`, else six percentiles."""
-    few = F.slice(F.array_sort(F.collect_set(x)), 1, most)
-    distinct = df.groupBy(*by).agg(F.count_distinct(x).alias("n_distinct"), F.percentile(x, F.array(*map(F.lit, (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)))).alias("percentiles"))
-    small = df.select(*by, x).distinct()
-    listed = small.join(distinct.where(F.col("n_distinct") <= most), list(by)).groupBy(*by).agg(few.alias("values")) if by else None
-    return distinct if listed is None else distinct.join(listed, list(by), "left")
+    """(by, n, n_distinct, values, percentiles): what a listing shows - the distinct values if at most `most`, else six percentiles.
+
+    Values are counted before anything is listed, so a list has at most `most` of them.
+    """
+    counts = written(df.sparkSession, df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("k")), "counts")
+    totals = counts.groupBy(*by).agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
+    meet = lambda a, b: a.join(b, list(by), "left") if by else a.crossJoin(F.broadcast(b))  # noqa: E731 - a row each without keys
+    few = meet(counts, totals).where(F.col("n_distinct") <= most).groupBy(*by).agg(F.array_sort(F.collect_list(x)).alias("values"))
+    many = quantiles(df, x, [k / 5 for k in range(6)], by).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("share", "value"))), lambda p: p["value"]).alias("percentiles"))
+    found = meet(meet(totals, few), many)
+    return found.withColumn("percentiles", F.when(F.col("n_distinct") > most, F.col("percentiles"))).withColumn("values", F.when(F.col("n_distinct") <= most, F.col("values")))
 
 
 def all_finite(signal: DataFrame, by: list[str]) -> DataFrame:

@@ -539,3 +539,7 @@ def overlap_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geodesic.overlap_transform(m, m, fine, n_div=2, t_div=4).select("src", "dst", six("w"))
 
 
+
+
+# Further queries register themselves.
+from . import registry_meshes, registry_models, registry_sources  # noqa: E402, F401

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
-from .mesh import Mesh, barycentric, corners, edge_lengths, face_areas, vertex_areas
+from .hull import union_sphere
+from .mesh import Mesh, barycentric, corners, edge_lengths, face_areas, interpolation, sphere, subdivided, union_points, vertex_areas
 
 
 def nearest_seed(edges: DataFrame, seeds: DataFrame, max_dist: float | None = None) -> DataFrame:
@@ -135,3 +136,36 @@ def areal(mesh: Mesh, first: DataFrame, second: DataFrame) -> DataFrame:
     seeds = lambda s: s.select("v", F.col("v").alias("seed"), F.lit(0.0).alias("d"))
     a, b = nearest_seed(edges, seeds(first)).select("v", F.col("seed").alias("src")), nearest_seed(edges, seeds(second)).select("v", F.col("seed").alias("dst"))
     return a.join(b, "v").join(vertex_areas(mesh), "v").groupBy("src", "dst").agg(F.sum("area").alias("w"))
+
+
+def areal_transform(sphere_mesh: Mesh, anatomy: DataFrame, first: DataFrame, second: DataFrame | None = None, eps: float = 1e-10) -> DataFrame:
+    """The transform (src, dst, w) by shared area between points(v, x, y, z) on a sphere: from first to second, or from the sphere's own vertices to first.
+
+    All points become vertices of one sphere, whose places in the anatomy(v, x, y, z) are interpolated; each vertex's area there
+    goes to its nearest point of either side, along edges.
+    """
+    points = sphere(first) if second is None else None
+    if second is not None:
+        one, two = sphere(first), sphere(second)
+        points, index = union_points(one, two, eps)
+    every, placed = union_sphere(sphere_mesh, points, eps)
+    found = interpolation(sphere_mesh, every.vertices.withColumnRenamed("v", "p"))
+    sums = found.join(anatomy.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v"))
+    there = sums.agg(*[F.sum(F.col(k) * F.col("w")).alias(k) for k in "xyz"])
+    if second is None:
+        own = sphere_mesh.vertices.select("v", F.col("v").alias("name"))
+        other = placed.select(F.col("u").alias("v"), F.col("v").alias("name"))
+    else:
+        own = one.select("v").join(placed, "v").select(F.col("u").alias("v"), F.col("v").alias("name"))
+        other = index.withColumnRenamed("v", "name").join(placed.withColumnRenamed("u", "at"), F.col("u") == F.col("v")).select(F.col("at").alias("v"), "name")
+    shares = areal(Mesh(there, every.faces), own.select("v"), other.select("v").distinct())
+    named = shares.join(own.select(F.col("v").alias("src"), F.col("name").alias("from")), "src").join(other.select(F.col("v").alias("dst"), F.col("name").alias("to")), "dst")
+    return named.select(F.col("from").alias("src"), F.col("to").alias("dst"), "w")
+
+
+def areal_highres(sphere_mesh: Mesh, anatomy: DataFrame, first: DataFrame, second: DataFrame | None = None, n_div: int = 4) -> DataFrame:
+    """areal_transform() on the sphere and the anatomy with each face cut in n_div squared; without second from the sphere's own vertices to first."""
+    fine = subdivided(sphere_mesh, n_div, on_sphere=True)
+    fine_anatomy = subdivided(Mesh(anatomy, sphere_mesh.faces), n_div).vertices
+    pair = (sphere_mesh.vertices, first) if second is None else (first, second)
+    return areal_transform(fine, fine_anatomy, *pair)

@@ -148,12 +148,16 @@ def _numbered(df: DataFrame, order: list[str], base: int) -> DataFrame:
     return spread.join(F.broadcast(offset), "part").select(*df.columns, (F.col("offset") + F.row_number().over(inside) - 1 + base).cast("long").alias("id"))
 
 
-def barycentric(mesh: Mesh, points: DataFrame, eps: float = 5e-9, cells: int = 8) -> DataFrame:
+def barycentric(mesh: Mesh, points: DataFrame, eps: float = 5e-9, cells: int | None = None) -> DataFrame:
     """(p, f, wa, wb, wc): the face that the ray from the origin through each point(p, x, y, z) meets, and its weights.
 
     Faces are entered into all cells of a grid over directions that their bounding box touches, points into one, so
-    candidates meet by an equi-join; the face of the largest smallest weight wins, the first on ties.
+    candidates meet by an equi-join, in cells whose size follows from the number of faces; the face of the largest smallest weight wins, the first on ties.
     """
+    if cells is None:
+        # F faces cover a sphere of area 4 pi; a cell as wide as two of their edges holds a few faces at any size of the mesh.
+        cells = int(min(2048, max(4, (max(mesh.faces.count(), 1) ** 0.5) / 3)))
+
     def cell(k, scale):
         return F.floor((F.least(F.greatest(k, F.lit(-1.0)), F.lit(0.999999)) + 1.0) * (cells / 2) + scale).cast("int")
 

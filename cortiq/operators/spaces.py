@@ -157,6 +157,23 @@ def parcellation(probabilities: DataFrame, transform: DataFrame) -> DataFrame:
     return best.select("v", F.when(F.col("b.label") == 0, -1).otherwise(F.col("b.label")).alias("label"))
 
 
+def with_background(parcels: DataFrame, vertices: DataFrame) -> DataFrame:
+    """parcels(label, v, p) with label 0, of probability 0 everywhere, for each of vertices(v)."""
+    return parcels.select("label", "v", "p").unionByName(vertices.select(F.lit(0).cast(dict(parcels.dtypes)["label"]).alias("label"), "v", F.lit(0.0).alias("p")))
+
+
+def masks_differ(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(v) where two masks(v, keep) disagree, or where only one has the vertex."""
+    both = first.join(second.withColumnRenamed("keep", "other"), "v", "full")
+    return both.where(~F.col("keep").eqNullSafe(F.col("other"))).select("v")
+
+
+def peaks_in(parcels: DataFrame, members: DataFrame) -> DataFrame:
+    """(label, v, found): each parcel's likeliest vertex (the first on ties), and whether members(label, v) has it."""
+    peaks = parcels.where("label > 0").groupBy("label").agg(F.min(F.struct((-F.col("p")).alias("p"), "v")).alias("b")).select("label", "b.v")
+    return peaks.join(members.select("label", "v").distinct().withColumn("found", F.lit(True)), ["label", "v"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def vertex_count(ico: int) -> int:
     """Vertices of an icosahedron whose edges are divided by ico."""
     return 10 * ico * ico + 2

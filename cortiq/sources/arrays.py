@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 DENSE = "path string, i long, j long, x double"
 SPARSE = "path string, src long, dst long, w double"
 RAGGED = "path string, center long, pos long, v long, dist double"
@@ -113,12 +118,67 @@ def memoised(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def put(path: str, content: bytes) -> None:
+    """A file written by the task that calls it, on any store; it is there as a whole or not at all."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    store.create_dir(name.rpartition("/")[0], recursive=True)
+    part = f"{name}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as f:
+        f.write(content)
+    store.move(part, name)
+
+
+def save_arrays(cells: DataFrame, folder: str, kind: str = "npy") -> DataFrame:
+    """A file for each name: dense arrays of cells(name, i, j, x), or with kind npz sparse matrices of cells(name, src, dst, w). (name, path, bytes).
+
+    A file holds one array, so a task does. Cells that are absent are 0.
+    """
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out, path = io.BytesIO(), f"{folder.rstrip('/')}/{key[0]}.{kind}"
+        if kind == "npy":
+            a = np.zeros((int(pdf["i"].max()) + 1, int(pdf["j"].max()) + 1))
+            a[pdf["i"], pdf["j"]] = pdf["x"]
+            np.save(out, a)
+        else:
+            shape = (int(pdf["src"].max()) + 1, int(pdf["dst"].max()) + 1)
+            np.savez_compressed(out, format="coo", shape=shape, row=pdf["src"].to_numpy(), col=pdf["dst"].to_numpy(), data=pdf["w"].to_numpy())
+        put(path, out.getvalue())
+        return pd.DataFrame({"name": [key[0]], "path": [path], "bytes": [out.tell()]})
+
+    if kind not in ("npy", "npz"):
+        raise TypeError(f"no writer for {kind}")
+    return written(cells.sparkSession, cells.groupBy("name").applyInPandas(write, "name string, path string, bytes long"), "arrays-written")
+
+
+def content_digest(path: str, content: bytes) -> str:
+    """What two files have in common if they say the same: arrays by shape and values, archives by their keys, meshes by both arrays, others by bytes."""
+    if path.endswith((".npy", ".npz")):
+        found = np.load(io.BytesIO(content), allow_pickle=False)
+        parts = {"": found} if path.endswith(".npy") else {k: found[k] for k in sorted(found.files)}
+        said = [k.encode() + repr(a.shape).encode() + (a.astype(float).tobytes() if a.dtype.kind in "biuf" else a.astype(str).tobytes()) for k, a in parts.items()]
+    elif path.endswith(".gii"):
+        from .surfaces import gifti
+
+        said = [a.tobytes() for a in gifti(content)]
+    else:
+        said = [content]
+    return path.rpartition(".")[2] + hashlib.sha256(b"\0".join(said)).hexdigest()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [content_digest(p, c) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "digest": pa.array(found, pa.string())})
+
+
 def compared(spark: SparkSession, left: str, right: str) -> DataFrame:
-    """(path, status) of files below two folders: same, differs, only left or only right, by content digests."""
+    """(path, status) of files below two folders: same, differs, only left or only right, by what the files say."""
     def digests(root: str) -> DataFrame:
         base = root.rstrip("/").removeprefix("file:").lstrip("/")
         rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), "^" + base.replace(".", r"\.") + "/", "")
-        return files(spark, root).select(rel.alias("path"), F.sha2("content", 256).alias("digest"))
+        return files(spark, root).select("path", "content").mapInArrow(_digests, "path string, digest string").select(rel.alias("path"), "digest")
 
     a, b = digests(left), digests(right).withColumnRenamed("digest", "other")
     status = F.when(F.col("other").isNull(), "only left").when(F.col("digest").isNull(), "only right").when(F.col("digest") == F.col("other"), "same").otherwise("differs")

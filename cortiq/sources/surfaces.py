@@ -8,12 +8,14 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.mesh import Mesh
-from .arrays import files
+from .arrays import files, put
+from .scratch import written
 
 
 def freesurfer(content: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +49,40 @@ def sniffed(content: bytes) -> tuple[np.ndarray, np.ndarray]:
     return freesurfer(content) if content[:3] == b"\xff\xff\xfe" else gifti(content)
 
 
+def to_freesurfer(xyz: np.ndarray, faces: np.ndarray) -> bytes:
+    head = b"\xff\xff\xfe" + b"triangles\n\n" + np.array([len(xyz), len(faces)], ">i4").tobytes()
+    return head + xyz.astype(">f4").tobytes() + faces.astype(">i4").tobytes()
+
+
+def to_gifti(xyz: np.ndarray, faces: np.ndarray) -> bytes:
+    """Points and triangles, compressed."""
+    root = ET.Element("GIFTI", Version="1.0", NumberOfDataArrays="2")
+    for intent, kind, a in (("NIFTI_INTENT_POINTSET", "NIFTI_TYPE_FLOAT32", xyz.astype("<f4")), ("NIFTI_INTENT_TRIANGLE", "NIFTI_TYPE_INT32", faces.astype("<i4"))):
+        shape = {f"Dim{i}": str(n) for i, n in enumerate(a.shape)}
+        array = ET.SubElement(root, "DataArray", Intent=intent, DataType=kind, ArrayIndexingOrder="RowMajorOrder", Dimensionality="2", Encoding="GZipBase64Binary", Endian="LittleEndian", **shape)
+        ET.SubElement(array, "Data").text = base64.b64encode(zlib.compress(a.tobytes())).decode()
+    return ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+
+
+def write_meshes(mesh: Mesh, folder: str, kind: str = "gifti", radius: float = 1.0) -> DataFrame:
+    """A file for each mesh of vertices(mesh, v, x, y, z), faces(mesh, f, a, b, c): (mesh, path, bytes). Spheres are stored with a radius of 100.
+
+    A file holds one mesh, so a task does; a mesh's size is bounded by its space.
+    """
+    ending, encode = {"gifti": (".surf.gii", to_gifti), "freesurfer": ("", to_freesurfer)}[kind]
+
+    def write(key: tuple, v: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        content = encode(v.sort_values("v")[["x", "y", "z"]].to_numpy() * radius, f.sort_values("f")[["a", "b", "c"]].to_numpy())
+        path = f"{folder.rstrip('/')}/{key[0]}{ending}"
+        put(path, content)
+        return pd.DataFrame({"mesh": [key[0]], "path": [path], "bytes": [len(content)]})
+
+    kind_of_key = dict(mesh.vertices.dtypes)["mesh"]
+    faces = mesh.faces.select("mesh", "f", "a", "b", "c").toDF("of", "f", "a", "b", "c")  # a name of its own, for tables with common columns
+    found = mesh.vertices.groupBy("mesh").cogroup(faces.groupBy("of")).applyInPandas(write, f"mesh {kind_of_key}, path string, bytes long")
+    return written(mesh.vertices.sparkSession, found, "meshes-written")
+
+
 def _rows(parse: Callable, which: int):
     names = ("v", "x", "y", "z") if which == 0 else ("f", "a", "b", "c")
 

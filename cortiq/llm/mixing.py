@@ -7,7 +7,9 @@ within TOLERANCE; targets that the cells cannot meet raise an error. The cells a
 there are more than ONE_ROW of them, a table with a join a step. A document's probability is its cell's weight over its
 tokens, scaled so that the largest is 1; it is sampled when a hash of its id, as a number in [0, 1), is below that.
 
-Without given targets, they are the marginals of the cells' tokens ** TEMPER: the same cells can meet these by construction.
+Without given targets, they are the marginals of the cells' tokens, each times its source's and its language's tokens to the
+power TEMPER - 1: small sources and languages gain, topics keep what they then have, and the same cells can meet these targets by
+construction.
 
 Defined results: null source, language or topic is a value of its own, `(none)`; null and empty texts have no tokens and
 keep their cell's probability; a cell without tokens has probability 1; rows that repeat an id are sampled alike (if in
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 from ._shared import small_or_not, written
 
 MARGINALS = ("source", "lang", "topic")
-#: Without given targets, cells count by their tokens to this power.
+#: Without given targets, sources and languages count by their tokens to this power.
 TEMPER = 0.8
-#: Steps between two looks at the error, the largest error as a share of all tokens, and the steps after which an error is raised.
-BATCH, TOLERANCE, MOST_ROUNDS = 40, 1e-10, 20_000
+#: Rounds between two looks at the error, the largest error as a share of all tokens, and the share of an error that must be left
+#: after a look at most: else the targets cannot be met, and an error is raised.
+BATCH, TOLERANCE, STALLED = 40, 1e-10, 0.999
 #: Up to so many cells are raked as one row of arrays.
 ONE_ROW = 2_000
 #: Signs of topics in a text, found in one pass, and which of them speak for each topic; stems of license texts.
@@ -85,9 +88,11 @@ def keyed(docs: DataFrame, names: dict[str, str], topic: Column | None = None, t
 
 def _targets(cells: DataFrame, targets: dict[str, dict[str, float]], temper: float) -> DataFrame:
     """(marginal, value, share): what each marginal's values with tokens shall have."""
-    parts = []
+    parts, tempered = [], cells.withColumn("t", F.col("tokens").cast("double"))
+    for m in ("source", "lang"):
+        tempered = tempered.join(cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper - 1)).alias("f")), m).withColumn("t", F.col("t") * F.col("f")).drop("f")
     for m in MARGINALS:
-        sums = cells.groupBy(F.col(m).alias("value")).agg(F.sum(F.pow(F.col("tokens").cast("double"), F.lit(temper))).alias("share"))
+        sums = tempered.groupBy(F.col(m).alias("value")).agg(F.sum("t").alias("share"))
         if m in targets:
             known = F.create_map(*[x for k, v in targets[m].items() for x in (F.lit(k), F.lit(float(v)))])
             sums = sums.withColumn("share", F.coalesce(F.try_element_at(known, F.col("value")), F.lit(0.0)))
@@ -122,6 +127,13 @@ def _step(w: Column, m: str) -> Column:
     return F.element_at(F.transform(F.array(factors), lambda f: F.zip_with(w, F.col(f"at_{m}"), lambda x, k: x * F.element_at(f, k))), 1)
 
 
+def _nearer(before: float, worst: float) -> float:
+    """The error now, if it still falls."""
+    if worst > STALLED * before:
+        raise ValueError(f"targets cannot be met: a marginal stays off by {worst:.3g} of all tokens")
+    return worst
+
+
 def _raked_row(spark: SparkSession, cells: DataFrame, targets: DataFrame) -> DataFrame:
     row = _as_row(cells, targets)
 
@@ -130,20 +142,22 @@ def _raked_row(spark: SparkSession, cells: DataFrame, targets: DataFrame) -> Dat
             w = F.element_at(F.transform(F.array(w), lambda x: _step(x, m)), 1)
         return w
 
-    for done in range(0, MOST_ROUNDS, BATCH):
+    before = float("inf")
+    while True:
         row = written(spark, row.withColumn("w", F.aggregate(F.sequence(F.lit(1), F.lit(BATCH)), F.col("w"), round_of)), "raked")
         errors = [F.array_max(F.zip_with(F.col(f"t_{m}"), _sums(F.col("w"), m), lambda t, s: F.abs(t - s))) for m in MARGINALS]
         worst = row.select(F.greatest(*errors)).first()[0]
         if worst <= TOLERANCE:
             return row.select(F.inline(F.zip_with("cells", "w", lambda c, w: F.struct(*[c[m].alias(m) for m in MARGINALS], w.alias("weight")))))
-    raise ValueError(f"targets cannot be met: after {MOST_ROUNDS} rounds a marginal is off by {worst:.3g} of all tokens")
+        before = _nearer(before, worst)
 
 
 def _raked_table(spark: SparkSession, cells: DataFrame, targets: DataFrame) -> DataFrame:
     total = float(cells.agg(F.sum("tokens")).first()[0])
     goals = {m: written(spark, targets.where(F.col("marginal") == m).select(F.col("value").alias(m), "share"), "targets") for m in MARGINALS}
     state = cells.select(*MARGINALS, (F.col("tokens") / total).alias("weight"))
-    for _ in range(MOST_ROUNDS):
+    before = float("inf")
+    while True:
         for m in MARGINALS:
             sums = state.groupBy(m).agg(F.sum("weight").alias("now"))
             factors = sums.join(goals[m], m).select(m, F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(F.lit(0.0)).alias("factor"))
@@ -152,7 +166,7 @@ def _raked_table(spark: SparkSession, cells: DataFrame, targets: DataFrame) -> D
         worst = max(state.groupBy(m).agg(F.sum("weight").alias("now")).join(goals[m], m).agg(F.max(F.abs(F.col("now") - F.col("share")))).first()[0] for m in MARGINALS)
         if worst <= TOLERANCE:
             return state
-    raise ValueError(f"targets cannot be met: after {MOST_ROUNDS} rounds a marginal is off by {worst:.3g} of all tokens")
+        before = _nearer(before, worst)
 
 
 def raked(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER) -> DataFrame:
@@ -187,7 +201,7 @@ def calibrated(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str
 def mixed_documents(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, temper: float = TEMPER) -> DataFrame:
     """The sampled documents, with all their columns; each row is sampled by its own cell, whatever rows share its id."""
     names = {n: f"{n}_{uuid.uuid4().hex}" for n in (*MARGINALS, "tokens")}
-    rows = keyed(docs, names, topic, tokens)
+    rows = written(spark, keyed(docs, names, topic, tokens), "marginals")  # else filters on a topic would find it again
     chance = chances(spark, rows, names, targets, temper).withColumnsRenamed({m: names[m] for m in MARGINALS} | {"probability": (drawn := f"p_{uuid.uuid4().hex}")})
     joined = rows.join(chance, [names[m] for m in MARGINALS])
     return joined.where(uniform(F.col("doc_id")) < F.col(drawn)).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -201,15 +215,16 @@ def oracle(rounds: int = 400) -> str:
     most = f"greatest({', '.join(f'n{i}' for i in range(len(names)))})"
     which = " ".join(f"WHEN n{i} = {most} THEN '{n}'" for i, n in enumerate(names))
     index = ", ".join(f"list_transform(range(1, {'{n}'} + 1), lambda i: list_position(v_{m}, c[i].{m})) AS at_{m}" for m in MARGINALS).replace("{n}", "len(c)")
-    shares = ", ".join(f"list_transform(v_{m}, lambda v: list_sum(list_transform(list_filter(c, lambda x: x.{m} = v), lambda x: pow(x.tokens, {TEMPER}))) / z) AS t_{m}" for m in MARGINALS)
+    shares = ", ".join(f"list_transform(v_{m}, lambda v: list_sum(list_transform(list_filter(c, lambda x: x.{m} = v), lambda x: x.t)) / z) AS t_{m}" for m in MARGINALS)
     members = ", ".join(f"list_transform(range(1, len(v_{m}) + 1), lambda k: list_filter(range(1, len(c) + 1), lambda i: at_{m}[i] = k)) AS in_{m}" for m in MARGINALS)
     sql = f"""
 WITH RECURSIVE texts AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS t, regexp_replace(t, '{LETTERS}', 'a', 'g') AS z, regexp_extract_all(z, '{SIGNS}') AS s FROM documents),
 counts AS (SELECT doc_id, source, lang, len(regexp_extract_all(z, '{PIECES}')) AS tokens, {counts} FROM texts),
 rows AS MATERIALIZED (SELECT doc_id, source, lang, tokens, CASE WHEN {most} = 0 OR {most} * {SHARE} < tokens THEN 'prose' {which} END AS topic FROM counts),
 cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM rows GROUP BY ALL HAVING sum(tokens) > 0),
-one AS (SELECT list({{'source': source, 'lang': lang, 'topic': topic, 'tokens': tokens}} ORDER BY source, lang, topic) AS c, sum(tokens) AS total, sum(pow(tokens, {TEMPER})) AS z,
-  list(DISTINCT source) AS v_source, list(DISTINCT lang) AS v_lang, list(DISTINCT topic) AS v_topic FROM cells),
+tempered AS (SELECT *, tokens * pow(sum(tokens) OVER (PARTITION BY source), {TEMPER - 1}) * pow(sum(tokens) OVER (PARTITION BY lang), {TEMPER - 1}) AS t FROM cells),
+one AS (SELECT list({{'source': source, 'lang': lang, 'topic': topic, 'tokens': tokens, 't': t}} ORDER BY source, lang, topic) AS c, sum(tokens) AS total, sum(t) AS z,
+  list(DISTINCT source) AS v_source, list(DISTINCT lang) AS v_lang, list(DISTINCT topic) AS v_topic FROM tempered),
 two AS (SELECT *, {index} FROM one),
 three AS MATERIALIZED (SELECT *, {shares}, {members} FROM two),
 raking AS (SELECT 0 AS r, list_transform(c, lambda x: x.tokens / total) AS w FROM three UNION ALL

@@ -206,13 +206,13 @@ def _block_ids(df: pd.DataFrame) -> np.ndarray:
     return new.cumsum().to_numpy()
 
 
-def _product(pdf: pd.DataFrame) -> pd.DataFrame:
+def _product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """The max-plus product of the matrices of a group, in their order."""
     out = None
     for m in pdf.sort_values("block")["matrix"]:
         m = np.array(m).reshape(STATES, STATES)
         out = m if out is None else (out[:, :, None] + m[None]).max(axis=1)
-    return pd.DataFrame({"key": [pdf["key"].iloc[0]], "block": [pdf["block"].iloc[0] // FAN], "matrix": [out.ravel()]})
+    return pd.DataFrame({"key": [key[0]], "block": [key[1]], "matrix": [out.ravel()]})
 
 
 def _borders(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -236,7 +236,7 @@ def fixed_borders(spark: SparkSession, matrices: DataFrame) -> DataFrame:
     """(key, block, before, last) from (key, block, matrix) of all blocks of the conversations, counted from 0."""
     levels = [written(spark, matrices, "matrices")]
     while (levels[-1].agg(F.max("block")).first()[0] or 0) >= FAN:
-        groups = levels[-1].groupBy("key", F.floor(F.col("block") / FAN))
+        groups = levels[-1].groupBy("key", F.floor(F.col("block") / FAN).alias("part"))
         levels.append(written(spark, groups.applyInPandas(_product, "key string, block long, matrix array<double>"), "matrices"))
     fixed = levels[-1].select("key", F.lit(0).cast("long").alias("part"), F.lit(-1).alias("before"), F.lit(-1).alias("last")).distinct()
     for level in reversed(levels):

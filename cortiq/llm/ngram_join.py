@@ -40,6 +40,8 @@ HASHES = BANDS * ROWS
 STEP, TOLERANCE = 25, 1e-6
 #: Nodes in a block; a task holds two blocks at a time.
 BLOCK = 128
+#: A group is dealt as a whole if its pairs, times this, are at most those of its buckets.
+WHOLE_COST = 1.0
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**32, HASHES, np.uint32)[:, None]
@@ -205,7 +207,7 @@ def _units(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     pairs = lambda n: n * (n - 1) / 2.0
     alone = buckets.join(groups.select(F.col("node").alias("tie"), "component"), "tie").groupBy("component").agg(F.sum(pairs(F.col("n"))).alias("alone"))
     sizes = written(spark, groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).join(alone, "component"), "group-sizes")
-    chosen = groups.join(sizes, "component").select("node", "component", "size", (pairs(F.col("size")) <= F.col("alone")).alias("whole"))
+    chosen = groups.join(sizes, "component").select("node", "component", "size", (pairs(F.col("size")) * WHOLE_COST <= F.col("alone")).alias("whole"))
     chosen = written(spark, chosen, "groups")
     whole = chosen.where("whole").select("node", F.col("component").alias("unit"), F.lit(-1).alias("band"), F.col("size").alias("n"))
     apart = members.join(chosen.where("NOT whole").select("node"), "node").select("node", F.col("key").alias("unit"), "band", "n")

@@ -57,6 +57,29 @@ def token_rows(docs, tokenizer, end_id=2):
     return out
 
 
+def pieces(text):
+    """Runs of letters, of digits and of other signs, between white space."""
+    return re.findall("[A-Za-z\x80-\U0010ffff]+|[0-9]+|[^ \t\n\r\f0-9A-Za-z\x80-\U0010ffff]+", text or "")
+
+
+def links(docs):
+    """(links by id, class by id) of all pairs at 0.8 or more."""
+    sets, count, parent = {d: shingles(t) for d, t in docs}, {d: 0 for d, _ in docs}, {d: d for d, _ in docs}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= 0.8:
+                count[a] += 1
+                count[b] += 1
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return count, {d: root(d) for d in sets}
+
+
 def shingles(text, k=5):
     w = words(text)
     k = min(k, len(w))

@@ -7,45 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cortiq.llm import html_text, toxicity, url_filter
-
-
-@pytest.fixture(scope="module")
-def trees(spark):
-    return url_filter.train(url_filter.labelled_urls(spark))
-
-
-def test_url_labels_overlap(spark):
-    """No cut of a single feature tells the generator's labels apart."""
-    found = url_filter.featured(url_filter.labelled_urls(spark)).toPandas()
-    y = found["blocked"].to_numpy()
-    for f in url_filter.FEATURES:
-        v = found[f].to_numpy()
-        right = [((v > c) == y).mean() for c in np.unique(v)]
-        assert 0.15 < min(right) and max(right) < 0.85, f
-    assert 0.4 < y.mean() < 0.6 and found.groupby("suffix")["blocked"].mean()[["example.org", "example.top"]].diff().iloc[1] > 0.3
-
-
-def test_url_trees_use_many_features(trees):
-    used = set(trees.feature[np.isfinite(trees.cut)].tolist())
-    assert len(used) >= 8 and len(url_filter.FEATURES) in used  # the last one is the suffix statistic
-
-
-def test_url_trees_judge_other_urls(spark, trees):
-    """URLs that neither the labels nor the tables have: held-out ones, and words of their own."""
-    held = url_filter.labelled_urls(spark, 8000).offset(4000).withColumn("page_id", F.monotonically_increasing_id())
-    got = url_filter.judged(spark, held, trees, rules=()).toPandas()
-    assert ((got["verdict"] == "block") == (got["blocked"] == 1)).mean() > 0.8
-    clean = ["https://blue-lake.info/news/12", "https://north-river.com/en/about", "https://www.old-town.org/fr/4471.html", "https://stone-bridge.net/de/22/", "https://www.garden.org/en/3810"]
-    spam = [
-        "http://zkqjxwvpbhtgms7719.top/a/99120/xx/yy/881?id=77120&aff=1288&ref=x",
-        "http://gqkzpwtjhmxqgk.info/en/48812/zzz?id=991223&aff=44",
-        "http://buy.cheapmeds4821.top:8080/es/7719/q/w/12?ref=x&id=811234&aff=9911",
-        "http://dealz99881.info/news/1288/zz?page=2&id=128833",
-    ]
-    rows = spark.createDataFrame(list(enumerate(clean + spam)), "page_id long, url string")
-    got = {r["page_id"]: r["verdict"] for r in url_filter.judged(spark, rows, trees, rules=()).collect()}
-    assert [got[i] for i in range(len(got))] == ["allow"] * len(clean) + ["block"] * len(spam)
+from cortiq.llm import html_text, toxicity
 
 
 INSIDE = {

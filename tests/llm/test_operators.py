@@ -436,13 +436,13 @@ def test_toxicity_training_rows(spark, monkeypatch):
 
 
 def test_very_long_texts(spark):
-    text = "some words go on " * 30_000
-    docs = docs_of(spark, [text, text + "end", "short one"])
+    text = " ".join(f"word{i % 997} goes{i % 13}" for i in range(30_000))
+    docs = docs_of(spark, [text, text + " end", "short one", "another bad one"])
     assert ngram_join.near_duplicates(spark, docs).where("class_id = 0").count() == 2
-    model = toxicity.train(docs, spark.createDataFrame([(0, 0), (2, 1)], "doc_id long, toxic int"))
-    assert toxicity.scores(spark, docs, model).count() == 3
+    model = toxicity.train(docs, spark.createDataFrame([(2, 0), (3, 1)], "doc_id long, toxic int"))
+    assert toxicity.scores(spark, docs, model).count() == 4
     pages = spark.createDataFrame([(0, "u", f"<article><p>{text}</p></article>")], "page_id long, url string, html string")
-    assert html_text.extracted(spark, pages).first()["n_chars"] == len(text) - 1
+    assert html_text.extracted(spark, pages).first()["n_chars"] == len(text)
     lines = spark.createDataFrame([(1, 0, text, "user")], "conv_id long, line_no long, text string, role string")
     assert chat_format.parsed(spark, lines, chat_format.learnt(lines)).first()["rendered"].endswith(text)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when its row count, taken first, is at most this; the sides have a few numbers or names a row.
 BROADCAST_ROWS = 300_000
 #: Entries of a worker's cache of word hashes (about 120 bytes each); a full cache is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:

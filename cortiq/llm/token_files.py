@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._shared import passing, shared_path, written
 
 #: Pieces of text whose ids a worker keeps; a full cache is emptied.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
 #: Letters and numbers among the characters up to U+024F.
 _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Texts of printable ASCII, tabs, line ends and Latin letters: there `re` has the same classes as the tokenizer's own split.

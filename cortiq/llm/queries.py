@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, html_text, mixing, ngram_join, token_counts, token_files, toxicity, url_filter
+from . import alignment, chat_format, decontaminate, divergence, exact_dedup, html_text, mixing, neighbors, ngram_join, token_counts, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.searched(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(spark, table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, text_sha256
@@ -86,5 +98,22 @@ FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 WINDOW g AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_files, op4_toxicity, op5_chat_format, op6_mixing, op7_url_filter, op8_html_text, op9_token_counts, op10_ngram_join)}
-SQL = {"op2_exact_dedup": OP2_SQL, "op6_mixing": mixing.oracle()}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_exact_dedup,
+        op3_token_files,
+        op4_toxicity,
+        op5_chat_format,
+        op6_mixing,
+        op7_url_filter,
+        op8_html_text,
+        op9_token_counts,
+        op10_ngram_join,
+        op11_nearest,
+        op12_alignment,
+        op13_divergence,
+    )
+}
+SQL = {"op2_exact_dedup": OP2_SQL, "op6_mixing": mixing.oracle(), "op13_divergence": divergence.oracle()}

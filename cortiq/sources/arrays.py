@@ -164,7 +164,7 @@ def content_digest(path: str, content: bytes) -> str:
         said = [a.tobytes() for a in gifti(content)]
     else:
         said = [content]
-    return path.rpartition(".")[2] + hashlib.sha256(b"\0".join(said)).hexdigest()
+    return hashlib.sha256(b"\0".join(said)).hexdigest()
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +176,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compared(spark: SparkSession, left: str, right: str) -> DataFrame:
     """(path, status) of files below two folders: same, differs, only left or only right, by what the files say."""
     def digests(root: str) -> DataFrame:
-        base = root.rstrip("/").removeprefix("file:").lstrip("/")
-        rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), "^" + base.replace(".", r"\.") + "/", "")
+        found = spark._jvm.org.apache.hadoop.fs.Path(root)
+        base = found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString().rstrip("/")
+        rel = F.substring("path", len(base) + 2, 2**31 - 1)
         return files(spark, root).select("path", "content").mapInArrow(_digests, "path string, digest string").select(rel.alias("path"), "digest")
 
     a, b = digests(left), digests(right).withColumnRenamed("digest", "other")

@@ -36,14 +36,18 @@ def test_tables_and_dispatch(spark, tmp_path):
     assert len(calls) == 1
 
 
-def test_compared_folders(spark, tmp_path):
-    for side in ("a", "b"):
-        (tmp_path / side).mkdir()
+@pytest.mark.parametrize("names", [("a", "b"), ("v1.5 (old)+x", "v2.0")])
+def test_compared_folders(spark, tmp_path, names):
+    """Also for names without a suffix below folders with dots and signs."""
+    for side in names:
+        (tmp_path / side / "sub.d").mkdir(parents=True)
         (tmp_path / side / "same").write_text("x")
+        (tmp_path / side / "sub.d" / "same").write_text("y")
         (tmp_path / side / "other").write_text(side)
-    (tmp_path / "a" / "mine").write_text("x")
-    got = {r["path"]: r["status"] for r in arrays.compared(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()}
-    assert got == {"same": "same", "other": "differs", "mine": "only left"}
+    (tmp_path / names[0] / "mine").write_text("x")
+    (tmp_path / names[1] / "theirs.txt").write_text("x")
+    got = {r["path"]: r["status"] for r in arrays.compared(spark, *[str(tmp_path / n) for n in names]).collect()}
+    assert got == {"same": "same", "sub.d/same": "same", "other": "differs", "mine": "only left", "theirs.txt": "only right"}
 
 
 RUN = {"dataset": "raiders", "version": "23.2.0", "task": "raiders"}

@@ -4,50 +4,27 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .moments import matrix, moments
+from . import factor
+from .moments import moments
 
 
-def means_of(rows: DataFrame, width: int) -> np.ndarray:
-    """The column means of rows(x array)."""
-    found = rows.agg(*[F.avg(F.col("x")[j]).alias(f"m{j}") for j in range(width)]).first()
-    return np.array([v or 0.0 for v in found], float)
+def svd(rows: DataFrame, remove_mean: bool = True) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(rows with `u`, singular values, right vectors) of rows(obs, x) with up to factor.SMALL columns, from a tree of QR factors.
 
-
-def shifted(x: Column, by: np.ndarray) -> Column:
-    return F.zip_with(x, F.array(*map(F.lit, map(float, by))), lambda a, b: a - b)
-
-
-def signed(v: np.ndarray) -> np.ndarray:
-    """Columns of v with the entry of largest size positive: signs of components are arbitrary."""
-    top = np.abs(v).argmax(axis=0)
-    return v * np.where(v[top, np.arange(v.shape[1])] < 0, -1.0, 1.0)
-
-
-def svd(rows: DataFrame, width: int, remove_mean: bool = True) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(rows with `u`, singular values, right vectors) of rows(obs, x): the columns' moments are decomposed, then each row is projected."""
-    mean = means_of(rows, width) if remove_mean else np.zeros(width)
-    centred = rows.withColumn("z", shifted(F.col("x"), mean))
-    value, vector = np.linalg.eigh(matrix(moments(centred, width), width))
-    order = np.argsort(value)[::-1]
-    s, v = np.sqrt(np.maximum(value[order], 0)), signed(vector[:, order])
-    inverse = np.where(s > 1e-12 * max(s.max(initial=0), 1e-300), 1 / np.where(s > 0, s, 1), 0)
-    return centred.withColumn("u", projected(F.col("z"), v * inverse)).drop("z"), s, v
-
-
-def projected(x: Column, v: np.ndarray) -> Column:
-    """x times a small matrix."""
-    sums = [F.aggregate(F.zip_with(x, F.array(*map(F.lit, map(float, v[:, k]))), lambda a, b: a * b), F.lit(0.0), lambda t, e: t + e) for k in range(v.shape[1])]
-    return F.array(*sums)
+    factor.svd_wide takes any number of columns of as many rows, factor.range_finder the leading components of tables large both ways.
+    """
+    return factor.svd_tall(rows, remove_mean)
 
 
-def pca(rows: DataFrame, width: int) -> DataFrame:
+def pca(rows: DataFrame) -> DataFrame:
     """rows with `score`: centred and projected on the components, largest first."""
-    mean = means_of(rows, width)
-    value, vector = np.linalg.eigh(matrix(moments(rows.withColumn("z", shifted(F.col("x"), mean)), width), width))
-    return rows.withColumn("score", projected(shifted(F.col("x"), mean), signed(vector[:, np.argsort(value)[::-1]])))
+    mean = factor.column_means(rows)
+    r = factor.tall_r(rows, mean)
+    v = factor.signed(np.linalg.svd(r, full_matrices=True)[2].T) if r.size else np.zeros((len(mean), 0))
+    return factor.times(rows, v, mean, name="score")
 
 
 def polar(a: np.ndarray, side: str = "left") -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +52,8 @@ def gram(rows: DataFrame, chunks: int | None = None, remove_mean: bool = True, b
     width = rows.select(F.max(F.size("x"))).first()[0] or 0
     base, more = divmod(width, chunks or 1)  # the first n mod chunks chunks have one column more
     edges = np.cumsum([0] + [base + (k < more) for k in range(chunks or 1)])
-    z = shifted(F.col("x"), means_of(rows, width)) if remove_mean and width else F.col("x")
-    cut, n = blocked(rows.select("obs", z.alias("z")), "obs", block)
+    centred = factor.less(rows, factor.column_means(rows)) if remove_mean and width else rows.select("obs", "x")
+    cut, n = blocked(centred.select("obs", F.col("x").alias("z")), "obs", block)
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     dealt = dealt.select("obs", "z", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
 
@@ -150,7 +127,7 @@ def ensemble_lstsq(spark: SparkSession, rows: DataFrame, plan: DataFrame, p: int
         m = np.array(row["m"]).reshape(w, w)
         fits[row["split"]] = np.linalg.pinv(m[:p, :p], hermitian=True) @ m[:p, p:]
     betas = spark.createDataFrame([(int(s), k, [float(v) for v in b[:, k]]) for s, b in fits.items() for k in range(q)], "split int, target int, beta array<double>")
-    out = plan.where("role = 'test'").select("split", "obs").join(F.broadcast(betas), "split")
+    out = plan.where("role = 'test'").select("split", "obs").join(betas, "split")
     dot = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda t, e: t + e)
     found = rows.join(out, "obs").select("obs", "target", F.get("y", F.col("target")).alias("y"), dot.alias("yhat"))
     predictions = found.groupBy("obs", "target").agg(F.first("y").alias("y"), F.avg("yhat").alias("yhat"))

@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Groups that a task adds up before it sends their sums on.
+HELD = 64
+
+
 def moments(rows: DataFrame, width: int, weights: str | None = None) -> DataFrame:
     """(split, m) of rows(z array of `width`[, weights map<int, int>]): m is the packed width x width matrix of weighted products.
 
@@ -41,9 +45,38 @@ def moments(rows: DataFrame, width: int, weights: str | None = None) -> DataFram
         yield pa.RecordBatch.from_pydict({"split": pa.array(list(total), pa.int32()), "m": pa.array([m.ravel() for m in total.values()], pa.list_(pa.float64()))})
 
     columns = ["z"] if weights is None else ["z", weights]
-    parts = rows.select(*columns).mapInArrow(partial, "split int, m array<double>")
-    values = parts.select("split", F.posexplode("m").alias("k", "value")).groupBy("split", "k").agg(F.sum("value").alias("value"))
-    return values.groupBy("split").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda e: e["value"]).alias("m"))
+    return _summed(rows.select(*columns).mapInArrow(partial, "split int, m array<double>"), "split")
+
+
+def group_moments(rows: DataFrame, width: int, key: str) -> DataFrame:
+    """(key, m) of rows(key, z array of `width`): the moments of each group's rows."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+
+        def sent() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), kind), pa.array([m.ravel() for m in total.values()], pa.list_(pa.float64()))], [key, "m"])
+            total.clear()
+            return out
+
+        for batch in batches:
+            kind = batch.column(key).type
+            names = np.array(batch.column(key).to_pylist(), object)
+            z = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            for name in dict.fromkeys(names.tolist()):
+                part = z[names == name]
+                total[name] = total.get(name, 0) + part.T @ part
+                if len(total) >= HELD:
+                    yield sent()
+        if total:
+            yield sent()
+
+    return _summed(rows.select(key, "z").mapInArrow(partial, f"`{key}` {dict(rows.dtypes)[key]}, m array<double>"), key)
+
+
+def _summed(parts: DataFrame, key: str) -> DataFrame:
+    values = parts.select(key, F.posexplode("m").alias("k", "value")).groupBy(key, "k").agg(F.sum("value").alias("value"))
+    return values.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda e: e["value"]).alias("m"))
 
 
 def matrix(df: DataFrame, width: int, split: int = 0) -> np.ndarray:

@@ -254,7 +254,7 @@ SELECT round(sum(x * x), 4) + 0.0 AS trace, count(DISTINCT obs) AS n FROM c"""
 )
 def pca_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The squared scores of all components add up to the centred data's."""
-    scores = linalg.pca(embedding_rows(spark, sf_dir), 64)
+    scores = linalg.pca(embedding_rows(spark, sf_dir))
     return scores.select("obs", F.explode("score").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("trace"), F.count_distinct("obs").alias("n")).select(six("trace", 4), "n")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import linalg, ridge
+from .operators import dual, factor, linalg, ridge
 from .registry import _ALPHA, SQL, query, six
 from .tables import embedding_rows, read
 
@@ -124,14 +124,14 @@ d AS (SELECT *, CASE WHEN CASE WHEN abs(q1) >= abs(q2) THEN q1 ELSE q2 END < 0 T
 @query(f"WITH {_TWO} SELECT obs, round(s1 * ((x1 - m1) * q1 + (x2 - m2) * q2) / sqrt(l1), 6) + 0.0 AS u1, round(s2 * ((x1 - m1) * -q2 + (x2 - m2) * q1) / sqrt(l2), 6) + 0.0 AS u2, round(sqrt(l1), 6) + 0.0 AS largest FROM e, d")
 def svd_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embedding_rows(spark, sf_dir).select("obs", F.slice("x", 1, 2).alias("x"))
-    u, s, _ = linalg.svd(rows, 2)
+    u, s, _ = linalg.svd(rows)
     return u.select("obs", F.col("u")[0].alias("u1"), F.col("u")[1].alias("u2"), F.lit(float(s[0])).alias("largest")).select("obs", six("u1"), six("u2"), six("largest"))
 
 
 @query(f"WITH {_TWO} SELECT obs, round(s1 * ((x1 - m1) * q1 + (x2 - m2) * q2), 6) + 0.0 AS p1, round(s2 * ((x1 - m1) * -q2 + (x2 - m2) * q1), 6) + 0.0 AS p2 FROM e, d")
 def pca_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embedding_rows(spark, sf_dir).select("obs", F.slice("x", 1, 2).alias("x"))
-    return linalg.pca(rows, 2).select("obs", F.col("score")[0].alias("p1"), F.col("score")[1].alias("p2")).select("obs", six("p1"), six("p2"))
+    return linalg.pca(rows).select("obs", F.col("score")[0].alias("p1"), F.col("score")[1].alias("p2")).select("obs", six("p1"), six("p2"))
 
 
 @query(
@@ -163,9 +163,9 @@ def _label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gram_pca_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of the scores that a Gram matrix gives, which are the matrix again."""
     rows = _label_means(spark, sf_dir)
-    score = linalg.gram_pca(linalg.gram_matrix(linalg.gram(rows)))
-    ids = sorted(r["obs"] for r in rows.select("obs").collect())  # a row for each label
-    table = spark.createDataFrame([(int(i), [float(v) for v in s]) for i, s in zip(ids, score, strict=True)], "obs long, x array<double>")
+    gram, _ = dual.centred_gram(spark, rows, True)
+    value, u = dual.leading(gram, len(gram.obs) - 1)
+    table = spark.createDataFrame([(int(i), [float(v) for v in s]) for i, s in zip(gram.obs, u * np.sqrt(value), strict=True)], "obs long, x array<double>")
     return linalg.gram(table, remove_mean=False).select("i", "j", six("value"))
 
 
@@ -173,9 +173,87 @@ def gram_pca_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weights_of_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model of components, as weights of rows, then of features; its predictions are the Gram matrix times the targets."""
     rows = _label_means(spark, sf_dir)
-    g = linalg.gram_matrix(linalg.gram(rows))
-    ids = np.array(sorted(r["obs"] for r in rows.select("obs").collect()))  # a row for each label
-    beta = linalg.gram_pca(g).T @ (1.0 + ids % 4)
-    features = linalg.feature_weights(spark, rows, linalg.weights_of_rows(beta, g), ids)
+    gram, _ = dual.centred_gram(spark, rows, True)
+    value, u = dual.leading(gram, len(gram.obs) - 1)
+    beta = (u * np.sqrt(value)).T @ (1.0 + gram.obs % 4)
+    features = linalg.feature_weights(spark, rows, dual.row_weights(gram, beta), gram.obs)
     cells = rows.select("obs", F.posexplode("x").alias("col", "x")).join(features, "col")
     return cells.groupBy(F.col("obs").cast("long").alias("obs")).agg(F.sum((F.col("x") - F.col("mean")) * F.col("beta")).alias("pred")).select("obs", six("pred", 5))
+
+
+_DUAL = f"""{_RIDGE}, asked AS (SELECT obs, alpha, npc, round(pred, 5) + 0.0 AS yhat FROM pred)"""
+
+
+@query(f"WITH {_DUAL} SELECT * FROM asked")
+def ridge_cv_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models of ridge_cv_given through the rows' Gram matrix."""
+    rows, member, plan = _given(spark, sf_dir)
+    return ridge.ridge_cv(spark, rows, member, 2, list(_ALPHAS), [1, None], given=plan, dual_form=True)[0].select("obs", "alpha", "npc", six("yhat", 5))
+
+
+@query(f"WITH {_NESTED} SELECT obs, round(pred, 5) + 0.0 AS yhat FROM pred JOIN chosen USING (grp, alpha, npc)")
+def ridge_nested_cv_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, member, plan = _given(spark, sf_dir)
+    return ridge.ridge_nested_cv(spark, rows, member, 2, list(_ALPHAS), [1, None], given=plan, dual_form=True)[0].select("obs", six("yhat", 5))
+
+
+#: Draws of a bootstrap that both sides know: a row outside the withheld labels is drawn (7 obs + 3 split) mod 4 times.
+_BOOT = f"""{_XY}, d AS (SELECT e.*, k AS split, ((obs * 7 + k * 3) % 4)::INT AS w FROM e, (SELECT unnest(range(0, {_SPLITS})) AS k) WHERE label % {_SPLITS} <> k),
+m AS (SELECT split, sum(w) AS n, sum(w * x1) / sum(w) AS m1, sum(w * x2) / sum(w) AS m2, sum(w * y) / sum(w) AS my FROM d GROUP BY split),
+s AS (SELECT split, any_value(m1) AS m1, any_value(m2) AS m2, any_value(my) AS my, sum(w * (x1 - m1) * (x1 - m1)) AS a, sum(w * (x1 - m1) * (x2 - m2)) AS b, sum(w * (x2 - m2) * (x2 - m2)) AS c,
+  sum(w * (x1 - m1) * (y - my)) AS u, sum(w * (x2 - m2) * (y - my)) AS v FROM d JOIN m USING (split) GROUP BY split),
+b AS (SELECT split, m1, m2, my, alpha, ((c + al) * u - b * v) / ((a + al) * (c + al) - b * b) AS b1, ((a + al) * v - b * u) / ((a + al) * (c + al) - b * b) AS b2
+  FROM s, (VALUES {", ".join(f"({i}, {a}::DOUBLE)" for i, a in enumerate(_ALPHAS))}) t(alpha, al))
+SELECT obs, alpha, 0 AS npc, round(my + b1 * (x1 - m1) + b2 * (x2 - m2), 6) + 0.0 AS yhat FROM e JOIN b ON e.label % {_SPLITS} = b.split"""
+
+
+def _bootstrapped(spark: SparkSession, sf_dir: str):
+    rows, member, (plan, withheld) = _given(spark, sf_dir)
+    times = ((F.col("obs") * 7 + F.col("split") * 3) % 4).cast("int")
+    plan = plan.where("role = 'test'").unionByName(plan.where("role = 'train'").withColumn("multiplicity", times).where("multiplicity > 0"))
+    return rows, member, (plan, withheld)
+
+
+@query(f"WITH {_BOOT}")
+def ridge_cv_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A given plan in which rows are drawn none to three times."""
+    rows, member, plan = _bootstrapped(spark, sf_dir)
+    return ridge.ridge_cv(spark, rows, member, 2, list(_ALPHAS), [None], given=plan)[0].select("obs", "alpha", "npc", six("yhat"))
+
+
+@query(f"WITH {_BOOT}")
+def ridge_cv_bootstrap_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, member, plan = _bootstrapped(spark, sf_dir)
+    return ridge.ridge_cv(spark, rows, member, 2, list(_ALPHAS), [None], given=plan, dual_form=True)[0].select("obs", "alpha", "npc", six("yhat"))
+
+
+_ENERGY = """c AS (SELECT vec_id AS obs, k, embedding[k]::DOUBLE - avg(embedding[k]::DOUBLE) OVER (PARTITION BY k) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS k))"""
+
+
+@query(f"WITH {_ENERGY} SELECT obs, round(sum(x * x), 6) + 0.0 AS energy, round(max(CASE WHEN k = 1 THEN x END), 6) + 0.0 AS first, round(max(CASE WHEN k = 64 THEN x END), 6) + 0.0 AS last FROM c GROUP BY obs")
+def svd_at_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64 columns: rows put together again from left vectors, singular values and right vectors."""
+    u, s, v = linalg.svd(embedding_rows(spark, sf_dir).select("obs", "x"))
+    again = factor.times(u, (v * s).T, x="u", name="again")
+    energy = F.aggregate("again", F.lit(0.0), lambda t, e: t + e * e)
+    return again.select("obs", energy.alias("energy"), F.col("again")[0].alias("first"), F.col("again")[63].alias("last")).select("obs", six("energy"), six("first"), six("last"))
+
+
+@query(
+    """WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings), least AS (SELECT min(c) AS c FROM (SELECT count(*) AS c FROM embeddings GROUP BY label)),
+x AS (SELECT r.label AS obs, r.n * 64 + k AS col, e.embedding[k]::DOUBLE AS x FROM r JOIN embeddings e USING (vec_id), least, (SELECT unnest(range(1, 65)) AS k) WHERE r.n <= least.c),
+d AS (SELECT obs, col, x - avg(x) OVER (PARTITION BY col) AS x FROM x)
+SELECT a.obs::BIGINT AS i, b.obs::BIGINT AS j, round(sum(a.x * b.x), 6) + 0.0 AS value FROM d a JOIN d b ON a.col = b.col AND a.obs <= b.obs GROUP BY ALL"""
+)
+def svd_wide_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each label, of all its vectors one after the other (as many as the rarest label has): more columns than rows.
+
+    Left vectors times squared singular values are the rows' products.
+    """
+    e = embedding_rows(spark, sf_dir)
+    least = e.groupBy("label").count().agg(F.min("count")).first()[0]
+    lists = e.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("obs", "x"))).alias("e"))  # a label's vectors are one row here, by definition
+    rows = lists.select(F.col("label").cast("long").alias("obs"), F.flatten(F.transform(F.slice("e", 1, least), lambda r: r["x"])).alias("x"))
+    found = factor.svd_wide(rows)
+    again = spark.createDataFrame([(int(i), [float(v) for v in u * found.s]) for i, u in zip(found.obs, found.u, strict=True)], "obs long, x array<double>")
+    return linalg.gram(again, remove_mean=False).select("i", "j", six("value"))

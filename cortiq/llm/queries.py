@@ -55,9 +55,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trees learn from the URLs of the table that a rule decides."""
+    """The trees learn lexical features from the URLs of the table that a rule decides."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    found = url_filter.judged(spark, pages, url_filter.train(url_filter.labelled_by_rules(pages)))
+    found = url_filter.judged(spark, pages, url_filter.train(url_filter.labelled_by_rules(pages), rates=False))
     return found.select("page_id", "host", "path", "rule", "verdict", "score")
 
 

@@ -12,7 +12,8 @@ the driver; scoring is one narrow pass over whole texts. Scores depend on the te
 Defined results: null and wordless texts get the score of a text in which no filter finds anything; rows that repeat an
 id and text score alike; null ids are scored and never held out; labels that are null are not learnt from; of labels
 that repeat an id the toxic one counts, and of documents that repeat a labelled id the one with the smallest text hash. Languages
-without enough labelled rows use the threshold of all. With labels of one kind only, every score is the smoothed rate.
+without enough labelled rows use the threshold of all. With labels of one kind only every score is their drawn-in share, 0 without
+labels, and no text is at a threshold. Labelled texts longer than TRAIN_TEXT are not learnt from.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import words_of
+from ._shared import words_of, written
 
-#: At most so many labelled rows, of so many bytes of text together, are fitted.
-TRAIN_ROWS, TRAIN_BYTES = 8_000, 48_000_000
+#: At most so many labelled rows, of so many bytes of text together and in one text, are fitted.
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT = 8_000, 48_000_000, 3_000_000
 PREFIXES = (3, 5, 7)
 BUCKETS, DIM, WIDTHS, FILTERS = 2**17, 8, (1, 2, 3), 6
 EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 60, 128, 0.03
@@ -117,10 +118,12 @@ def fit(texts: Iterable[list[bytes]], labels: np.ndarray, langs: list[str], seed
         0.0,
     )
     model.table[0] = 0
-    rate = (labels.sum() + 1) / (len(labels) + 2)
     if not len(labels) or labels.min() == labels.max():
+        # Labels of one kind, or none, are no evidence against any text: the score is their share, no text is told as toxic.
+        rate = max(labels.sum() / (len(labels) + 2), 1e-12)
         model.out[:] = 0
         model.offset = float(np.log(rate / (1 - rate)))
+        model.thresholds[""] = float("inf")
         return model
     held = rng.random(len(coded)) < 0.2
     fitted, tried = np.flatnonzero(~held), np.flatnonzero(held)
@@ -271,8 +274,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: bool = True) ->
     # One row for each id, by partial aggregation, before anything leaves the tasks; then whole texts up to the bound of bytes.
     found = rows.join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "toxic").agg(F.min("row").alias("row")).select("doc_id", "toxic", "row.text", "row.lang")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    found = found.withColumn("bytes", F.sum(size).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")))  # TRAIN_ROWS rows at most
-    return found.where(F.col("bytes") <= TRAIN_BYTES).select("doc_id", "text", "lang", "toxic").toPandas().sort_values("doc_id")
+    found = written(docs.sparkSession, found.withColumn("size", size).where(F.col("size") <= TRAIN_TEXT), "labelled-texts")
+    # Lengths alone are added up in one task, of TRAIN_ROWS rows at most; texts follow for the rows within the bound.
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = found.select("doc_id", "size").withColumn("upto", upto).where(F.col("upto") <= TRAIN_BYTES).select("doc_id")
+    return found.join(F.broadcast(within), "doc_id").select("doc_id", "text", "lang", "toxic").toPandas().sort_values("doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Model:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import time
 from collections import Counter
@@ -359,7 +360,7 @@ def url_row(model, url):
     values = [len(url), len(host), len(path), len(labels), sum(bool(x) for x in path.split("/")), sum(c.isdigit() for c in url) / max(len(url), 1), host.count("-"), len(query.split("&")) if query else 0, len(query), entropy, max(map(len, labels)), sum(c.isdigit() for c in host), url.startswith("https://"), bool(re.search(":[0-9]+$", host)), "#" in url]
     bare = re.sub(":[0-9]*$", "", host)
     keys = ".".join(bare.split(".")[-2:]) if "." in bare else "", (re.match("/([^/]*)", path) or [None, ""])[1].lower()
-    return [*map(float, values), *[r.get(k, model.prior) for r, k in zip(model.rates, keys, strict=True)]]
+    return [*map(float, values), float(len(keys[0])), math.log1p(model.often.get(keys[0], 0)), *[r.get(k, model.prior) for r, k in zip(model.rates, keys, strict=True)]]
 
 
 def test_url_scores_against_plain_trees(spark):
@@ -390,14 +391,49 @@ def test_url_scores_against_plain_trees(spark):
         assert r["score"] == pytest.approx(tree_score(model, row), abs=1e-9)
 
 
-def test_url_rules_teach_unseen_hosts(spark):
-    """URLs of the table that a rule decides, by hosts: a quarter is judged by trees that have not seen them."""
+def test_url_rules_teach_lexical_features(spark):
+    """The query's own model on sf0.1 reads lexical features, no rates of suffixes or segments; what they cannot tell stays allowed."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
-    labelled = url_filter.labelled_by_rules(pages)
-    held = F.pmod(F.xxhash64(url_filter.host_and_path(F.col("url"))[0]), F.lit(4)) == 0
-    got = url_filter.judged(spark, labelled.where(held), url_filter.train(labelled.where(~held)), rules=()).toPandas()
-    right = ((got["verdict"] == "block") == (got["blocked"] == 1)).mean()
-    assert len(got) > 100 and right > max(got["blocked"].mean(), 1 - got["blocked"].mean()) + 0.1
+    model = url_filter.train(url_filter.labelled_by_rules(pages), rates=False)
+    used = set(model.feature[np.isfinite(model.cut)].tolist())
+    assert len({f for f in used if f < len(url_filter.FEATURES)}) >= 4 and max(used) < len(url_filter.FEATURES) + 2
+    got = url_filter.judged(spark, pages, model).where("rule IS NULL").toPandas()
+    assert got["score"].nunique() > 100
+    blocked = got[got["verdict"] == "block"]
+    assert (blocked["score"] >= model.threshold).all() and len(blocked) < 0.5 * len(got)
+
+
+def test_cuts_are_precise():
+    y = np.array([1] * 40 + [0] * 4 + [1] * 20 + [0] * 100)
+    score = np.linspace(1, 0, len(y))
+    cut = url_filter.precise_cut(score, y)
+    assert y[score >= cut].mean() >= 0.9 and (score >= cut).sum() >= 60
+    assert url_filter.precise_cut(score, 1 - y) == math.inf and url_filter.precise_cut(np.full(30, 0.5), np.arange(30) % 2) == math.inf
+    assert url_filter.precise_cut(np.zeros(0), np.zeros(0)) == math.inf
+
+
+def test_no_labels_block_and_reject_nothing(spark):
+    """Without labels, or with labels of one kind, only rules block and no text is toxic in its language."""
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://net/"), (3, None)], "page_id long, url string")
+    for rows in ([], [("http://b.com/", 1)] * 30, [("http://b.com/", 0)] * 30):
+        got = url_filter.judged(spark, pages, url_filter.train(spark.createDataFrame(rows, "url string, blocked int"))).collect()
+        assert {r["page_id"]: r["verdict"] for r in got} == {1: "allow", 2: "block", 3: "allow"}
+    docs = docs_of(spark, ["a b c", None, "", "d e"] * 5)
+    for kind in ([], [(i, 1, 1) for i in range(20)], [(i, 1, 0) for i in range(20)], [(i, 1, None) for i in range(20)]):
+        model = toxicity.train(docs, spark.createDataFrame(kind, "doc_id long, quality int, toxic int"))
+        got = toxicity.scores(spark, docs, model)
+        assert got.where("toxic_in_lang").count() == 0 and got.where("score >= 0.3").count() == (20 if kind and kind[0][2] else 0)
+
+
+def test_a_text_too_long_to_learn_from(spark, monkeypatch):
+    """It is left out; the others are learnt from."""
+    monkeypatch.setattr(toxicity, "TRAIN_TEXT", 1000)
+    texts = ["bad word " * 300 if i in (0, 7) else ("vile thing here" if i % 2 else "kind thing here") for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(docs_of(spark, texts), labels, held_out=False)
+    assert len(rows) == 198 and not {0, 7} & set(rows["doc_id"])
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 150)
+    assert len(toxicity.training_rows(docs_of(spark, texts), labels, held_out=False)) == 10
 
 
 def test_trees_learn_a_rule():

@@ -47,6 +47,10 @@ def default_pieces() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def lengths(spelt: list[bytes]) -> np.ndarray:
+    return np.array([len(s) for s in spelt], np.int64)
+
+
 class ByteTokens:
     """Ids of space+text by a byte-level BPE; special tokens' strings are plain text."""
 
@@ -57,6 +61,12 @@ class ByteTokens:
         names = {i: s for s, i in self.encoder.tokenizer.get_vocab(with_added_tokens=True).items()}
         special = {i for i, t in self.encoder.tokenizer.get_added_tokens_decoder().items()}
         self.spelt = [names.get(i, "").encode() if i in special else bytes(letters.get(c, 0) for c in names.get(i, "")) for i in range(max(names) + 1)]
+        self.sizes = lengths(self.spelt)
+        # With a token for each byte, merges alone and no normalizer, the tokens of a text always spell it.
+        self.lossless = self.encoder.by_pieces and set(_LETTERS.values()) <= set(names.values())
+
+    def spells(self, ids: np.ndarray, whole: bytes) -> bool:
+        return self.sizes[ids].sum() == len(whole) and (self.lossless or b"".join(map(self.spelt.__getitem__, ids.tolist())) == whole)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(self.encoder.encode(" " + t), self.encoder.kind).astype(np.int64) for t in texts]
@@ -76,10 +86,6 @@ class PieceTokens:
         return [np.array(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
 
 
-def lengths(spelt: list[bytes]) -> np.ndarray:
-    return np.array([len(s) for s in spelt], np.int64)
-
-
 def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in A, place in B) of all tokens that overlap, from the ends of both over the same bytes."""
     first = np.searchsorted(b, np.concatenate([[0], a[:-1]]), "right")
@@ -95,24 +101,31 @@ def group_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Speller:
-    """The text `a1,a2|b1;a3|b2` of groups, by tables of each id with what follows it."""
+    """The text `a1,a2|b1;a3|b2` of groups, by a table of each id with what follows it."""
 
     def __init__(self, n_a: int, n_b: int):
         self.n_a = n_a
-        self.said = [f"{i}{end}".encode() for ends, n in ((",|", n_a), (",;", n_b)) for i in range(n) for end in ends]
-
-    def runs(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(codes into `said` in the order of the text, the place of each token of B): a group's tokens of A, then of B."""
+        said = [f"{i}{end}".encode() for ends, n in ((",|", n_a), (",;", n_b)) for i in range(n) for end in ends]
+        self.size = lengths(said)
+        self.letters = np.zeros((len(said), int(self.size.max())), np.uint8)
+        self.filled = np.arange(self.letters.shape[1]) < self.size[:, None]
+        self.letters[self.filled] = np.frombuffer(b"".join(said), np.uint8)
+
+    def codes(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> np.ndarray:
+        """Rows of the table in the order of the text: a group's tokens of A, then of B."""
         last_a = np.append(group_a[1:] != group_a[:-1], True)
         last_b = np.append(group_b[1:] != group_b[:-1], True)
-        at_a = np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")
-        at_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
         out = np.empty(len(a) + len(b), np.int64)
-        out[at_a], out[at_b] = 2 * a + last_a, 2 * (self.n_a + b) + last_b
-        return out, at_b
+        out[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = 2 * a + last_a
+        out[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = 2 * (self.n_a + b) + last_b
+        return out
 
-    def text(self, codes: np.ndarray) -> bytes:
-        return b"".join(map(self.said.__getitem__, codes.tolist()))[:-1]
+    def texts(self, codes: np.ndarray, ends: np.ndarray) -> Iterator[memoryview]:
+        """The texts of codes up to each end, without the sign after the last group."""
+        flat = memoryview(self.letters[codes][self.filled[codes]])
+        at = np.concatenate([[0], np.cumsum(self.size[codes])])[np.concatenate([[0], ends])]
+        for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield flat[begin : max(begin, end - 1)]
 
 
 def chunks(sizes: list[int], limit: int = CHUNK) -> Iterator[slice]:
@@ -156,17 +169,16 @@ def _encoder(tokenizer: str, pieces: str):
                 said = [texts[i] for i in asked]
                 for i, text, a, b in zip(asked, said, one.ids(said), two.ids(said), strict=True):
                     whole = b" " + text.encode()
-                    if b"".join(map(one.spelt.__getitem__, a.tolist())) == whole and b"".join(map(two.spelt.__getitem__, b.tolist())) == whole:
+                    if one.spells(a, whole) and b"".join(map(two.spelt.__getitem__, b.tolist())) == whole:
                         ids[i] = (a, b)
                 a, b = (np.concatenate([x[k] for x in ids]) for k in (0, 1))
                 ends_a, ends_b = np.cumsum(long_a[a]), np.cumsum(long_b[b])
                 cuts, group_a, group_b = group_labels(ends_a, ends_b)
-                codes, _ = speller.runs(a, b, group_a, group_b)
+                codes = speller.codes(a, b, group_a, group_b)
                 n_a, n_b = (np.array([len(x[k]) for x in ids], np.int64) for k in (0, 1))
-                place = np.cumsum(n_a + n_b)
                 upto = np.concatenate([[0], np.searchsorted(cuts, ends_a[np.cumsum(n_a) - 1], "right")]) if len(a) else np.zeros(n + 1, np.int64)
                 upto[1:][np.cumsum(n_a) == 0] = 0  # texts before the first token
-                shas = [hashlib.sha256(speller.text(codes[e - m : e])).hexdigest() if m else "" for e, m in zip(place.tolist(), (n_a + n_b).tolist(), strict=True)]
+                shas = [hashlib.sha256(x).hexdigest() if len(x) else "" for x in speller.texts(codes, np.cumsum(n_a + n_b))]
                 yield pa.RecordBatch.from_pydict({"row_no": pa.array(np.arange(at, at + n)), "doc_id": part.column("doc_id"), "a": pa.array([x[0].astype(id_type(len(long_a))).tobytes() for x in ids], pa.binary()), "b": pa.array([x[1].astype(id_type(len(long_b))).tobytes() for x in ids], pa.binary()), "n_a": n_a, "n_b": n_b, "n_groups": np.diff(upto), "groups_sha256": shas})
                 at += n
 

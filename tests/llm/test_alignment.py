@@ -104,8 +104,8 @@ def test_links_and_groups_of_cuts():
     cuts, group_a, group_b = alignment.group_labels(a, b)
     assert cuts.tolist() == [5, 10] and group_a.tolist() == [0, 0, 1, 1] and group_b.tolist() == [0, 0, 1, 1]
     speller = alignment.Speller(4, 4)
-    codes, _ = speller.runs(np.array([0, 1, 2, 3]), np.array([3, 2, 1, 0]), group_a, group_b)
-    assert speller.text(codes) == b"0,1|3,2;2,3|1,0"
+    codes = speller.codes(np.array([0, 1, 2, 3]), np.array([3, 2, 1, 0]), group_a, group_b)
+    assert [bytes(x) for x in speller.texts(codes, np.array([0, 4, 4, 8]))] == [b"", b"0,1|3,2", b"", b"2,3|1,0"]
 
 
 def test_empty_and_query(spark, tmp_path):

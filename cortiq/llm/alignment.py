@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -145,6 +146,13 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 2**16 else "<u4"
 
 
+@lru_cache(maxsize=1)
+def tools_for(tokenizer: str, pieces: str) -> tuple[ByteTokens, PieceTokens, Speller]:
+    """The worker's own, kept from task to task."""
+    one, two = ByteTokens(tokenizer), PieceTokens(pieces)
+    return one, two, Speller(len(one.spelt), len(two.spelt))
+
+
 def _encoder(tokenizer: str, pieces: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -155,8 +163,7 @@ def _encoder(tokenizer: str, pieces: str):
         at = TaskContext.get().partitionId() << 36
         for batch in batches:
             if one is None:
-                one, two = ByteTokens(tokenizer), PieceTokens(pieces)
-                speller = Speller(len(one.spelt), len(two.spelt))
+                one, two, speller = tools_for(tokenizer, pieces)
                 long_a, long_b = lengths(one.spelt), lengths(two.spelt)
             column = batch.column("text")
             sizes = pa.compute.fill_null(pa.compute.binary_length(column.cast(pa.binary())), 0).to_pylist()

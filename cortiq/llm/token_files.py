@@ -23,6 +23,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,12 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, _SPLIT(text)))
 
 
+@lru_cache(maxsize=1)
+def encoder_for(tokenizer: str, end_id: int) -> Encoder:
+    """The worker's own, kept from task to task: loading a vocabulary for each task leaves memory in pieces."""
+    return Encoder(tokenizer, end_id)
+
+
 def _open(uri: str):
     from pyarrow import fs
 
@@ -113,7 +120,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder, name = Encoder(tokenizer, end_id), f"{folder}/shard-{pid:06d}-{uuid.uuid4().hex}"
+                encoder, name = encoder_for(tokenizer, end_id), f"{folder}/shard-{pid:06d}-{uuid.uuid4().hex}"
                 end, size = np.array([end_id], encoder.kind).tobytes(), encoder.bits // 8
                 store, path = _open(name)
                 store.create_dir(path.rpartition("/")[0], recursive=True)

@@ -1,42 +1,120 @@
-"""Shortest paths, ownership and overlap on meshes: relaxation by joins to a fixed point."""
+"""Shortest paths, neighborhoods, ownership and overlap on meshes: delta-stepping by joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import discard, written
 from .hull import union_sphere
 from .mesh import Mesh, barycentric, corners, edge_lengths, face_areas, interpolation, sphere, subdivided, union_points, vertex_areas
 
 
-def nearest_seed(edges: DataFrame, seeds: DataFrame, max_dist: float | None = None) -> DataFrame:
-    """(v, seed, d) of each node that a seed reaches over edges(v, nbr, d): the smallest distance, then the smallest seed.
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _folded(tables: list[DataFrame], kept, most: int) -> list[DataFrame]:
+    """More than so many tables as one, so that plans stay small however many buckets there are."""
+    if len(tables) <= most:
+        return tables
+    one = written(tables[0].sparkSession, kept(_union(tables)), "folded")
+    discard(*tables)
+    return [one]
 
-    seeds(v, seed, d) may start with distances. Every round relaxes the edges of the nodes that improved in the last one and
-    keeps one row for each node; rounds end when none improves, so parts that no seed reaches are simply absent.
+
+def _stepped(edges: DataFrame, starts: DataFrame, key: list[str], within=None, delta: float | None = None) -> DataFrame:
+    """(v, seed, d): the least (d, seed) for each key - (seed, v), or v alone - that starts(v, seed, d) reach over edges(v, nbr, d).
+
+    Delta-stepping. Distances are dealt to buckets of `delta` (the mean edge unless given). The labels of the first bucket that
+    is left are relaxed over edges of up to delta until none of the bucket improves; then they are settled, written once and never
+    again, and the longer edges are relaxed. Labels of later buckets wait in the tables that made them. A round joins only the
+    labels that improved in the last one; the number of buckets follows from the reach, not from the number of nodes.
     """
     spark = edges.sparkSession
-    keep = (lambda df: df) if max_dist is None else (lambda df: df.where(F.col("d") <= max_dist))
-    edges = written(spark, edges.select("v", "nbr", F.col("d").alias("step")), "edges")
-    best = seeds.groupBy("v").agg(F.min(F.struct("d", "seed")).alias("b")).select("v", "b.d", "b.seed")
-    best = written(spark, keep(best).withColumn("fresh", F.lit(True)), "owners")
-    while best.where("fresh").limit(1).count():
-        moved = best.where("fresh").join(edges, "v").select(F.col("nbr").alias("v"), (F.col("d") + F.col("step")).alias("d"), "seed")
-        moved = keep(moved).groupBy("v").agg(F.min(F.struct("d", "seed")).alias("n"))
-        both = best.join(moved, "v", "full")
-        old = F.struct("d", "seed")
-        better = F.col("n").isNotNull() & (F.col("d").isNull() | (F.col("n.d") < F.col("d") - 1e-12) | ((F.abs(F.col("n.d") - F.col("d")) <= 1e-12) & (F.col("n.seed") < F.col("seed"))))
-        chosen = F.when(better, F.col("n")).otherwise(old)
-        best = written(spark, both.select("v", chosen.alias("b"), better.alias("fresh")).select("v", "b.d", "b.seed", "fresh"), "owners")
-    return best.select("v", "seed", "d")
+    reach = (lambda df: df) if within is None else (lambda df: df.where(within(F.col("d"))))
+    edges = written(spark, edges.select("v", "nbr", F.col("d").cast("double").alias("step")), "edges")
+    mean = edges.agg(F.avg("step")).first()[0]
+    delta = delta or mean or 1.0
+
+    def least(df: DataFrame) -> DataFrame:
+        b = F.min(F.struct("d", "seed")).alias("b")
+        return df.groupBy(*key).agg(b).select(*key, "b.d", *[c for c in ("b.seed",) if "seed" not in key])
+
+    def over(fresh: DataFrame, some: DataFrame) -> DataFrame:
+        moved = fresh.join(some, "v").select(F.col("nbr").alias("v"), "seed", (F.col("d") + F.col("step")).alias("d"))
+        return written(spark, reach(least(moved)), "waiting")
+
+    def better(df: DataFrame, known: DataFrame) -> DataFrame:
+        """The labels of df that improve on those known; equal distances, up to rounding, go to the smaller seed."""
+        old = least(known).select(*key, F.col("d").alias("old_d"), *[F.col(c).alias("old_seed") for c in ("seed",) if c not in key])
+        wins = F.col("old_d").isNull() | (F.col("d") < F.col("old_d") - 1e-12)
+        if "seed" not in key:
+            wins |= (F.abs(F.col("d") - F.col("old_d")) <= 1e-12) & (F.col("seed") < F.col("old_seed"))
+        return df.join(old, key, "left").where(wins).select("v", "seed", "d")
+
+    light, heavy = edges.where(F.col("step") <= delta), edges.where(F.col("step") > delta)
+    long_edges = bool(heavy.limit(1).count())
+    waiting, settled, begin = [written(spark, reach(starts.select("v", "seed", F.col("d").cast("double").alias("d"))), "waiting")], [], -math.inf
+    while True:
+        ahead = _union(waiting).where(F.col("d") >= begin)
+        low = ahead.agg(F.min("d")).first()[0]
+        if low is None:
+            break
+        end = (math.floor(low / delta) + 1) * delta
+        here = lambda df: _unsettled(df.where(F.col("d") < end))
+
+        def _unsettled(df: DataFrame) -> DataFrame:
+            return df.join(_union(settled).select(*key), key, "left_anti") if settled else df
+
+        fresh = written(spark, here(least(ahead)), "bucket")
+        known = [fresh]
+        while fresh.limit(1).count():
+            waiting.append(over(fresh, light))
+            fresh = written(spark, better(here(waiting[-1]), _union(known)), "bucket")
+            known.append(fresh)
+        if len(known) > 1:
+            settled.append(written(spark, least(_union(known)), "settled"))
+            if long_edges:
+                waiting.append(over(settled[-1], heavy))
+        discard(*known)
+        begin = end
+        waiting = _folded(waiting, lambda df: least(df.where(F.col("d") >= end)), 6)  # noqa: B023
+        settled = _folded(settled, lambda df: df, 12)
+    discard(*waiting, edges)
+    if not settled:
+        return starts.select("v", "seed", F.col("d").cast("double").alias("d")).limit(0)
+    return _union(settled).select("v", "seed", "d")
+
+
+def nearest_seed(edges: DataFrame, seeds: DataFrame, max_dist: float | None = None, delta: float | None = None) -> DataFrame:
+    """(v, seed, d) of each node that a seed reaches over edges(v, nbr, d): the smallest distance, then the smallest seed.
+
+    seeds(v, seed, d) may start with distances. Parts that no seed reaches are simply absent.
+    """
+    return _stepped(edges, seeds, ["v"], None if max_dist is None else (lambda d: d <= max_dist), delta)
+
+
+def neighborhoods(edges: DataFrame, radius: float, centers: DataFrame | None = None, delta: float | None = None) -> DataFrame:
+    """(center, pos, v, d): all nodes nearer to each center (strictly) than a radius, by geodesic distance, pos 0 the center itself.
+
+    centers(v) are all nodes unless given. Equal distances are ordered by v.
+    """
+    if centers is None:
+        centers = edges.select("v").union(edges.select("nbr")).distinct()
+    starts = centers.select("v", F.col("v").alias("seed"), F.lit(0.0).alias("d"))
+    found = _stepped(edges, starts, ["seed", "v"], lambda d: d < radius, delta)
+    pos = F.row_number().over(Window.partitionBy("seed").orderBy("d", "v")) - 1  # the nodes of a neighborhood
+    return found.select(F.col("seed").alias("center"), pos.alias("pos"), "v", "d")
 
 
 def dijkstra(edges: DataFrame, source: int, max_dist: float | None = None) -> DataFrame:
     """(v, d) from one source; with max_dist only nodes nearer than it (strictly)."""
-    seeds = edges.sparkSession.createDataFrame([(source, source, 0.0)], "v long, seed long, d double")
-    found = nearest_seed(edges, seeds, max_dist).select("v", "d")
-    return found if max_dist is None else found.where(F.col("d") < max_dist)
+    starts = edges.sparkSession.createDataFrame([(source, source, 0.0)], "v long, seed long, d double")
+    return _stepped(edges, starts, ["v"], None if max_dist is None else (lambda d: d < max_dist)).select("v", "d")
 
 
 def visibility_graph(mesh: Mesh, n_div: int) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cross
+from .nearest import nearest as knn
 
 
 @dataclass(frozen=True)
@@ -190,34 +191,9 @@ def interpolation(mesh: Mesh, points: DataFrame, eps: float = 5e-9) -> DataFrame
     return found.select(F.explode(F.array(*[F.struct(F.col(k).alias("src"), F.col("p").alias("dst"), F.col("w" + k).alias("w")) for k in "abc"])).alias("e")).select("e.*")
 
 
-def nearest(points: DataFrame, targets: DataFrame, cell: float | None = None) -> DataFrame:
-    """(p, q, d): the nearest of targets(q, x, y, z) to each of points(p, x, y, z), the first on ties.
-
-    Both sides are entered into grid cells and meet in the 27 around a point; points whose nearest in there is farther
-    than a cell ask again with cells twice as large, until none is left.
-    """
-    spark = points.sparkSession
-    box = targets.agg(*[f(k).alias(f"{n}{k}") for k in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))], F.count(F.lit(1)).alias("n")).first()
-    if not box["n"]:
-        return spark.createDataFrame([], "p long, q long, d double")
-    extent = max(box["hi" + k] - box["lo" + k] for k in "xyz") or 1.0
-    cell = cell or extent / max(1.0, box["n"] ** 0.5)
-    around = spark.createDataFrame([(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)], "i int, j int, k int")
-    from ..sources.scratch import written
-
-    left, out = points, None
-    while True:
-        last = cell >= 2 * extent + 2 * max(abs(v or 0) for v in points.agg(*[F.max(F.abs(F.col(k))) for k in "xyz"]).first()) + 2 * max(abs(box["lo" + k]) for k in "xyz")
-        put = lambda df, names: df.select(*names, "x", "y", "z", *[F.floor(F.col(k) / cell).cast("long").alias("g" + k) for k in "xyz"])
-        asked = put(left, ["p"]).crossJoin(F.broadcast(around)).select("p", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), *[(F.col("g" + k) + F.col(o)).alias("g" + k) for k, o in zip("xyz", "ijk", strict=True)])  # 27 rows a point
-        d = F.sqrt((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2 + (F.col("pz") - F.col("z")) ** 2)
-        found = asked.join(put(targets, ["q"]), ["gx", "gy", "gz"]).groupBy("p").agg(F.min(F.struct(d.alias("d"), "q")).alias("b")).select("p", "b.q", "b.d")
-        found = written(spark, found if last else found.where(F.col("d") <= cell), "nearest")
-        out = found if out is None else out.unionByName(found)
-        left = written(spark, left.join(found.select("p"), "p", "left_anti"), "unanswered")
-        if last or not left.limit(1).count():
-            return out
-        cell *= 2
+def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """(p, q, d): the nearest of targets(q, x, y, z) to each of points(p, x, y, z), the first on ties."""
+    return knn(points, targets, 1).select("p", "q", "d")
 
 
 def nearest_forward_reverse(sources: DataFrame, targets: DataFrame, reverse: bool = True) -> DataFrame:

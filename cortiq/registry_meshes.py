@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import hull, mesh
+from .operators import geodesic, hull, mesh, nearest
 from .registry import query, six
 from .sources import surfaces
-from .tables import OCTAHEDRON_SQL, embedding_rows, octahedron
+from .tables import OCTAHEDRON_SQL, embedding_rows, octahedron, read
 
 # The vectors' first three dimensions as vertices; a face from each vector to the next and the seventh after it.
 
@@ -188,3 +188,43 @@ def rotation_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_MESH} SELECT 0 AS kind, v AS id, printf('v %.6f %.6f %.6f', x, y, z) AS line FROM vertices UNION ALL SELECT 1, f, printf('f %d %d %d', a + 1, b + 1, c + 1) FROM faces")
 def obj_of_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces.obj_lines(_mesh(spark, sf_dir)).select("kind", "id", "line")
+
+
+#: Radius of the neighborhoods below, in which a vertex has several neighbors and paths of several edges.
+_RADIUS = 0.35
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES}, l AS (SELECT e.v, nbr, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)) AS step FROM e JOIN vertices p ON p.v = e.v JOIN vertices q ON q.v = nbr),
+r AS (SELECT v AS center, v, 0.0::DOUBLE AS d FROM vertices UNION ALL SELECT center, nbr, d + step FROM r JOIN l ON l.v = r.v WHERE d + step < {_RADIUS})
+SELECT center, v, round(min(d), 6) + 0.0 AS d FROM r GROUP BY center, v"""
+)
+def geodesic_neighborhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vertices within a geodesic radius of every vertex of the mesh of the vectors."""
+    edges = mesh.edge_lengths(_mesh(spark, sf_dir))
+    return geodesic.neighborhoods(edges, _RADIUS).select("center", "v", six("d"))
+
+
+@query(
+    """WITH t AS (SELECT vec_id AS q, embedding[4]::DOUBLE AS x, embedding[5]::DOUBLE AS y, embedding[6]::DOUBLE AS z FROM embeddings),
+p AS (SELECT vec_id AS p, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+d AS (SELECT p, q, sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y) + (p.z - t.z) * (p.z - t.z)) AS d FROM p, t)
+SELECT p, rank::INT AS rank, q, round(d, 6) + 0.0 AS d FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d, q) AS rank FROM d) WHERE rank <= 7"""
+)
+def knn_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven points of dimensions 4 to 6 nearest to each of dimensions 1 to 3."""
+    x = embedding_rows(spark, sf_dir)
+    at = lambda name, first: x.select(F.col("obs").alias(name), *[F.col("x")[first + i].alias(k) for i, k in enumerate("xyz")])
+    return nearest.nearest(at("p", 0), at("q", 3), 7).select("p", "rank", "q", six("d"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 50 = 0 THEN c_acctbal ELSE c_nationkey / 1000.0 END::DOUBLE AS x, (c_custkey % 4)::DOUBLE AS y, 0.0::DOUBLE AS z FROM customer),
+d AS (SELECT a.k AS p, b.k AS q, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM c a, c b)
+SELECT p, rank::INT AS rank, q, round(d, 6) + 0.0 AS d FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d, q) AS rank FROM d) WHERE rank <= 3"""
+)
+def knn_of_dense_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers crowded at a hundred places that are near to each other against the reach of the others: ties and dense leaves."""
+    x = F.when(F.col("c_custkey") % 50 == 0, F.col("c_acctbal")).otherwise(F.col("c_nationkey") / 1000.0)
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("p"), x.alias("x"), (F.col("c_custkey") % 4).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    return nearest.nearest(c, c.withColumnRenamed("p", "q"), 3).select("p", "rank", "q", six("d"))

@@ -1,5 +1,5 @@
-"""Tables written in the shared folder to cut lineage: spark.checkpoint.dir, which a cluster must name; where it is unset, a
-folder of the warehouse, which executors share as well."""
+"""Tables written in the shared folder to cut lineage: spark.checkpoint.dir, which a cluster must name. Where it is unset, as in
+tests, a folder of the warehouse serves, but not one of the driver's machine below executors of other machines."""
 
 from __future__ import annotations
 
@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        if found.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
     return found.rstrip("/")
 
 
@@ -24,3 +28,11 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     found.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(found)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that no plan needs any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            found = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(found, True)

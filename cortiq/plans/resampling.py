@@ -2,8 +2,8 @@
 
 The plans of the queries are made on Spark (bagging_plan, group_bagging_plan): observations are ranked by hashes of the
 seed, folds are ranges of ranks, and draws are hashed ranks outside the fold, so a seed gives the same splits everywhere
-and the driver holds only counts by group size. bagging, group_bagging and permutations give numpy's draws as arrays, for
-observations that fit the driver; plan_table and withheld_table make tables of them.
+and the driver holds only counts by group size; permutation_plan permutes by keyed bijections of ranks. bagging, group_bagging and
+permutations give numpy's draws as arrays, for observations that fit the driver; plan_table and withheld_table make tables of them.
 """
 
 from __future__ import annotations
@@ -218,3 +218,57 @@ def group_bagging_plan(member: DataFrame, n_folds: int = 5, n_reps: int = 20, se
     withheld = sized.select("grp", F.explode(F.array(*map(F.lit, range(n_reps * n_folds)))).alias("split")).join(train.select("split", "grp").distinct(), ["split", "grp"], "left_anti")
     plan = train.select("split", "rep", "fold", F.lit("train").alias("role"), "obs", F.lit(1).alias("multiplicity"))
     return plan, withheld.select("split", "grp")
+
+
+#: Rounds of the Feistel network, and steps of a walk; a walk is longer only with a probability below 1e-19.
+ROUNDS, WALK = 8, 64
+
+
+def permuted(i: Column, n: Column, *key) -> Column:
+    """Where a keyed bijection of 0 .. n - 1 puts i: column arithmetic, no sort and no state, the same wherever it is computed.
+
+    An alternating Feistel network on pairs (i mod a, i div a) with a = ceil(sqrt(n)): each round adds a hash of one half to the other,
+    which can be undone. Its a * ceil(n / a) places are few more than n; a place from n on goes through the network again
+    (cycle walking) until it is below n.
+    """
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    b = F.ceil(n / a).cast("long")
+
+    def turned(halves: Column, k: Column) -> Column:
+        low, high = halves["low"], halves["high"]
+        return F.struct(
+            F.when(k % 2 == 0, F.pmod(low + F.pmod(_spread(*key, k, high), a), a)).otherwise(low).alias("low"),
+            F.when(k % 2 == 1, F.pmod(high + F.pmod(_spread(*key, k, low), b), b)).otherwise(high).alias("high"),
+        )
+
+    def network(x: Column) -> Column:
+        halves = F.struct(F.pmod(x, a).alias("low"), F.floor(x / a).cast("long").alias("high"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, turned, lambda h: h["high"] * a + h["low"])
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), i.cast("long"), lambda x, k: F.when((k > 0) & (x < n), x).otherwise(network(x)))
+
+
+def permutation_plan(member: DataFrame, n_perms: int, seed: int = 0) -> DataFrame:
+    """(perm, pos, obs): as permutations, of member(grp, obs), with each observation once; joining obs with data puts it at pos.
+
+    Groups of a size change places by a keyed bijection of their ranks within that size, and so do members within their
+    group. The driver holds the number of groups of each size.
+    """
+    spark = member.sparkSession
+    ranked = _numbered(member.select("grp", "obs"), ["grp", "obs"], 0)
+    ranked = written(spark, ranked, "members")
+    groups = ranked.groupBy("grp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
+    sized = _numbered(groups, ["size", "grp"], 0).withColumnRenamed("id", "place")
+    sized = written(spark, sized, "groups")
+    sizes = sized.groupBy("size").agg(F.min("place").alias("begin"), F.count(F.lit(1)).alias("groups"))  # at most sqrt(2 n) rows
+    placed = sized.join(F.broadcast(sizes), "size").select("grp", "size", "first", "begin", "groups", (F.col("place") - F.col("begin")).alias("nth"))
+    rows = written(spark, ranked.join(placed, "grp").select("grp", "obs", "size", "groups", "nth", (F.col("id") - F.col("first")).alias("rank")), "places")
+    asked = rows.withColumn("perm", F.explode(F.array(*map(F.lit, range(n_perms)))))
+    moved = asked.select(
+        "perm",
+        F.col("obs").alias("pos"),
+        "size",
+        permuted(F.col("nth"), F.col("groups"), seed, "groups", F.col("perm"), F.col("size")).alias("nth"),
+        permuted(F.col("rank"), F.col("size"), seed, "members", F.col("perm"), F.col("size"), F.col("nth")).alias("rank"),
+    )
+    return moved.join(rows.select("size", "nth", "rank", "obs"), ["size", "nth", "rank"]).select("perm", "pos", "obs")

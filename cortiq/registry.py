@@ -278,18 +278,67 @@ def bagging_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.groupBy("obs").agg(F.sum(F.when(F.col("role") == "train", F.col("multiplicity")).otherwise(0)).alias("drawn"), F.count_if(F.col("role") == "test").alias("left_out"))
 
 
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("obs"))
+
+
 @query()
 def group_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each group of customers of a nation is withheld."""
-    found = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")).orderBy("c_nationkey").collect()  # a row for each nation
-    splits = resampling.group_counts([r["n"] for r in found], 5, 4)
-    times = np.bincount(np.concatenate(splits), minlength=len(found))
-    return spark.createDataFrame([(r["c_nationkey"], int(k)) for r, k in zip(found, times, strict=True)], "grp long, withheld long")
+    withheld = resampling.group_bagging_plan(_nations(spark, sf_dir), 5, 4)[1]
+    return withheld.groupBy(F.col("grp").cast("long").alias("grp")).agg(F.count(F.lit(1)).alias("withheld"))
+
+
+@query("SELECT split::INT AS split, count(*) AS drawn, 0::BIGINT AS both_roles, count(*) AS seen, true AS left_out_enough FROM customer, (SELECT unnest(range(0, 12)) AS split) GROUP BY split")
+def bagging_plan_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each split draws as many rows as there are, none of them among those left out, and every row has a role; a fold's rows are left out."""
+    obs = _nations(spark, sf_dir).select("obs")
+    plan, folds = resampling.bagging_plan(obs, 4, 3), 4
+    by_row = plan.groupBy("split", "obs").agg(F.count_distinct("role").alias("roles"), F.sum(F.when(F.col("role") == "train", F.col("multiplicity")).otherwise(0)).alias("times"))
+    # In each repetition a row is in one fold, whose split leaves it out.
+    least = plan.groupBy("rep", "obs").agg(F.count_if(F.col("role") == "test").alias("out")).groupBy("rep").agg((F.min("out") >= 1).alias("left_out_enough"))
+    found = by_row.groupBy("split").agg(F.sum("times").alias("drawn"), F.count_if(F.col("roles") > 1).alias("both_roles"), F.count(F.lit(1)).alias("seen"))
+    return found.withColumn("rep", F.floor(F.col("split") / folds)).join(least, "rep").select("split", "drawn", "both_roles", "seen", "left_out_enough")
+
+
+@query("SELECT rep::INT AS rep, count(DISTINCT c_nationkey) AS groups, 0::BIGINT AS drawn_though_withheld, true AS each_withheld, true AS folds_even FROM customer, (SELECT unnest(range(0, 3)) AS rep) GROUP BY rep")
+def group_plan_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No split draws from a group that it withholds, and each group is withheld at least once in a repetition; folds differ by less than the largest group."""
+    member = _nations(spark, sf_dir)
+    plan, withheld = resampling.group_bagging_plan(member, 4, 3)
+    sizes = member.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    drawn = plan.join(member, "obs").select("split", "grp", F.lit(1).alias("hit")).distinct()
+    both = withheld.join(drawn, ["split", "grp"], "left").join(sizes, "grp").withColumn("rep", F.floor(F.col("split") / 4).cast("int"))
+    each = both.groupBy("rep", "grp").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
+    loads = both.groupBy("rep", "split").agg(F.sum("size").alias("load")).groupBy("rep").agg(F.max("load").alias("most"), F.min("load").alias("least"))
+    even = loads.crossJoin(F.broadcast(sizes.agg(F.max("size").alias("top")))).select("rep", (F.col("most") - F.col("least") <= F.col("top")).alias("folds_even"))  # a row for each repetition
+    found = each.groupBy("rep").agg(F.count(F.lit(1)).alias("groups"), F.sum("hits").alias("drawn_though_withheld"), (F.min("n") >= 1).alias("each_withheld"))
+    return found.join(even, "rep").select("rep", "groups", "drawn_though_withheld", "each_withheld", "folds_even")
 
 
-@query()
+@query(
+    """WITH g AS (SELECT c_nationkey % 6 * 10 + (c_custkey % 7) % 2 AS grp, c_custkey AS obs FROM customer), s AS (SELECT grp, count(*) AS size FROM g GROUP BY grp)
+SELECT perm::INT AS perm, s.grp, s.size AS places, s.size AS sources, 1::BIGINT AS from_groups, true AS same_size FROM s, (SELECT unnest(range(0, 4)) AS perm)"""
+)
 def permutation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.permutation_table(spark, resampling.permutations([np.arange(3), np.arange(3, 6), np.arange(6, 8)], 20))
+    """Customers in groups: every place of a group is filled once, from one group of the same size."""
+    c = read(spark, sf_dir, "customer")
+    member = c.select((F.col("c_nationkey") % 6 * 10 + F.col("c_custkey") % 7 % 2).cast("long").alias("grp"), F.col("c_custkey").alias("obs"))
+    sizes = member.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    own = member.join(sizes, "grp")
+    plan = resampling.permutation_plan(member, 4)
+    at = own.select(F.col("obs").alias("pos"), "grp", "size")
+    both = plan.join(at, "pos").join(own.select("obs", F.col("grp").alias("source"), F.col("size").alias("source_size")), "obs")
+    found = both.groupBy("perm", "grp").agg(F.count_distinct("pos").alias("places"), F.count_distinct("obs").alias("sources"), F.count_distinct("source").alias("from_groups"), F.bool_and(F.col("size") == F.col("source_size")).alias("same_size"))
+    return found.select("perm", "grp", "places", "sources", "from_groups", "same_size")
+
+
+@query("SELECT perm::INT AS perm, count(*) AS rows, count(*) AS sources, sum(c_custkey)::BIGINT AS total FROM customer, (SELECT unnest(range(0, 3)) AS perm) GROUP BY perm")
+def permutation_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer a group of its own, so all change places: every one is a source once."""
+    obs = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("grp"), F.col("c_custkey").alias("obs"))
+    plan = resampling.permutation_plan(obs, 3)
+    return plan.groupBy("perm").agg(F.count_distinct("pos").alias("rows"), F.count_distinct("obs").alias("sources"), F.sum("obs").alias("total"))
 
 
 # Preparation

@@ -38,7 +38,7 @@ TRAIN_PAGES = 400
 #: HTML's elements without content, elements that lay out as blocks, and elements whose text is not shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-RAW = frozenset("script style textarea title noscript template iframe svg object select button option xmp noembed noframes math canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select button option noembed noframes canvas audio video".split())
 #: Elements that hold the blocks of a text without being one.
 HOSTS = frozenset("div section article main header center details".split())
 #: Elements that are never main text.

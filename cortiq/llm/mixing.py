@@ -7,9 +7,9 @@ within TOLERANCE; targets that the cells cannot meet raise an error. The cells a
 there are more than ONE_ROW of them, a table with a join a step. A document's probability is its cell's weight over its
 tokens, scaled so that the largest is 1; it is sampled when a hash of its id, as a number in [0, 1), is below that.
 
-Without given targets, they are the marginals of the cells' tokens, each times its source's and its language's tokens to the
-power TEMPER - 1: small sources and languages gain, topics keep what they then have, and the same cells can meet these targets by
-construction.
+Without given targets, they are the marginals of the cells' tokens, each times its source's, its language's and its topic's tokens to
+the power TEMPER - 1: small sources, languages and topics gain, topics least, as a text's topic is a guess. The same cells can meet
+these targets by construction; a user's own may ask for anything that cells can meet.
 
 Defined results: null source, language or topic is a value of its own, `(none)`; null and empty texts have no tokens and
 keep their cell's probability; a cell without tokens has probability 1; rows that repeat an id are sampled alike (if in
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from ._shared import small_or_not, written
 
 MARGINALS = ("source", "lang", "topic")
-#: Without given targets, sources and languages count by their tokens to this power.
-TEMPER = 0.8
+#: Without given targets, the values of a marginal count by their tokens to this power.
+TEMPER = {"source": 0.8, "lang": 0.8, "topic": 0.95}
 #: Rounds between two looks at the error, the largest error as a share of all tokens, and the share of an error that must be left
 #: after a look at most: else the targets cannot be met, and an error is raised.
 BATCH, TOLERANCE, STALLED = 40, 1e-10, 0.999
@@ -86,11 +86,11 @@ def keyed(docs: DataFrame, names: dict[str, str], topic: Column | None = None, t
     return docs.withColumns({names["source"]: none(F.col("source")), names["lang"]: none(F.col("lang"))}).drop(short)
 
 
-def _targets(cells: DataFrame, targets: dict[str, dict[str, float]], temper: float) -> DataFrame:
+def _targets(cells: DataFrame, targets: dict[str, dict[str, float]], temper: dict[str, float]) -> DataFrame:
     """(marginal, value, share): what each marginal's values with tokens shall have."""
     parts, tempered = [], cells.withColumn("t", F.col("tokens").cast("double"))
-    for m in ("source", "lang"):
-        tempered = tempered.join(cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper - 1)).alias("f")), m).withColumn("t", F.col("t") * F.col("f")).drop("f")
+    for m in MARGINALS:
+        tempered = tempered.join(cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper[m] - 1)).alias("f")), m).withColumn("t", F.col("t") * F.col("f")).drop("f")
     for m in MARGINALS:
         sums = tempered.groupBy(F.col(m).alias("value")).agg(F.sum("t").alias("share"))
         if m in targets:
@@ -169,7 +169,7 @@ def _raked_table(spark: SparkSession, cells: DataFrame, targets: DataFrame) -> D
         before = _nearer(before, worst)
 
 
-def raked(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER) -> DataFrame:
+def raked(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER) -> DataFrame:
     """cells (marginals, tokens) with `weight`, shares of all tokens that meet the targets (shares of a marginal's values)."""
     cells = written(spark, cells.select(*MARGINALS, "tokens"), "cells")
     live = cells.where("tokens > 0")
@@ -181,7 +181,7 @@ def raked(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, fl
     return cells.join(state, list(MARGINALS), "left")
 
 
-def chances(spark: SparkSession, rows: DataFrame, names: dict[str, str], targets: dict[str, dict[str, float]] | None, temper: float) -> DataFrame:
+def chances(spark: SparkSession, rows: DataFrame, names: dict[str, str], targets: dict[str, dict[str, float]] | None, temper: dict[str, float]) -> DataFrame:
     """(marginals, probability) of each cell of rows."""
     cells = rows.groupBy(*[F.col(names[m]).alias(m) for m in MARGINALS]).agg(F.sum(F.col(names["tokens"])).alias("tokens"))
     cells = raked(spark, cells, targets, temper)
@@ -190,7 +190,7 @@ def chances(spark: SparkSession, rows: DataFrame, names: dict[str, str], targets
     return small_or_not(cells.select(*MARGINALS, F.coalesce(F.col("ratio") / float(most), F.lit(1.0)).alias("probability")))
 
 
-def calibrated(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, temper: float = TEMPER) -> DataFrame:
+def calibrated(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, temper: dict[str, float] = TEMPER) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, sampled) of each document."""
     names = {n: n for n in (*MARGINALS, "tokens")}
     rows = written(spark, keyed(docs, names, topic, tokens).select("doc_id", *names), "marginals")  # the texts are read once
@@ -198,7 +198,7 @@ def calibrated(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str
     return joined.select("doc_id", *MARGINALS, "tokens", F.round("probability", 6).alias("probability"), (uniform(F.col("doc_id")) < F.col("probability")).alias("sampled"))
 
 
-def mixed_documents(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, temper: float = TEMPER) -> DataFrame:
+def mixed_documents(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, temper: dict[str, float] = TEMPER) -> DataFrame:
     """The sampled documents, with all their columns; each row is sampled by its own cell, whatever rows share its id."""
     names = {n: f"{n}_{uuid.uuid4().hex}" for n in (*MARGINALS, "tokens")}
     rows = written(spark, keyed(docs, names, topic, tokens), "marginals")  # else filters on a topic would find it again
@@ -222,7 +222,7 @@ WITH RECURSIVE texts AS (SELECT doc_id, coalesce(source, '(none)') AS source, co
 counts AS (SELECT doc_id, source, lang, len(regexp_extract_all(z, '{PIECES}')) AS tokens, {counts} FROM texts),
 rows AS MATERIALIZED (SELECT doc_id, source, lang, tokens, CASE WHEN {most} = 0 OR {most} * {SHARE} < tokens THEN 'prose' {which} END AS topic FROM counts),
 cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM rows GROUP BY ALL HAVING sum(tokens) > 0),
-tempered AS (SELECT *, tokens * pow(sum(tokens) OVER (PARTITION BY source), {TEMPER - 1}) * pow(sum(tokens) OVER (PARTITION BY lang), {TEMPER - 1}) AS t FROM cells),
+tempered AS (SELECT *, tokens * {" * ".join(f"pow(sum(tokens) OVER (PARTITION BY {m}), {TEMPER[m] - 1})" for m in MARGINALS)} AS t FROM cells),
 one AS (SELECT list({{'source': source, 'lang': lang, 'topic': topic, 'tokens': tokens, 't': t}} ORDER BY source, lang, topic) AS c, sum(tokens) AS total, sum(t) AS z,
   list(DISTINCT source) AS v_source, list(DISTINCT lang) AS v_lang, list(DISTINCT topic) AS v_topic FROM tempered),
 two AS (SELECT *, {index} FROM one),

@@ -115,11 +115,11 @@ def test_mixing(spark, corpus):
         cells[r["source"], r["lang"], r["topic"]] += r["tokens"]
     cells = {k: v for k, v in cells.items() if v}
     w, total = dict(cells), sum(cells.values())
-    own = [Counter(), Counter()]
+    own = [Counter(), Counter(), Counter()]
     for k, v in cells.items():
-        own[0][k[0]] += v
-        own[1][k[1]] += v
-    goal = {k: v * own[0][k[0]] ** -0.2 * own[1][k[1]] ** -0.2 for k, v in cells.items()}
+        for m in range(3):
+            own[m][k[m]] += v
+    goal = {k: v * own[0][k[0]] ** -0.2 * own[1][k[1]] ** -0.2 * own[2][k[2]] ** -0.05 for k, v in cells.items()}
     tempered = sum(goal.values())
     for _ in range(500):
         for m in range(3):

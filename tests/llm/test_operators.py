@@ -546,3 +546,37 @@ def test_extra_columns_with_clashing_names(spark):
     assert exact_dedup.exact_duplicates(spark, docs).count() == 3
     assert token_files.read_token_files(token_files.write_token_files(spark, docs)).count() == 3
     assert queries.QUERIES.keys() >= queries.SQL.keys()
+
+
+def test_topics_change_probabilities(spark):
+    """Within a source and a language, a rare topic is more likely to be sampled than a frequent one, and given targets of one marginal alone move it."""
+    rows = [(i, "plain words of prose here " * 4 if i % 10 else "if (a) { b; } else { c = d; } " * 4, ("en", "fr")[i % 3 == 0], f"s{i % 2}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.calibrated(spark, docs).groupBy("source", "lang", "topic").agg(F.max("probability").alias("p"), F.min("probability").alias("q")).collect()
+    by = {(r["source"], r["lang"], r["topic"]): r["p"] for r in got}
+    assert all(r["p"] == r["q"] for r in got)
+    cells = {(s, x) for s, x, t in by if t == "code"} & {(s, x) for s, x, t in by if t == "prose"}
+    assert cells and all(by[s, x, "code"] > by[s, x, "prose"] for s, x in cells)
+    asked = mixing.calibrated(spark, docs, {"topic": {"code": 1.0, "prose": 1.0}}).groupBy("topic").agg(F.sum(F.col("tokens") * F.col("probability")).alias("w")).collect()
+    w = {r["topic"]: r["w"] for r in asked}
+    assert w["code"] == pytest.approx(w["prose"], rel=1e-3)
+
+
+def test_texts_that_only_look_like_boilerplate(spark):
+    """Formulas, old preformatted text and an object's own text are text."""
+    page = "<html><body><nav>menu one two</nav><article><p>First words of the text.</p><math><mi>x</mi><mo>=</mo><mn>2</mn></math><xmp>plain code here</xmp><object data='a.svg'>A picture in words.</object><p>Last words of the text.</p></article></body></html>"
+    got = html_text.extracted(spark, spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()["text"]
+    for words in ("First words of the text.", "x=2", "plain code here", "A picture in words.", "Last words of the text."):
+        assert words in got or words.replace("=", " = ") in got, got
+    assert "menu" not in got
+
+
+def test_best_run_against_all_pairs():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        s = rng.integers(-4, 5, int(rng.integers(0, 25))).tolist()
+        sums = {(a, b): sum(s[a:b]) for a in range(len(s)) for b in range(a + 1, len(s) + 1)}
+        top = max(sums.values(), default=0)
+        want = min(((a, b) for (a, b), v in sums.items() if v == top), key=lambda r: (r[1], -r[0])) if top > 0 else (0, 0)
+        got = html_text.best_run(s)
+        assert (sum(s[slice(*got)]) == max(top, 0)) and got[1] == want[1]

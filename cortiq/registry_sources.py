@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .operators import prep, render, spaces, stats
 from .registry import _RUNS, _runs, query, six
-from .sources import arrays, catalog, datasets
+from .sources import arrays, catalog, datasets, records, volumes
 from .sources.scratch import shared_path
 from .tables import read
 
@@ -224,3 +224,50 @@ def surface_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     colormap = spark.range(256).select(F.col("id").cast("int").alias("k"), (F.col("id") / 255).alias("r"), (1 - F.col("id") / 255).alias("g"), F.lit(0.5).alias("b"), F.lit(1.0).alias("a"))
     gyri = people.select(F.col("c_custkey").alias("v"), (F.col("c_custkey") % 2 == 0).alias("gyrus"))
     return render.colored(values, colormap, gyri, high, low).select("v", six("r"), six("g"))
+
+
+_VOXELS = """voxels AS (SELECT c_mktsegment AS name, (c_custkey % 6)::INT AS i, (c_nationkey % 5)::INT AS j, (c_custkey % 4)::INT AS k, (c_nationkey % 3)::INT AS t, round(sum(c_acctbal), 2) AS x FROM customer GROUP BY ALL)"""
+
+
+def _voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of customers' balances as volumes, one for each segment."""
+    c = read(spark, sf_dir, "customer")
+    at = [(F.col("c_custkey") % 6).cast("int").alias("i"), (F.col("c_nationkey") % 5).cast("int").alias("j"), (F.col("c_custkey") % 4).cast("int").alias("k"), (F.col("c_nationkey") % 3).cast("int").alias("t")]
+    return c.groupBy(F.col("c_mktsegment").alias("name"), *at).agg(F.round(F.sum("c_acctbal"), 2).alias("x"))
+
+
+@query(f"WITH {_VOXELS} SELECT name, i, j, k, t, round(x, 4) + 0.0 AS x FROM voxels WHERE x <> 0")
+def volumes_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes written as gz files, and read by the data source."""
+    folder = shared_path(spark, "volumes")
+    volumes.write_volumes(_voxels(spark, sf_dir), folder, (6, 5, 4, 3)).count()
+    found = volumes.cells(volumes.read_volumes(spark, folder)).where("x <> 0")
+    name = F.regexp_extract("path", r"([^/]*)\.nii\.gz$", 1)
+    return found.select(name.alias("name"), "i", "j", "k", "t", six("x", 4))
+
+
+@query(f"WITH {_VOXELS} SELECT name || '.nii.gz' AS path, CASE WHEN max(CASE WHEN k = 0 THEN abs(x) END) > 0 THEN 'values differ' ELSE 'same' END AS status, round(max(CASE WHEN k = 0 THEN abs(x) ELSE 0 END), 4) + 0.0 AS most FROM voxels GROUP BY name")
+def volumes_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes against those without their first slices."""
+    one, two = shared_path(spark, "volumes"), shared_path(spark, "volumes")
+    voxels = _voxels(spark, sf_dir)
+    volumes.write_volumes(voxels, one, (6, 5, 4, 3)).count()
+    volumes.write_volumes(voxels.where("k > 0"), two, (6, 5, 4, 3)).count()
+    return volumes.compared_volumes(spark, one, two).select("path", "status", six("most", 4))
+
+
+@query(
+    """SELECT o_orderstatus, n, round(total, 2) + 0.0 AS total, records, recorded_rows, round(recorded_total, 2) + 0.0 AS recorded_total FROM (SELECT o_orderstatus, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY o_orderstatus),
+(SELECT 1::BIGINT AS records, count(DISTINCT o_orderstatus) AS recorded_rows, sum(o_totalprice) AS recorded_total FROM orders)"""
+)
+def recorded_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result that two calls ask for is computed once; its record, with an observed sum, stands beside it."""
+
+    def totals() -> DataFrame:
+        return read(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+
+    folder = shared_path(spark, "recorded")
+    for _ in range(2):
+        found = records.save_results(spark, f"{folder}/totals", totals, metrics={"total": F.sum("total")})
+    seen = records.records(spark, folder).agg(F.count(F.lit(1)).alias("records"), F.max("rows").alias("recorded_rows"), F.max(F.col("metrics")["total"]).alias("recorded_total"))
+    return found.crossJoin(F.broadcast(seen)).select("o_orderstatus", "n", six("total", 2), "records", "recorded_rows", six("recorded_total", 2))  # one row beside

@@ -81,14 +81,17 @@ def read_neighborhoods(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
-    """csv and tsv with n/a as missing."""
-    sep = "\t" if path.endswith(".tsv") else ","
+    """csv and tsv, plain or gz, with n/a as missing."""
+    sep = "\t" if path.endswith((".tsv", ".tsv.gz")) else ","
     return spark.read.options(header=True, sep=sep, nullValue="n/a", inferSchema=True, **options).csv(path)
 
 
 def load(spark: SparkSession, path: str, **options) -> DataFrame:
-    """By suffix: npy, npz (sparse), tsv, csv, json, json.gz, parquet."""
-    for endings, reader in ((".npy", read_npy), (".npz", read_sparse), ((".tsv", ".csv"), read_table)):
+    """By suffix: npy, npz (sparse), tsv, csv, json (also gz), txt (also gz; a row for each line), parquet, volumes."""
+    from .volumes import ENDINGS, read_volumes
+
+    tables = (".tsv", ".csv", ".tsv.gz", ".csv.gz")
+    for endings, reader in ((".npy", read_npy), (".npz", read_sparse), (tables, read_table), ((".txt", ".txt.gz"), lambda spark, path: spark.read.text(path)), (ENDINGS, read_volumes)):
         if path.endswith(endings):
             return reader(spark, path, **options)
     if path.endswith((".json", ".json.gz")):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gzip
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +26,11 @@ def test_npy_and_sparse(spark, tmp_path):
 def test_tables_and_dispatch(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("a\tb\n1\tn/a\n2\t3\n")
     assert [tuple(r) for r in arrays.load(spark, str(tmp_path / "t.tsv")).collect()] == [(1, None), (2, 3)]
+    for name, text in (("u.tsv.gz", "a\tb\n1\tn/a\n2\t3\n"), ("u.csv.gz", "a,b\n1,n/a\n2,3\n")):
+        (tmp_path / name).write_bytes(gzip.compress(text.encode()))
+        assert [tuple(r) for r in arrays.load(spark, str(tmp_path / name)).collect()] == [(1, None), (2, 3)]
+    (tmp_path / "v.txt").write_text("one\ntwo\n")
+    assert [r["value"] for r in arrays.load(spark, str(tmp_path / "v.txt")).collect()] == ["one", "two"]
     arrays.save(spark.range(3), str(tmp_path / "x.parquet"))
     assert arrays.load(spark, str(tmp_path / "x.parquet")).count() == 3
     for f in (lambda: arrays.load(spark, "x.pkl"), lambda: arrays.save(spark.range(1), "x.pkl")):

@@ -1,4 +1,4 @@
-"""Triangulations of points on a sphere, put together from hulls of small neighborhoods.
+"""Hulls: of any points, by divide and conquer; and of points on a sphere, put together from small neighborhoods.
 
 On a sphere the faces of the hull around a vertex depend on the points near it alone. Each vertex's neighborhood (a cap that
 holds about REACH points on average) is one small group; a face counts when all three of its corners found it.
@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import discard, written
 from .mesh import Mesh, barycentric, corners, oriented, sphere, union_points
 
 REACH = 40
+#: Points whose hull a task makes.
+PART = 20_000
 
 
 def hull(points: np.ndarray, eps: float = 1e-12) -> list[tuple[int, int, int]]:
@@ -44,6 +46,102 @@ def hull(points: np.ndarray, eps: float = 1e-12) -> list[tuple[int, int, int]]:
     return faces
 
 
+def quick_hull(points: np.ndarray) -> np.ndarray:
+    """Outward triangles of the hull, none if the points are flat: the farthest point outside a face replaces all faces that it sees.
+
+    Points wait at one of the faces that they are outside of; those inside all of them are never looked at again.
+    """
+    scale = np.abs(points - points.mean(axis=0)).max(initial=0) if len(points) else 0.0
+    eps = 1e-12 * max(scale, 1e-300)
+    low = int(points[:, 0].argmin()) if len(points) else 0
+    far = lambda d: int(np.abs(d).argmax())
+    if len(points) < 4:
+        return np.zeros((0, 3), int)
+    second = far(np.linalg.norm(points - points[low], axis=1))
+    line = points[second] - points[low]
+    third = far(np.linalg.norm(np.cross(points - points[low], line), axis=1))
+    up = np.cross(line, points[third] - points[low])
+    side = (points - points[low]) @ up / max(np.linalg.norm(up), 1e-300)
+    top = far(side)
+    if np.linalg.norm(up) <= eps * scale or abs(side[top]) <= eps:
+        return np.zeros((0, 3), int)
+    a, b, c = (low, second, third) if side[top] < 0 else (low, third, second)
+    faces = np.array([(a, b, c), (a, top, b), (b, top, c), (c, top, a)])
+
+    def planes(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.cross(points[f[:, 1]] - points[f[:, 0]], points[f[:, 2]] - points[f[:, 0]])
+        n /= np.maximum(np.linalg.norm(n, axis=1), 1e-300)[:, None]
+        return n, (n * points[f[:, 0]]).sum(axis=1)
+
+    def waiting(some: np.ndarray, n: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        if not len(some):
+            return [some] * len(n)
+        height = points[some] @ n.T - at
+        best = height.argmax(axis=1)
+        out = height[np.arange(len(some)), best] > eps
+        return [some[out & (best == k)] for k in range(len(n))]
+
+    normal, offset = planes(faces)
+    alive, outside = np.ones(4, bool), waiting(np.arange(len(points)), normal, offset)
+    while todo := [k for k in np.flatnonzero(alive).tolist() if len(outside[k])]:
+        for k in todo:
+            if not alive[k]:
+                continue
+            some = outside[k]
+            p = int(some[(points[some] @ normal[k]).argmax()])
+            sees = np.flatnonzero(alive & (normal @ points[p] - offset > eps))
+            gone = faces[sees]
+            edges = np.concatenate([gone[:, [0, 1]], gone[:, [1, 2]], gone[:, [2, 0]]])
+            known = set(map(tuple, edges.tolist()))
+            rim = np.array([e for e in edges.tolist() if (e[1], e[0]) not in known])
+            fresh = np.column_stack([rim, np.full(len(rim), p)])
+            left = np.unique(np.concatenate([outside[j] for j in sees]))
+            n, at = planes(fresh)
+            alive[sees] = False
+            for j in sees:
+                outside[j] = outside[j][:0]
+            faces, normal, offset = np.concatenate([faces, fresh]), np.concatenate([normal, n]), np.concatenate([offset, at])
+            alive, outside = np.append(alive, np.ones(len(fresh), bool)), [*outside, *waiting(left[left != p], n, at)]
+    return faces[alive]
+
+
+def convex_hull(vertices: DataFrame, part: int = PART) -> Mesh:
+    """The hull of any vertices(v, x, y, z), faces outward, of vertices that are corners; no faces if they are flat.
+
+    Divide and conquer: only the corners of the hulls of parts go on, level by level, until one part holds all that is left, or
+    a level drops hardly any - then nearly all of them are corners, and the last hull is as large as its result. A point inside the hull of
+    its part is inside the whole one.
+    """
+    spark = vertices.sparkSession
+    left = written(spark, vertices.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").select("v", "x", "y", "z"), "hull-level")
+    n = left.count()
+
+    def corners_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v", ignore_index=True)
+        faces = quick_hull(pdf[["x", "y", "z"]].to_numpy())
+        return pdf.loc[np.unique(faces) if len(faces) else pdf.index, ["v", "x", "y", "z"]]  # a flat part goes on as it is
+
+    kind = dict(vertices.dtypes)["v"]
+    while n > part:
+        parts = -(-n // part)
+        dealt = left.withColumn("part", F.pmod(F.xxhash64("v", F.lit(n)), F.lit(parts)))
+        fewer = written(spark, dealt.groupBy("part").applyInPandas(corners_of, f"v {kind}, x double, y double, z double"), "hull-level")
+        discard(left)
+        before, left, n = n, fewer, fewer.count()
+        if n > 0.9 * before:
+            break
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v", ignore_index=True)
+        faces = quick_hull(pdf[["x", "y", "z"]].to_numpy())
+        ids = pdf["v"].to_numpy()[faces].reshape(-1, 3)
+        return pd.DataFrame({"f": np.arange(len(faces)), "a": ids[:, 0], "b": ids[:, 1], "c": ids[:, 2]})
+
+    faces = written(spark, left.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(whole, f"f long, a {kind}, b {kind}, c {kind}"), "hull")
+    used = faces.select(F.explode(F.array("a", "b", "c")).alias("v")).distinct()
+    return Mesh(left.join(used, "v", "left_semi"), faces)
+
+
 def triangulated(vertices: DataFrame, reach: int = REACH) -> Mesh:
     """The hull of vertices(v, x, y, z) on a sphere, faces outward; raises if neighborhoods were too small for the points' spacing."""
     spark = vertices.sparkSession

@@ -514,35 +514,6 @@ def _sphere(spark: SparkSession, n: int = 4) -> mesh.Mesh:
     return mesh.subdivided(mesh.Mesh(*octahedron(spark)), n, on_sphere=True)
 
 
-@query(
-    f"""WITH {OCTAHEDRON_SQL}, c AS (SELECT f, a, b, c, pb.x - pa.x AS x1, pb.y - pa.y AS y1, pb.z - pa.z AS z1, pc.x - pa.x AS x2, pc.y - pa.y AS y2, pc.z - pa.z AS z2
-FROM faces JOIN vertices pa ON pa.v = a JOIN vertices pb ON pb.v = b JOIN vertices pc ON pc.v = c),
-s AS (SELECT *, sqrt(pow(y1 * z2 - z1 * y2, 2) + pow(z1 * x2 - x1 * z2, 2) + pow(x1 * y2 - y1 * x2, 2)) / 2 AS area FROM c)
-SELECT v::BIGINT AS v, round(sum(area) / 3, 6) + 0.0 AS area FROM (SELECT unnest([a, b, c]) AS v, area FROM s) GROUP BY v"""
-)
-def mesh_vertex_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mesh.vertex_areas(mesh.Mesh(*octahedron(spark))).select("v", six("area"))
-
-
-@query(f"WITH {OCTAHEDRON_SQL}, e AS (SELECT DISTINCT unnest([a, a, b, b, c, c]) AS v, unnest([b, c, a, c, a, b]) AS nbr FROM faces) SELECT v::BIGINT AS v, nbr::BIGINT AS nbr FROM e")
-def mesh_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mesh.neighbors(mesh.Mesh(*octahedron(spark)).faces)
-
-
-@query(f"WITH {OCTAHEDRON_SQL} SELECT v::BIGINT AS v, x + 0.0 AS nx, y + 0.0 AS ny, z + 0.0 AS nz FROM vertices")
-def mesh_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On the octahedron a vertex's normal is its position."""
-    return mesh.normals(mesh.Mesh(*octahedron(spark)), "sine").select("v", six("nx"), six("ny"), six("nz"))
-
-
-@query("SELECT 66::BIGINT AS vertices, 128::BIGINT AS faces, 192::BIGINT AS edges, 0::BIGINT AS tetrahedra")
-def mesh_subdivision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _sphere(spark)
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    out = count(m.vertices, "vertices").crossJoin(count(m.faces, "faces")).crossJoin(count(mesh.neighbors(m.faces).where("v < nbr"), "edges"))
-    return out.crossJoin(count(mesh.tetrahedra(m.faces), "tetrahedra"))  # a row each
-
-
 @query()
 def mesh_barycentric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings' directions in three dimensions, located on a sphere."""
@@ -574,21 +545,5 @@ def dijkstra_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geodesic.dijkstra(both, first or 0).select((F.col("v") % 2).alias("kind"), F.floor(F.col("v") / 2).alias("key"), six("d", 5))
 
 
-@query()
-def geodesic_territories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Areas of the geodesic territories of an octahedron's vertices."""
-    return geodesic.geodesic_areas(mesh.Mesh(*octahedron(spark)), n_div=3, t_div=6).select("v", six("area"))
-
-
-@query()
-def overlap_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Areas shared by an octahedron's vertices and a subset of a finer sphere's."""
-    m = mesh.Mesh(*octahedron(spark))
-    fine = _sphere(spark, 2).vertices.where("v % 3 <> 1").select(F.col("v").alias("p"), "x", "y", "z")
-    return geodesic.overlap_transform(m, m, fine, n_div=2, t_div=4).select("src", "dst", six("w"))
-
-
-
-
 # Further queries register themselves.
 from . import registry_meshes, registry_models, registry_sources  # noqa: E402, F401

@@ -148,11 +148,28 @@ def union_of_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.agg(F.count(F.lit(1)).alias("points"), F.sum(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2).alias("size")).crossJoin(shared).select("points", "shared", six("size", 4))  # a row each
 
 
-@query(f"WITH {OCTAHEDRON_SQL}, s AS (SELECT list_sort([a, b, c]) AS k FROM faces) SELECT k[1]::BIGINT AS a, k[2]::BIGINT AS b, k[3]::BIGINT AS c FROM s")
-def hull_of_octahedron(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hull of six directions, faces as sorted corners."""
-    faces = hull.triangulated(octahedron(spark)[0]).faces.select(F.array_sort(F.array("a", "b", "c")).alias("k"))
-    return faces.select(*[F.col("k")[i].alias(n) for i, n in enumerate("abc")])
+@query("SELECT count(*) AS corners, 2 * count(*) - 4 AS faces, 3 * count(*) - 6 AS edges, 0::BIGINT AS open_edges FROM embeddings")
+def hull_of_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hull of the vectors' directions in three dimensions: on a sphere every point is a corner, and the surface is closed."""
+    points = mesh.sphere(_mesh(spark, sf_dir).vertices)
+    faces = hull.triangulated(points).faces
+    sides = faces.select(F.explode(F.array(*[F.struct(F.col(p).alias("p"), F.col(q).alias("q")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))])).alias("e")).select("e.*")
+    back = sides.select(F.col("q").alias("p"), F.col("p").alias("q"))
+    counts = sides.agg(F.count_distinct("p").alias("corners"), F.floor(F.count(F.lit(1)) / 2).alias("edges"))
+    return counts.crossJoin(faces.agg(F.count(F.lit(1)).alias("faces"))).crossJoin(sides.join(back, ["p", "q"], "left_anti").agg(F.count(F.lit(1)).alias("open_edges"))).select("corners", "faces", "edges", "open_edges")  # a row each
+
+
+@query(
+    """SELECT d.vec_id AS direction, round(max(d.embedding[4]::DOUBLE * p.embedding[1]::DOUBLE + d.embedding[5]::DOUBLE * p.embedding[2]::DOUBLE + d.embedding[6]::DOUBLE * p.embedding[3]::DOUBLE), 7) + 0.0 AS reach
+FROM embeddings d, embeddings p GROUP BY d.vec_id"""
+)
+def hull_reach_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the vectors' points go in many directions: as far as the corners of their hull, which parts of them make."""
+    x = embedding_rows(spark, sf_dir)
+    ends = hull.convex_hull(_mesh(spark, sf_dir).vertices, part=200).vertices
+    asked = x.select(F.col("obs").alias("direction"), *[F.col("x")[3 + i].alias("d" + k) for i, k in enumerate("xyz")])
+    both = asked.crossJoin(F.broadcast(ends))  # the hull's corners, about the root of the points
+    return both.groupBy("direction").agg(F.max(F.col("dx") * F.col("x") + F.col("dy") * F.col("y") + F.col("dz") * F.col("z")).alias("reach")).select("direction", six("reach", 7))
 
 
 _QUADS = """q AS (SELECT c_custkey AS k, 1 + c_nationkey / 10.0 AS w, 1 + abs(c_acctbal) / 5000.0 AS h, 100.0 * c_custkey AS x0 FROM customer)"""
@@ -228,3 +245,55 @@ def knn_of_dense_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.when(F.col("c_custkey") % 50 == 0, F.col("c_acctbal")).otherwise(F.col("c_nationkey") / 1000.0)
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("p"), x.alias("x"), (F.col("c_custkey") % 4).cast("double").alias("y"), F.lit(0.0).alias("z"))
     return nearest.nearest(c, c.withColumnRenamed("p", "q"), 3).select("p", "rank", "q", six("d"))
+
+
+#: Every supplier has an octahedron, of a size of its own: vertices 6 s .. 6 s + 5, faces 8 s .. 8 s + 7.
+_OCTAHEDRA = f"""{OCTAHEDRON_SQL.replace("vertices(", "v1(").replace("faces(", "f1(")}, s AS (SELECT s_suppkey AS s, (1 + s_suppkey % 9)::DOUBLE AS r FROM supplier),
+vertices AS (SELECT s, r, 6 * s + v AS v, r * x AS x, r * y AS y, r * z AS z, x AS ux, y AS uy, z AS uz FROM s, v1), faces AS (SELECT s, r, 8 * s + f AS f, 6 * s + a AS a, 6 * s + b AS b, 6 * s + c AS c FROM s, f1)"""
+
+
+def _octahedra(spark: SparkSession, sf_dir: str) -> mesh.Mesh:
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), (1.0 + F.col("s_suppkey") % 9).alias("r"))
+    vertices, faces = (F.broadcast(df) for df in octahedron(spark))  # 6 and 8 rows
+    v = s.crossJoin(vertices).select((6 * F.col("s") + F.col("v")).alias("v"), *[(F.col("r") * F.col(k)).alias(k) for k in "xyz"])
+    return mesh.Mesh(v, s.crossJoin(faces).select((8 * F.col("s") + F.col("f")).alias("f"), *[(6 * F.col("s") + F.col(k)).alias(k) for k in "abc"]))
+
+
+@query(f"WITH {_OCTAHEDRA} SELECT v, round(4 * sqrt(3) * r * r / 6, 6) + 0.0 AS area FROM vertices")
+def mesh_vertex_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.vertex_areas(_octahedra(spark, sf_dir)).select("v", six("area"))
+
+
+@query(f"WITH {_OCTAHEDRA}, e AS (SELECT DISTINCT unnest([a, a, b, b, c, c]) AS v, unnest([b, c, a, c, a, b]) AS nbr FROM faces) SELECT v, nbr FROM e")
+def mesh_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.neighbors(_octahedra(spark, sf_dir).faces)
+
+
+@query(f"WITH {_OCTAHEDRA} SELECT v, ux + 0.0 AS nx, uy + 0.0 AS ny, uz + 0.0 AS nz FROM vertices")
+def mesh_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On an octahedron a vertex's normal is its direction."""
+    return mesh.normals(_octahedra(spark, sf_dir), "sine").select("v", six("nx"), six("ny"), six("nz"))
+
+
+@query("SELECT 66 * count(*) AS vertices, 128 * count(*) AS faces, 192 * count(*) AS edges, 0::BIGINT AS tetrahedra FROM supplier")
+def mesh_subdivision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mesh.subdivided(_octahedra(spark, sf_dir), 4, on_sphere=True)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    out = count(m.vertices, "vertices").crossJoin(count(m.faces, "faces")).crossJoin(count(mesh.neighbors(m.faces).where("v < nbr"), "edges"))
+    return out.crossJoin(count(mesh.tetrahedra(m.faces), "tetrahedra"))  # a row each
+
+
+@query(f"WITH {_OCTAHEDRA} SELECT s, 6::BIGINT AS owners, round(4 * sqrt(3) * r * r, 5) + 0.0 AS area FROM s")
+def geodesic_territories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The geodesic territories of each octahedron's vertices, at the usual fineness: each vertex has one, together they are the surface."""
+    areas = geodesic.geodesic_areas(_octahedra(spark, sf_dir))
+    return areas.groupBy(F.floor(F.col("v") / 6).alias("s")).agg(F.count_if(F.col("area") > 0).alias("owners"), F.sum("area").alias("area")).select("s", "owners", six("area", 5))
+
+
+@query("SELECT 6::BIGINT AS sources, round(4 * sqrt(3), 5) + 0.0 AS area, true AS each_point_at_most FROM (SELECT count(*) FROM embeddings)")
+def overlap_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas that an octahedron's territories share with those of the vectors' directions on it add up to the surface."""
+    m = mesh.Mesh(*octahedron(spark))
+    points = mesh.sphere(_mesh(spark, sf_dir).vertices).select(F.col("v").alias("p"), "x", "y", "z")
+    shared = geodesic.overlap_transform(m, m, points, n_div=4, t_div=16)
+    return shared.agg(F.count_distinct("src").alias("sources"), F.sum("w").alias("area"), (F.count_distinct("dst") <= points.count()).alias("each_point_at_most")).select("sources", six("area", 5), "each_point_at_most")

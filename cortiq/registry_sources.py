@@ -49,16 +49,21 @@ def dataset_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM (VALUES ('bologna', '20.2.7', 1, 69, 0, 0), ('bellaria', '20.2.7', 4, 1, 0, 0), ('forrest', '20.2.7', 7, 15, 0, 0), ('dalmatians', '20.2.7', 2, 50, 0, 0),
+    """SELECT d.*, count(c_custkey) AS runs FROM (VALUES ('bologna', '20.2.7', 1, 69, 0, 0), ('bellaria', '20.2.7', 4, 1, 0, 0), ('forrest', '20.2.7', 7, 15, 0, 0), ('dalmatians', '20.2.7', 2, 50, 0, 0),
 ('spacetop', '23.2.0', 2, -1, 0, 49), ('camcan', '20.2.7', 3, -1, 0, 0), ('id1000', '20.2.7', 1, -1, 0, 0), ('raiders', '23.2.0', 2, 23, 0, 4), ('praiders', '20.2.7', 1, -1, 0, 0),
 ('budapest', '23.2.0', 3, 21, 0, 0), ('hca', 'HCA2.0', 5, -1, 0, 0), ('monkeykingdom', '20.2.7', 4, 24, 0, 1), ('monkey-kingdom-eng', '24.1.0', 2, 10, 0, 1), ('monkey-action', '24.1.0', 1, 19, 0, 0),
 ('life', '20.2.7', 3, 19, 29, 4), ('hbn-ssi', '23.2.0', 4, 13, 0, 0), ('whiplash-c1', '20.2.7', 1, -1, 0, 0), ('whiplash-c2', '23.2.0', 1, -1, 0, 0), ('whiplash-c3', '23.2.0', 2, -1, 0, 0),
-('ibc', '23.2.0', 2, -1, 0, 0), ('goodbadugly', '20.2.7', 1, -1, 0, 0), ('hybr', '24.1.0', 15, 4, 0, 0)) d(name, version, tasks, subjects, conditions, spans)"""
+('ibc', '23.2.0', 2, -1, 0, 0), ('goodbadugly', '20.2.7', 1, -1, 0, 0), ('hybr', '24.1.0', 15, 4, 0, 0)) d(name, version, tasks, subjects, conditions, spans)
+LEFT JOIN customer ON c_custkey % 22 = list_position(['bellaria', 'bologna', 'budapest', 'camcan', 'dalmatians', 'forrest', 'goodbadugly', 'hbn-ssi', 'hca', 'hybr', 'ibc', 'id1000', 'life', 'monkey-action', 'monkey-kingdom-eng', 'monkeykingdom', 'praiders', 'raiders', 'spacetop', 'whiplash-c1', 'whiplash-c2', 'whiplash-c3'], name) - 1 GROUP BY ALL"""
 )
 def dataset_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The described datasets, with the customers who are dealt to them as runs."""
     spans = datasets.intervals(spark).groupBy(F.col("dataset").alias("name")).agg(F.count(F.lit(1)).cast("int").alias("spans"))
-    found = datasets.datasets(spark).join(spans, "name", "left")
-    return found.select("name", "version", F.size("tasks").alias("tasks"), F.coalesce("subjects", F.lit(-1)).alias("subjects"), F.size("conditions").alias("conditions"), F.coalesce("spans", F.lit(0)).alias("spans"))
+    names = sorted(r["name"] for r in datasets.datasets(spark).select("name").collect())  # the described datasets
+    runs = read(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % len(names)).alias("i")).agg(F.count(F.lit(1)).alias("runs"))
+    dealt = spark.createDataFrame(list(enumerate(names)), "i long, name string").join(runs, "i", "left").select("name", F.coalesce("runs", F.lit(0)).alias("runs"))
+    found = datasets.datasets(spark).join(spans, "name", "left").join(dealt, "name")
+    return found.select("name", "version", F.size("tasks").alias("tasks"), F.coalesce("subjects", F.lit(-1)).alias("subjects"), F.size("conditions").alias("conditions"), F.coalesce("spans", F.lit(0)).alias("spans"), "runs")
 
 
 # Six hours a time point, users by remainder as runs and vertices; runs of each subject end at another time.

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,3 +39,49 @@ def test_union_sphere_stays_closed(spark):
     assert out.faces.count() == 2 * 26 - 4
     assert mesh.neighbors(out.faces).where("v < nbr").count() == 3 * 26 - 6
     assert out.faces.select(F.explode(F.array("a", "b", "c")).alias("v")).distinct().count() == 26
+
+
+def whole(p, faces):
+    """Every face sees no point, and the surface is closed."""
+    for i in range(0, len(faces), 50):
+        f = faces[i : i + 50]
+        n = np.cross(p[f[:, 1]] - p[f[:, 0]], p[f[:, 2]] - p[f[:, 0]])
+        n /= np.linalg.norm(n, axis=1)[:, None]
+        assert (p @ n.T - (n * p[f[:, 0]]).sum(axis=1)).max() < 1e-9 * np.abs(p).max()
+    sides = [tuple(e) for k in range(3) for e in faces[:, [k, (k + 1) % 3]].tolist()]
+    assert len(set(sides)) == len(sides) and {(b, a) for a, b in sides} == set(sides)
+
+
+@pytest.mark.parametrize("kind", ["ball", "cube", "sphere", "line and spikes"])
+def test_quick_hull(kind):
+    rng = np.random.default_rng(51)
+    p = rng.normal(size=(800, 3))
+    if kind == "cube":
+        p = np.concatenate([rng.uniform(-1, 1, (500, 3)), np.array([[x, y, z] for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)], float)])
+    elif kind == "sphere":
+        p /= np.linalg.norm(p, axis=1)[:, None]
+    elif kind == "line and spikes":
+        p = np.concatenate([np.outer(np.linspace(-1, 1, 200), [1, 2, 3]), 1e6 * np.eye(3), -1e6 * np.eye(3)])
+    faces = hull.quick_hull(p)
+    whole(p, faces)
+    assert len(faces) == 2 * len(np.unique(faces)) - 4
+
+
+def test_flat_points_have_no_hull(spark):
+    flat = np.column_stack([np.random.default_rng(52).normal(size=(60, 2)), np.zeros(60)])
+    for p in (flat, flat[:3], flat[:0], np.zeros((9, 3))):
+        assert len(hull.quick_hull(p)) == 0
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(flat)], "v long, x double, y double, z double")
+    assert hull.convex_hull(df, part=20).faces.count() == 0 and hull.convex_hull(df.limit(0)).faces.count() == 0
+
+
+def test_hull_of_a_ball_by_parts(spark):
+    """100,000 points in parts; no point sees a face."""
+    rng = np.random.default_rng(53)
+    p = rng.normal(size=(100_000, 3))
+    p *= (rng.random(100_000) ** (1 / 3) / np.linalg.norm(p, axis=1))[:, None]
+    df = spark.createDataFrame(pa.table({"v": np.arange(len(p)) + 7, "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})).repartition(6)
+    m = hull.convex_hull(df, part=9_000)
+    faces = m.faces.select("a", "b", "c").toPandas().to_numpy() - 7
+    whole(p, faces)
+    assert m.vertices.count() == len(np.unique(faces))

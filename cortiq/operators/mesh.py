@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cross
+from ..sources.scratch import discard, written
 from .nearest import nearest as knn
 
 
@@ -139,8 +140,6 @@ def subdivided(mesh: Mesh, n: int, on_sphere: bool = False) -> Mesh:
 
 def _numbered(df: DataFrame, order: list[str], base: int) -> DataFrame:
     """df with `id` from base on, in the given order: each range partition's rows are counted, then ranked inside it."""
-    from ..sources.scratch import written
-
     spread = written(df.sparkSession, df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
     sizes = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
@@ -244,8 +243,6 @@ def flipped(mesh: Mesh, rounds: int | None = None) -> Mesh:
     none gains, which ends as each shortens the edges. If flips are left after a given number of rounds, an error says so.
     Distances are Euclidean. Edges must have two faces.
     """
-    from ..sources.scratch import written
-
     spark = mesh.faces.sparkSession
     where = mesh.vertices.select("v", F.array("x", "y", "z").alias("at"))
     faces = written(spark, mesh.faces, "faces")
@@ -273,3 +270,62 @@ def flipped(mesh: Mesh, rounds: int | None = None) -> Mesh:
         new = written(spark, new, "flipped")
         faces = written(spark, faces.join(new.select("f"), "f", "left_anti").select("f", "a", "b", "c").unionByName(new), "faces")
     return Mesh(mesh.vertices, faces)
+
+
+def edge_pairs(faces: DataFrame) -> DataFrame:
+    """(p, q, f, g, c, d): each edge p < q with its two faces, and the corners c < d across it."""
+    sides = F.array(*[F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"), F.col(r).alias("r")) for p, q, r in (("a", "b", "c"), ("b", "c", "a"), ("a", "c", "b"))])
+    edges = faces.select("f", F.explode(sides).alias("e")).select("f", "e.p", "e.q", "e.r")
+    two = edges.groupBy("p", "q").agg(F.array_sort(F.collect_list(F.struct("r", "f"))).alias("s")).where(F.size("s") == 2)
+    return two.select("p", "q", F.col("s")[0]["f"].alias("f"), F.col("s")[1]["f"].alias("g"), F.col("s")[0]["r"].alias("c"), F.col("s")[1]["r"].alias("d"))
+
+
+def flip_order(seed: int, sweep: int):
+    """The place of edge (p, q) in a sweep: a hash, so that an order is known everywhere and needs no sort."""
+    return F.xxhash64(F.lit(seed), F.lit(sweep), "p", "q")
+
+
+def optimized(mesh: Mesh, seed: int = 0, sweeps: int | None = None) -> Mesh:
+    """Faces after greedy flips in a seed's order: the same as of a loop over edges that flips each, in its turn, if that shortens it.
+
+    A sweep takes all edges there are, in the order of flip_order; of faces ABC and ABD it makes ACD and BCD if CD is shorter than AB and
+    no edge yet. Sweeps go on until one flips nothing. Edges are decided in rounds, by deterministic reservations: an edge is
+    ready when, of the edges of the sweep that are left, it is the first at C and the first at D, where an edge is at the four
+    corners of its two faces. Earlier edges then cannot change a face at C or D before its turn - a flip makes no face at a corner
+    that it is not at - so neither its faces nor whether CD exists; and edges that are ready together share no face. Hence the result is
+    the loop's, whatever runs at the same time. Distances are Euclidean.
+    """
+    spark = mesh.faces.sparkSession
+    where = mesh.vertices.select("v", F.array("x", "y", "z").alias("at"))
+    length = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    faces = written(spark, mesh.faces.select("f", "a", "b", "c"), "faces")
+    for sweep in itertools.count():
+        if sweeps is not None and sweep >= sweeps:
+            break
+        edges = written(spark, edge_pairs(faces), "edges")
+        left, flips = written(spark, edges.select("p", "q", flip_order(seed, sweep).alias("turn")), "left"), 0
+        while left.limit(1).count():
+            mine = edges.join(left, ["p", "q"])
+            turn = F.struct("turn", "p", "q")
+            first = mine.select(F.explode(F.array("p", "q", "c", "d")).alias("v"), turn.alias("t")).groupBy("v").agg(F.min("t").alias("first"))
+            at = lambda k: first.select(F.col("v").alias(k), F.col("first").alias("first_" + k))  # noqa: E731, B023
+            ready = mine.join(at("c"), "c").join(at("d"), "d").where((F.col("first_c") == turn) & (F.col("first_d") == turn)).drop("first_c", "first_d")
+            for k in "pqcd":
+                ready = ready.join(where.select(F.col("v").alias(k), F.col("at").alias("at_" + k)), k)
+            there = edges.select(F.col("p").alias("c"), F.col("q").alias("d"), F.lit(True).alias("there"))
+            flip = F.col("there").isNull() & (length(F.col("at_c"), F.col("at_d")) < length(F.col("at_p"), F.col("at_q")))
+            ready = written(spark, ready.join(there, ["c", "d"], "left").select("p", "q", "c", "d", "f", "g", flip.alias("flip")), "ready")
+            new = ready.where("flip").select(F.explode(F.array(F.struct("f", F.col("c").alias("a"), F.col("d").alias("b"), F.col("p").alias("c")), F.struct(F.col("g").alias("f"), F.col("c").alias("a"), F.col("d").alias("b"), F.col("q").alias("c")))).alias("n")).select("n.*")
+            remaining = written(spark, left.join(ready, ["p", "q"], "left_anti"), "left")
+            if count := ready.where("flip").count():
+                flips += count
+                changed = written(spark, faces.join(new.select("f"), "f", "left_anti").unionByName(new), "faces")
+                again = written(spark, edge_pairs(changed), "edges")
+                discard(faces, edges)
+                faces, edges = changed, again
+            discard(left, ready)
+            left = remaining
+        discard(left, edges)
+        if not flips:
+            break
+    return Mesh(mesh.vertices, faces)

@@ -7,7 +7,7 @@
    two ways for each connected group of buckets: the group as a whole (near copies, which share nearly all keys), or
    bucket by bucket, where a pair is compared only in the first band that it shares (texts that a chain of chance keys
    ties together). So the pairs compared are never more than those of the buckets.
-3. A unit is cut into pairs of blocks of about BLOCK nodes, so no task holds a unit, however large. In a task the pairs
+3. A unit is cut into pairs of blocks of about BLOCK nodes, or fewer long ones, so no task holds a unit, however large. In a task the pairs
    of its two blocks are compared by MinHash values a step at a time; a pair is dropped when the posterior probability
    (uniform prior) that its similarity reaches the threshold is below TOLERANCE. The others are verified exactly on the
    sets. Links are counted in the task and leave it as one row for each node - its count, and one tie that keeps the
@@ -38,8 +38,8 @@ BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
 #: MinHash values compared before each look at the posterior, and the probability below which a pair is dropped.
 STEP, TOLERANCE = 25, 1e-6
-#: Nodes in a block; a task holds two blocks at a time.
-BLOCK = 128
+#: Nodes in a block, and shingles in it (8 bytes each), on average; a task holds two blocks at a time.
+BLOCK, BLOCK_SHINGLES = 128, 250_000
 #: A group is dealt as a whole if its pairs, times this, are at most those of its buckets.
 WHOLE_COST = 1.0
 
@@ -95,9 +95,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, seen = WordIds(), set()
+    words = WordIds()
     for batch in batches:
-        # Rows that repeat an id and text have one node; a task sends it once.
+        # Rows that repeat an id and text have one node; a batch sends it once, and a block counts it once.
+        seen: set[int] = set()
         new = [i for i, n in enumerate(batch.column("node").to_pylist()) if n not in seen and not seen.add(n)]
         batch = batch.take(pa.array(new, pa.int64()))
         found = [shingle_set(words.of(t.as_py())) for t in batch.column("text")]
@@ -199,19 +200,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _units(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """(node, units) of the nodes with candidates; units is an array of (unit, band, blocks, block), band -1 for a whole group."""
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("tie"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    banded = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("key").agg(F.min("node").alias("tie"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).where("n > 1")
     buckets = written(spark, buckets, "shingle-buckets")
-    members = written(spark, banded.join(buckets, "key").select("node", "band", "key", "tie", "n"), "bucket-members")
+    members = written(spark, banded.join(buckets, "key").select("node", "size", "band", "key", "tie", "n", "shingles"), "bucket-members")
     groups = components(spark, members.where("node <> tie").select(F.col("node").alias("src"), F.col("tie").alias("dst")).distinct())
     pairs = lambda n: n * (n - 1) / 2.0
     alone = buckets.join(groups.select(F.col("node").alias("tie"), "component"), "tie").groupBy("component").agg(F.sum(pairs(F.col("n"))).alias("alone"))
-    sizes = written(spark, groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).join(alone, "component"), "group-sizes")
-    chosen = groups.join(sizes, "component").select("node", "component", "size", (pairs(F.col("size")) * WHOLE_COST <= F.col("alone")).alias("whole"))
+    each = groups.join(nodes.select("node", F.col("size").alias("of_node")), "node")
+    sizes = written(spark, each.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("of_node").alias("shingles")).join(alone, "component"), "group-sizes")
+    chosen = groups.join(sizes, "component").select("node", "component", "size", "shingles", (pairs(F.col("size")) * WHOLE_COST <= F.col("alone")).alias("whole"))
     chosen = written(spark, chosen, "groups")
-    whole = chosen.where("whole").select("node", F.col("component").alias("unit"), F.lit(-1).alias("band"), F.col("size").alias("n"))
-    apart = members.join(chosen.where("NOT whole").select("node"), "node").select("node", F.col("key").alias("unit"), "band", "n")
-    units = whole.unionByName(apart).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    whole = chosen.where("whole").select("node", F.col("component").alias("unit"), F.lit(-1).alias("band"), F.col("size").alias("n"), "shingles")
+    apart = members.join(chosen.where("NOT whole").select("node"), "node").select("node", F.col("key").alias("unit"), "band", "n", "shingles")
+    # No more blocks than nodes: a block of one long text is as small as it gets.
+    blocks = F.least(F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)), F.col("n"))
+    units = whole.unionByName(apart).withColumn("blocks", blocks.cast("int"))
     units = units.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks").cast("long")).cast("int"))
     return units.groupBy("node").agg(F.collect_list(F.struct("unit", "band", "blocks", "block")).alias("units"))  # at most BANDS
 
@@ -228,9 +232,10 @@ def _classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     units = _units(spark, nodes)
     wanted = written(spark, nodes.select("node", "copies", "first").join(units, "node"), "group-members")
-    asked = small_or_not(wanted.select("node", "copies", "units", *[F.col(f"first.{k}").alias(f"first_{k}") for k in ROW_KEY]))
+    firsts = [F.col(f"first.{k}").alias(f"first_{k}") for k in ROW_KEY]
     same = [F.col(k).eqNullSafe(F.col(f"first_{k}")) if k == "doc_id" else F.col(k) == F.col(f"first_{k}") for k in ROW_KEY]
-    texts = docs.join(asked, same).select("node", "copies", "units", "text")
+    # Three numbers a row may be broadcast to leave the other texts where they are; what a row has to carry is joined by size.
+    texts = docs.join(small_or_not(wanted.select(*firsts)), same, "left_semi").join(wanted.select("node", "copies", "units", *firsts), same).select("node", "copies", "units", "text")
     unit = "array<struct<unit:bigint,band:int,blocks:int,block:int>>"
     sets = texts.mapInArrow(_sets, f"node long, copies long, units {unit}, shingles binary, sig binary")
     dealt = sets.withColumn("u", F.explode("units")).select("node", "copies", "shingles", "sig", "u.*").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))

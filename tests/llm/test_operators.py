@@ -580,3 +580,28 @@ def test_best_run_against_all_pairs():
         want = min(((a, b) for (a, b), v in sums.items() if v == top), key=lambda r: (r[1], -r[0])) if top > 0 else (0, 0)
         got = html_text.best_run(s)
         assert (sum(s[slice(*got)]) == max(top, 0)) and got[1] == want[1]
+
+
+def test_links_just_above_the_threshold(spark):
+    """Pairs at a similarity of 0.80 to 0.86, where the bands are thinnest, and pairs just below it."""
+    rng = np.random.default_rng(71)
+    texts, want = [], []
+    for k in range(120):
+        words = [f"v{k}w{i}" for i in range(200)]
+        t = int(rng.integers(15, 22)) if k % 2 else int(rng.integers(23, 28))  # the last t words differ: (196 - t) / (196 + t)
+        texts += [" ".join(words), " ".join(words[: 200 - t] + [f"n{k}w{i}" for i in range(t)])]
+        want += [k % 2] * 2
+    got = ngram_join.near_duplicates(spark, docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [r["n_links"] for r in got] == want
+    assert all(r["class_id"] == r["doc_id"] - (r["doc_id"] % 2 if w else 0) for r, w in zip(got, want, strict=True))
+
+
+def test_long_texts_in_blocks_of_their_own(spark, monkeypatch):
+    """Blocks that hold few shingles give the same links."""
+    rng = np.random.default_rng(72)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 3000)]
+    texts = [" ".join(base[:2990] + [f"x{k}y{i}" for i in range(10)]) for k in range(9)] + [" ".join(f"o{k}p{i}" for i in range(3000)) for k in range(3)]
+    whole = sorted(map(tuple, ngram_join.near_duplicates(spark, docs_of(spark, texts)).collect()))
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 5_000)
+    assert sorted(map(tuple, ngram_join.near_duplicates(spark, docs_of(spark, texts)).collect())) == whole
+    assert [r[4] for r in whole] == [8] * 9 + [0] * 3

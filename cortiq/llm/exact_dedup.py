@@ -40,6 +40,10 @@ class DigestIndex:
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def forget(self) -> None:
+        """Leave the catalog; the files stay as long as their folder does."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def rows(self) -> DataFrame:
         """A row for each digest: keep_id and the copies of all batches. The buckets hold a digest's rows together, so nothing is shuffled."""
         return self.spark.table(self.table).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))

@@ -24,7 +24,9 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
     for batch in (docs.where(later), docs.where(~later)):
         index.append_new(batch)
-    return index.marked(docs)
+    found = index.marked(docs)
+    index.forget()
+    return found
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +73,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(spark, table(spark, sf_dir, "documents"), end_id=end, ordered=False)
     files = manifest.select(F.col("pid").cast("long").alias("file"), "ids_path", "bits", F.col("tokens").alias("n_ids"))
     found = token_counts.documents_in(files, end)
-    index = token_files.read_token_files(manifest).select("doc_id", F.col("shard").cast("long").alias("file"), "ordinal", F.col("n_tokens").alias("n_indexed"))
+    index = token_files.read_offsets(manifest).select("doc_id", F.col("shard").cast("long").alias("file"), "ordinal", F.col("n_tokens").alias("n_indexed"))
     return found.join(index, ["file", "ordinal"], "full").select("doc_id", "n_tokens", "ended", "n_indexed")
 
 

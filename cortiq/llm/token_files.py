@@ -194,3 +194,20 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, shard, ordinal in the shard) of every document in the files; a task for each few shards."""
     shards = manifest.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "pid")
     return shards.mapInArrow(_reader(), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, ordinal long")
+
+
+def _offsets(rows: int = 50_000):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.to_pylist():
+                for i in range(0, shard["docs"], rows):
+                    part = np.array(ranged(shard["offsets_path"], "<i8", i * 4, min(i + rows, shard["docs"]) * 4)).reshape(-1, 4)
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(part[:, 0], mask=part[:, 1] == 0), "start": part[:, 2] + shard["base"], "n_tokens": part[:, 3] - part[:, 2], "shard": pa.array([shard["pid"]] * len(part), pa.int32()), "ordinal": pa.array(np.arange(i, i + len(part)), pa.int64())})
+
+    return read
+
+
+def read_offsets(manifest: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, shard, ordinal) of every document, from the offsets alone: no id is read."""
+    shards = manifest.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "pid")
+    return shards.mapInArrow(_offsets(), "doc_id long, start long, n_tokens long, shard int, ordinal long")

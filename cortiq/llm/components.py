@@ -1,4 +1,4 @@
-"""Connected components of an edge table by minimum labels and pointer jumping, one written table a round."""
+"""Connected components of an edge table by contraction: vertices hang on their least neighbors, and the trees become vertices."""
 
 from __future__ import annotations
 
@@ -8,21 +8,34 @@ from pyspark.sql import functions as F
 from ._shared import discard, written
 
 
+def _rooted(spark: SparkSession, parents: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, root) whose roots have no row: each step doubles the way up, so steps grow with the logarithm of the depth."""
+    found = written(spark, parents.withColumn("moved", F.lit(True)), "roots")
+    while found.where("moved").limit(1).count():
+        far = found.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        old, found = found, written(spark, found.join(far, "root", "left").select("node", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "roots")
+        discard(old)
+    return found.select("node", "root")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (src, dst); component is the smallest node it reaches.
 
-    A round takes the least label of all neighbors and then the label of that label, so the rounds grow with the logarithm
-    of a component's diameter for the trees that are passed here. Both inputs of each join come straight from tables,
-    so Spark can split a hub's rows. No edges give no rows.
+    In a round each vertex with a smaller neighbor hangs on the least one, the trees are contracted to their roots, and only
+    edges between different trees stay, once each. So all edges are joined in the first round alone, later rounds join what is
+    left, and two rounds leave at most half of the vertices. An edge's larger end moves first: of a hub's edges few are then
+    left for the join on the smaller one. No edges give no rows.
     """
-    both = written(spark, edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), "edges")
-    labels = written(spark, both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("component"), F.lit(True).alias("changed")), "labels")
-    while labels.where("changed").limit(1).count():
-        known = labels.select("node", "component")
-        lows = both.join(known.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("low"))
-        lower = known.join(lows, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("low"))
-        jumped = lower.join(known.select(F.col("node").alias("low"), F.col("component").alias("far")), "low")
-        old, labels = labels, written(spark, jumped.select("node", F.least("low", "far").alias("component"), (F.least("low", "far") < F.col("old")).alias("changed")), "labels")
-        discard(old)
-    discard(both)
-    return labels.select("node", "component")
+    pairs = written(spark, edges.where("src <> dst").select(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")).distinct(), "edges")
+    labels = written(spark, pairs.select(F.explode(F.array("low", "high")).alias("node")).distinct().select("node", F.col("node").alias("component")), "labels")
+    while pairs.limit(1).count():
+        roots = _rooted(spark, pairs.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("root")))
+        # Each vertex that is a larger end has a root.
+        left = pairs.join(roots.select(F.col("node").alias("high"), "root"), "high").where("low <> root").select("low", "root").distinct()
+        ends = left.join(roots.select(F.col("node").alias("low"), F.col("root").alias("other")), "low", "left").select("root", F.coalesce("other", "low").alias("other"))
+        old, pairs = (pairs, labels), written(spark, ends.where("root <> other").select(F.least("root", "other").alias("low"), F.greatest("root", "other").alias("high")).distinct(), "edges")
+        labels = written(spark, labels.join(roots.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        for table in (*old, roots):
+            discard(table)
+    discard(pairs)
+    return labels

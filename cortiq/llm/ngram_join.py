@@ -10,8 +10,10 @@
 3. A unit is cut into pairs of blocks of about BLOCK nodes, or fewer long ones, so no task holds a unit, however large. In a task the pairs
    of its two blocks are compared by MinHash values a step at a time; a pair is dropped when the posterior probability
    (uniform prior) that its similarity reaches the threshold is below TOLERANCE. The others are verified exactly on the
-   sets. Links are counted in the task and leave it as one row for each node - its count, and one tie that keeps the
-   block's links connected - never as a row for each pair.
+   sets. Links are counted in the task and leave it as one row for each node, never as a row for each pair.
+4. Ties keep linked nodes connected. Blocks are compared with themselves first, and a node is tied to the smallest one that it
+   reaches in its block, its head. Two different blocks then tie heads only, and no more of them than connect: in a group of n near copies
+   that are n ties and at most one for each pair of blocks.
 
 Defined results: texts of one to four words are one shingle; null and wordless texts are nodes without links, each its
 own class. Rows that repeat an id share its class if their texts do; n_copies and n_links count rows. Rows without an id
@@ -148,11 +150,12 @@ def first_shared_band(sigs: np.ndarray, left: np.ndarray, right: np.ndarray) ->
     return (sigs[left] == sigs[right]).reshape(len(left), BANDS, ROWS).all(axis=2).argmax(axis=1)
 
 
-def _compared(rows: list[dict]) -> tuple[list[int], list[int], list[int]]:
-    """(node, tie, links) of each node with links among the rows of one pair of blocks of one unit."""
+def _compared(rows: list[dict]) -> list[tuple]:
+    """(unit, band, node, tie, links) of each node with links among the rows of one pair of blocks of one unit; two different
+    blocks tie heads, in rows without links, and their nodes have no tie."""
     rows = sorted({r["node"]: r for r in rows}.values(), key=lambda r: r["node"])
     if len(rows) < 2:
-        return [], [], []
+        return []
     nodes, blocks = np.array([r["node"] for r in rows]), np.array([r["block"] for r in rows])
     left, right = np.triu_indices(len(rows), 1)
     if rows[0]["i"] != rows[0]["j"]:
@@ -167,30 +170,35 @@ def _compared(rows: list[dict]) -> tuple[list[int], list[int], list[int]]:
     copies = np.array([r["copies"] for r in rows])
     links = np.bincount(left, copies[right], len(rows)) + np.bincount(right, copies[left], len(rows))
     has = np.flatnonzero(links)
-    return nodes[has].tolist(), nodes[_roots(len(rows), left, right)[has]].tolist(), links[has].astype(np.int64).tolist()
+    at, counts = (rows[0]["unit"], band), links[has].astype(np.int64).tolist()
+    if rows[0]["i"] == rows[0]["j"]:
+        ties = nodes[_roots(len(rows), left, right)[has]].tolist()
+        return [(*at, *x) for x in zip(nodes[has].tolist(), ties, counts, strict=True)]
+    heads, head = np.unique(np.array([r["head"] for r in rows]), return_inverse=True)
+    root = _roots(len(heads), head[left], head[right])
+    tied = np.flatnonzero(root != np.arange(len(heads)))
+    return [(*at, node, None, n) for node, n in zip(nodes[has].tolist(), counts, strict=True)] + [(*at, a, b, 0) for a, b in zip(heads[tied].tolist(), heads[root[tied]].tolist(), strict=True)]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (unit, band, i, j): one pair of blocks is held at a time."""
     rows: list[dict] = []
-    out: tuple[list[int], list[int], list[int]] = ([], [], [])
+    out: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_pydict({n: pa.array(x, pa.int64()) for n, x in zip(("node", "tie", "links"), out, strict=True)})
-        for x in out:
-            x.clear()
+        made = pa.RecordBatch.from_pydict({n: pa.array([x[k] for x in out], pa.int32() if n == "band" else pa.int64()) for k, n in enumerate(("unit", "band", "node", "tie", "links"))})
+        out.clear()
         return made
 
     def close() -> None:
-        for x, more in zip(out, _compared(rows), strict=True):
-            x.extend(more)
+        out.extend(_compared(rows))
         rows.clear()
 
     for batch in batches:
         for row in batch.to_pylist():
             if rows and any(row[k] != rows[0][k] for k in ("unit", "band", "i", "j")):
                 close()
-                if len(out[0]) > 10_000:
+                if len(out) > 10_000:
                     yield flush()
             rows.append(row)
     if rows:
@@ -220,6 +228,25 @@ def _units(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     return units.groupBy("node").agg(F.collect_list(F.struct("unit", "band", "blocks", "block")).alias("units"))  # at most BANDS
 
 
+def _linked(spark: SparkSession, dealt: DataFrame) -> DataFrame:
+    """(unit, band, node, tie, links) of rows dealt to pairs of blocks (i, j)."""
+    dealt = dealt.repartition("unit", "band", "i", "j").sortWithinPartitions("unit", "band", "i", "j")
+    return written(spark, dealt.mapInArrow(_compare, "unit long, band int, node long, tie long, links long"), "links")
+
+
+def _links(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """_linked of all pairs of blocks: each block and itself, then different ones, whose rows carry their heads."""
+    placed = sets.withColumn("u", F.explode("units")).select("node", "copies", "shingles", "sig", "u.*")
+    own = _linked(spark, placed.select("*", F.col("block").alias("i"), F.col("block").alias("j"), F.col("node").alias("head")).drop("blocks"))
+    apart = placed.where("blocks > 1")
+    parts = apart.select("unit", "band").distinct()
+    heads = own.join(small_or_not(written(spark, parts, "units-of-blocks")), ["unit", "band"], "left_semi").select("unit", "band", "node", F.col("tie").alias("head"))
+    apart = apart.join(small_or_not(written(spark, heads, "heads")), ["unit", "band", "node"], "left").withColumn("head", F.coalesce("head", "node"))
+    apart = apart.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).where("other <> block")
+    apart = apart.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+    return own.unionByName(_linked(spark, apart))
+
+
 def _classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """For each row: ROW_KEY, the class and copy ids, counts, and `chosen`: whether its key is the class's first."""
     docs = keyed_rows(docs)
@@ -237,13 +264,10 @@ def _classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # Three numbers a row may be broadcast to leave the other texts where they are; what a row has to carry is joined by size.
     texts = docs.join(small_or_not(wanted.select(*firsts)), same, "left_semi").join(wanted.select("node", "copies", "units", *firsts), same).select("node", "copies", "units", "text")
     unit = "array<struct<unit:bigint,band:int,blocks:int,block:int>>"
-    sets = texts.mapInArrow(_sets, f"node long, copies long, units {unit}, shingles binary, sig binary")
-    dealt = sets.withColumn("u", F.explode("units")).select("node", "copies", "shingles", "sig", "u.*").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    dealt = dealt.repartition("unit", "band", "i", "j").sortWithinPartitions("unit", "band", "i", "j")
-    found = written(spark, dealt.mapInArrow(_compare, "node long, tie long, links long"), "links")
+    sets = written(spark, texts.mapInArrow(_sets, f"node long, copies long, units {unit}, shingles binary, sig binary"), "shingle-sets")
+    found = _links(spark, sets)
 
-    classes = components(spark, found.select(F.col("node").alias("src"), F.col("tie").alias("dst")))
+    classes = components(spark, found.where("tie IS NOT NULL").select(F.col("node").alias("src"), F.col("tie").alias("dst")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labelled = nodes.select(*digest, "node", "copies", "first").join(classes, "node", "left").join(links, "node", "left").withColumn("class", F.coalesce("component", "node"))
     heads = classes.join(nodes.select("node", "first"), "node").groupBy(F.col("component").alias("class")).agg(F.min("first").alias("head"))

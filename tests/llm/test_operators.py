@@ -260,6 +260,32 @@ def test_both_ways_of_dealing_find_all_links(spark, monkeypatch, whole):
     assert got == {d: (classes[d], links[d]) for d in links} and max(links.values()) > 20
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_ties_of_a_large_group(spark, monkeypatch, whole):
+    """In a group where all are linked, ties are one for each node and at most one for each pair of blocks, bucket by bucket too."""
+    texts = [" ".join(f"w{j}" if j != 3 * k else f"own{k}" for j in range(300)) for k in range(60)]
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    monkeypatch.setattr(ngram_join, "WHOLE_COST", 0.0 if whole else 1e9)
+    edges = []
+    monkeypatch.setattr(ngram_join, "components", lambda spark, e: edges.append(e) or components.components(spark, e))
+    got = ngram_join.near_duplicates(spark, docs_of(spark, texts)).collect()
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 59)}
+    ties = edges[-1].where("src <> dst").distinct().count()
+    assert 59 <= ties < (60 + 45 if whole else 300), ties
+
+
+def test_components_contract_edges(spark, monkeypatch):
+    """A dense group and a long chain: each edge is joined once, later rounds see few."""
+    pairs = [(i, j) for i in range(60) for j in range(i)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000 - i, 6000 + i) for i in range(50)] + [(5000, 6000 + i) for i in range(50)]
+    sizes = []
+    keep = components.written
+    monkeypatch.setattr(components, "written", lambda spark, df, name: (lambda t: (sizes.append((name, t.count())), t)[1])(keep(spark, df, name)))
+    got = {r["node"]: r["component"] for r in components.components(spark, spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == {n: 0 if n < 60 else 1000 if n < 1101 else 4951 for pair in pairs for n in pair}
+    edges = [n for name, n in sizes if name == "edges"]
+    assert edges[0] == len(set(pairs)) and sum(edges[1:]) < 0.1 * edges[0] and edges[-1] == 0
+
+
 def test_pruning_table():
     assert list(ngram_join._LEAST.values()) == sorted(ngram_join._LEAST.values())
     assert all(0.5 * n < m < 0.8 * n for n, m in ngram_join._LEAST.items() if n >= 75)

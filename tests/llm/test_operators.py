@@ -429,6 +429,23 @@ def test_url_rules_teach_lexical_features(spark):
     assert (blocked["score"] >= model.threshold).all() and len(blocked) < 0.5 * len(got)
 
 
+def test_url_query_reads_counts_of_suffixes(spark, monkeypatch):
+    """The query's own trees on sf0.1 read counts of suffixes or segments over all URLs, and lexical features; the counts are those of plain Python."""
+    sf, models, train = "/root/testdata/sf0.1", [], url_filter.train
+    monkeypatch.setattr(url_filter, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
+    got = queries.op7_url_filter(spark, sf).toPandas()
+    used = set(models[0].feature[np.isfinite(models[0].cut)].tolist())
+    first = len(url_filter.FEATURES) + 2 + len(url_filter.STATISTICS)
+    assert {f for f in used if f >= first} and len({f for f in used if f < len(url_filter.FEATURES)}) >= 4
+    assert not used & {first - 2, first - 1}  # no rates of labels
+    free = got[got["rule"].isna()]
+    assert free["score"].nunique() > 100  # more than a copy of the rules
+    assert len(got) == 2500 and (free["verdict"] == "block").mean() < 0.5
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    want = Counter(".".join(r["url"].split("/")[2].lower().split(".")[-2:]) for r in pages.collect())
+    assert {r["suffix"]: r["suffix_urls"] for r in url_filter.statistics_of(spark, pages)[0].collect()} == want
+
+
 def test_cuts_are_precise():
     y = np.array([1] * 40 + [0] * 4 + [1] * 20 + [0] * 100)
     score = np.linspace(1, 0, len(y))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ROW_KEY, WordIds, grams, keyed_rows, list_array, without, written
+from ._shared import ROW_KEY, WordIds, grams, keyed_rows, list_array, mapped, without, written
 
 #: Words of a window, and of the k-grams whose hashes are compared.
 SPAN, K = 10, 5
@@ -142,16 +142,16 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     """For each document: its ROW_KEY, n_words, hits (starts and lengths of windows found), item_ids (as strings, sorted), n_hit, n_items."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     schema = "n_words long, length array<long>, at array<long>, fp array<long>, context array<binary>"
-    item_rows = written(spark, items.mapInArrow(_rows(("item_id",), None, None, 1), f"item_id string, {schema}"), "item-fingerprints")
+    item_rows = written(spark, mapped(items, _rows(("item_id",), None, None, 1), f"item_id string, {schema}"), "item-fingerprints")
     item_fps = _exploded(item_rows, ("item_id",))
     lengths = sorted(r[0] for r in item_fps.select("length").distinct().collect())  # at most SPAN values
     key = ", ".join(f"{k} long" for k in ROW_KEY)
-    doc_rows = keyed_rows(docs).mapInArrow(_rows(ROW_KEY, lengths, _bitmap(item_fps), 0), f"{key}, {schema}")
+    doc_rows = mapped(keyed_rows(docs), _rows(ROW_KEY, lengths, _bitmap(item_fps), 0), f"{key}, {schema}")
     doc_rows = written(spark, doc_rows, "doc-fingerprints")
     # Items that share a passage and the words around it meet a document once, with all their ids.
     shared = item_fps.groupBy("fp", "length", "context").agg(F.collect_set("item_id").alias("item_id"))
     hits = _exploded(doc_rows, ROW_KEY).join(shared.select("item_id", "fp", "length", F.col("context").alias("item_context")), ["fp", "length"])
-    hits = hits.select(*ROW_KEY, "item_id", "length", "at", "context", "item_context").mapInArrow(_starts, f"{key}, item_id array<string>, start long, length long")
+    hits = mapped(hits.select(*ROW_KEY, "item_id", "length", "at", "context", "item_context"), _starts, f"{key}, item_id array<string>, start long, length long")
     windows = hits.groupBy(*ROW_KEY, "start", "length").agg(F.array_distinct(F.flatten(F.collect_set("item_id"))).alias("item_id"))
     by_doc = windows.groupBy(*ROW_KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_id")))).alias("item_ids"), F.collect_set(F.struct("start", "length")).alias("hits"))
     words = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ROW_KEY, WordIds, grams, keyed_rows, list_array, matching, mixed, runs, small_or_not, without, written
+from ._shared import ROW_KEY, WordIds, grams, keyed_rows, list_array, mapped, matching, mixed, runs, small_or_not, without, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -231,7 +231,7 @@ def _units(spark: SparkSession, nodes: DataFrame) -> DataFrame:
 def _linked(spark: SparkSession, dealt: DataFrame) -> DataFrame:
     """(unit, band, node, tie, links) of rows dealt to pairs of blocks (i, j)."""
     dealt = dealt.repartition("unit", "band", "i", "j").sortWithinPartitions("unit", "band", "i", "j")
-    return written(spark, dealt.mapInArrow(_compare, "unit long, band int, node long, tie long, links long"), "links")
+    return written(spark, mapped(dealt, _compare, "unit long, band int, node long, tie long, links long"), "links")
 
 
 def _links(spark: SparkSession, sets: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def _classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """For each row: ROW_KEY, the class and copy ids, counts, and `chosen`: whether its key is the class's first."""
     docs = keyed_rows(docs)
     key = ", ".join(f"{k} long" for k in ROW_KEY)
-    keyed = written(spark, docs.mapInArrow(_keys, f"{key}, size long, one long, two long, bands array<long>"), "shingle-keys")
+    keyed = written(spark, mapped(docs, _keys, f"{key}, size long, one long, two long, bands array<long>"), "shingle-keys")
     digest = ["size", "one", "two"]
     first = F.struct(F.col("doc_id").isNull().alias("none"), *ROW_KEY)
     nodes = keyed.where("size > 0").groupBy(*digest).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
@@ -264,7 +264,7 @@ def _classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # Three numbers a row may be broadcast to leave the other texts where they are; what a row has to carry is joined by size.
     texts = docs.join(small_or_not(wanted.select(*firsts)), same, "left_semi").join(wanted.select("node", "copies", "units", *firsts), same).select("node", "copies", "units", "text")
     unit = "array<struct<unit:bigint,band:int,blocks:int,block:int>>"
-    sets = written(spark, texts.mapInArrow(_sets, f"node long, copies long, units {unit}, shingles binary, sig binary"), "shingle-sets")
+    sets = written(spark, mapped(texts, _sets, f"node long, copies long, units {unit}, shingles binary, sig binary"), "shingle-sets")
     found = _links(spark, sets)
 
     classes = components(spark, found.where("tie IS NOT NULL").select(F.col("node").alias("src"), F.col("tie").alias("dst")))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import passing, shared_path, written
+from ._shared import mapped, passing, shared_path, written
 
 #: Pieces of text whose ids a worker keeps; a full cache is emptied.
 CACHE_PIECES = 200_000
@@ -156,7 +156,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, folder: str | None =
     if ordered:
         rows = rows.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first())
         rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    manifest = written(spark, rows.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end_id), MANIFEST), "manifest")
+    manifest = written(spark, mapped(rows, _writer(folder, tokenizer or default_tokenizer(), end_id), MANIFEST), "manifest")
     if own and manifest.limit(1).count():
         passing(spark, folder)
     # As many rows as shards: the number of output partitions bounds this window, not the documents.

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import words_of, written
+from ._shared import mapped, words_of, written
 
 #: At most so many labelled rows, of so many bytes of text together and in one text, are fitted.
 TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT = 8_000, 48_000_000, 3_000_000
@@ -302,5 +302,5 @@ def scores(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
             cut = np.array([m.thresholds.get(x.as_py() or "", default) for x in batch.column("lang")], float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array(p >= cut, pa.bool_())], [*batch.schema.names, score, flag])
 
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + f", {score} double, {flag} boolean")
+    return mapped(kept, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + f", {score} double, {flag} boolean")
 

@@ -12,6 +12,7 @@ from itertools import product
 import brute
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -526,6 +527,35 @@ def test_very_long_texts(spark):
     assert chat_format.parsed(spark, lines, chat_format.learnt(lines)).first()["rendered"].endswith(text)
 
 
+@pytest.mark.parametrize("name", ["toxicity", "ngram_join", "decontaminate", "token_files"])
+def test_long_texts_reach_workers_in_small_batches(spark, name):
+    """Once an operator has planned its work, rows go to a Python worker by a megabyte and not by Spark's 64; a user's own bound stays."""
+    bound, docs = "spark.sql.execution.arrow.maxBytesPerBatch", docs_of(spark, ["a b c", None, ""])
+    run = {
+        "toxicity": lambda: toxicity.scores(spark, docs, toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))),
+        "ngram_join": lambda: ngram_join.near_duplicates(spark, docs),
+        "decontaminate": lambda: decontaminate.contamination(spark, docs, spark.createDataFrame([(1, "a b")], "item_id long, text string")),
+        "token_files": lambda: token_files.write_token_files(spark, docs),
+    }[name]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]})
+
+    before = spark.conf.get(bound, None)
+    try:
+        spark.conf.unset(bound)
+        run()
+        long = spark.range(0, 600, 1, 1).select("id", F.repeat(F.lit("word "), 4_000).alias("text"))
+        got = long.mapInArrow(sizes, "rows long, size long").collect()
+        assert sum(r["rows"] for r in got) == 600 and max(r["size"] for r in got) <= 2**20 + 30_000
+        spark.conf.set(bound, "3m")
+        run()
+        assert spark.conf.get(bound) == "3m"
+    finally:
+        spark.conf.unset(bound) if before is None else spark.conf.set(bound, before)
+
+
 def test_pipeline(spark):
     """run() on the small tables against a brute-force pass over its stages' decisions."""
     sf = "/root/testdata/sf0.001"

@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import small_or_not, written
+from ._shared import observed, small_or_not, written
 
 MARGINALS = ("source", "lang", "topic")
 #: Without given targets, the values of a marginal count by their tokens to this power.
@@ -86,21 +86,24 @@ def keyed(docs: DataFrame, names: dict[str, str], topic: Column | None = None, t
     return docs.withColumns({names["source"]: none(F.col("source")), names["lang"]: none(F.col("lang"))}).drop(short)
 
 
-def _targets(cells: DataFrame, targets: dict[str, dict[str, float]], temper: dict[str, float]) -> DataFrame:
+def _targets(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, float]], temper: dict[str, float]) -> DataFrame:
     """(marginal, value, share): what each marginal's values with tokens shall have."""
-    parts, tempered = [], cells.withColumn("t", F.col("tokens").cast("double"))
+    tempered = cells.withColumn("t", F.col("tokens").cast("double"))
     for m in MARGINALS:
         tempered = tempered.join(cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper[m] - 1)).alias("f")), m).withColumn("t", F.col("t") * F.col("f")).drop("f")
+    values = F.array(*[F.struct(F.lit(m).alias("marginal"), F.col(m).alias("value"), "t") for m in MARGINALS])
+    sums = tempered.select(F.inline(values)).groupBy("marginal", "value").agg(F.sum("t").alias("share"))
     for m in MARGINALS:
-        sums = tempered.groupBy(F.col(m).alias("value")).agg(F.sum("t").alias("share"))
         if m in targets:
             known = F.create_map(*[x for k, v in targets[m].items() for x in (F.lit(k), F.lit(float(v)))])
-            sums = sums.withColumn("share", F.coalesce(F.try_element_at(known, F.col("value")), F.lit(0.0)))
-        total = sums.agg(F.sum("share")).first()[0]
-        if not total:
+            sums = sums.withColumn("share", F.when(F.col("marginal") == m, F.coalesce(F.try_element_at(known, F.col("value")), F.lit(0.0))).otherwise(F.col("share")))
+    of = [F.sum(F.when(F.col("marginal") == m, F.col("share"))).alias(m) for m in MARGINALS]
+    sums, totals = observed(spark, sums, "targets", *of)
+    for m in MARGINALS:
+        if not totals[m]:
             raise ValueError(f"no document with tokens has a {m} among its targets")
-        parts.append(sums.select(F.lit(m).alias("marginal"), "value", (F.col("share") / total).alias("share")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    total = F.create_map(*[x for m in MARGINALS for x in (F.lit(m), F.lit(totals[m]))])
+    return sums.withColumn("share", F.col("share") / F.element_at(total, F.col("marginal")))
 
 
 def _as_row(cells: DataFrame, targets: DataFrame) -> DataFrame:
@@ -108,13 +111,14 @@ def _as_row(cells: DataFrame, targets: DataFrame) -> DataFrame:
     cells = cells.select(F.row_number().over(Window.orderBy(*MARGINALS)).alias("i"), *MARGINALS, F.col("tokens").cast("double").alias("w"))
     row = cells.agg(F.sum("w").alias("total"), F.array_sort(F.collect_list(F.struct("i", *MARGINALS, "w"))).alias("cells"))
     row = row.select("cells", F.transform("cells", lambda c: c["w"] / F.col("total")).alias("w"))
+    goals = targets.agg(F.array_sort(F.collect_list(F.struct("marginal", "value", "share"))).alias("goals"))
+    row = row.crossJoin(goals)  # one row by one row
     for m in MARGINALS:
-        mine = targets.where(F.col("marginal") == m).agg(F.array_sort(F.collect_list(F.struct("value", "share"))).alias(f"all_{m}"))
-        row = row.crossJoin(mine)  # one row by one row
+        row = row.withColumn(f"all_{m}", F.filter("goals", lambda g: g["marginal"] == m))
         row = row.withColumn(f"t_{m}", F.transform(f"all_{m}", lambda t: t["share"]))
         row = row.withColumn(f"in_{m}", F.transform(f"all_{m}", lambda t: F.transform(F.filter("cells", lambda c: c[m] == t["value"]), lambda c: c["i"])))
         row = row.withColumn(f"at_{m}", F.transform("cells", lambda c: F.array_position(F.transform(f"all_{m}", lambda t: t["value"]), c[m]).cast("int"))).drop(f"all_{m}")
-    return row
+    return row.drop("goals")
 
 
 def _sums(w: Column, m: str) -> Column:
@@ -171,12 +175,11 @@ def _raked_table(spark: SparkSession, cells: DataFrame, targets: DataFrame) -> D
 
 def raked(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER) -> DataFrame:
     """cells (marginals, tokens) with `weight`, shares of all tokens that meet the targets (shares of a marginal's values)."""
-    cells = written(spark, cells.select(*MARGINALS, "tokens"), "cells")
-    live = cells.where("tokens > 0")
-    n = live.count()
+    cells, seen = observed(spark, cells.select(*MARGINALS, "tokens"), "cells", F.count_if(F.col("tokens") > 0).alias("live"))
+    live, n = cells.where("tokens > 0"), seen["live"]
     if not n:
         return cells.withColumn("weight", F.lit(None).cast("double"))
-    goals = written(spark, _targets(live, targets or {}, temper), "targets")
+    goals = _targets(spark, live, targets or {}, temper)
     state = (_raked_row if n <= ONE_ROW else _raked_table)(spark, live, goals)
     return cells.join(state, list(MARGINALS), "left")
 
@@ -185,9 +188,10 @@ def chances(spark: SparkSession, rows: DataFrame, names: dict[str, str], targets
     """(marginals, probability) of each cell of rows."""
     cells = rows.groupBy(*[F.col(names[m]).alias(m) for m in MARGINALS]).agg(F.sum(F.col(names["tokens"])).alias("tokens"))
     cells = raked(spark, cells, targets, temper)
-    cells = written(spark, cells.select(*MARGINALS, F.expr("try_divide(weight, tokens)").alias("ratio")), "ratios")
-    most = cells.agg(F.max("ratio")).first()[0] or 1.0
-    return small_or_not(cells.select(*MARGINALS, F.coalesce(F.col("ratio") / float(most), F.lit(1.0)).alias("probability")))
+    ratio = F.expr("try_divide(weight, tokens)").alias("ratio")
+    cells, seen = observed(spark, cells.select(*MARGINALS, ratio), "ratios", F.max("ratio").alias("most"), F.count(F.lit(1)).alias("rows"))
+    most = seen["most"] or 1.0
+    return small_or_not(cells.select(*MARGINALS, F.coalesce(F.col("ratio") / float(most), F.lit(1.0)).alias("probability")), seen["rows"])
 
 
 def calibrated(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, temper: dict[str, float] = TEMPER) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ROW_KEY, WordIds, grams, keyed_rows, list_array, mapped, matching, mixed, runs, small_or_not, without, written
+from ._shared import ROW_KEY, WordIds, counted, grams, keyed_rows, list_array, mapped, matching, mixed, runs, small_or_not, without, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -240,8 +240,8 @@ def _links(spark: SparkSession, sets: DataFrame) -> DataFrame:
     own = _linked(spark, placed.select("*", F.col("block").alias("i"), F.col("block").alias("j"), F.col("node").alias("head")).drop("blocks"))
     apart = placed.where("blocks > 1")
     parts = apart.select("unit", "band").distinct()
-    heads = own.join(small_or_not(written(spark, parts, "units-of-blocks")), ["unit", "band"], "left_semi").select("unit", "band", "node", F.col("tie").alias("head"))
-    apart = apart.join(small_or_not(written(spark, heads, "heads")), ["unit", "band", "node"], "left").withColumn("head", F.coalesce("head", "node"))
+    heads = own.join(small_or_not(*counted(spark, parts, "units-of-blocks")), ["unit", "band"], "left_semi").select("unit", "band", "node", F.col("tie").alias("head"))
+    apart = apart.join(small_or_not(*counted(spark, heads, "heads")), ["unit", "band", "node"], "left").withColumn("head", F.coalesce("head", "node"))
     apart = apart.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).where("other <> block")
     apart = apart.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
     return own.unionByName(_linked(spark, apart))
@@ -258,11 +258,11 @@ def _classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     nodes = written(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")  # numbers are fixed by writing them
 
     units = _units(spark, nodes)
-    wanted = written(spark, nodes.select("node", "copies", "first").join(units, "node"), "group-members")
+    wanted, n = counted(spark, nodes.select("node", "copies", "first").join(units, "node"), "group-members")
     firsts = [F.col(f"first.{k}").alias(f"first_{k}") for k in ROW_KEY]
     same = [F.col(k).eqNullSafe(F.col(f"first_{k}")) if k == "doc_id" else F.col(k) == F.col(f"first_{k}") for k in ROW_KEY]
     # Three numbers a row may be broadcast to leave the other texts where they are; what a row has to carry is joined by size.
-    texts = docs.join(small_or_not(wanted.select(*firsts)), same, "left_semi").join(wanted.select("node", "copies", "units", *firsts), same).select("node", "copies", "units", "text")
+    texts = docs.join(small_or_not(wanted.select(*firsts), n), same, "left_semi").join(wanted.select("node", "copies", "units", *firsts), same).select("node", "copies", "units", "text")
     unit = "array<struct<unit:bigint,band:int,blocks:int,block:int>>"
     sets = written(spark, mapped(texts, _sets, f"node long, copies long, units {unit}, shingles binary, sig binary"), "shingle-sets")
     found = _links(spark, sets)
@@ -271,7 +271,7 @@ def _classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labelled = nodes.select(*digest, "node", "copies", "first").join(classes, "node", "left").join(links, "node", "left").withColumn("class", F.coalesce("component", "node"))
     heads = classes.join(nodes.select("node", "first"), "node").groupBy(F.col("component").alias("class")).agg(F.min("first").alias("head"))
-    labelled = labelled.join(small_or_not(written(spark, heads, "class-heads")), "class", "left").withColumn("head", F.coalesce("head", "first"))
+    labelled = labelled.join(small_or_not(*counted(spark, heads, "class-heads")), "class", "left").withColumn("head", F.coalesce("head", "first"))
     labelled = labelled.select(*digest, "head", F.col("first.doc_id").alias("copy_id"), F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     rows = keyed.select(*ROW_KEY, *digest)
     chosen = F.struct(F.col("doc_id").isNull().alias("none"), *ROW_KEY).eqNullSafe(F.col("head"))
@@ -291,8 +291,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kept = without(docs, rows.where("NOT chosen"))
     # Rows that repeat id and text are one key: the few such keys among the chosen lose all rows but one.
     again = rows.where("chosen AND n_copies > 1").groupBy(*ROW_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = written(spark, again, "repeated")
-    if not again.limit(1).count():
+    again, n = counted(spark, again, "repeated")
+    if not n:
         return kept
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
     repeated = matching(kept, again, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*hashed).alias("order"), F.col("doc_id").cast("long").alias("id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("digest"))

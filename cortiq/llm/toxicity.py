@@ -278,7 +278,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: bool = True) ->
     # Lengths alone are added up in one task, of TRAIN_ROWS rows at most; texts follow for the rows within the bound.
     upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
     within = found.select("doc_id", "size").withColumn("upto", upto).where(F.col("upto") <= TRAIN_BYTES).select("doc_id")
-    return found.join(F.broadcast(within), "doc_id").select("doc_id", "text", "lang", "toxic").toPandas().sort_values("doc_id")
+    rows = found.join(F.broadcast(within), "doc_id").select("doc_id", "text", "lang", "toxic")
+    # As Arrow's batches, which the driver's JVM passes on as they are: rows one by one would stand there in several copies.
+    return rows.toArrow().to_pandas().sort_values("doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Model:

@@ -287,6 +287,43 @@ def test_components_contract_edges(spark, monkeypatch):
     assert edges[0] == len(set(pairs)) and sum(edges[1:]) < 0.1 * edges[0] and edges[-1] == 0
 
 
+def queries_of(spark, run):
+    """How many queries Spark has run for run()."""
+    ran = spark._jsparkSession.sharedState().statusStore().executionsCount
+    before = ran()
+    run()
+    return ran() - before
+
+
+def test_loops_plan_no_queries_to_count(spark):
+    """A chain's components: a table a query, though loops go by what is left in one; 24 when counts were queries too."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)], "src long, dst long")
+    assert queries_of(spark, lambda: components.components(spark, edges)) <= 13
+
+
+def test_targets_take_one_query(spark):
+    """The targets of all marginals are one query over the cells and not one for each marginal's total; nor do cells and ratios take one to be counted."""
+    rows = [(f"s{i % 3}", f"l{i % 5}", f"t{i % 2}", 100 + i) for i in range(30)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    found = []
+    assert queries_of(spark, lambda: found.append(mixing._targets(spark, cells, {"topic": {"t0": 3.0}}, mixing.TEMPER))) == 1
+    got = {(r["marginal"], r["value"]): r["share"] for r in found[0].collect()}
+    frame = pd.DataFrame(rows, columns=[*mixing.MARGINALS, "w"])
+    frame["t"] = frame["w"] * np.prod([frame.groupby(m)["w"].transform("sum") ** (mixing.TEMPER[m] - 1) for m in mixing.MARGINALS], axis=0)
+    want = {(m, k): v / frame["t"].sum() for m in mixing.MARGINALS for k, v in frame.groupby(m)["t"].sum().items()}
+    assert got == pytest.approx(want | {("topic", "t0"): 1.0, ("topic", "t1"): 0.0})
+    names = {n: n for n in (*mixing.MARGINALS, "tokens")}
+    assert queries_of(spark, lambda: mixing.chances(spark, cells, names, None, mixing.TEMPER)) <= 5
+
+
+def test_training_texts_come_as_arrow(spark, monkeypatch):
+    """The texts to learn from do not stand row by row in the driver's JVM."""
+    monkeypatch.delattr(type(spark.range(0)), "toPandas")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs_of(spark, ["a", None, "", "ü"]), labels, held_out=False)
+    assert [(r.doc_id, r.text, r.toxic) for r in got.itertuples()] == [(0, "a", 0), (1, None, 1), (2, "", 0), (3, "ü", 1)]
+
+
 def test_pruning_table():
     assert list(ngram_join._LEAST.values()) == sorted(ngram_join._LEAST.values())
     assert all(0.5 * n < m < 0.8 * n for n, m in ngram_join._LEAST.items() if n >= 75)

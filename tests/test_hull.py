@@ -31,6 +31,27 @@ def test_triangulated_sphere_equals_the_whole_hull(spark):
         hull.triangulated(points(spark, p), reach=4)
 
 
+@pytest.mark.parametrize("kind", ["crowds and voids", "half", "cube", "repeated"])
+def test_triangulated_sphere_at_any_density(spark, kind):
+    """Crowds with wide empty places between, a half of the sphere only, points of one circle, equal points."""
+    rng = np.random.default_rng(3)
+    p = rng.standard_normal((700, 3))
+    if kind == "crowds and voids":
+        p = np.concatenate([p[:60], 5 * np.array([1, 2, 3]) + 0.05 * rng.standard_normal((600, 3)), 5 * np.array([-3, 1, 0]) + 0.001 * rng.standard_normal((340, 3))])
+    elif kind == "half":
+        p[:, 2] = np.abs(p[:, 2]) + 0.1
+    elif kind == "cube":
+        p = np.array([[x, y, z] for x in (-1, 1) for y in (-1, 1) for z in (-1, 1)], float)
+    else:
+        p = np.concatenate([p, p[:50], np.zeros((2, 3))])
+    df = mesh.sphere(spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "v long, x double, y double, z double"))
+    faces = np.array(hull.triangulated(df).faces.select("a", "b", "c").collect())
+    n = {"crowds and voids": 1000, "cube": 8}.get(kind, 700)
+    assert len(faces) == 2 * n - 4 and len(np.unique(faces)) == n
+    u = np.array(df.orderBy("v").select("x", "y", "z").collect())
+    whole(u, faces)
+
+
 def test_union_sphere_stays_closed(spark):
     m = mesh.Mesh(*octahedron(spark))
     more = points(spark, np.random.default_rng(2).standard_normal((20, 3)))

@@ -2,7 +2,8 @@
 
 The Gram matrix of the rows is a table of blocks, made in pairs of row blocks and never held as a whole. What a fit needs of it
 are products with a few vectors, one for each observation: a job in which every task multiplies its blocks, and sums leave by row.
-The driver holds vectors (observations x basis), no matrix of observations x observations and none of the features.
+Of rows with fewer features than half the observations no block is made: a product goes through the rows, X (X' v), and X' v is smaller
+than v. The driver holds vectors (observations x basis), no matrix of observations x observations and none of the features.
 
 A split of resampled rows is a diagonal of counts c: with rows centred by the split's weighted mean, its Gram matrix applied to v is
 sqrt(c) * (K h - c'K h / N), h = sqrt(c) * v - c * sum(sqrt(c) * v) / N. So all splits share the table of K, and one job
@@ -43,13 +44,14 @@ class Gram:
     obs: np.ndarray
     size: int
 
+    @property
+    def rank(self) -> int:
+        """The rank is not more."""
+        return len(self.obs)
+
     def times(self, v: np.ndarray) -> np.ndarray:
         """The matrix times (observations, m) on the driver."""
-        out = np.zeros(v.shape)
-        found = self.product(v).toArrow().combine_chunks()
-        if found.num_rows:
-            out[found.column("row").to_numpy()] = found.column("y").combine_chunks().flatten().to_numpy().reshape(-1, v.shape[1])
-        return out
+        return _collected(self.product(v), v.shape)
 
     def product(self, v: np.ndarray) -> DataFrame:
         """(row, y: an array by column of v): the matrix times v, added up by row on Spark."""
@@ -73,6 +75,69 @@ class Gram:
         return cells.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("y"))
 
 
+def _collected(found: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(shape)
+    found = found.toArrow().combine_chunks()
+    if found.num_rows:
+        out[found.column("row").to_numpy()] = found.column("y").combine_chunks().flatten().to_numpy().reshape(-1, shape[1])
+    return out
+
+
+@dataclass
+class Factored:
+    """The same matrix as its rows(row, x array of `width`), for many more rows than columns: products with it as X (X' v)."""
+
+    rows: DataFrame
+    obs: np.ndarray
+    width: int
+
+    @property
+    def rank(self) -> int:
+        return self.width
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return _collected(self.product(v), v.shape)
+
+    def product(self, v: np.ndarray) -> DataFrame:
+        """(row, y: an array by column of v). Sums of (width, m) leave a task; a row's products need the row alone."""
+        context, m = self.rows.sparkSession.sparkContext, v.shape[1]
+        shared = context.broadcast(v)
+
+        def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    part = dense(batch, "x").T @ shared.value[batch.column("row").to_numpy()]
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(total.size), pa.int64()), "v": total.ravel()})
+
+        found = self.rows.mapInArrow(inner, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        shared.destroy()
+        z = np.zeros(self.width * m)
+        z[found.column("at").to_numpy()] = found.column("v").to_numpy()
+        z = context.broadcast(z.reshape(self.width, m))
+
+        def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "y": listed(dense(batch, "x") @ z.value)})
+
+        return self.rows.mapInArrow(outer, "row long, y array<double>")
+
+
+def factored(spark: SparkSession, rows: DataFrame, width: int, obs: np.ndarray, mean: np.ndarray | None = None) -> Factored:
+    shared = spark.sparkContext.broadcast((obs, 0 if mean is None else mean))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        obs, mean = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"row": pa.array(np.searchsorted(obs, batch.column("obs").to_numpy()), pa.int64()), "x": listed(dense(batch, "x") - mean)})
+
+    return Factored(written(spark, rows.select("obs", "x").mapInArrow(run, "row long, x array<double>"), "gram-rows"), obs, width)
+
+
 def gram_blocks(spark: SparkSession, rows: DataFrame, mean: np.ndarray | None = None) -> Gram:
     """The Gram matrix of rows(obs, x) less a mean; obs differ. A pair of blocks is one product of matrices in a task."""
     obs = np.sort(rows.select("obs").toArrow().column("obs").to_numpy())  # a number for each row
@@ -175,7 +240,7 @@ class Split:
         return self.q @ (vector @ np.where(live, part / np.where(live, value + alpha, 1), 0))
 
 
-def _grow(gram: Gram, spaces: list[tuple[int, Split]], alphas: list[float], npcs: list[int | None]) -> None:
+def _grow(gram: Gram | Factored, spaces: list[tuple[int, Split]], alphas: list[float], npcs: list[int | None]) -> None:
     """Grow the spaces, all by the same jobs, until each holds what is asked for or all that its rows span."""
     while live := [space for _, space in spaces if space.next is not None and space.next.size]:
         found = gram.times(np.concatenate([space.into(space.next) for space in live], axis=1))
@@ -188,7 +253,7 @@ def _grow(gram: Gram, spaces: list[tuple[int, Split]], alphas: list[float], npcs
             space.next = None if not more.size or space.residuals(alphas, npcs) <= TOLERANCE else more
 
 
-def leading(gram: Gram, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def leading(gram: Gram | Factored, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(k largest eigenvalues, eigenvectors (observations, k)) of the Gram matrix, with no matrix of its size on the driver."""
     n = len(gram.obs)
     start = np.random.default_rng(seed).normal(size=(n, min(n, GROWTH)))
@@ -200,17 +265,18 @@ def leading(gram: Gram, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return value[:k], signed(vectors)
 
 
-def row_weights(gram: Gram, beta: np.ndarray) -> np.ndarray:
+def row_weights(gram: Gram | Factored, beta: np.ndarray) -> np.ndarray:
     """The weight of each row in a model that is linear in the first components' scores."""
     value, u = leading(gram, len(beta))
     return u @ (beta * inverse_of(np.sqrt(value)))
 
 
-def fits(gram: Gram, y: np.ndarray, counts: np.ndarray, alphas: list[float], npcs: list[int | None], fit_intercept: bool = True, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def fits(gram: Gram | Factored, y: np.ndarray, counts: np.ndarray, alphas: list[float], npcs: list[int | None], fit_intercept: bool = True, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(weights of observations (n, splits, alphas, npcs), intercepts (splits, alphas, npcs)); features' weights are X' times the first."""
     n, splits = counts.shape
     out, intercept = np.zeros((n, splits, len(alphas), len(npcs))), np.zeros((splits, len(alphas), len(npcs)))
     basis = min(n, 20 * GROWTH + max((k for k in npcs if k is not None), default=0) if None not in npcs else n)
+    basis = min(basis, gram.rank + 2 * GROWTH)  # random vectors start outside the range
     step = max(1, BASIS_NUMBERS // max(1, 2 * n * basis))
     for first in range(0, splits, step):
         some = range(first, min(first + step, splits))
@@ -237,7 +303,7 @@ def fits(gram: Gram, y: np.ndarray, counts: np.ndarray, alphas: list[float], npc
     return out, intercept
 
 
-def feature_weights(rows: DataFrame, gram: Gram, weights: np.ndarray, mean: np.ndarray | None = None) -> np.ndarray:
+def feature_weights(rows: DataFrame, gram: Gram | Factored, weights: np.ndarray, mean: np.ndarray | None = None) -> np.ndarray:
     """(features, m): X' times weights (observations, m), of rows less a mean; a task adds up its rows."""
     shared = rows.sparkSession.sparkContext.broadcast((gram.obs, weights))
     m = weights.shape[1]
@@ -258,16 +324,20 @@ def feature_weights(rows: DataFrame, gram: Gram, weights: np.ndarray, mean: np.n
     return out.reshape(-1, m)
 
 
-def targets(rows: DataFrame, gram: Gram) -> np.ndarray:
+def targets(rows: DataFrame, gram: Gram | Factored) -> np.ndarray:
     found = rows.select("obs", "y").toArrow()
     out = np.zeros(len(gram.obs))
     out[np.searchsorted(gram.obs, found.column("obs").to_numpy())] = found.column("y").to_numpy()
     return out
 
 
-def centred_gram(spark: SparkSession, rows: DataFrame, fit_intercept: bool) -> tuple[Gram, np.ndarray | None]:
+def centred_gram(spark: SparkSession, rows: DataFrame, fit_intercept: bool) -> tuple[Gram | Factored, np.ndarray | None]:
     """Rows are moved to their mean where an intercept takes it up again, so that large means cancel nothing."""
     mean = column_means(rows) if fit_intercept else None
+    width = rows.select(F.coalesce(F.max(F.size("x")), F.lit(0))).first()[0]
+    obs = np.sort(rows.select("obs").toArrow().column("obs").to_numpy())
+    if width and 2 * width < len(obs):  # the rows are fewer numbers than the half of their Gram matrix
+        return factored(spark, rows, width, obs, mean), mean
     return gram_blocks(spark, rows, mean), mean
 
 
@@ -285,7 +355,7 @@ def with_intercept(beta: np.ndarray, intercept: np.ndarray, mean: np.ndarray | N
     return np.concatenate([beta, (intercept.ravel() - mean @ beta)[None]]).reshape(-1, *shape)
 
 
-def counts_of(plan: DataFrame, gram: Gram) -> tuple[np.ndarray, list[int]]:
+def counts_of(plan: DataFrame, gram: Gram | Factored) -> tuple[np.ndarray, list[int]]:
     """(observations x splits) multiplicities of the training rows, and the splits' names."""
     found = plan.where("role = 'train'").groupBy("split", "obs").agg(F.sum("multiplicity").alias("n")).toArrow()
     splits, at = np.unique(found.column("split").to_numpy(), return_inverse=True)
@@ -296,11 +366,12 @@ def counts_of(plan: DataFrame, gram: Gram) -> tuple[np.ndarray, list[int]]:
     return out, splits.tolist()
 
 
-def predictions(spark: SparkSession, gram: Gram, weights: np.ndarray, intercept: np.ndarray, splits: list[int]) -> DataFrame:
-    """(obs, split, alpha, npc, pred) of every observation by every split, from products that stay on Spark."""
+def predictions(spark: SparkSession, gram: Gram | Factored, weights: np.ndarray, intercept: np.ndarray, splits: list[int], member: DataFrame, withheld: DataFrame) -> DataFrame:
+    """(split, grp, obs, alpha, npc, pred) of the observations of member(grp, obs) by the splits that withhold their group, from products
+    that stay on Spark: a row has all of its predictions until it meets its splits."""
     n, s, a, k = weights.shape
     place = spark.createDataFrame(pa.table({"obs": gram.obs, "row": np.arange(n)}))
-    # A row's position in the flattened order gives its split and parameters.
-    names = spark.createDataFrame([(i, int(splits[i // (a * k)]), i // k % a, i % k, float(intercept.ravel()[i])) for i in range(s * a * k)], "pos int, split int, alpha int, npc int, intercept double")
-    cells = gram.product(weights.reshape(n, -1)).select("row", F.posexplode("y").alias("pos", "v"))
-    return cells.join(F.broadcast(names), "pos").join(place, "row").select("obs", "split", "alpha", "npc", (F.col("v") + F.col("intercept")).alias("pred"))
+    names = spark.createDataFrame([(int(splits[i]), i * a * k + 1, [float(v) for v in intercept[i].ravel()]) for i in range(s)], "split int, first int, intercepts array<double>")
+    own = gram.product(weights.reshape(n, -1)).join(place, "row").join(member, "obs").join(withheld, "grp").join(F.broadcast(names), "split")  # a row for each split
+    cells = own.select("split", "grp", "obs", F.posexplode(F.zip_with(F.slice("y", F.col("first"), F.lit(a * k)), "intercepts", lambda v, c: v + c)).alias("pos", "pred"))
+    return cells.select("split", "grp", "obs", F.floor(F.col("pos") / k).cast("int").alias("alpha"), (F.col("pos") % k).alias("npc"), "pred")

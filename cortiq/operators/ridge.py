@@ -178,8 +178,8 @@ def _dual_predictions(spark: SparkSession, rows: DataFrame, member: DataFrame, p
     gram, mean = dual.centred_gram(spark, rows, fit_intercept)
     counts, splits = dual.counts_of(plan, gram)
     weights, intercept = dual.fits(gram, dual.targets(rows, gram), counts, alphas, npcs, fit_intercept)
-    found = dual.predictions(spark, gram, weights, intercept, splits)
-    held = written(spark, found.join(member, "obs").join(withheld, ["split", "grp"]).join(rows.select("obs", "y"), "obs"), "held-predictions")
+    found = dual.predictions(spark, gram, weights, intercept, splits, member, withheld)
+    held = written(spark, found.join(rows.select("obs", "y"), "obs"), "held-predictions")
     beta = dual.feature_weights(rows, gram, weights.mean(axis=1).reshape(len(gram.obs), -1), mean)
     return held, dual.with_intercept(beta, intercept.mean(axis=0), mean)
 

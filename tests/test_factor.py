@@ -92,6 +92,23 @@ def test_many_blocks(spark, monkeypatch):
     np.testing.assert_allclose(gram.times(np.eye(83)), x @ x.T, atol=1e-12)
 
 
+def test_products_of_many_rows_need_no_blocks(spark, monkeypatch):
+    """More rows than twice the features: nothing of rows x rows is made."""
+    rng = np.random.default_rng(28)
+    x = rng.normal(3, 1, size=(400, 5))
+    monkeypatch.setattr(dual, "gram_blocks", None)
+    gram, mean = dual.centred_gram(spark, frame(spark, x, obs=rng.permutation(2000)[:400]), True)
+    c = gram.rows.orderBy("row").toPandas()
+    c = np.stack(c["x"].to_numpy())
+    np.testing.assert_allclose(mean, x.mean(axis=0))
+    v = rng.normal(size=(400, 3))
+    np.testing.assert_allclose(gram.times(v), c @ (c.T @ v), atol=1e-9)
+    value, u = dual.leading(gram, 4)
+    want = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
+    np.testing.assert_allclose(value, want[:4], rtol=1e-8)
+    np.testing.assert_allclose(c @ (c.T @ u), u * value, atol=1e-5)
+
+
 def test_dual_ridge_of_wide_rows(spark):
     """Far more features than rows, and than the primal form takes."""
     rng = np.random.default_rng(27)

@@ -61,10 +61,12 @@ def group_moments(rows: DataFrame, width: int, key: str) -> DataFrame:
 
         for batch in batches:
             kind = batch.column(key).type
-            names = np.array(batch.column(key).to_pylist(), object)
+            coded = batch.column(key).dictionary_encode()
+            names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
             z = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
-            for name in dict.fromkeys(names.tolist()):
-                part = z[names == name]
+            order = np.argsort(code, kind="stable")
+            for name, at in zip(names, np.split(order, np.cumsum(np.bincount(code, minlength=len(names)))[:-1]), strict=True):
+                part = z[at]
                 total[name] = total.get(name, 0) + part.T @ part
                 if len(total) >= HELD:
                     yield sent()

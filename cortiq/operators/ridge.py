@@ -191,35 +191,65 @@ def _pairs(withheld: DataFrame) -> DataFrame:
     return both.groupBy("grp").agg(F.collect_list(F.struct("g", "splits")).alias("pairs"))  # a struct for each other group
 
 
-def _errors_by_moments(fits: Fits, member: DataFrame, withheld: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    """(g, grp, alpha, npc, sse): squared errors on a group of the mean of the splits that withhold it and g, from the group's moments.
+def _errors_by_moments(fits: Fits, member: DataFrame, withheld: DataFrame, shape: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(others(g, alpha, npc, sse), own(grp, alpha, npc, sse)): squared errors on all other groups of the mean of the splits that withhold
+    them and g, and on a group of the mean of its own splits.
 
-    yy - 2 b'xy + b'xx b of the group's [1, x, y]: a pair of groups costs (1 + p)^2, however many observations they have.
+    yy - 2 b'xy + b'xx b of a group's [1, x, y]. Which splits withhold two groups follows from the sets of splits that withhold each, so
+    groups of one set are one by the sum of their moments, and what g adds to it is taken off again: a pair of different sets
+    costs (1 + p)^2, and there are as many sets as groups at most, 2^splits at most.
     """
     p, kind = fits.p, dict(withheld.dtypes)["grp"]
-    shared = withheld.sparkSession.sparkContext.broadcast(fits.betas)
-    own = group_moments(fits.rows.join(member, "obs").select("grp", "z"), p + 2, "grp")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        betas = shared.value
+    names = sorted(fits.betas)
+    mine = withheld.distinct().groupBy("grp").agg(F.sort_array(F.collect_list("split")).alias("splits"))  # splits of a group
+    own = written(withheld.sparkSession, group_moments(fits.rows.join(member, "obs").select("grp", "z"), p + 2, "grp").join(mine, "grp"), "group-moments")
+    sets = [r["splits"] for r in own.select("splits").distinct().collect()]
+    marked = lambda some: np.isin(np.array(names, int), some)
+    shared = withheld.sparkSession.sparkContext.broadcast((np.array([fits.betas[s] for s in names]).reshape(len(names), -1), np.array([marked(s) for s in sets]).reshape(len(sets), len(names))))
+    cells = shape[0] * shape[1]
+
+    def errors(m: np.ndarray, means: np.ndarray, betas: np.ndarray) -> np.ndarray:
+        b = (means @ betas).reshape(len(means), p + 1, cells)
+        return m[-1, -1] - 2 * np.einsum("j,ejk->ek", m[:-1, -1], b) + np.einsum("eik,ij,ejk->ek", b, m[:-1, :-1], b, optimize=True)
+
+    def of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        betas, asked = shared.value
+        sse, n = np.zeros((len(asked), cells)), np.zeros(len(asked), np.int64)
+        step = max(1, 4_000_000 // betas.shape[1]) if betas.size else 1
         for batch in batches:
-            for grp, flat, pairs in zip(batch.column("grp").to_pylist(), batch.column("m"), batch.column("pairs").to_pylist(), strict=True):
+            for flat, splits, groups in zip(batch.column("m"), batch.column("splits").to_pylist(), batch.column("groups").to_pylist(), strict=True):
                 m = flat.values.to_numpy().reshape(p + 2, p + 2)
-                b = np.stack([np.mean([betas[s] for s in e["splits"] if s in betas], axis=0).reshape(p + 1, -1) for e in pairs])
-                sse = m[-1, -1] - 2 * np.einsum("j,ejk->ek", m[:-1, -1], b) + np.einsum("eik,ij,ejk->ek", b, m[:-1, :-1], b, optimize=True)
-                yield _error_rows(grp, [e["g"] for e in pairs], sse, shape, batch.column("grp").type)
-
-    return _pairs(withheld).join(own, "grp").mapInArrow(run, f"g {kind}, grp {kind}, alpha int, npc int, sse double")
-
-
-def _error_rows(grp, others: list, sse: np.ndarray, shape: tuple[int, int], kind: pa.DataType) -> pa.RecordBatch:
-    n, cells = sse.shape
-    at = np.tile(np.arange(cells), n)
-    return pa.RecordBatch.from_arrays([pa.array([g for g in others for _ in range(cells)], kind), pa.array([grp] * (n * cells), kind), pa.array(at // shape[1], pa.int32()), pa.array(at % shape[1], pa.int32()), pa.array(np.maximum(sse, 0).ravel())], ["g", "grp", "alpha", "npc", "sse"])
+                both, at = np.unique(asked & marked(splits), axis=0, return_inverse=True)
+                k = both.sum(axis=1)
+                found = np.concatenate([errors(m, both[i : i + step] / np.maximum(k[i : i + step], 1)[:, None], betas) for i in range(0, len(both), step)])
+                sse += np.where(k > 0, 1, 0)[at.ravel(), None] * found[at.ravel()]
+                n += groups * (k > 0)[at.ravel()]
+        live = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.repeat(live, cells), pa.int32()), "cell": pa.array(np.tile(np.arange(cells), len(live)), pa.int32()), "sse": sse[live].ravel(), "n": np.repeat(n[live], cells)})
+
+    def of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        betas, _ = shared.value
+        for batch in batches:
+            known = np.array([marked(s) for s in batch.column("splits").to_pylist()]).reshape(batch.num_rows, len(names))
+            live = np.flatnonzero(known.any(axis=1))
+            sse = [errors(batch.column("m")[i].values.to_numpy().reshape(p + 2, p + 2), (known[i] / known[i].sum())[None], betas)[0] for i in live.tolist()]
+            at = pa.array(np.repeat(live, cells))
+            yield pa.RecordBatch.from_arrays([batch.column("grp").take(at), batch.column("splits").take(at), pa.array(np.tile(np.arange(cells), len(live)), pa.int32()), pa.array(np.maximum(np.concatenate([np.zeros(0), *sse]), 0))], ["grp", "splits", "cell", "sse"])
+
+    summed = own.select("splits", F.posexplode("m").alias("k", "v")).groupBy("splits", "k").agg(F.sum("v").alias("v"))
+    summed = summed.groupBy("splits").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("m"))
+    summed = summed.join(own.groupBy("splits").agg(F.count(F.lit(1)).alias("groups")), "splits")
+    totals = summed.repartition("splits").mapInArrow(of_sets, "at int, cell int, sse double, n long").groupBy("at", "cell").agg(F.sum("sse").alias("all"), F.sum("n").alias("n"))
+    numbered = withheld.sparkSession.createDataFrame([(i, s) for i, s in enumerate(sets)], "at int, splits array<int>")
+    found = written(withheld.sparkSession, own.select("grp", "m", F.col("splits").cast("array<int>").alias("splits")).mapInArrow(of_groups, f"grp {kind}, splits array<int>, cell int, sse double"), "own-errors")
+    named = [F.floor(F.col("cell") / shape[1]).cast("int").alias("alpha"), (F.col("cell") % shape[1]).cast("int").alias("npc")]
+    others = found.join(numbered, "splits").join(totals, ["at", "cell"]).where("n > 1")
+    return others.select(F.col("grp").alias("g"), *named, F.greatest(F.col("all") - F.col("sse"), F.lit(0.0)).alias("sse")), found.select("grp", *named, "sse")
 
 
 def _errors_by_predictions(held: DataFrame, withheld: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    """The same from held predictions, for the dual form: the moments of [y, the splits' predictions] in each group and pair of parameters.
+    """(g, grp, alpha, npc, sse) of each pair of groups, from held predictions for the dual form: the moments of [y, the splits'
+    predictions] in each group and pair of parameters.
 
     A mean of predictions over any splits has an error that follows from these, so no row of observations x groups is made.
     """
@@ -257,27 +287,26 @@ def ridge_nested_cv(spark: SparkSession, rows: DataFrame, groups: DataFrame | li
     """(yhat(obs, yhat), weights at the best pair of all, choices(grp, alpha, npc) with grp -1 for all).
 
     A group's pair is chosen by the squared errors on every other group, predicted by the splits that withhold both. Errors come
-    from moments of each group, so the choice costs groups x groups, not observations x groups.
+    from moments: of each set of splits and group, or in the dual form of each group, where the choice costs groups x groups.
     """
     member, plan, withheld = _planned(spark, groups, n_folds, n_reps, seed, given)
     shape = (len(alphas), len(npcs))
     if _by_dual(p, dual_form):
         held, weights = _dual_predictions(spark, rows, member, plan, withheld, alphas, npcs, fit_intercept)
-        errors = _errors_by_predictions(held, withheld, shape)
+        errors = written(spark, _errors_by_predictions(held, withheld, shape), "group-errors")
+        others, alone = errors.where("g <> grp").groupBy("g", "alpha", "npc").agg(F.sum("sse").alias("sse")), errors.where("g = grp")
         own = held.groupBy("grp", "obs", "alpha", "npc").agg(F.avg("pred").alias("yhat"))
     else:
         fits = _fits(spark, rows, plan, p, alphas, npcs, fit_intercept)
         weights = fits.average() if fit_intercept else fits.average()[:p]
-        errors = _errors_by_moments(fits, member, withheld, shape)
+        others, alone = _errors_by_moments(fits, member, withheld, shape)
         own = None
-    errors = written(spark, errors, "group-errors")
-    sse = errors.where("g <> grp").groupBy("g", "alpha", "npc").agg(F.sum("sse").alias("sse"))
     first = Window.partitionBy("g").orderBy(F.round("sse", 9), "alpha", "npc")
-    chosen = sse.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("g").alias("grp"), "alpha", "npc")
+    chosen = others.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("g").alias("grp"), "alpha", "npc")
     every = member.select("grp").distinct()
     chosen = every.join(chosen, "grp", "left").select("grp", F.coalesce("alpha", F.lit(0)).alias("alpha"), F.coalesce("npc", F.lit(0)).alias("npc"))
     chosen = written(spark, chosen, "choices")
-    overall = errors.where("g = grp").groupBy("alpha", "npc").agg(F.sum("sse").alias("sse")).orderBy(F.round("sse", 9), "alpha", "npc").first()
+    overall = alone.groupBy("alpha", "npc").agg(F.sum("sse").alias("sse")).orderBy(F.round("sse", 9), "alpha", "npc").first()
     best = (overall["alpha"], overall["npc"]) if overall else (0, 0)
     if own is None:
         asked = fits.rows.join(member, "obs").join(chosen, "grp").join(_group_weights(fits, withheld), "grp")

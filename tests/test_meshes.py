@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cortiq.operators import geodesic, mesh, spaces
+from cortiq import registry
+from cortiq.operators import geodesic, mesh, pairwise, spaces
 from cortiq.tables import octahedron
 
 
@@ -154,6 +155,48 @@ def test_smoothing_and_masks(spark):
         spaces.searchlights(lights, 21)
 
 
+def _regions(spark):
+    rng = np.random.default_rng(61)
+    rows = [(int(rng.integers(3)), i, [float(e) for e in rng.normal(0, 1, 3)]) for i in range(70)]
+    points = spark.createDataFrame([*rows, (None, 70, [0.0, 0.0, 0.0]), (1, 71, None), (1, 72, [1.0, None, 0.0])], "region int, v long, x array<double>")
+    d = {(i, j): float(np.linalg.norm(np.subtract(p, q))) for r, i, p in rows for s, j, q in rows if r == s}
+    return points, d | {(i, i): 0.0 for i in (70, 71, 72)}
+
+
+@pytest.mark.parametrize("keep_sum", [False, True])
+def test_smoothing_sums_make_no_pairs(spark, monkeypatch, keep_sum):
+    """Many small blocks, against all pairs as a table; points without a place or a region are near to themselves only."""
+    points, d = _regions(spark)
+    monkeypatch.setattr(pairwise, "BLOCK", 7)
+    monkeypatch.setattr(pairwise, "TILE", 20)
+    table = spark.createDataFrame([(i, j, x) for (i, j), x in d.items()], "i long, j long, d double")
+    want = spaces.smoothing(table, fwhm=1.2, keep_sum=keep_sum).groupBy("src").agg(F.sum("w").alias("w"), F.sum(F.col("w") ** 2).alias("w2")).collect()
+    got = {r["src"]: (r["w"], r["w2"]) for r in pairwise.smoothing_sums(points, spaces.spread(fwhm=1.2), keep_sum).collect()}
+    assert len(got) == len(want) == 73
+    for r in want:
+        assert got[r["src"]] == pytest.approx((r["w"], r["w2"]))
+
+
+def test_smooth_queries_make_no_table_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spaces, "symmetric", None)
+    for name in ("smooth_kernel", "smooth_kernel_keep_sum"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 500
+
+
+def test_searchlight_sums_make_no_pairs(spark, monkeypatch):
+    points, d = _regions(spark)
+    monkeypatch.setattr(pairwise, "BLOCK", 7)
+    monkeypatch.setattr(spaces, "searchlights", None)
+    kept = spark.createDataFrame([(i, i - i // 5 - 1) for i in range(73) if i % 5], "v long, vm long")
+    got = {r["center"]: (r["n"], r["mean"], r["first"]) for r in pairwise.searchlight_sums(points, 1.5, kept).collect()}
+    for i in range(73):
+        near = [(x, j - j // 5 - 1) for (c, j), x in d.items() if c == i and j % 5 and x <= 1.5]
+        assert (i in got) == bool(near)
+        if near:
+            assert got[i] == (len(near), pytest.approx(sum(x for x, _ in near) / len(near)), min(vm for _, vm in near))
+    assert registry.QUERIES["searchlight_mean"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_empty_target_is_zero_or_first_source(spark):
     t = spark.createDataFrame([(1, 0, 0.0), (0, 1, 2.0), (1, 1, 2.0)], "src long, dst long, w double")
     assert {(r["src"], r["dst"]): r["w"] for r in spaces.mapping(t).collect()} == {(1, 0): 0.0, (0, 1): 0.5, (1, 1): 0.5}

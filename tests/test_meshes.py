@@ -183,6 +183,13 @@ def test_smooth_queries_make_no_table_of_pairs(spark, monkeypatch):
         assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 500
 
 
+def test_sums_by_source_take_one_pass(spark, monkeypatch):
+    points, _ = _regions(spark)
+    passes, once = [], pairwise.distance_sums
+    monkeypatch.setattr(pairwise, "distance_sums", lambda *a, **k: passes.append(1) or once(*a, **k))
+    assert {r["w"] for r in pairwise.smoothing_sums(points, 1.0, True).collect()} == {1.0} and len(passes) == 1
+
+
 def test_searchlight_sums_make_no_pairs(spark, monkeypatch):
     points, d = _regions(spark)
     monkeypatch.setattr(pairwise, "BLOCK", 7)

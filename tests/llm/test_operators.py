@@ -484,6 +484,35 @@ def test_url_query_reads_counts_of_suffixes(spark, monkeypatch):
     assert {r["suffix"]: r["suffix_urls"] for r in url_filter.statistics_of(spark, pages)[0].collect()} == want
 
 
+@pytest.mark.parametrize("rates, bins", [(False, 0), (True, 10_000)])
+def test_url_trees_learn_from_all_labels(spark, monkeypatch, rates, bins):
+    """More labelled URLs than the driver holds: histograms of all of them make the trees and the cut that the driver makes of them."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    labelled = url_filter.labelled_by_rules(pages) if not rates else pages.select("url", F.col("url").like("%-%").cast("int").alias("blocked"))
+    statistics = None if rates else url_filter.statistics_of(spark, pages)
+    monkeypatch.setattr(url_filter, "TREES", 4)
+    held = url_filter.train(labelled, rates, statistics)
+    monkeypatch.setattr(url_filter, "HELD_ROWS", 100)
+    monkeypatch.setattr(url_filter, "HELD_BINS", bins)
+    spread = url_filter.train(labelled, rates, statistics)
+    assert len(spread.leaf) == 4 and spread.prior == held.prior and spread.often == held.often
+    assert all(a == pytest.approx(b) for a, b in zip(spread.rates, held.rates, strict=True))
+    scores = [[r["score"] for r in url_filter.judged(spark, pages, m, statistics=statistics).orderBy("page_id").collect()] for m in (held, spread)]
+    assert np.abs(np.subtract(*scores)).mean() < 0.02
+    assert spread.threshold == pytest.approx(held.threshold, abs=0.1)
+
+
+def test_cuts_by_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    score = np.round(rng.random(600), 2)
+    y = (rng.random(600) < score**0.3).astype(int)
+    for buckets in (7, 65_536):
+        monkeypatch.setattr(url_filter, "BUCKETS", buckets)
+        table = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, score, strict=True)], "y int, score double")
+        assert url_filter._precise_cut_on_spark(table) == url_filter.precise_cut(score, y) < 1
+        assert url_filter._precise_cut_on_spark(table.withColumn("y", F.lit(0))) == math.inf
+
+
 def test_cuts_are_precise():
     y = np.array([1] * 40 + [0] * 4 + [1] * 20 + [0] * 100)
     score = np.linspace(1, 0, len(y))
